@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import bpe, langid, quality, simhash
+from quire.llm import ann, bpe, htmltext, langid, packing, quality, repeats, sharding, simhash, urlfilter
 from quire.llm.common import Scratch
 
 
@@ -14,6 +14,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op2_conflict_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 8,192 bytes; documents that agree but for case are one duplicate cluster."""
+    cluster = F.xxhash64(F.lower("text"))
+    return packing.pack(_table(spark, sf_dir, "documents"), cluster)
+
+
+def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels know no pages; a page is taken as labelled by the label of the same number."""
+    labels = _table(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), F.col("toxic").alias("bad"))
+    return urlfilter.filter_urls(_table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     stats = Scratch(spark, "quality").put(quality.statistics(docs), "stats")
@@ -33,6 +51,11 @@ def op5_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_minimax_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(_table(spark, sf_dir, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     remainder = F.crc32(F.col("doc_id").cast("string")) % 5
@@ -41,18 +64,33 @@ def op7_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_segment_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_tag_path_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op4_decision_list": op4_decision_list,
-        "op5_chunked_bpe": op5_chunked_bpe,
-        "op7_cross_parsing": op7_cross_parsing,
-        "op9_segment_popcount": op9_segment_popcount,
-    }
+    found = (
+        op1_run_length_index,
+        op2_conflict_best_fit,
+        op3_host_reputation,
+        op4_decision_list,
+        op5_chunked_bpe,
+        op6_minimax_partition,
+        op7_cross_parsing,
+        op8_dimension_scan,
+        op9_segment_popcount,
+        op10_tag_path_ratio,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
