@@ -78,11 +78,12 @@ def scan(
         seen = d + block
         if seen >= dim:
             break
-        if not np.isfinite(best) and len(alive) > k:
-            # The first test needs a bound: the k-th of the most promising few, measured whole.
-            few = alive[np.argpartition(partial, k - 1)[:k]]
+        if len(alive) > k:
+            # The bound: the k-th best of the most promising, measured whole.
+            m = min(8 * k, len(alive))
+            few = alive[np.argpartition(partial, m - 1)[:m]]
             whole = chunk[:, few] - query[:, None]
-            best = float(np.einsum("ij,ij->j", whole, whole).max())
+            best = min(best, float(np.partition(np.einsum("ij,ij->j", whole, whole), k - 1)[k - 1]))
         keep = partial * (dim / seen) <= best * (1 + eps * np.sqrt((1 - seen / dim) / seen)) ** 2 + 1e-6
         alive, partial = alive[keep], partial[keep]
         if not len(alive):
