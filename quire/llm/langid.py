@@ -197,7 +197,7 @@ def identify(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_
         langs = np.array([*model.langs, UND], dtype=object)
         for batch in batches:
             for part in text_slices(batch, "__text", 6 << 20):
-                column = part.column(part.schema.get_field_index("__text"))
+                column = part.column("__text")
                 data, offsets = utf8_bytes(column)
                 letter = _letters(data, offsets, column)
                 n = part.num_rows
@@ -209,11 +209,12 @@ def identify(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_
                     second = np.partition(cost, 1, axis=1)[:, 1] if cost.shape[1] > 1 else np.full(n, np.inf)
                     score = np.where(np.isinf(second), 1.0, 1.0 - bits / np.maximum(second, 1e-9))
                     best[~letter], score[~letter], bits[~letter] = len(model.langs), 0.0, 0.0
-                arrays = [part.column(i) for i in range(len(names))]
+                arrays = [part.column("__text" if name == text_col else name) for name in names]
                 arrays += [pa.array(langs[best], pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(bits)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*names, "lang_pred", "score", "bits"])
 
-    cols = [F.col(id_col).alias("doc_id"), *(F.col(c) for c in keep), F.col(text_col).alias("__text")]
+    # A kept text column travels once.
+    cols = [F.col(id_col).alias("doc_id"), *(F.col(c) for c in keep if c != text_col), F.col(text_col).alias("__text")]
     schema = ", ".join(f"`{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, [id_col, *keep]))
     return docs.select(*cols).mapInArrow(run, f"{schema}, lang_pred string, score double, bits double")
 

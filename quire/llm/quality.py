@@ -77,16 +77,18 @@ def repeated_words(words: list[bytes], window: int = 3) -> int:
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, *keep, the statistics as longs) for every row."""
 
+    names = ["doc_id", *keep]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "__text", 4 << 20):
-                at = part.schema.get_field_index("__text")
-                found = np.array([measure(t) for t in texts_of(part.column(at))], dtype=np.int64).reshape(-1, len(STATS))
-                arrays = [part.column(i) for i in range(at)] + [pa.array(found[:, i]) for i in range(len(STATS))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names[:at], *STATS])
+                found = np.array([measure(t) for t in texts_of(part.column("__text"))], dtype=np.int64).reshape(-1, len(STATS))
+                arrays = [part.column("__text" if name == text_col else name) for name in names]
+                arrays += [pa.array(found[:, i]) for i in range(len(STATS))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, *STATS])
 
-    names = ["doc_id", *keep]
-    cols = [F.col(id_col).alias("doc_id"), *(F.col(c) for c in keep), F.col(text_col).alias("__text")]
+    # A kept text column travels once.
+    cols = [F.col(id_col).alias("doc_id"), *(F.col(c) for c in keep if c != text_col), F.col(text_col).alias("__text")]
     schema = ", ".join(f"`{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, [id_col, *keep]))
     return docs.select(*cols).mapInArrow(run, schema + "".join(f", {s} bigint" for s in STATS))
 

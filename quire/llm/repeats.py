@@ -293,11 +293,13 @@ def repeat_spans(docs: DataFrame, length: int = 200, group_rows: int = 1000, scr
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), length: int = 200, group_rows: int = 1000
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), length: int = 200, group_rows: int = 1000,
+    as_text: bool = False,
+) -> DataFrame:
     """(doc_id, *keep, n_bytes, n_removed, spans, kept) for every row.
 
-    ``spans``: the maximal removed runs as (start, end) in bytes; ``kept``: the other bytes.
+    ``spans``: the maximal removed runs as (start, end) in bytes; ``kept``: the other bytes, or with
+    ``as_text`` a string of them, without characters that a run cuts in two.
     """
     scratch = Scratch(docs.sparkSession, "repeats")
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -342,10 +344,10 @@ def remove_repeats(
                         pa.array(sizes, pa.int64()),
                         pa.array(removed, pa.int64()),
                         pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                        pa.array(kept, pa.binary()),
+                        pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
                     ],
                     names=[*names, "n_bytes", "n_removed", "spans", "kept"],
                 )
 
     schema = ", ".join([f"doc_id {kind}", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])
-    return joined.mapInArrow(run, schema + ", n_bytes bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept binary")
+    return joined.mapInArrow(run, schema + ", n_bytes bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept " + ("string" if as_text else "binary"))
