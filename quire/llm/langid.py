@@ -89,8 +89,8 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
 class CrossParser:
     """Languages with one joint transition table.
 
-    An entry is twice the next state's row offset, plus one where the current phrase ends there and
-    the next one begins with this byte.
+    An entry is four times the next state's row offset, plus the number of phrases that end: one
+    where the next phrase begins with this byte, and one for a byte that is a phrase by itself.
     """
 
     langs: list[str]
@@ -114,8 +114,9 @@ class CrossParser:
             table = np.full((len(moves), width), -1, np.int64)
             for state, out in enumerate(moves):
                 table[state, list(out)] = list(out.values())
-            first = np.where(table[0] >= 0, table[0], 0)
-            table = np.where(table >= 0, 2 * (table + base) * width, 2 * (first[None, :] + base) * width + 1)
+            first, alone = np.maximum(table[0], 0), table[0] < 0
+            ends = 1 + alone[None, :] - np.where(np.arange(len(moves)) == 0, 1, 0)[:, None] * alone[None, :]
+            table = np.where(table >= 0, 4 * (table + base) * width, 4 * (first[None, :] + base) * width + ends)
             rows.append(table)
             roots.append(base * width)
         return cls(
@@ -141,12 +142,13 @@ class CrossParser:
         order = np.argsort(-size, kind="stable")
         start, size, doc = start[order], size[order], doc[order]
         state = np.repeat(self.roots[:, None], len(doc), axis=1)
-        count = np.ones(state.shape, np.int32)
+        count = np.zeros(state.shape, np.int32)
         active = len(doc) - np.searchsorted(size[::-1], np.arange(1, (size[0] if len(size) else 0) + 1), side="left")
         for t, k in enumerate(active.tolist()):
             step = self.table[state[:, :k] + symbols[start[:k] + t][None, :]]
-            count[:, :k] += step & 1
-            state[:, :k] = step >> 1
+            count[:, :k] += step & 3
+            state[:, :k] = step >> 2
+        count += state != self.roots[:, None]  # the last phrase of a block
         phrases = np.stack([np.bincount(doc, weights=row, minlength=len(lengths)) for row in count], axis=1)
         return phrases * self.cost[None, :] / np.maximum(lengths, 1)[:, None]
 
