@@ -34,7 +34,8 @@ def prefixed(document: str, url: str) -> str:
     """A relative URL as a path under content/."""
     if not url or url.strip().lower().startswith(EXTERNAL) or url.startswith("content/"):
         return url
-    return "content/" + posixpath.normpath(posixpath.join(posixpath.dirname(document), url))
+    folder = posixpath.dirname(document)
+    return "content/" + posixpath.normpath(f"{folder}/{url}" if folder else url)
 
 
 def srcset(value: str) -> list[str]:
@@ -106,7 +107,7 @@ def markdown(source: str, document: str = "", images: dict[str, str] | None = No
                 parts.append(f"`{c.content()}`")
             elif c.tag == "a" and c.attrs.get("href") and c.content().strip():
                 parts.append(f"[{inline(c).strip()}]({c.attrs['href']})")
-            elif c.tag not in ("#comment", "script", "style"):
+            elif c.tag not in ("#comment", "script", "style", "head"):
                 parts.append(inline(c))
             parts.append(c.tail)
         return "".join(parts)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quire.functions import paths, text
-from quire.operators import chapters, reports, skip, state as st
+from quire.operators import audio, chapters, models, reports, segments, skip, state as st, web
 from quire.sources import library as lib
 from quire.sources.library import with_views
 
@@ -530,3 +530,135 @@ def id_collisions(spark, sf):
     """Digests that several files share: positional paths repeat from file to file."""
     rows = lib.segments(spark, sf).select(F.lit("library").alias("book_id"), F.substring_index("segment_id", "-", -1).alias("segment_id"))
     return reports.collisions(rows).select(F.col("segment_id").alias("file_stem"), "n")
+
+
+# Markup: Python operators over pages, without SQL
+
+
+def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as the documents of the book of their host."""
+    rows = table(spark, sf_dir, "pages").select("page_id", paths.folder_of(F.regexp_extract("url", r"://([^?#]*)", 1)).alias("at"), "html")
+    host = F.substring_index("at", "/", 1)
+    return rows.select(
+        host.alias("book_id"), F.concat(F.lit("Text/page_"), "page_id", F.lit(".xhtml")).alias("file_path"), F.col("page_id").cast("int").alias("spine_index"), "html"
+    )
+
+
+def html_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.unique_ids(segments.segment_documents(page_documents(spark, sf_dir)))
+
+
+@query()
+def page_segments(spark, sf):
+    """Segments of web pages: paragraphs and headings as text, lists as markup, with unique ids."""
+    return html_segments(spark, sf)
+
+
+@query(
+    """SELECT page_id, len(regexp_extract_all(html, '<ul>')) AS n_lists, CAST(sum(1) AS BIGINT) AS n_pages FROM pages GROUP BY ALL"""
+)
+def page_lists(spark, sf):
+    """Lists of each page as the segmenter finds them; an HTML segment each."""
+    found = html_segments(spark, sf).groupBy("spine_index").agg(F.count_if(F.col("element_type") == "ul").alias("n_lists"))
+    return found.select(F.col("spine_index").cast("long").alias("page_id"), "n_lists", F.lit(1).cast("long").alias("n_pages"))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\\s+', ' ', 'g')) AS raw_title FROM pages WHERE html NOT LIKE '%<h1>%&%</h1>%'")
+def page_titles(spark, sf):
+    """Headings by segmentation, of pages whose heading holds no character reference."""
+    plain = table(spark, sf, "pages").where("html not like '%<h1>%&%</h1>%'").select(F.col("page_id").cast("int").alias("spine_index"))
+    heads = html_segments(spark, sf).where("element_type = 'h1'").join(plain, "spine_index", "left_semi")
+    return heads.select(F.col("spine_index").cast("long").alias("page_id"), F.col("source_content").alias("raw_title"))
+
+
+@query()
+def page_speech(spark, sf):
+    """What is read aloud of each segment; lists with stops, notes left out."""
+    rows = html_segments(spark, sf)
+    marked = segments.column_map(rows, segments.spoken_markup, ["source_content", "element_type"], "from_markup")
+    content = F.when(F.col("extract_mode") == "html", F.col("from_markup")).otherwise(F.col("source_content"))
+    said = text.speech_text(content, F.col("element_type"), F.col("order_in_file"), F.col("segment_id"), F.col("xpath"))
+    return marked.select("book_id", "segment_id", said.alias("spoken"))
+
+
+@query()
+def cleaned_pages(spark, sf):
+    """Pages without active content, their links and media pointing into the export."""
+    rows = page_documents(spark, sf)
+    return segments.column_map(rows, web.cleaned, ["html", "file_path"], "cleaned").select("book_id", "file_path", "cleaned")
+
+
+@query()
+def page_markdown(spark, sf):
+    rows = page_documents(spark, sf)
+    return segments.column_map(rows, web.markdown, ["html", "file_path"], "markdown").select("book_id", "file_path", "markdown")
+
+
+@query()
+def page_previews(spark, sf):
+    rows = segments.column_map(html_segments(spark, sf), segments.stripped, ["source_content"], "bare")
+    return rows.select("book_id", "segment_id", text.truncated(F.col("bare")).alias("preview"))
+
+
+@query()
+def translated_segments(spark, sf):
+    """Segments through the stub translator; copied where no model is needed."""
+    return models.translate(html_segments(spark, sf), models.Stub, "auto", "Simplified Chinese")
+
+
+def _answers(spark, sf) -> DataFrame:
+    rows = html_segments(spark, sf)
+    done = translated_segments(spark, sf).where("status = 'completed' and provider_name is not null")
+    return rows.join(done.select("book_id", "segment_id", "translation"), ["book_id", "segment_id"])
+
+
+@query()
+def bilingual_pages(spark, sf):
+    """Pages with each translation behind its original."""
+    return segments.inject(page_documents(spark, sf), _answers(spark, sf), "bilingual").select("book_id", "file_path", "html", F.size("lost").alias("n_lost"))
+
+
+@query()
+def translated_pages(spark, sf):
+    """Pages with translations in the place of the originals."""
+    return segments.inject(page_documents(spark, sf), _answers(spark, sf), "translated_only").select("book_id", "file_path", "html", F.size("lost").alias("n_lost"))
+
+
+@query()
+def translated_headings(spark, sf):
+    return segments.headings(_answers(spark, sf))
+
+
+@query(
+    """SELECT book_id, chapter_file, segment_id, CAST(row_number() OVER w AS BIGINT) AS position, CAST(coalesce(sum(ms + 250) OVER (PARTITION BY book_id, chapter_file ORDER BY spine_index, order_in_file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms FROM (
+ SELECT g.*, c.chapter_file, length(source_content) * 60 AS ms FROM segments g JOIN (SELECT book_id, file_path, chapter_file FROM ("""
+    + "{AUDIO}" + """)) c USING (book_id, file_path) JOIN state t USING (book_id, segment_id) WHERE t.status = 'completed') WINDOW w AS (PARTITION BY book_id, chapter_file ORDER BY spine_index, order_in_file)"""
+)
+def assembly_plan(spark, sf):
+    """The order and start of finished segments in each chapter; sixty milliseconds a character, a pause between."""
+    rows = lib.segments(spark, sf)
+    done = lib.state(spark, sf).where("status = 'completed'").join(rows.select("book_id", "segment_id", "source_content"), ["book_id", "segment_id"])
+    audio_rows = done.select("book_id", "segment_id", "status", F.concat("segment_id", F.lit(".m4a")).alias("audio_path"), (F.length("source_content") * 60 / 1000).alias("duration_seconds"))
+    found = audio.assembly(rows, chapters.audio_chapter_of(lib.spine(spark, sf), lib.toc(spark, sf)), audio_rows, 250)
+    return found.select("book_id", "chapter_file", "segment_id", F.col("position").cast("long").alias("position"), "start_ms")
+
+
+SQL["assembly_plan"] = _chapter_sql(SQL["assembly_plan"].replace("{AUDIO}", AUDIO), "state")
+
+
+@query(
+    """SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS DOUBLE) AS sum_qty, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus"""
+)
+def engine_aggregate(spark, sf):
+    """Not from the reference: a plain aggregate as a smoke test of the engine."""
+    rows = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus")
+    return rows.agg(F.sum("l_quantity").cast("double").alias("sum_qty"), F.count("*").alias("n"))
+
+
+@query(
+    """SELECT o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders o JOIN customer c ON o_custkey = c_custkey WHERE c_acctbal > 0 GROUP BY o_orderpriority"""
+)
+def engine_join(spark, sf):
+    """Not from the reference: a join as a smoke test of the engine."""
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer").where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"))

@@ -159,9 +159,17 @@ def packages(found: DataFrame) -> DataFrame:
     grouped = small.groupBy("book_id").agg(F.map_from_entries(F.collect_list(F.struct("member", "content"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, number = pa.string(), pa.int32()
+        lists = {
+            "spine": [("spine_index", number), ("idref", text), ("file_path", text), ("media_type", text), ("linear", pa.bool_())],
+            "toc": [("pos", number), ("level", number), ("title", text), ("href", text)],
+            "metadata": [("key", text), ("value", text)],
+            "manifest": [("id", text), ("file_path", text), ("media_type", text)],
+        }
+        schema = pa.schema([("book_id", text), *((k, pa.list_(pa.struct(v))) for k, v in lists.items())])
         for batch in batches:
             out = [{"book_id": b, **package_rows(dict(p))} for b, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_pylist(out)
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return grouped.mapInArrow(run, PACKAGE)
 
