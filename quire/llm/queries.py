@@ -93,5 +93,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+def _strength_sql(level: str) -> str:
+    """The prior's strength of a level by moments, as urlfilter has it."""
+    return f"""(SELECT greatest({urlfilter.WEAKEST}, least({urlfilter.STRONGEST}, CASE WHEN b IS NULL OR q / t - p * p <= p * (1 - p) * u / t THEN {urlfilter.STRONGEST}
+ ELSE (p * (1 - p) - (q / t - p * p)) / ((q / t - p * p) - p * (1 - p) * u / t) END)) AS k FROM (SELECT *, b / t AS p FROM (
+ SELECT sum(bad) AS b, CAST(sum(n) AS DOUBLE) AS t, CAST(count(*) AS DOUBLE) AS u, sum(bad * bad / n) AS q FROM {level} WHERE n > 0)))"""
+
+
+def _rule_sql(value: str) -> str:
+    cases = []
+    for rule, said in sorted(urlfilter.RULES, key=lambda r: (-len(r[0]), r[0])):
+        name, prefix = rule[: rule.index("/")], rule[rule.index("/") :]
+        then = rule if value == "rule" else said
+        cases.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{prefix}') THEN '{then}'")
+    return "CASE " + " ".join(cases) + " END"
+
+
+OP3_SQL = f"""WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{urlfilter.UPPER}', '{urlfilter.LOWER}') AS host,
+ coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+named AS (SELECT host, CASE WHEN len(x) > 2 THEN array_to_string(x[-2:], '.') ELSE host END AS domain, x[-1] AS suffix FROM (SELECT DISTINCT host, string_split(host, '.') AS x FROM p)),
+hosts AS (SELECT host, domain, suffix, coalesce(bad, 0) AS bad, coalesce(n, 0) AS n FROM named LEFT JOIN (
+ SELECT host, CAST(sum(toxic) AS DOUBLE) AS bad, CAST(count(*) AS DOUBLE) AS n FROM p JOIN labels ON doc_id = page_id WHERE toxic IS NOT NULL GROUP BY host) USING (host)),
+domains AS (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY domain, suffix),
+suffixes AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM domains GROUP BY suffix),
+s AS (SELECT suffix, (bad + k * (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) FROM suffixes)) / (n + k) AS m FROM suffixes, {_strength_sql("suffixes")}),
+d AS (SELECT domain, (bad + k * m) / (n + k) AS m FROM domains JOIN s USING (suffix), {_strength_sql("domains")}),
+h AS (SELECT host, (bad + k * m) / (n + k) AS m, n + k AS t FROM hosts JOIN d USING (domain), {_strength_sql("hosts")})
+SELECT page_id, host, path, {_rule_sql("rule")} AS rule, coalesce({_rule_sql("verdict")}, CASE WHEN m - 1.645 * sqrt(m * (1 - m) / (t + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+ FROM p JOIN h USING (host)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express a query; the others are tested against brute force."""
+    return {"op3_host_reputation": OP3_SQL}
