@@ -11,8 +11,9 @@ dropped. An occurrence's context is what the windows around it can reach:
 
 An anchor with more than ``group_rows`` distinct contexts is split, not cut: a window that contains
 the anchor reaches at least half of the missing bytes to its right or to its left, so each context
-goes to two smaller collections, named by the anchor grown by that half to either side. Growth ends
-at whole windows, which are only counted.
+goes to two smaller collections, named by the anchor grown by that half to either side, and keeps what
+the windows there can reach. Contexts that have become equal are counted as before, and one of them
+goes on. Growth ends at whole windows.
 
 Matches never cross documents; texts are judged as UTF-8 bytes, as they are in the input. Contexts
 are compared by their bytes inside an index and by 64-bit hashes within an anchor elsewhere.
@@ -182,6 +183,8 @@ def _grow(items: DataFrame, length: int) -> DataFrame:
                 for a, b in ((core, core + size + more), (core - more, core + size)):
                     if a >= 0 and b <= len(ctx):
                         first, last = max(0, b - length), min(len(ctx), a + length)
+                        if last - first < length:
+                            continue
                         name = xxhash.xxh3_64_intdigest(ctx[a:b], (row["key"] ^ (a < core)) & 0xFFFFFFFFFFFFFFFF)
                         rows.append(
                             row | {"key": name - (1 << 63), "lo": lo + first, "core": a - first, "size": b - a, "ctx": ctx[first:last]}
@@ -210,7 +213,8 @@ def _indexed(items: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
         groups: list[list[tuple]] = []
-        current, size = None, 0
+        rows: list[tuple] = []
+        current, size, own = None, 0, 0
 
         def emit() -> pa.RecordBatch:
             found = list(flush(groups))
@@ -222,14 +226,20 @@ def _indexed(items: DataFrame, length: int) -> DataFrame:
             schema = batch.schema
             for key, *row in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("key", "doc_id", "th", "lo", "want", "ctx"))):
                 if key != current:
-                    if size > MAX_TEXT // 2 or len(groups) >= 4000:
+                    if size + own >= MAX_TEXT or len(groups) >= 4000:
                         yield emit()
                         groups, size = [], 0
-                    groups.append([])
-                    current = key
-                groups[-1].append(tuple(row))
-                size += len(row[-1]) + 1
-        if groups:
+                    if rows:
+                        groups.append(rows)
+                        size += own
+                    current, rows, own = key, [], 0
+                rows.append(tuple(row))
+                own += len(row[-1]) + 1
+        if size + own >= MAX_TEXT:
+            yield emit()
+            groups = []
+        if rows:
+            groups.append(rows)
             yield emit()
 
     cols = ["key", "doc_id", "th", "lo", "want", "ctx"]
@@ -252,14 +262,15 @@ def _merged(rows: list[tuple]) -> Iterator[tuple]:
         yield last
 
 
-def repeat_spans(docs: DataFrame, length: int = 200, group_rows: int = 1000, scratch: Scratch | None = None) -> DataFrame:
+def repeat_spans(docs: DataFrame, length: int = 200, group_rows: int = 2500, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, th, a, b): byte ranges that cover exactly the repeated bytes; they may overlap.
 
     ``docs(doc_id, text)``; ``th`` is the CRC-32 of the text.
     """
     scratch = scratch or Scratch(docs.sparkSession, "repeats")
     occ = scratch.put(occurrences(docs, length), "occ")
-    often = occ.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # Keys of joins are tables of their own: only a join between two plain exchanges can be split.
+    often = scratch.put(occ.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
     again = scratch.put(occ.join(often, "h", "left_semi"), "again")
     scratch.drop("occ")
     pairs = again.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos", "rt")).alias("o"))
@@ -270,22 +281,28 @@ def repeat_spans(docs: DataFrame, length: int = 200, group_rows: int = 1000, scr
     # A context shorter than a window covers nothing.
     whole = whole.where(F.col("b") - F.col("a") >= length)
     mixed = pairs.groupBy("h").agg(F.count("*").alias("d"), F.min("n").alias("least")).where("d > 1 and least = 1").select("h")
+    mixed = scratch.put(mixed, "mixed")
     wanted = pairs.join(mixed, "h").select("h", "o.*", (F.col("n") == 1).alias("want"))
     items = scratch.put(_contexts(docs, wanted, length), "items")
     found, level = [whole], 0
     while True:
-        places = items.select("key", "doc_id", "th", "lo", "size").distinct()  # repeated rows give a place again
-        sizes = scratch.put(places.groupBy("key").agg(F.count("*").alias("n"), F.min("size").alias("s")).where("n > 1"), f"sizes{level}")
-        full = sizes.where((F.col("s") >= length))
-        if level:
-            found.append(items.where("want").join(full.select("key"), "key").select("doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + length).alias("b")))
-        fit = sizes.where((F.col("s") < length) & (F.col("n") <= group_rows)).select("key")
+        sizes = scratch.put(items.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"sizes{level}")
+        fit = sizes.where(F.col("n") <= group_rows).select("key")
         found.append(scratch.put(_indexed(items.join(fit, "key", "left_semi"), length), f"found{level}"))
-        over = sizes.where((F.col("s") < length) & (F.col("n") > group_rows)).select("key")
+        over = sizes.where(F.col("n") > group_rows).select("key")
         if over.isEmpty():
             break
         level += 1
-        items = scratch.put(_grow(items.join(over, "key", "left_semi"), length), f"items{level}")
+        grown = scratch.put(_grow(items.join(over, "key", "left_semi"), length).withColumn("cx", F.xxhash64("ctx")), f"grown{level}")
+        same = ["key", "core", "cx"]
+        counted = grown.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "lo")).alias("o"))
+        counted = scratch.put(counted, f"counted{level}")
+        # Equal contexts cover themselves; one of each goes on, as text for the others.
+        covered = grown.where("want").join(counted.where("n > 1").select(*same), same)
+        found.append(covered.select("doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + F.octet_length("ctx")).alias("b")))
+        first = (F.col("doc_id").eqNullSafe(F.col("o.doc_id"))) & (F.col("th") == F.col("o.th")) & (F.col("lo") == F.col("o.lo"))
+        kept = grown.join(counted, same).where(first).withColumn("want", F.col("want") & (F.col("n") == 1))
+        items = scratch.put(kept.select("key", "doc_id", "th", "lo", "core", "size", "want", "ctx"), f"items{level}")
     spans = found[0]
     for more in found[1:]:
         spans = spans.union(more)
@@ -293,7 +310,7 @@ def repeat_spans(docs: DataFrame, length: int = 200, group_rows: int = 1000, scr
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), length: int = 200, group_rows: int = 1000,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), length: int = 200, group_rows: int = 2500,
     as_text: bool = False,
 ) -> DataFrame:
     """(doc_id, *keep, n_bytes, n_removed, spans, kept) for every row.
