@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quire.functions import paths, text
-from quire.operators import audio, chapters, models, reports, segments, skip, state as st, web
+from quire.operators import audio, chapters, export, models, reports, segments, skip, state as st, web
 from quire.sources import library as lib
 from quire.sources.library import with_views
 
@@ -662,3 +662,87 @@ def engine_join(spark, sf):
     """Not from the reference: a join as a smoke test of the engine."""
     rows = table(spark, sf, "orders").join(table(spark, sf, "customer").where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey"))
     return rows.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"))
+
+
+# Exports
+
+
+@query(
+    """SELECT book_id, spine_index, 'content/' || file_path AS href, CASE WHEN coalesce(trim(t.title), '') <> '' THEN t.title ELSE 'doc_' || doc_id END AS title
+ FROM spine s LEFT JOIN (SELECT book_id, split_part(href, '#', 1) AS file_path, title FROM toc) t USING (book_id, file_path)""",
+    "toc",
+)
+def web_spine(spark, sf):
+    named = chapters.titles_by_file(lib.toc(spark, sf))
+    return export.web_spine(lib.spine(spark, sf), named).withColumn("spine_index", F.col("spine_index").cast("long"))
+
+
+@query(
+    _chapter_sql(
+        f"""SELECT book_id, chapter_file, title, count(DISTINCT file_path) AS n_files, count(*) AS n_segments, min(spine_index) AS spine_index
+ FROM segments JOIN (SELECT book_id, file_path, chapter_file, title FROM ({AUDIO})) USING (book_id, file_path) GROUP BY book_id, chapter_file, title""",
+        "segments",
+    )
+)
+def chapter_preview(spark, sf):
+    found = export.preview(chapters.audio_chapter_of(lib.spine(spark, sf), lib.toc(spark, sf)), lib.segments(spark, sf))
+    return found.select("book_id", "chapter_file", "title", F.size("files").cast("long").alias("n_files"), "n_segments", "spine_index")
+
+
+@query(
+    _skip_sql(
+        """SELECT book_id, 'document' AS kind, file_path AS name, reason FROM skips UNION ALL
+ SELECT book_id, 'segment', segment_id, coalesce(error_message, '') FROM state JOIN segments USING (book_id, segment_id) WHERE status = 'skipped'""",
+        "state",
+    )
+)
+def skip_list(spark, sf):
+    return export.skip_list(_skips(spark, sf), lib.state(spark, sf), lib.segments(spark, sf))
+
+
+@query(
+    _skip_sql(
+        """SELECT book_id, file_path, coalesce(a.spine_index, 9999) AS spine_index, k.reason IS NULL AS active FROM (SELECT book_id, file_path, min(spine_index) AS spine_index FROM segments GROUP BY ALL) a
+ FULL JOIN skips k USING (book_id, file_path)""",
+        "segments",
+    )
+)
+def template_files(spark, sf):
+    return export.template_files(lib.segments(spark, sf), _skips(spark, sf))
+
+
+@query(
+    """SELECT book_id, pos, href, CASE WHEN pos % 3 = 0 THEN 'T' || pos WHEN pos % 3 = 1 THEN 'F' ELSE title END AS title FROM toc""", "toc"
+)
+def toc_titles(spark, sf):
+    """Entries take the heading at their fragment, then the one of their file."""
+    toc = lib.toc(spark, sf)
+    rows = toc.select("book_id", paths.file_of(F.col("href")).alias("file_path"), "pos")
+    heads = rows.where("pos % 3 = 0").select("book_id", "file_path", F.lit("top").alias("fragment"), F.concat(F.lit("T"), "pos").alias("title"))
+    heads = heads.union(rows.where("pos % 3 <> 2").select("book_id", "file_path", F.lit(None), F.lit("F")))
+    return export.toc_titles(toc, heads)
+
+
+@query(
+    """SELECT host, name, CASE WHEN nth = 1 THEN name ELSE regexp_replace(name, '(\\.[^.]*)$', '') || '_' || nth || regexp_extract(name, '(\\.[^.]*)$', 1) END AS unique_name FROM (
+ SELECT host, name, row_number() OVER (PARTITION BY host, name ORDER BY page_id) AS nth FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, 'p' || page_id % 4 || '.png' AS name FROM pages))"""
+)
+def image_names(spark, sf):
+    rows = table(spark, sf, "pages").select(
+        F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)).alias("book_id"), F.concat(F.lit("i/p"), F.col("page_id") % 4, F.lit(".png")).alias("file_path"), F.col("page_id").alias("pos")
+    )
+    found = export.image_names(rows)
+    return found.select(F.col("book_id").alias("host"), F.substring_index("file_path", "/", -1).alias("name"), F.col("name").alias("unique_name"))
+
+
+@query(
+    """SELECT book_id, count(*) AS n_current FROM (SELECT book_id, file_path FROM segments GROUP BY book_id, file_path HAVING max(order_in_file) % 2 = 0) GROUP BY book_id""",
+    "segments",
+)
+def cached_chapters(spark, sf):
+    """Chapters whose built form is current; here those with an even number of segments were built from all of them."""
+    rows = lib.segments(spark, sf).groupBy("book_id", F.col("file_path").alias("chapter_file")).agg(
+        F.sort_array(F.collect_list("order_in_file")).alias("ids"), F.lit(5).alias("newest"), F.max("order_in_file").alias("n")
+    )
+    manifest = rows.select("book_id", "chapter_file", F.when(F.col("n") % 2 == 0, F.col("ids")).otherwise(F.slice("ids", 2, 10000)).alias("ids"), F.lit(9).alias("built"))
+    return chapters.cache_valid(rows, manifest).where("current").groupBy("book_id").agg(F.count("*").alias("n_current"))

@@ -16,10 +16,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from quire.operators.export import image_names
+
 MAX_BYTES = 500 * 1024 * 1024
 SCHEMA = "book_id string, member string, content binary"
 
@@ -183,16 +185,11 @@ def spine_documents(found: DataFrame, package: DataFrame) -> DataFrame:
 
 def images(package: DataFrame) -> DataFrame:
     """(book_id, file_path, name, cover): images with names that are unique in a book."""
-    from pyspark.sql import Window
-
     items = package.select("book_id", F.posexplode("manifest").alias("pos", "m")).select("book_id", "pos", "m.*")
     found = items.where(F.col("media_type").startswith("image/") | F.lower("file_path").rlike(r"\.(png|jpe?g|gif|svg|webp|bmp)$"))
-    base = F.substring_index("file_path", "/", -1)
-    nth = F.row_number().over(Window.partitionBy("book_id", "base").orderBy("pos"))
     first = F.row_number().over(Window.partitionBy("book_id").orderBy("pos")) == 1
-    named = found.withColumn("base", base).withColumn("nth", nth)
-    name = F.when(F.col("nth") == 1, F.col("base")).otherwise(F.regexp_replace("base", r"(\.[^.]*)?$", F.concat(F.lit("_"), F.col("nth"), F.lit("$1"))))
-    return named.select("book_id", "file_path", name.alias("name"), (F.lower("base").rlike("cover|title") | first).alias("cover"))
+    marked = found.select("book_id", "file_path", (F.lower(F.substring_index("file_path", "/", -1)).rlike("cover|title") | first).alias("cover"))
+    return image_names(found).join(marked, ["book_id", "file_path"])
 
 
 def written(parts: list[tuple[str, bytes]], replaced: dict[str, bytes]) -> bytes:
