@@ -6,16 +6,36 @@ import hashlib
 import random
 import struct
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 MOST_CHAPTERS, MOST_TITLE = 255, 255
 VOICES = ("alloy", "echo", "fable", "onyx", "nova", "shimmer")
 
 
-def pause(seed: str, low: float, high: float) -> float:
-    """A pause of a length that depends on the seed only."""
-    digest = hashlib.sha256(seed.encode()).digest()
-    return random.Random(int.from_bytes(digest[:8], "big")).uniform(low, high)
+# Bytes of a digest that seed pauses, and the first seed of gaps between chapters.
+SENTENCE_SEED_BYTES, SEGMENT_SEED_BYTES, GAP_SEED = 4, 8, 0xA10D10
+
+
+def pauses(name: str, count: int, low: float, high: float, seed_bytes: int = SENTENCE_SEED_BYTES) -> list[int]:
+    """Pauses in milliseconds that depend on a name only: between sentences, or between segments of a file."""
+    rng = random.Random(int.from_bytes(hashlib.sha256(name.encode()).digest()[:seed_bytes], "big"))
+    return [int(rng.uniform(low, high) * 1000) for _ in range(count)]
+
+
+def chapter_gap(index: int, low: float = 2.0, high: float = 4.0) -> int:
+    """The silence behind the chapter with this number, from 1, in milliseconds."""
+    return int(random.Random(GAP_SEED + index).uniform(low, high) * 1000)
+
+
+def with_pauses(segments: DataFrame, low: float, high: float) -> DataFrame:
+    """``segments(segment_id, n_sentences)`` with the silence between their sentences as pause_ms."""
+
+    @F.pandas_udf("long")
+    def total(ids: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([sum(pauses(i, max(0, n - 1), low, high)) for i, n in zip(ids, counts)])
+
+    return segments.withColumn("pause_ms", total("segment_id", "n_sentences"))
 
 
 def chapter_atom(chapters: list[tuple[float, str]], timescale: int = 1000) -> bytes:
@@ -24,10 +44,8 @@ def chapter_atom(chapters: list[tuple[float, str]], timescale: int = 1000) -> by
         raise ValueError(f"more than {MOST_CHAPTERS} chapters")
     out = [b"\x01\x00\x00\x00\x00\x00\x00\x00", bytes([len(chapters)])]
     for start, title in chapters:
-        raw = title.encode()
-        if len(raw) > MOST_TITLE:
-            raw = raw[:MOST_TITLE].decode("utf-8", "ignore").encode()
-        out.append(struct.pack(">QB", int(start * timescale) * 10000, len(raw)) + raw)
+        raw = ((title or "").strip() or "Chapter").encode()[:MOST_TITLE].decode("utf-8", "ignore").encode()
+        out.append(struct.pack(">QB", round(start * timescale * 10000), len(raw)) + raw)
     return b"".join(out)
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
+import unicodedata
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -66,6 +69,37 @@ def read_chapters(path: str) -> tuple[list[dict], dict]:
     return [c | {"start": secs(c.get("start"))} for c in body["chapters"]], body.get("metadata") or {}
 
 
+def work_name(path: str) -> str:
+    """A book's work folder: the first word of its file name in ASCII, and a digest of its path."""
+    whole = Path(path).expanduser().resolve(strict=False)
+    words = [w for w in re.split(r"[\s_-]+", whole.stem) if w]
+    plain = unicodedata.normalize("NFKD", words[0] if words else "book").encode("ascii", "ignore").decode().lower()
+    return f"{re.sub('[^a-z0-9]+', '', plain) or 'book'}-{hashlib.sha1(str(whole).encode()).hexdigest()[:8]}"
+
+
+def yaml_scalar(value: object) -> str:
+    text = str(value).replace("\\", "\\\\").replace('"', '\\"').replace("\n", " ").replace("\r", " ")
+    return f'"{text}"'
+
+
+def settings_template(rows: list[dict]) -> str:
+    """A book's settings file: its documents in order, skipped ones as comments; ``rows`` as export.template_files gives."""
+    lines = ["translation_files:"]
+    for r in sorted(rows, key=lambda r: (r["spine_index"], r["file_path"])):
+        lines.append(("  - " if r["active"] else "  # - ") + yaml_scalar(r["file_path"]))
+    return "\n".join(lines) + "\n"
+
+
+def write_new(path: str, text: str) -> bool:
+    """Write a file unless it is there already."""
+    try:
+        with open(path, "x", encoding="utf-8") as f:
+            f.write(text)
+    except FileExistsError:
+        return False
+    return True
+
+
 def write_markdown(chapters: DataFrame, folder: str) -> None:
     """A text file tree partitioned by book; ``chapters(book_id, position, title, body)``."""
     text = F.concat(F.lit("# "), "title", F.lit("\n\n"), "body")
