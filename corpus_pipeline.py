@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import langid, packing, quality, repeats, simhash
+from quire.llm import langid, nearcopies, packing, quality, repeats
 from quire.llm.common import Scratch
 
 #: Bits a byte above which a text isn't in any of the learned languages, and from how many bytes on that can be told.
@@ -34,12 +34,13 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the smallest id.
+    """One document of each component of near copies stays, the one with the smallest id.
 
-    Rows without an id can't be named by a component; of those one of each text stays.
+    Near copies share 0.8 of their five-word shingles. Rows without an id can't be named by a
+    component; of those one of each text stays.
     """
-    found = simhash.near_duplicates(docs.where("doc_id is not null"))
-    stay = found.where("doc_id = component_id").select("doc_id")
+    found = Scratch(spark, "near").put(nearcopies.components(docs.where("doc_id is not null")).select("doc_id", "root"), "roots")
+    stay = found.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     nameless = docs.where("doc_id is null").dropDuplicates(["text"])
     return named.union(nameless).select("doc_id", "text", "lang", "source", "n_chars")
