@@ -34,16 +34,17 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays, the one with the smallest id.
+    """One row of each component of near copies stays, whatever its id.
 
-    Near copies share 0.8 of their five-word shingles. Rows without an id can't be named by a
-    component; of those one of each text stays.
+    Near copies share 0.8 of their five-word shingles. The row with the smallest id stays, one without an
+    id only where the component has no other; different texts under one id are rows of their own.
     """
-    found = Scratch(spark, "near").put(nearcopies.components(docs.where("doc_id is not null")).select("doc_id", "root"), "roots")
-    stay = found.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
-    return named.union(nameless).select("doc_id", "text", "lang", "source", "n_chars")
+    columns = ("doc_id", "lang", "source", "n_chars")
+    found = nearcopies.components(docs, keep=columns).withColumn("row", F.monotonically_increasing_id())
+    found = Scratch(spark, "near").put(found, "roots")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row")
+    stay = found.groupBy("root").agg(F.min(order).alias("first")).select("first.row")
+    return found.join(stay, "row", "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

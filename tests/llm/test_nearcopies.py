@@ -58,6 +58,15 @@ def test_stage_keeps_one_of_copies_at_four_fifths(spark):
     assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
 
 
+def test_stage_keeps_one_row_of_a_component_whatever_its_id(spark):
+    rng = random.Random(7)
+    a, b, c, d = (" ".join(f"w{rng.randrange(4000)}" for _ in range(200)) for _ in range(4))
+    docs = [(None, f"{a} more"), (3, a), (None, b), (None, f"{b} more"), (5, c), (5, d), (4, d)]
+    df = spark.createDataFrame([(i, t, "aa", "s", 1) for i, t in docs], SCHEMA)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    assert len(got) == 4 and {(3, a), (5, c), (4, d)} < set(got) and (set(got) & {(None, b), (None, f"{b} more")})
+
+
 def test_bands_find_pairs_at_four_fifths():
     rng = random.Random(6)
     hit = n = 0
