@@ -214,7 +214,17 @@ def languages(spark, sf):
     "segments",
 )
 def prompts(spark, sf):
-    rows = lib.segments(spark, sf).where("order_in_file <= 2")
+    """Prompts of the first two segments of each document, which is what the SQL covers."""
+    return _prompts(lib.segments(spark, sf).where("order_in_file <= 2"))
+
+
+@query()
+def segment_prompts(spark, sf):
+    """A prompt and a preview for every segment."""
+    return _prompts(lib.segments(spark, sf))
+
+
+def _prompts(rows: DataFrame) -> DataFrame:
     asked = text.prompt(F.col("source_content"), F.col("extract_mode"), F.lit("auto"), F.lit("zh-CN"), "{language_instruction} {mode_instruction}")
     return rows.select("segment_id", text.truncated(F.col("source_content")).alias("preview"), asked.alias("prompt"))
 
