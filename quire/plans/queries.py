@@ -581,6 +581,13 @@ def page_titles(spark, sf):
     return heads.select(F.col("spine_index").cast("long").alias("page_id"), F.col("source_content").alias("raw_title"))
 
 
+@query()
+def heading_titles(spark, sf):
+    """Headings of all pages by segmentation, character references decoded."""
+    heads = html_segments(spark, sf).where("element_type = 'h1'")
+    return heads.select(F.col("spine_index").cast("long").alias("page_id"), F.col("source_content").alias("raw_title"))
+
+
 @query()
 def page_speech(spark, sf):
     """What is read aloud of each segment; lists with stops, notes left out."""

@@ -24,3 +24,8 @@ def test_prompts_of_every_segment(spark, folder):
     lines = [re.sub(r"\. \. \.", "...", " ".join(x.split())) for t in TEXTS for x in t.split("\n") if x.strip()]
     assert sorted(r["preview"] for r in got) == sorted(x if len(x) <= 80 else x[:79] + "…" for x in lines) and len(got) == 9
     assert sorted(r["prompt"].split("SOURCE:\n", 1)[1] for r in got) == sorted(lines)
+
+
+def test_titles_with_character_references(spark, folder):
+    got = {r["page_id"]: r["raw_title"] for r in QUERIES["heading_titles"](spark, folder).collect()}
+    assert got == {0: "Plain", 1: "Salt & Pepper", 2: "Café x", 3: "A < B"}
