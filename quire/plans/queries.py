@@ -138,6 +138,13 @@ def slugs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.slug(title).alias("slug"), text.ascii_slug(title).alias("ascii_slug"))
 
 
+@query()
+def text_slugs(spark, sf):
+    """File names from whole texts."""
+    title = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
+    return table(spark, sf, "documents").select("doc_id", text.slug(title).alias("slug"), text.ascii_slug(title).alias("ascii_slug"))
+
+
 @query(
     """SELECT o_orderkey, CAST(o_orderkey % 86400 AS DOUBLE) + 0.5 * (o_orderkey % 2) AS secs,
  printf('%d:%02d:%02d', (o_orderkey % 86400) // 3600, (o_orderkey % 3600) // 60, o_orderkey % 60) || CASE WHEN o_orderkey % 2 = 1 THEN '.500' ELSE '' END AS stamp FROM orders"""

@@ -29,3 +29,12 @@ def test_prompts_of_every_segment(spark, folder):
 def test_titles_with_character_references(spark, folder):
     got = {r["page_id"]: r["raw_title"] for r in QUERIES["heading_titles"](spark, folder).collect()}
     assert got == {0: "Plain", 1: "Salt & Pepper", 2: "Café x", 3: "A < B"}
+
+
+def test_slugs_of_whole_texts(spark, folder):
+    got = {r["doc_id"]: r for r in QUERIES["text_slugs"](spark, folder).collect()}
+    for i, t in enumerate(x.replace("\n", " ") for x in TEXTS):
+        name = re.sub(r"\s+", "-", re.sub(r'[<>:"/\\|?*!]', "", t).strip()).lower().strip("-")
+        plain = re.sub(r"[^A-Za-z0-9_-]", "", re.sub(r"\s+", "_", t.strip()))
+        assert (got[i]["slug"], got[i]["ascii_slug"]) == (name[:50].rstrip("-") or "untitled", plain or "audiobook")
+    assert got[2]["slug"] == "kept" and got[3]["slug"] == "late-title" and len(got[1]["ascii_slug"]) > 90
