@@ -7,7 +7,8 @@ threshold (a share of the weights' spread). The paths above it vote, with their
 container that holds the article: the deepest element that keeps most of the votes. All blocks inside
 that container are content, down to the shortest, except those inside boilerplate elements: menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, known by
-their tag, role, or by a word of their class or id.
+their tag, role, or by a word of their class or id. Such a flag is decided on after the ratios: it
+doesn't hold for an element around the page's article, or around most of the votes where no article is marked.
 
 White space inside a block becomes one space, blocks are joined by a line feed, character references
 are decoded.
@@ -43,6 +44,8 @@ _INLINE = frozenset(
 )
 #: Elements that never hold article text.
 _APART = frozenset("nav footer aside form button select option fieldset dialog menu head script style noscript template iframe textarea title object".split())
+#: Of these, elements that are never a layout wrapper.
+_NEVER = frozenset("nav footer button select option menu head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 #: Words of a class or id that name boilerplate.
 _WORDS = frozenset(
@@ -72,10 +75,17 @@ _ROOMS = frozenset("html body div article section main table td th caption objec
 
 
 class _Node:
-    __slots__ = ("apart", "label", "parent", "tag", "weight")
+    __slots__ = ("apart", "flagged", "label", "parent", "tag", "weight")
 
-    def __init__(self, tag: str, label: str, parent: _Node | None, apart: bool):
-        self.tag, self.label, self.parent, self.apart, self.weight = tag, label, parent, apart, 0.0
+    def __init__(self, tag: str, label: str, parent: _Node | None, flagged: bool):
+        self.tag, self.label, self.parent, self.flagged, self.weight = tag, label, parent, flagged, 0.0
+        self.apart = flagged or (parent is not None and parent.apart)
+
+    def up(self) -> Iterator[_Node]:
+        node: _Node | None = self
+        while node is not None:
+            yield node
+            node = node.parent
 
 
 class _Block:
@@ -122,7 +132,46 @@ def _within(node: _Node | None, tags: tuple[str, ...]) -> bool:
 
 
 def blocks(page: str) -> list[_Block]:
-    """The page's blocks of text in order."""
+    """The page's blocks of text outside boilerplate, in order."""
+    return _unflagged(_all_blocks(page))
+
+
+def _unflagged(found: list[_Block], most: float = 0.75) -> list[_Block]:
+    """The blocks outside flagged elements.
+
+    A flag is spared, from the outside in, while no article or main element outside flags carries a part of
+    the votes: first where the element holds such an element, else where it holds ``most`` of the votes.
+    """
+    if not any(b.node.apart for b in found):
+        return found
+    weights = path_weights(found)
+    votes = [float(len(b.text)) if b.path in weights else 0.0 for b in found]
+    total = sum(votes)
+    while True:
+        clear, held, shares, outer = 0.0, {}, {}, {}
+        for b, vote in zip(found, votes):
+            way = list(b.node.up())
+            top = max((i for i, n in enumerate(way) if n.flagged), default=-1)
+            marked = any(n.tag in ("article", "main") for n in (way if top < 0 else way[:top]))
+            if top < 0:
+                clear += vote if marked else 0.0
+            elif way[top].tag not in _NEVER:
+                key = id(way[top])
+                outer[key] = way[top]
+                shares[key] = shares.get(key, 0.0) + vote
+                held[key] = held.get(key, 0.0) + (vote if marked else 0.0)
+        if clear > (1 - most) * total or not outer:
+            break
+        key = max(outer, key=lambda k: (held[k], shares[k]))
+        if not held[key]:
+            key = max(outer, key=lambda k: shares[k])
+            if shares[key] < most * total:
+                break
+        outer[key].flagged = False
+    return [b for b in found if not any(n.flagged for n in b.node.up())]
+
+
+def _all_blocks(page: str) -> list[_Block]:
     root = _Node("", "", None, False)
     stack, out, text = [root], [], []
     at, end = 0, len(page)
@@ -132,9 +181,7 @@ def blocks(page: str) -> list[_Block]:
             joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if joined:
-                node = stack[-1]
-                if not node.apart:
-                    out.append(_Block(node, joined))
+                out.append(_Block(stack[-1], joined))
 
     def close(index: int) -> None:
         flush()
@@ -177,7 +224,6 @@ def blocks(page: str) -> list[_Block]:
             else:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
-                        text.clear() if stack[-1].apart else None
                         close(i)
                         break
                     if stack[i].tag not in _INLINE:
@@ -206,7 +252,7 @@ def blocks(page: str) -> list[_Block]:
                 if stack[i].tag in kinds:
                     close(i)
         named, label = _apart(tag, m[3], stack[-1])
-        stack.append(_Node(tag, label, stack[-1], named or stack[-1].apart))
+        stack.append(_Node(tag, label, stack[-1], named))
     flush()
     return out
 

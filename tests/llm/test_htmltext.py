@@ -24,6 +24,18 @@ def test_extract(page, want):
     assert htmltext.extract(page) == want
 
 
+FLAGGED = [
+    (f"<div class='content has-sidebar'><h1>T</h1><p>{TEXT}</p></div>", f"T\n{TEXT}"),
+    (f"<div id='page-with-menu'><nav>m</nav><article><p>{TEXT}</p></article><div class=comments><article>{TEXT} {TEXT}</article></div></div>", TEXT),
+    (f"<form action=/><ul class=menu><li>m</ul><div class='page no-sidebar'><p>{TEXT}</p><p>x</p></div></form>", f"{TEXT}\nx"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), FLAGGED)
+def test_flags_spare_wrappers(page, want):
+    assert htmltext.extract(page) == want
+
+
 def test_table(spark):
     rows = [(i, "u", p) for i, (p, _) in enumerate(CASES)] + [(99, None, None), (None, "u", "<p>x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
