@@ -3,9 +3,9 @@
 A page is read into blocks of text, each with its path of tags from the root. For every distinct
 path two ratios are formed: characters of text per node on the path, and punctuation marks per node.
 Both are smoothed over neighbouring paths in page order, fused into one weight, and compared with a
-threshold (a share of the weights' spread). The paths above it vote, with their text, for the
-container that holds the article: the deepest element that keeps most of the votes. All blocks inside
-that container are content, down to the shortest, except those inside boilerplate elements: menus,
+threshold (a share of the weights' spread). The blocks on the paths above it are content, and so is
+every block within their lowest common ancestor, or within the article and main elements that hold most of
+them, and the headings right in front, down to the shortest block, except those inside boilerplate elements: menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, known by
 their tag, role, or by a word of their class or id. Such a flag is decided on after the ratios: it
 doesn't hold for an element around the page's article, or around most of the votes where no article is marked.
@@ -56,6 +56,7 @@ _WORDS = frozenset(
     " skip".split()
 )
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SPACE = re.compile(r"\s+")
 _MARKS = re.compile(r"[.,;:!?…、。，！？]")
 #: An opening tag ends open elements of these kinds, up to the nearest of those boundaries.
@@ -75,10 +76,10 @@ _ROOMS = frozenset("html body div article section main table td th caption objec
 
 
 class _Node:
-    __slots__ = ("apart", "flagged", "label", "parent", "tag", "weight")
+    __slots__ = ("apart", "flagged", "label", "parent", "tag")
 
     def __init__(self, tag: str, label: str, parent: _Node | None, flagged: bool):
-        self.tag, self.label, self.parent, self.flagged, self.weight = tag, label, parent, flagged, 0.0
+        self.tag, self.label, self.parent, self.flagged = tag, label, parent, flagged
         self.apart = flagged or (parent is not None and parent.apart)
 
     def up(self) -> Iterator[_Node]:
@@ -280,49 +281,44 @@ def _smooth(values: list[float]) -> list[float]:
     return [0.25 * values[max(i - 1, 0)] + 0.5 * values[i] + 0.25 * values[min(i + 1, n - 1)] for i in range(n)]
 
 
-def container(found: list[_Block], most: float = 0.75) -> _Node:
-    """The deepest element that keeps ``most`` of the votes of the content paths."""
+def content(found: list[_Block], most: float = 0.75) -> list[_Block]:
+    """The blocks of the article.
+
+    Where article and main elements hold ``most`` of the votes of the content paths, all that lies in them;
+    else all within the lowest common ancestor of the blocks on content paths and the page's h1. In both
+    cases the headings right in front stay.
+    """
     weights = path_weights(found)
-    total, nodes = 0.0, {}
-    for b in found:
-        vote = len(b.text) if b.path in weights else 0.0
-        total += vote
-        node: _Node | None = b.node
-        while node is not None:
-            node.weight += vote
-            nodes[id(node)] = node
-            node = node.parent
-    best, depth = found[0].node, -1
-    for node in nodes.values():
-        if node.weight >= most * total and node.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre"):
-            d, up = 0, node.parent
-            while up is not None:
-                d, up = d + 1, up.parent
-            if d > depth:
-                best, depth = node, d
-    # An article or main element that holds the container is the whole article.
-    node, top = best, best
-    while node is not None:
-        if node.tag in ("article", "main"):
-            top = node
-            break
-        node = node.parent
-    return top
+    chosen = [b.path in weights for b in found]
+    marked = [any(n.tag in ("article", "main") for n in b.node.up()) for b in found]
+    votes = [len(b.text) if c else 0 for b, c in zip(found, chosen)]
+    if any(marked) and sum(v for v, m in zip(votes, marked) if m) >= most * sum(votes):
+        keep = marked
+    else:
+        chosen = _with_headings(found, [c or b.node.tag == "h1" for b, c in zip(found, chosen)])
+        shared: list[_Node] | None = None
+        for b, c in zip(found, chosen):
+            if c:
+                way = list(b.node.up())[::-1]
+                shared = way if shared is None else [x for x, y in zip(shared, way) if x is y]
+        home = shared[-1]
+        keep = [any(n is home for n in b.node.up()) for b in found]
+    return [b for b, k in zip(found, _with_headings(found, keep)) if k]
+
+
+def _with_headings(found: list[_Block], keep: list[bool]) -> list[bool]:
+    """Also keeps the headings right in front of the first kept block."""
+    keep = list(keep)
+    i = keep.index(True) - 1
+    while i >= 0 and found[i].node.tag in _HEADINGS:
+        keep[i] = True
+        i -= 1
+    return keep
 
 
 def extract(page: str) -> str:
     found = blocks(page)
-    if not found:
-        return ""
-    home = container(found)
-    kept = []
-    for b in found:
-        node: _Node | None = b.node
-        while node is not None and node is not home:
-            node = node.parent
-        if node is home:
-            kept.append(b.text)
-    return "\n".join(kept)
+    return "\n".join(b.text for b in content(found)) if found else ""
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -36,6 +36,19 @@ def test_flags_spare_wrappers(page, want):
     assert htmltext.extract(page) == want
 
 
+SPLIT = [
+    (f"<nav>n</nav><div id=content><h1>T</h1><div class=body><p>{TEXT}</p><p>x</p></div></div>", f"T\n{TEXT}\nx"),
+    (f"<div><div class=lead><p>{TEXT}</p></div><div class=rest>{f'<p>{TEXT}</p>' * 4}</div></div>", "\n".join([TEXT] * 5)),
+    (f"<article><p>{TEXT}</p></article><article>{f'<p>{TEXT}</p>' * 4}</article><p>tail</p>", "\n".join([TEXT] * 5)),
+    (f"<h1>T</h1><main><p>{TEXT}</p></main>", f"T\n{TEXT}"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), SPLIT)
+def test_split_and_nested_bodies(page, want):
+    assert htmltext.extract(page) == want
+
+
 def test_table(spark):
     rows = [(i, "u", p) for i, (p, _) in enumerate(CASES)] + [(99, None, None), (None, "u", "<p>x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
