@@ -1,13 +1,23 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands propose, the whole sets decide.
+"""Near copies by the Jaccard similarity of word shingles: SimHash and MinHash propose, the whole sets decide.
 
 Two texts are copies if the sets of their five-word shingles (lowered ASCII, split at white space; fewer
 words form one shingle) have a Jaccard similarity of 0.8 or more. Components of that relation are
-found over distinct word sequences. A fingerprint of 64 bits can't find such pairs: at 0.8 they differ in about
-ten bits. Instead 20 bands of five minima each are compared; a pair at 0.8 shares a band with
-probability 1 - (1 - 0.8^5)^20 = 0.9996, and every proposed pair is then decided on the whole sets.
+found over distinct word sequences.
 
-Within a bucket all members are compared with its least; after that only members of different
-components still meet, so one large group of near copies costs a pass and not its square.
+Pairs are proposed in two ways. SimHash fingerprints of the shingles meet in the segment-popcount grid
+(``simhash.links``); that finds the nearest copies. At a similarity of 0.8 fingerprints of 64 bits differ
+in about ten bits, a radius at which no grid is selective, so the others come from MinHash: 20 bands of five
+minima, of which a pair at 0.8 shares one with probability 1 - (1 - 0.8^5)^20 = 0.9996. Every proposed
+pair is decided on its whole sets.
+
+A bucket of up to ``FEW`` texts proposes all its pairs. Larger ones are read in two passes, in
+blocks of bounded size, so neither a task nor the number of pairs grows with a bucket's square:
+
+1. Each text meets blocks of its largest buckets. Within a block the similarities are estimated from
+   256 minima of a byte each, and only the edges of a maximum spanning forest are proposed.
+2. Where a bucket still holds several components, the texts outside its largest component meet
+   the whole bucket; pairs of different components whose estimate isn't below 0.8 by more
+   than four standard errors are proposed.
 
 Edge cases: null, empty and blank texts are copies of each other; repeated rows keep a row each.
 """
@@ -20,39 +30,52 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from quire.llm import simhash
 from quire.llm.common import Scratch, text_slices, texts_of
 from quire.llm.components import connected_components
 
 SHINGLE, LEAST = 5, 0.8
-BANDS, ROWS = 20, 5
+BANDS, ROWS, MINIMA = 20, 5, 256
+#: Buckets of up to so many texts propose all pairs.
+FEW = 8
+#: Texts of a block, and buckets of a text in the first pass.
+BLOCK, LARGEST = 256, 4
 _RNG = np.random.default_rng(42)
-_MUL = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_CHUNK = 1 << 12
+_MUL = _RNG.integers(0, 1 << 31, MINIMA, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
+_ADD = _RNG.integers(0, 1 << 32, MINIMA, dtype=np.uint32)[:, None]
+_CHUNK = 1 << 10
 
 
-def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct hashes of a text's shingles, in order; none for a text without words."""
+def grams(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles in order; none for a text without words."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
-    grams = map(b" ".join, zip(*(words[i : i + n] for i in range(shingle)))) if len(words) >= shingle else iter([b" ".join(words)])
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), dtype=np.uint64, count=n))
+    found = map(b" ".join, zip(*(words[i : i + n] for i in range(shingle)))) if len(words) >= shingle else iter([b" ".join(words)])
+    return np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(42)), dtype=np.uint64, count=n)
 
 
-def bands(found: np.ndarray) -> np.ndarray:
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(grams(text, shingle))
+
+
+def minima(found: np.ndarray) -> np.ndarray:
+    """The least value of each of MINIMA hash functions over a set of shingles."""
+    least = np.full(MINIMA, np.iinfo(np.uint32).max, np.uint32)
+    x = (found >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(x), _CHUNK):
+        np.minimum(least, (x[i : i + _CHUNK] * _MUL + _ADD).min(axis=1), out=least)
+    return least
+
+
+def bands(least: np.ndarray) -> list[int]:
     """A hash of each band's minima."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(found), _CHUNK):
-        part = found[i : i + _CHUNK]
-        for k in range(BANDS * ROWS):
-            # Only the high half of a product is mixed well.
-            least[k] = min(least[k], ((part * _MUL[k] + _ADD[k]) >> np.uint64(16)).min())
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), b) for b, r in enumerate(rows)], np.uint64)
+    rows = least[: BANDS * ROWS].reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(r.tobytes(), b) - (1 << 63) for b, r in enumerate(rows)]
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -77,18 +100,122 @@ def nodes(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     return docs.select(*keep, F.col(text_col).alias("__t")).mapInArrow(run, f"{kinds}, text string, node bigint")
 
 
-def _banded(distinct: DataFrame) -> DataFrame:
-    """(band, node), one row for each band of a node."""
+def _features(distinct: DataFrame) -> DataFrame:
+    """(node, fp, sig, bands): the fingerprint, a byte of each minimum, the bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text", 4 << 20):
-                found = [bands(shingles(t)) for t in texts_of(part.column(1))]
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), BANDS)
-                hashes = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids)], names=["band", "node"])
+                fps, sigs, keys = [], [], []
+                for t in texts_of(part.column(1)):
+                    hashes = grams(t)
+                    least = minima(np.unique(hashes))
+                    fps.append(simhash.fingerprint(hashes))
+                    sigs.append(least.astype(np.uint8).tobytes())
+                    keys.append(bands(least))
+                fp = np.array(fps, dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(fp), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "fp", "sig", "bands"]
+                )
+
+    return distinct.select("node", "text").mapInArrow(run, "node bigint, fp bigint, sig binary, bands array<bigint>")
+
+
+def _fingerprint_pairs(features: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v): texts whose fingerprints the segment-popcount grid links, by the least text of each fingerprint."""
+    fps = features.select("fp", "node")
+    heads = scratch.put(fps.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    linked = simhash.links(heads.select("fp"), scratch=scratch)
+    across = linked.join(heads.toDF("u", "hu"), "u").join(heads.toDF("v", "hv"), "v").select(F.col("hu").alias("u"), F.col("hv").alias("v"))
+    return across.union(fps.join(heads, "fp").where("node <> head").select("head", "node"))
+
+
+def _estimates(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Shares of equal minima of each pair."""
+    out = np.empty((len(left), len(right)), np.float32)
+    for i, row in enumerate(left):
+        out[i] = (right == row).sum(axis=1, dtype=np.int32)
+    return out / MINIMA
+
+
+def _forest(items: DataFrame, bar: float) -> DataFrame:
+    """(u, v): edges of a maximum spanning forest of each block's estimates; a block holds a few times BLOCK rows."""
+
+    def edges(ids: list[int], sigs: list[bytes]) -> Iterator[tuple[int, int]]:
+        sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), MINIMA)
+        # Prim's algorithm: the best estimate of each text outside the tree to one inside.
+        n = len(ids)
+        best, near, out = np.full(n, -1.0, np.float32), np.zeros(n, np.int64), np.ones(n, bool)
+        at = 0
+        for _ in range(n - 1):
+            out[at], best[at] = False, -1.0
+            own = _estimates(sig[at : at + 1], sig)[0]
+            nearer = out & (own > best)
+            best[nearer], near[nearer] = own[nearer], at
+            at = int(np.where(out, best, -1.0).argmax())
+            if best[at] >= bar:
+                yield ids[near[at]], ids[at]
+            elif not out[at]:
+                at = int(np.flatnonzero(out)[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, ids, sigs, found = None, [], [], []
+        for batch in batches:
+            for band, block, node, sig in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if (band, block) != current:
+                    found += edges(ids, sigs) if len(ids) > 1 else ()
+                    current, ids, sigs = (band, block), [], []
+                ids.append(node)
+                sigs.append(sig)
+            if found:
+                yield _pairs(found)
+                found = []
+        if len(ids) > 1:
+            yield _pairs(list(edges(ids, sigs)))
+
+    dealt = items.select("band", "block", "node", "sig").repartition("band", "block").sortWithinPartitions("band", "block", "node")
+    return dealt.mapInArrow(run, "u bigint, v bigint")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    """Pairs, the smaller node first."""
+    ends = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["u", "v"])
+
+
+def _across(items: DataFrame, bar: float) -> DataFrame:
+    """(u, v): pairs of different roots with an estimate of at least ``bar``, of ``left`` rows and others of one block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, left = None, []
+        for batch in batches:
+            found = []
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            sides = batch.column(3).to_pylist()
+            ids, roots = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            sig = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, MINIMA)
+            i = 0
+            while i < len(keys):
+                j = i
+                while j < len(keys) and keys[j] == keys[i] and sides[j] == sides[i]:
+                    j += 1
+                if keys[i] != current:
+                    current, left = keys[i], []
+                if not sides[i]:  # the block's left rows come first
+                    left.append((ids[i:j].copy(), roots[i:j].copy(), sig[i:j].copy()))
+                elif left:
+                    near = zip(*left)
+                    a, ra, sa = (np.concatenate(x) for x in near)
+                    close = (_estimates(sa, sig[i:j]) >= bar) & (ra[:, None] != roots[None, i:j])
+                    x, y = np.nonzero(close)
+                    found += zip(a[x].tolist(), ids[i:j][y].tolist())
+                i = j
+            if found:
+                yield _pairs(found)
 
-    return distinct.select("node", "text").mapInArrow(run, "band bigint, node bigint")
+    cols = ["band", "block", "part", "side", "node", "root", "sig"]
+    keys = ["band", "block", "part"]
+    return items.select(*cols).repartition(*keys).sortWithinPartitions(*keys, "side", "node").mapInArrow(run, "u bigint, v bigint")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -110,31 +237,64 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     a = texts.select(F.col("node").alias("u"), F.col("text").alias("a"))
     b = texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
+    return pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
+
+
+def _few_pairs(met: DataFrame) -> DataFrame:
+    """All pairs of the buckets of up to FEW texts."""
+    few = met.where(F.col("n") <= FEW).select("band", "node")
+    return few.alias("a").join(few.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node"))).select(
+        F.col("a.node").alias("u"), F.col("b.node").alias("v")
+    )
+
+
+def _first_blocks(many: DataFrame, features: DataFrame) -> DataFrame:
+    """(band, block, node, sig): each text in blocks of its LARGEST largest buckets."""
+    largest = Window.partitionBy("node").orderBy(F.desc("n"), "band")
+    chosen = many.withColumn("r", F.row_number().over(largest)).where(F.col("r") <= LARGEST)
+    block = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    return chosen.select("band", block.alias("block"), "node").join(features.select("node", "sig"), "node")
+
+
+def _second_blocks(rooted: DataFrame, features: DataFrame) -> DataFrame:
+    """(band, block, part, side, node, root, sig) of the buckets with several components.
+
+    Side 0: the texts outside the bucket's largest component; side 1: all its texts.
+    """
+    sizes = rooted.groupBy("band", "root").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("all"), F.count("*").alias("c")).where("c > 1")
+    main = main.select("band", F.col("main.root").alias("main"), (F.col("all") - F.col("main.m")).alias("outer"), "all")
+    rows = rooted.join(main, "band")
+    blocks, parts = F.ceil(F.col("outer") / BLOCK).cast("int"), F.ceil(F.col("all") / (16 * BLOCK)).cast("int")
+    own, place = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.pmod(F.xxhash64("band", "node"), parts).cast("int")
+    left = rows.where("root <> main").select("band", own.alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("side"), "node", "root")
+    right = rows.select("band", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), place.alias("part"), F.lit(1).alias("side"), "node", "root")
+    return left.union(right).join(features.select("node", "sig"), "node")
 
 
 def components(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = LEAST) -> DataFrame:
     """(*keep, text, root) for every row; rows of one component have one root."""
     scratch = Scratch(docs.sparkSession, "nearcopies")
+    bar = least - 4 * float(np.sqrt(least * (1 - least) / MINIMA))
     rows = scratch.put(nodes(docs, text_col, keep), "rows")
-    banded = scratch.put(_banded(rows.select("node", "text").dropDuplicates(["node"])), "banded")
-    heads = banded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = scratch.put(banded.join(heads, "band"), "met")
-    texts = scratch.put(rows.select("node", "text").join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "texts")
-    stars = met.where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
-    first = scratch.put(_verified(stars, texts, least), "first")
-    roots = scratch.put(connected_components(first, scratch), "roots1")
-    # Buckets that are still several components: their members meet pairwise across components.
-    rooted = met.join(roots, "node", "left").select("band", "node", "head", F.coalesce("root", "node").alias("root"))
-    split = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
-    rest = scratch.put(rooted.join(split, "band"), "rest")
-    others = rest.where("node <> head")
-    across = others.alias("a").join(
-        others.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-    )
-    second = scratch.put(_verified(across.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), texts, least), "second")
-    again = Scratch(docs.sparkSession, "nearcopies")
-    roots = again.put(connected_components(first.union(second), again), "roots")
-    for name in ("banded", "met", "texts", "rest", "roots1"):
+    features = scratch.put(_features(rows.select("node", "text").dropDuplicates(["node"])), "features")
+    banded = features.select("node", F.explode("bands").alias("band"))
+    # Keys of joins are tables of their own: only a join between two plain exchanges can be split.
+    sizes = scratch.put(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes_of_bands")
+    met = scratch.put(banded.join(sizes, "band"), "met")
+    many = met.where(F.col("n") > FEW)
+    proposed = _fingerprint_pairs(features, scratch).union(_few_pairs(met)).union(_forest(_first_blocks(many, features), bar))
+    proposed = scratch.put(proposed.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "proposed")
+    texts = rows.select("node", "text").dropDuplicates(["node"])
+    first = scratch.put(_verified(proposed, texts, least), "first")
+    near = scratch.put(connected_components(first, scratch), "near_roots")
+    rooted = scratch.put(many.select("band", "node").join(near, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    second = scratch.put(_across(_second_blocks(rooted, features), bar).distinct(), "across")
+    second = scratch.put(_verified(second, texts, least), "second")
+    roots = near
+    if not second.isEmpty():
+        again = Scratch(docs.sparkSession, "nearcopies")
+        roots = again.put(connected_components(first.union(second), again), "roots")
+    for name in ("features", "sizes_of_bands", "met", "heads", "cells", "sizes", "few", "near", "proposed", "first", "rooted", "across", "second"):
         scratch.drop(name)
     return rows.join(roots, "node", "left").select(*keep, "text", F.coalesce("root", "node").alias("root"))

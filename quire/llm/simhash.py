@@ -48,7 +48,12 @@ def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     else:
         n = len(words) - shingle + 1
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), dtype="<u8", count=n)
+    return fingerprint(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), dtype="<u8", count=n))
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
+    n = len(hashes)
     counts = np.zeros((8, 8))
     for i in range(0, n, _CHUNK):
         lanes = hashes[i : i + _CHUNK].view(np.uint8).reshape(-1, 8) + _LANES

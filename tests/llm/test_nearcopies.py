@@ -69,10 +69,28 @@ def test_stage_keeps_one_row_of_a_component_whatever_its_id(spark):
 
 def test_bands_find_pairs_at_four_fifths():
     rng = random.Random(6)
-    hit = n = 0
+    hit = n = off = 0
     for _ in range(200):
         common = [rng.getrandbits(64) for _ in range(160)]
         a, b = (nearcopies.np.array(sorted(common + [rng.getrandbits(64) for _ in range(20)]), "u8") for _ in "ab")
         n += 1
-        hit += bool(set(nearcopies.bands(a)) & set(nearcopies.bands(b)))
-    assert nearcopies.jaccard(a, b) == 0.8 and hit >= 0.98 * n
+        x, y = nearcopies.minima(a), nearcopies.minima(b)
+        hit += bool(set(nearcopies.bands(x)) & set(nearcopies.bands(y)))
+        off = max(off, abs(nearcopies._estimates(x.astype("u1")[None], y.astype("u1")[None])[0, 0] - 0.8))
+    assert nearcopies.jaccard(a, b) == 0.8 and hit >= 0.98 * n and off < 0.12
+
+
+def family(n, seed):
+    """Mutated copies of one text at all similarities, many of them under the threshold with all others."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(4000)}" for _ in range(120)]
+    return [" ".join("x%d" % rng.randrange(10**6) if rng.random() < i % 12 / 250 else w for w in base) for i in range(n)]
+
+
+def test_large_bucket_in_blocks(spark, monkeypatch):
+    found = family(420, 9)
+    monkeypatch.setattr(nearcopies, "BLOCK", 32)
+    df = spark.createDataFrame([(i, t, "aa", "s", 1) for i, t in enumerate(found)], SCHEMA)
+    got = {r["doc_id"]: r["root"] for r in nearcopies.components(df).collect()}
+    want = roots([sets(t) for t in found])
+    assert len(set(want)) > 30 and len({(got[i], want[i]) for i in got}) == len(set(want)) == len(set(got.values()))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import langid, quality
+from tests.llm.test_nearcopies import roots as similar_roots, sets
 from tests.llm.test_repeats import brute
-from tests.llm.test_simhash import components, plain
 
 PARTS = {"aa": ["the", "ing", "er", "th", "on", "wh"], "bb": ["ung", "sch", "ä", "ein", "ver", "pf"]}
 
@@ -47,7 +47,11 @@ def folder(spark, tmp_path_factory):
 
 
 def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=str)
+    return rows_of(tuple(r) for r in df.collect())
+
+
+def rows_of(found):
+    return sorted(found, key=str)
 
 
 def test_stages_against_brute_force(spark, folder):
@@ -77,9 +81,9 @@ def test_stages_against_brute_force(spark, folder):
         assert (r[0] in kept) == (n >= 50 and 100 * again <= 50 * n and "##" not in r[1]), r[0]
 
     before, after, _ = out["simhash_near_dedup"]
-    fps = [plain(r[1]) for r in before]
-    roots = components([r[0] for r in before], fps)
-    assert after == [r for r, c in zip(before, roots) if r[0] == c] and len(after) < len(before)
+    before = sorted(before)
+    roots = similar_roots([sets(r[1]) for r in before])
+    assert after == rows_of(r for i, r in enumerate(before) if roots[i] == i) and len(after) < len(before)
 
     before, after, _ = out["suffix_array_dedup"]
     raw = [r[1].encode() for r in before]
