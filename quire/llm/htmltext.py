@@ -1,17 +1,25 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into blocks of text, each with its path of tags from the root. For every distinct
-path two ratios are formed: characters of text per node on the path, and punctuation marks per node.
-Both are smoothed over neighbouring paths in page order, fused into one weight, and compared with a
-threshold (a share of the weights' spread). The blocks on the paths above it are content, and so is
-every block within their lowest common ancestor, or within the article and main elements that hold most of
-them, and the headings right in front, down to the shortest block, except those inside boilerplate elements: menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, known by
-their tag, role, or by a word of their class or id. Such a flag is decided on after the ratios: it
-doesn't hold for an element around the page's article, or around most of the votes where no article is marked.
+A page is read into blocks of text, each with its path of tags (and classes) from the root. For every
+distinct path two ratios are formed: characters of text outside links per node on the path, and punctuation
+marks per node. Both are smoothed over neighbouring paths in page order and fused, with the path's own characters, into one
+weight (the root of their product); what markup says of a path (its elements are named as boilerplate, or lie in an article or
+main element) scales the weight as one feature among others. Paths whose weight reaches ``share`` of the mean weight are content paths.
+
+Selection is block by block:
+
+* blocks on content paths are content;
+* so is every other block of the region that the content paths span, down to the shortest: their lowest common
+  ancestor, or the article and main elements where these hold most of the characters on content paths. Where that ancestor is only the
+  page's body, the region ends with the first and last content block, and blocks that are mostly links don't belong to it;
+* and so are the headings right in front of the region;
+* never a block inside an element that is boilerplate: menus, headers, footers, sidebars, notices,
+  adverts, forms, scripts, styles and reader comments, known by tag, role, or the name that a class or id gives
+  them (its last word, or its first before words for layout only). That is decided on after the ratios: such a name doesn't hold for
+  an element around the page's article, or around most of the content where no article is marked.
 
 White space inside a block becomes one space, blocks are joined by a line feed, character references
-are decoded.
+are decoded. Reading takes time in proportion to the page's size, also for unclosed quotes and deep nesting.
 
 Edge cases: null and empty pages, and pages without content, give an empty text; unclosed elements
 are closed as browsers do (a new paragraph ends the open one); a page that ends inside a comment, script or tag
@@ -20,22 +28,19 @@ loses only that; a bare ``<`` is text; repeated rows keep a row each; only the n
 
 from __future__ import annotations
 
+import heapq
 import html
-import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.common import text_slices, texts_of
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
-    re.S,
-)
-_ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[\"'>]")
+_ATTR = re.compile(r"(?:(?<=[\s/\"'])|^)([^\s=/\"'>]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe noframes noembed xmp".split())
 _INLINE = frozenset(
@@ -47,91 +52,112 @@ _APART = frozenset("nav footer aside form button select option fieldset dialog m
 #: Of these, elements that are never a layout wrapper.
 _NEVER = frozenset("nav footer button select option menu head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-#: Words of a class or id that name boilerplate.
-_WORDS = frozenset(
+#: Words that name boilerplate, as the last word of a class or id ("cookie-notice", "page-header").
+_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion banner banners cookie cookies"
     " consent gdpr notice notices notification notifications alert alerts sidebar sidebars aside menu menus nav navbar navigation breadcrumb"
     " breadcrumbs footer foot header masthead topbar toolbar comment comments discussion disqus replies reply respond share sharing social related"
     " recommended recommendations newsletter subscribe subscription signup popup modal overlay login form search widget pagination pager copyright"
     " skip".split()
 )
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: Words for layout: a name in front of them is the element's own ("comment-list", "ad-container").
+_LAYOUT = frozenset(
+    "a area bar block body bottom box btn button buttons card cards center col column container content count entry feed footer group head header holder icon"
+    " icons inner item items layer layout left level link links list main mobile module nav outer panel policy post posts row right section slot small space text the thread title"
+    " toggle top unit view wrap wrapper zone".split()
+)
+#: Words that deny or only mention what follows ("no-sidebar", "page-with-menu").
+_BESIDE = frozenset("has have no non not without with hide hides is".split())
+#: Words that make a header the head of an article ("entry-header").
+_ARTICLE = frozenset("entry post article story content title section chapter".split())
+_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SPACE = re.compile(r"\s+")
 _MARKS = re.compile(r"[.,;:!?…、。，！？]")
-#: An opening tag ends open elements of these kinds, up to the nearest of those boundaries.
+#: An opening tag of the left side ends the open elements of these kinds, up to those walls.
 _ENDS = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}),
-    "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}),
-    "option": ({"option"}, {"select"}),
-    "body": ({"head"}, set()),
+    "li": ("li", {"li"}, {"ul", "ol", "menu"}),
+    "term": ("dt dd", {"dt", "dd"}, {"dl"}),
+    "row": ("tr", {"tr", "td", "th"}, {"table"}),
+    "cell": ("td th", {"td", "th"}, {"tr", "table"}),
+    "section": ("tbody tfoot", {"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}),
+    "option": ("option", {"option"}, {"select"}),
+    "head": ("body", {"head"}, set()),
 }
+_ENDED_BY = {tag: i for i, (tags, _, _) in enumerate(_ENDS.values()) for tag in tags.split()}
 _ROOMS = frozenset("html body div article section main table td th caption object button".split())
+#: What the markup's hints scale a path's weight by.
+NAMED_APART, IN_ARTICLE = 0.25, 2.0
 
 
 class _Node:
-    __slots__ = ("apart", "flagged", "label", "parent", "tag")
+    """An open or closed element; what concerns its ancestors is carried down, so nothing walks up."""
 
-    def __init__(self, tag: str, label: str, parent: _Node | None, flagged: bool):
-        self.tag, self.label, self.parent, self.flagged = tag, label, parent, flagged
-        self.apart = flagged or (parent is not None and parent.apart)
+    __slots__ = ("apart", "depth", "ends", "flagged", "inline", "marked", "p", "parent", "path", "tag")
 
-    def up(self) -> Iterator[_Node]:
-        node: _Node | None = self
-        while node is not None:
-            yield node
-            node = node.parent
+    def __init__(self, tag: str, parent: _Node | None, flagged: bool, path: int = 0):
+        self.tag, self.parent, self.flagged, self.path = tag, parent, flagged, path
+        self.depth = parent.depth + 1 if parent else 0
+        self.apart = flagged or (parent is not None and parent.apart)
+        #: Whether an article or main element holds it, itself included.
+        self.marked = tag in ("article", "main") or (parent is not None and parent.marked)
+        at = self.depth
+        # Kinds of inline elements open around the place, the depth of the nearest open paragraph, and those
+        # of the outermost open elements that tags of _ENDS end.
+        self.inline = (parent.inline | {tag} if parent else frozenset({tag})) if tag in _INLINE else frozenset()
+        self.p = at if tag == "p" else -1 if tag in _ROOMS or self.apart or parent is None else parent.p
+        above = parent.ends if parent else (-1,) * len(_ENDS)
+        self.ends = tuple(
+            -1 if tag in walls else (at if was < 0 else was) if tag in kinds else was for was, (_, kinds, walls) in zip(above, _ENDS.values())
+        )
 
 
 class _Block:
-    __slots__ = ("node", "path", "text")
+    __slots__ = ("linked", "node", "text")
+
+    def __init__(self, node: _Node, text: str, linked: int):
+        #: ``linked``: characters inside links.
+        self.node, self.text, self.linked = node, text, linked
+
+    @property
+    def path(self) -> int:
+        return self.node.path
 
-    def __init__(self, node: _Node, text: str):
-        self.node, self.text = node, text
-        labels = []
-        while node is not None:
-            labels.append(node.label)
-            node = node.parent
-        self.path = tuple(reversed(labels))
 
+def _words(value: str) -> list[str]:
+    return [w for w in _SPLIT.split(_CAMEL.sub("-", value).lower()) if w and not w.isdigit()]
 
-def _words(value: str) -> set[str]:
-    return set(_SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()))
+
+def names_boilerplate(token: str) -> bool:
+    """Whether one class or id names an element as boilerplate."""
+    words = _words(token)
+    if not words or not _BESIDE.isdisjoint(words):
+        return False
+    if words[-1] in ("header", "head") and not _ARTICLE.isdisjoint(words[:-1]):
+        return False
+    return words[-1] in _NAMES or (words[0] in _NAMES and all(w in _LAYOUT or w in _NAMES for w in words[1:]))
 
 
 def _apart(tag: str, attrs: str, parent: _Node) -> tuple[bool, str]:
-    """(whether the element is boilerplate, its label in paths)."""
+    """(whether the element is named as boilerplate, its label in paths)."""
     label = tag
-    named = tag in _APART or (tag == "header" and not _within(parent, ("article", "main")))
+    named = tag in _APART or (tag == "header" and not parent.marked)
     if attrs and tag not in ("html", "body", "article", "main"):
+        bare = _ATTR.sub(" ", attrs).split() if "hidden" in attrs.lower() else ()
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
                 label += f".{value}" if name == "class" else ""
-                named = named or not _WORDS.isdisjoint(_words(value))
+                named = named or any(map(names_boilerplate, value.split()))
             elif name == "role":
                 named = named or value.strip().lower() in _ROLES
             elif name == "aria-hidden":
                 named = named or value.strip().lower() == "true"
-        bare = _ATTR.sub(" ", attrs).split()
         named = named or any(x.strip("/").lower() == "hidden" for x in bare)
     return named, label
 
 
-def _within(node: _Node | None, tags: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
-
-
 def blocks(page: str) -> list[_Block]:
     """The page's blocks of text outside boilerplate, in order."""
     return _unflagged(_all_blocks(page))
@@ -141,137 +167,214 @@ def _unflagged(found: list[_Block], most: float = 0.75) -> list[_Block]:
     """The blocks outside flagged elements.
 
     A flag is spared, from the outside in, while no article or main element outside flags carries a part of
-    the votes: first where the element holds such an element, else where it holds ``most`` of the votes.
+    the characters on content paths: first where the element holds such an element, else where it holds ``most`` of them.
     """
     if not any(b.node.apart for b in found):
         return found
-    weights = path_weights(found)
-    votes = [float(len(b.text)) if b.path in weights else 0.0 for b in found]
+    weights = path_weights(found, hints=False)
+    votes = [float(len(b.text) - b.linked) if b.path in weights else 0.0 for b in found]
     total = sum(votes)
-    while True:
-        clear, held, shares, outer = 0.0, {}, {}, {}
-        for b, vote in zip(found, votes):
-            way = list(b.node.up())
-            top = max((i for i, n in enumerate(way) if n.flagged), default=-1)
-            marked = any(n.tag in ("article", "main") for n in (way if top < 0 else way[:top]))
-            if top < 0:
-                clear += vote if marked else 0.0
-            elif way[top].tag not in _NEVER:
-                key = id(way[top])
-                outer[key] = way[top]
-                shares[key] = shares.get(key, 0.0) + vote
-                held[key] = held.get(key, 0.0) + (vote if marked else 0.0)
-        if clear > (1 - most) * total or not outer:
+    # Votes of each element, and those of them that lie in article and main elements; deepest elements first.
+    share: dict[int, float] = {}
+    inner: dict[int, float] = {}
+    seen: dict[int, _Node] = {}
+    for b, vote in zip(found, votes):
+        share[id(b.node)] = share.get(id(b.node), 0.0) + vote
+        inner[id(b.node)] = inner.get(id(b.node), 0.0) + (vote if b.node.marked else 0.0)
+        at: _Node | None = b.node
+        while at is not None and id(at) not in seen:
+            seen[id(at)] = at
+            at = at.parent
+    ordered = sorted(seen.values(), key=lambda n: n.depth)
+    for n in reversed(ordered):
+        if n.parent is not None:
+            for sums in (share, inner):
+                sums[id(n.parent)] = sums.get(id(n.parent), 0.0) + sums.get(id(n), 0.0)
+    # Flagged elements below each flagged one (0: below none), the nearest only.
+    nearest: dict[int, int] = {}
+    below: dict[int, list[_Node]] = {0: []}
+    for n in ordered:
+        nearest[id(n)] = 0 if n.parent is None else id(n.parent) if n.parent.flagged else nearest[id(n.parent)]
+        if n.flagged:
+            below.setdefault(nearest[id(n)], []).append(n)
+    clear = sum(v for b, v in zip(found, votes) if b.node.marked and not b.node.apart)
+    heap: list[tuple[float, float, int]] = []
+
+    def offer(nodes: list[_Node]) -> None:
+        for n in nodes:
+            if n.tag not in _NEVER:
+                held = 0.0 if n.parent is not None and n.parent.marked else inner.get(id(n), 0.0)
+                heapq.heappush(heap, (-held, -share.get(id(n), 0.0), id(n)))
+
+    offer(below[0])
+    spared = set()
+    while heap and clear <= (1 - most) * total:
+        held, own, key = heapq.heappop(heap)
+        if not held and -own < most * total:
             break
-        key = max(outer, key=lambda k: (held[k], shares[k]))
-        if not held[key]:
-            key = max(outer, key=lambda k: shares[k])
-            if shares[key] < most * total:
-                break
-        outer[key].flagged = False
-    return [b for b in found if not any(n.flagged for n in b.node.up())]
+        spared.add(key)
+        under = below.get(key, [])
+        clear += inner.get(key, 0.0) - sum(inner.get(id(n), 0.0) for n in under)
+        offer(under)
+    lost: dict[int, bool] = {}
+    for n in ordered:
+        lost[id(n)] = (n.flagged and id(n) not in spared) or (n.parent is not None and lost[id(n.parent)])
+    return [b for b in found if not lost[id(b.node)]]
 
 
 def _all_blocks(page: str) -> list[_Block]:
-    root = _Node("", "", None, False)
-    stack, out, text = [root], [], []
-    at, end = 0, len(page)
+    root = _Node("", None, False)
+    stack, out = [root], []
+    text: list[str] = []
+    linked = [0, 0]  # characters inside links of the block at hand, open links
+    paths: dict[tuple[int, str], int] = {}
+    count: dict[str, int] = {}
 
     def flush() -> None:
         if text:
             joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if joined:
-                out.append(_Block(stack[-1], joined))
+                out.append(_Block(stack[-1], joined, min(linked[0], len(joined))))
+        linked[0] = 0
 
-    def close(index: int) -> None:
-        flush()
-        del stack[index:]
+    def say(piece: str) -> None:
+        text.append(piece)
+        if linked[1]:
+            linked[0] += len(piece)
 
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            text.append(page[at:])
-            break
-        if m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                text.append(html.escape(m[0][9:].removesuffix("]]>")))
-            continue
-        tag = m[2].lower()
-        if tag in _RAW and not m[1]:
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
-            at = stop.start() if stop else end
-            continue
-        if tag in _RAW:
-            continue
-        if tag == "br":
-            text.append(" ")
-            continue
-        if tag == "hr":
+    def close(depth: int) -> None:
+        flush()
+        for node in stack[depth:]:
+            count[node.tag] -= 1
+        del stack[depth:]
+
+    def push(tag: str, label: str, flagged: bool) -> None:
+        above = stack[-1]
+        path = paths.setdefault((above.path, label), len(paths) + 1)
+        stack.append(_Node(tag, above, flagged, path))
+        count[tag] = count.get(tag, 0) + 1
+
+    for kind, tag, attrs in _tokens(page):
+        if kind == "text":
+            say(attrs)
+        elif tag in ("br", "wbr"):
+            say(" " if tag == "br" else "")
+        elif tag == "hr":
             flush()
+        elif tag in _VOID or tag in _RAW:
             continue
-        if tag in _VOID:
-            continue
-        if tag in _INLINE and tag != "object":
+        elif tag in _INLINE and tag != "object":
             # Inline elements don't shape paths unless they are boilerplate themselves.
-            if not m[1]:
-                named, label = _apart(tag, m[3], stack[-1])
-                if named and not m[3].rstrip().endswith("/"):
-                    close(len(stack))
-                    stack.append(_Node(tag, label, stack[-1], True))
-            else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        close(i)
-                        break
-                    if stack[i].tag not in _INLINE:
-                        break
-            continue
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
+            if tag == "a":
+                linked[1] = int(kind == "open")
+            if kind == "open":
+                named, label = _apart(tag, attrs, stack[-1])
+                if named and not attrs.rstrip().endswith("/"):
+                    flush()
+                    push(tag, label, True)
+            elif tag in stack[-1].inline:
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                close(i)
+        elif kind == "close":
+            linked[1] = 0
+            if count.get(tag, 0):
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                close(i)
             else:
                 flush()
+        else:
+            linked[1] = 0
+            flush()
+            if stack[-1].p >= 0:
+                close(stack[-1].p)
+            if tag in _ENDED_BY and stack[-1].ends[_ENDED_BY[tag]] >= 0:
+                close(stack[-1].ends[_ENDED_BY[tag]])
+            named, label = _apart(tag, attrs, stack[-1])
+            push(tag, label, named)
+    flush()
+    return out
+
+
+def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """("text", "", text), ("open", tag, attributes) and ("close", tag, ""), in one pass.
+
+    A quote that no further one closes ends with its tag, at the next ``>``.
+    """
+    at, end = 0, len(page)
+    last = {q: page.rfind(q) for q in "\"'>"}
+    while at < end:
+        begin = page.find("<", at)
+        if begin < 0:
+            yield "text", "", page[at:]
+            return
+        if begin > at:
+            yield "text", "", page[at:begin]
+        if page.startswith("<!--", begin):
+            stop = re.compile("--!?>").search(page, begin + 4)
+            at = stop.end() if stop else end
             continue
-        flush()
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == "p":
-                close(i)
+        if page.startswith("<![CDATA[", begin):
+            stop = page.find("]]>", begin)
+            yield "text", "", html.escape(page[begin + 9 : stop if stop >= 0 else end])
+            at = stop + 3 if stop >= 0 else end
+            continue
+        if page[begin + 1 : begin + 2] in ("!", "?"):
+            stop = page.find(">", begin)
+            at = stop + 1 if stop >= 0 else end
+            continue
+        closing = page.startswith("/", begin + 1)
+        name = _NAME.match(page, begin + 1 + closing)
+        if name is None:
+            yield "text", "", "<"
+            at = begin + 1
+            continue
+        stop = name.end()
+        while True:
+            m = _STOP.search(page, stop)
+            if m is None:
+                stop = end
                 break
-            if stack[i].tag in _ROOMS or stack[i].apart:
+            if m[0] == ">":
+                stop = m.start()
                 break
-        if tag in _ENDS:
-            kinds, walls = _ENDS[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in walls:
-                    break
-                if stack[i].tag in kinds:
-                    close(i)
-        named, label = _apart(tag, m[3], stack[-1])
-        stack.append(_Node(tag, label, stack[-1], named))
-    flush()
-    return out
+            if m.start() >= last[m[0]]:  # nothing closes this quote
+                stop = page.find(">", m.end()) if last[">"] >= m.end() else end
+                break
+            stop = page.find(m[0], m.end()) + 1
+        tag = name[0].lower()
+        at = min(stop + 1, end)
+        yield ("close", tag, "") if closing else ("open", tag, page[name.end() : stop])
+        if tag in _RAW and not closing:
+            ended = _raw_end(tag)(page, at)
+            at = ended.start() if ended else end
 
 
-def path_weights(found: list[_Block], share: float = 0.5) -> dict[tuple[str, ...], float]:
-    """The fused weight of each path that passes the threshold."""
-    chars: dict[tuple[str, ...], float] = {}
-    marks: dict[tuple[str, ...], float] = {}
-    nodes: dict[tuple[str, ...], int] = {}
+def _raw_end(tag: str) -> Callable[..., re.Match[str] | None]:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search
+
+
+def path_weights(found: list[_Block], share: float = 0.75, hints: bool = True) -> dict[int, float]:
+    """The fused weight of each path that reaches the threshold."""
+    chars: dict[int, float] = {}
+    marks: dict[int, float] = {}
+    nodes: dict[int, int] = {}
+    scale: dict[int, float] = {}
     for b in found:
-        chars[b.path] = chars.get(b.path, 0) + len(b.text)
-        marks[b.path] = marks.get(b.path, 0) + len(_MARKS.findall(b.text))
+        bare = max(0, len(b.text) - b.linked)
+        chars[b.path] = chars.get(b.path, 0) + bare
+        marks[b.path] = marks.get(b.path, 0) + (len(_MARKS.findall(b.text)) if 2 * bare > len(b.text) else 0)
         nodes[b.path] = nodes.get(b.path, 0) + 1
+        if hints:
+            scale[b.path] = (NAMED_APART if b.node.apart else 1.0) * (IN_ARTICLE if b.node.marked else 1.0)
     paths = list(chars)
-    weights = [math.sqrt(x * (1 + y)) for x, y in zip(_smooth([chars[p] / nodes[p] for p in paths]), _smooth([marks[p] / nodes[p] for p in paths]))]
-    mean = sum(weights) / len(weights)
-    spread = math.sqrt(sum((w - mean) ** 2 for w in weights) / len(weights))
-    bar = min(share * spread, max(weights))
+    own, points = ([x[p] / nodes[p] for p in paths] for x in (chars, marks))
+    weights = [(o * x * (1 + y)) ** 0.5 * scale.get(p, 1.0) for p, o, x, y in zip(paths, own, _smooth(own), _smooth(points))]
+    bar = min(share * sum(weights) / len(weights), max(weights))
     return {p: w for p, w in zip(paths, weights) if w >= bar}
 
 
@@ -282,30 +385,47 @@ def _smooth(values: list[float]) -> list[float]:
 
 
 def content(found: list[_Block], most: float = 0.75) -> list[_Block]:
-    """The blocks of the article.
-
-    Where article and main elements hold ``most`` of the votes of the content paths, all that lies in them;
-    else all within the lowest common ancestor of the blocks on content paths and the page's h1. In both
-    cases the headings right in front stay.
-    """
+    """The blocks of the article, as the module's text says."""
     weights = path_weights(found)
     chosen = [b.path in weights for b in found]
-    marked = [any(n.tag in ("article", "main") for n in b.node.up()) for b in found]
-    votes = [len(b.text) if c else 0 for b, c in zip(found, chosen)]
+    votes = [max(1, len(b.text) - b.linked) if c else 0 for b, c in zip(found, chosen)]
+    marked = [b.node.marked for b in found]
     if any(marked) and sum(v for v, m in zip(votes, marked) if m) >= most * sum(votes):
         keep = marked
     else:
-        chosen = _with_headings(found, [c or b.node.tag == "h1" for b, c in zip(found, chosen)])
-        shared: list[_Node] | None = None
-        for b, c in zip(found, chosen):
-            if c:
-                way = list(b.node.up())[::-1]
-                shared = way if shared is None else [x for x, y in zip(shared, way) if x is y]
-        home = shared[-1]
-        keep = [any(n is home for n in b.node.up()) for b in found]
+        titled = _with_headings(found, [c or b.node.tag == "h1" for b, c in zip(found, chosen)])
+        home, inside = _region(found, titled)
+        if home.tag in ("", "html", "body"):
+            # Nothing but the page holds all of it: what lies around the content paths isn't content.
+            first, last = titled.index(True), len(titled) - 1 - titled[::-1].index(True)
+            keep = [c or (first < i < last and 2 * b.linked <= len(b.text)) for i, (b, c) in enumerate(zip(found, titled))]
+        else:
+            keep = inside
     return [b for b, k in zip(found, _with_headings(found, keep)) if k]
 
 
+def _region(found: list[_Block], chosen: list[bool]) -> tuple[_Node, list[bool]]:
+    """(the lowest common ancestor of the chosen blocks' elements, which blocks lie in it)."""
+    seen: dict[int, _Node] = {}
+    holding: dict[int, int] = {}
+    for b, c in zip(found, chosen):
+        holding[id(b.node)] = holding.get(id(b.node), 0) + c
+        at: _Node | None = b.node
+        while at is not None and id(at) not in seen:
+            seen[id(at)] = at
+            at = at.parent
+    ordered = sorted(seen.values(), key=lambda n: n.depth)
+    for n in reversed(ordered):
+        if n.parent is not None:
+            holding[id(n.parent)] = holding.get(id(n.parent), 0) + holding.get(id(n), 0)
+    every = sum(chosen)
+    home = [n for n in ordered if holding.get(id(n), 0) == every][-1]
+    inside: dict[int, bool] = {}
+    for n in ordered:
+        inside[id(n)] = n is home or (n.parent is not None and inside[id(n.parent)])
+    return home, [inside[id(b.node)] for b in found]
+
+
 def _with_headings(found: list[_Block], keep: list[bool]) -> list[bool]:
     """Also keeps the headings right in front of the first kept block."""
     keep = list(keep)

@@ -1,3 +1,9 @@
+import math
+import os
+import random
+import time
+from html.parser import HTMLParser
+
 import pytest
 
 from quire.llm import htmltext
@@ -57,3 +63,111 @@ def test_table(spark):
     assert got[99]["text"] == "" and got[None]["text"] == "x" and htmltext.extract_text(df.where("page_id = 1000")).count() == 0
     long = "<article>" + "<p>word, word.</p>" * 20000 + "</article>"
     assert htmltext.extract(long).count("\n") == 19999
+
+
+NAMED = [
+    (f"<div class='entry-header'><h1>Title</h1></div><div class='entry-content'><p>{TEXT}</p><p>{TEXT}</p></div>", f"Title\n{TEXT}\n{TEXT}"),
+    (f"<article><p>{TEXT}</p><div class='notice-period'><p>{TEXT}</p></div><div class='cookie-notice'>Accept, all. Now!</div></article>", f"{TEXT}\n{TEXT}"),
+    (f"<article><p>{TEXT}</p><div class='ad-container'>{TEXT}</div><ul class='comment-list'><li>{TEXT}</li></ul></article>", TEXT),
+    (f"<div class='postHeader'><h1>T</h1></div><p>{TEXT}</p><div class='siteFooter'>{TEXT}</div>", f"T\n{TEXT}"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), NAMED)
+def test_names_of_boilerplate(page, want):
+    assert htmltext.extract(page) == want
+
+
+#: Without article or main elements, flags or one element around the text: the paths alone tell.
+BARE = [
+    (
+        f"<body><div>My Site</div><div><a href=a>One link</a> <a href=b>Two link</a></div><p>{TEXT}</p><p>Short.</p><p>{TEXT}</p><ul><li><a href=x>More</a></ul><div>All rights</div>",
+        f"{TEXT}\nShort.\n{TEXT}",
+    ),
+    (
+        f"<body><table><tr><td class=a><a href=1>Home page</a><td class=b><div class=t>{TEXT} {TEXT} {TEXT}</div><div class=t>x</div><td class=c>Left over</table>",
+        f"{TEXT} {TEXT} {TEXT}\nx",
+    ),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), BARE)
+def test_paths_select(page, want, monkeypatch):
+    assert htmltext.extract(page) == want
+    every = lambda found, share=0, hints=True: {b.path: 1.0 for b in found}
+    monkeypatch.setattr(htmltext, "path_weights", every)
+    assert htmltext.extract(page) != want
+
+
+class Plain(HTMLParser):
+    """Blocks with their paths, for pages whose elements are all closed; an independent reading."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.out, self.link, self.n = [], [], 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.link += 1
+        else:
+            self.n += 1
+            self.open.append((tag + "".join("." + v for k, v in attrs if k == "class"), self.n))
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.link -= 1
+        else:
+            self.open.pop()
+
+    def handle_data(self, data):
+        if data.strip():
+            self.out.append((tuple(t for t, _ in self.open), " ".join(data.split()), self.link > 0, tuple(self.open)))
+
+
+def brute(page):
+    """The method by its definition: ratios by path, smoothed, fused, held against the mean."""
+    reader = Plain()
+    reader.feed(page)
+    paths = list(dict.fromkeys(p for p, *_ in reader.out))
+    own, marks = [], []
+    for p in paths:
+        texts = [(t, linked) for q, t, linked, _ in reader.out if q == p]
+        own.append(sum(0 if linked else len(t) for t, linked in texts) / len(texts))
+        marks.append(sum(0 if linked else sum(c in ".,;:!?" for c in t) for t, linked in texts) / len(texts))
+    smooth = lambda x: [(x[max(i - 1, 0)] + 2 * x[i] + x[min(i + 1, len(x) - 1)]) / 4 for i in range(len(x))]
+    weight = [math.sqrt(a * b * (1 + c)) for a, b, c in zip(own, smooth(own), smooth(marks))]
+    good = {p for p, w in zip(paths, weight) if w >= 0.75 * sum(weight) / len(weight)}
+    where = [i for i, (p, *_) in enumerate(reader.out) if p in good]
+    shared = os.path.commonprefix([reader.out[i][3] for i in where])
+    if len(shared) < 2:
+        return [t for i, (p, t, linked, _) in enumerate(reader.out) if p in good or (where[0] < i < where[-1] and not linked)]
+    return [t for _, t, _, at in reader.out if at[: len(shared)] == shared]
+
+
+def test_against_brute_force():
+    rng = random.Random(4)
+    words = lambda n: " ".join("word" + rng.choice(["", ",", "", ".", ""]) for _ in range(n))
+    for _ in range(300):
+        parts = []
+        for i in range(rng.randint(1, 5)):
+            inner = "".join(f"<p>{words(rng.randint(1, 60))}</p>" if rng.random() < 0.7 else f"<p><a>{words(3)}</a></p>" for _ in range(rng.randint(1, 5)))
+            parts.append(rng.choice([f"<div class='c{i}'>{inner}</div>", f"<section class='s{i}'>{words(2)}</section>", f"<p>{words(rng.randint(1, 30))}</p>"]))
+        page = f"<body>{''.join(parts)}</body>"
+        assert htmltext.extract(page).split("\n") == brute(page), page
+
+
+HOSTILE = ["<a '", '<div class="', "<div>", "<p>x<blockquote>", "<div class=ad>", "<li>", "<h2>a</h2>", "<!-- ", "<u class=ad><b class=ad></u>", "a ", "<"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_reading_is_linear(piece):
+    start = time.process_time()
+    htmltext.extract(f"<div {piece * 40000}>" if piece == "a " else piece * 40000)
+    assert time.process_time() - start < 15
+
+
+def test_edges_of_the_table(spark):
+    schema = "page_id long, url string, html string, text string, n_chars long, __html long"
+    df = spark.createDataFrame([(1, None, f"<p>{TEXT}", "clash", 7, 3), (1, "u", f"<p>{TEXT}", None, None, None), (2, "u", "", "x", 1, 1)], schema)
+    got = sorted((r["page_id"], r["n_chars"]) for r in htmltext.extract_text(df).collect())
+    assert got == [(1, len(TEXT)), (1, len(TEXT)), (2, 0)]
