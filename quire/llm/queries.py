@@ -26,10 +26,14 @@ def op2_conflict_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labels know no pages; a page is taken as labelled by the label of the same number."""
-    labels = _table(spark, sf_dir, "labels")
-    outcomes = labels.select(F.col("doc_id").alias("page_id"), F.col("toxic").alias("bad"))
-    return urlfilter.filter_urls(_table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
+    """The number in a page's path is that of the document it shows, whose label is the page's outcome: bad if
+    its quality is 0 or it is toxic.
+    """
+    bad = F.greatest(1 - F.col("quality"), F.col("toxic"))
+    outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), bad.alias("bad"))
+    shown = F.regexp_extract("path", r"^/[^/]*/([0-9]{1,18})", 1)
+    key = F.when(shown != "", shown).cast("long")
+    return urlfilter.filter_urls(_table(spark, sf_dir, "pages"), outcomes, key).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,15 +115,17 @@ def _rule_sql(value: str) -> str:
 
 OP3_SQL = f"""WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{urlfilter.UPPER}', '{urlfilter.LOWER}') AS host,
  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-named AS (SELECT host, CASE WHEN len(x) > 2 THEN array_to_string(x[-2:], '.') ELSE host END AS domain, x[-1] AS suffix FROM (SELECT DISTINCT host, string_split(host, '.') AS x FROM p)),
+named AS (SELECT host, CASE WHEN array_to_string(x[-2:], '.') IN {urlfilter.TWO_LABELS} THEN array_to_string(x[-3:], '.') ELSE array_to_string(x[-2:], '.') END AS domain,
+ CASE WHEN array_to_string(x[-2:], '.') IN {urlfilter.TWO_LABELS} THEN array_to_string(x[-2:], '.') ELSE x[-1] END AS suffix FROM (SELECT DISTINCT host, string_split(host, '.') AS x FROM p)),
 hosts AS (SELECT host, domain, suffix, coalesce(bad, 0) AS bad, coalesce(n, 0) AS n FROM named LEFT JOIN (
- SELECT host, CAST(sum(toxic) AS DOUBLE) AS bad, CAST(count(*) AS DOUBLE) AS n FROM p JOIN labels ON doc_id = page_id WHERE toxic IS NOT NULL GROUP BY host) USING (host)),
+ SELECT host, CAST(sum(greatest(1 - quality, toxic)) AS DOUBLE) AS bad, CAST(count(*) AS DOUBLE) AS n FROM p JOIN labels
+ ON doc_id = TRY_CAST(nullif(regexp_extract(path, '^/[^/]*/([0-9]{{1,18}})', 1), '') AS BIGINT) WHERE coalesce(quality, toxic) IS NOT NULL GROUP BY host) USING (host)),
 domains AS (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM domains GROUP BY suffix),
 s AS (SELECT suffix, (bad + k * (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) FROM suffixes)) / (n + k) AS m FROM suffixes, {_strength_sql("suffixes")}),
 d AS (SELECT domain, (bad + k * m) / (n + k) AS m FROM domains JOIN s USING (suffix), {_strength_sql("domains")}),
 h AS (SELECT host, (bad + k * m) / (n + k) AS m, n + k AS t FROM hosts JOIN d USING (domain), {_strength_sql("hosts")})
-SELECT page_id, host, path, {_rule_sql("rule")} AS rule, coalesce({_rule_sql("verdict")}, CASE WHEN m - 1.645 * sqrt(m * (1 - m) / (t + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, {_rule_sql("rule")} AS rule, coalesce({_rule_sql("verdict")}, CASE WHEN m - 1.645 * sqrt(m * (1 - m) / (t + 1)) > 0.25 THEN 'block' ELSE 'allow' END) AS verdict
  FROM p JOIN h USING (host)"""
 
 

@@ -2,8 +2,9 @@
 
 Rows of equal text form a group that no shard may split. Groups are ordered by a hash of their text
 and cut into contiguous shards so that the largest shard is as small as can be: a binary search
-finds the smallest capacity that a greedy fill turns into few enough shards, and the cuts of that
-fill are used. Only DataFrame operations run on the rows.
+finds the smallest capacity that a greedy fill turns into few enough shards. Under that capacity the cuts go,
+between the greedy fills from the front and from the back, to the known totals nearest to equal shares of what is
+left, so that the last shards aren't left short. Only DataFrame operations run on the rows.
 
 The search needs the running totals at the ends of groups, of which there are as many as groups.
 The driver never sees them all: it works on cells of bounded number (``CELLS`` a shard), each known
@@ -72,6 +73,29 @@ class _Cells:
         return low
 
 
+    def balanced(self, capacity: int, shards: int) -> list[int]:
+        """Cuts between the greedy fills from the front and from the back, each near an equal share of what is left."""
+        ends = sorted({0, self.total, *self.low, *self.high})
+        latest = self.fill(capacity, shards, upper=False)
+        # From the back: the earliest known total from which the remaining shards can still take the rest.
+        need = self.total
+        earliest = [need]
+        for _ in range(shards - 1):
+            need = ends[bisect_left(ends, need - capacity)] if need > capacity else 0
+            earliest.append(need)
+        cuts, at = [], 0
+        for i in range(shards):
+            left = shards - i
+            low = max(earliest[left - 1], at)
+            high = min(latest[min(i, len(latest) - 1)], ends[bisect_right(ends, at + capacity) - 1])
+            target = at + (self.total - at) / left
+            j = bisect_left(ends, target)
+            near = min((e for e in ends[max(0, j - 1) : j + 1]), key=lambda e: (abs(e - target), e))
+            at = max(low, min(high, near))
+            cuts.append(at)
+        return cuts
+
+
 def minimax_cuts(ends: DataFrame, total: int, shards: int) -> list[int]:
     """The running totals after which to cut ``ends(s)``, the totals at the ends of the groups."""
     if total == 0 or shards < 1:
@@ -94,7 +118,7 @@ def minimax_cuts(ends: DataFrame, total: int, shards: int) -> list[int]:
         best = model.least(shards, first, upper=False)
         bound = model.least(shards, first, upper=True)
         if best == bound or unit == 1:
-            return model.fill(best, shards, upper=False)
+            return model.balanced(best, shards)
         low, high = model.fill(bound, shards, upper=False), model.fill(best, shards, upper=True)
         zones = []
         for i, b in enumerate(high):
@@ -130,7 +154,6 @@ def assign(
     rank = F.lit(len(heavy))
     for i, (g, _, _) in reversed(list(enumerate(heavy))):
         rank = F.when(F.col("g") == F.lit(bytes(g)), F.lit(i)).otherwise(rank)
-    heavy_rows = sum(n for _, _, n in heavy)
     # A global order whose partitions a hot group can span: the id is part of the key.
     ordered = rows.withColumn("first", rank).orderBy("first", "g", "doc_id", "size").withColumn("at", F.monotonically_increasing_id())
     ordered = scratch.put(ordered.withColumn("part", F.shiftright("at", 33)), "ordered")
@@ -164,7 +187,6 @@ def assign(
     placed = running.select("doc_id", "size", "text_crc32", shard.alias("shard"), "nth")
     starts = placed.groupBy("shard").agg(F.min("nth").alias("start"))
     placed = placed.join(F.broadcast(starts), "shard")  # a row a shard
-    assert heavy_rows >= 0
     return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("nth") - F.col("start")).cast("long").alias("slot"))
 
 

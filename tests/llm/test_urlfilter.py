@@ -24,7 +24,7 @@ URLS = [
 
 def test_hosts_paths_rules(spark):
     df = spark.createDataFrame([(i, u[0]) for i, u in enumerate(URLS)], "page_id long, url string")
-    none = spark.createDataFrame([], "page_id long, bad int")
+    none = spark.createDataFrame([], "key long, bad int")
     got = {r["page_id"]: r for r in urlfilter.filter_urls(df, none).collect()}
     said = dict(urlfilter.RULES)
     for i, (_, host, path, rule) in enumerate(URLS):
@@ -43,7 +43,7 @@ def test_posteriors(spark):
                 labels.append((n, int(i < bad)))
             n += 1
     df = spark.createDataFrame(pages, "page_id long, url string").withColumn("host", F.lit("clash"))
-    out = spark.createDataFrame([*labels, (None, 1), (3, None)], "page_id long, bad int")
+    out = spark.createDataFrame([*labels, (None, 1), (3, None)], "key long, bad int")
     got = {r["host"]: r for r in urlfilter.filter_urls(df, out).collect()}
     assert {h: r["verdict"] for h, r in got.items()}["bad.a.com"] == "block"
     assert all(got[h]["verdict"] == "allow" for h in ("good.a.com", "x.b.org", "none.b.org"))
