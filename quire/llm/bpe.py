@@ -2,12 +2,12 @@
 
 A text is cut where a rolling hash of its bytes meets a mask, so equal passages are cut alike
 wherever they stand. The inside of a chunk runs from its first to its last safe point: a space
-between two bytes that aren't white space, where the tokenizer's splitting pattern always begins a
+between two characters that aren't white space, where the tokenizer's splitting pattern should begin a
 new piece whatever surrounds it. A chunk's inside is encoded once and reused by every document of
 the task that shares it. The joins are repaired: what lies between the last safe point of a chunk
-and the first of the next is encoded as one string, and where a chunk has no safe point the repair
-goes on through the following chunks until one agrees. The ids are then exactly those of the whole
-text.
+and the first of the next is encoded together with a piece of the chunks on both sides. Where the ids of these pieces agree
+with the chunks' own, those in between are the join's; where they don't, more of both
+sides is encoded again, up to the whole text. The ids are then exactly those of the whole text.
 
 Documents are dealt to tasks by their smallest chunk hash, so copies and near copies meet in one
 task; the exchange is a rebalancing one, which Spark splits where one key has too many rows.
@@ -17,7 +17,7 @@ is loaded); strings with a special token go through the tokenizers library itsel
 ids back to bytes and reads them as UTF-8.
 
 Edge cases: a null text is taken as empty and has no ids; texts without any safe point are encoded
-whole; repeated rows keep a row each; only the named columns are read.
+whole, however long; repeated rows keep a row each; an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -40,8 +40,9 @@ from quire.llm.common import text_slices, utf8_bytes
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-# Any byte outside ASCII might belong to white space of another alphabet or to a letter: not safe.
 _PLAIN = ~_SPACE & (np.arange(256) < 128) & (np.arange(256) > 32)
+#: White space outside ASCII begins with one of these bytes, so no other character outside ASCII is white space.
+_DOUBTFUL = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 
 
 class Codec:
@@ -65,6 +66,7 @@ class Codec:
         self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         words = {**{i: w for w, i in ranks.items()}, **{i: s.encode() for s, i in special.items()}}
         self.words = [words.get(i, b"") for i in range(max(words) + 1)]
+        self.widths = [len(w) for w in self.words]
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
@@ -147,8 +149,11 @@ def chunk_cuts(data: np.ndarray, offsets: np.ndarray, mask: int = 0x3FF, span: i
     cut = np.flatnonzero((rolling_hash(data, span) & np.uint32(mask)) == 0) + 1
     text = np.searchsorted(offsets, cut - 1, side="right") - 1
     cut = cut[(cut - offsets[text] >= span) & (cut < offsets[text + 1])]
-    plain = _PLAIN[data]
-    safe = np.flatnonzero((data[1:-1] == 32) & plain[:-2] & plain[2:]) + 1
+    safe = np.flatnonzero(data[1:-1] == 32) + 1
+    before, after = data[safe - 1], data[safe + 1]
+    # The character before: of one byte, or of several whose first isn't doubtful.
+    wide = (before >= 128) & ~((data[np.maximum(safe - 2, 0)] == 0xC2) | _DOUBTFUL[data[np.maximum(safe - 3, 0)]])
+    safe = safe[(_PLAIN[before] | wide) & (_PLAIN[after] | ((after > 0xC2) & ~_DOUBTFUL[after]))]
     edge = np.concatenate((offsets, offsets - 1))
     return cut, safe[~np.isin(safe, edge)]
 
@@ -170,6 +175,36 @@ def pieces(start: int, end: int, cuts: np.ndarray, safe: np.ndarray) -> list[tup
     return out
 
 
+def _split(tool: Codec, coded: array, length: int) -> int:
+    """How many ids at the start stand for exactly ``length`` bytes; -1 if none do."""
+    n = done = 0
+    while done < length and n < len(coded):
+        done += tool.widths[coded[n]]
+        n += 1
+    return n if done == length else -1
+
+
+def joined(tool: Codec, view: memoryview, a: int, b: int, left: tuple[int, bytes] | None, right: tuple[int, bytes] | None, safe: np.ndarray) -> bytes | None:
+    """The ids of the join [a, b) between two chunks' insides, given as (their far end, their ids).
+
+    None where its ids never agree with the chunks' own.
+    """
+    i, j = np.searchsorted(safe, a, "left"), np.searchsorted(safe, b, "left")
+    reach = 1
+    while True:
+        low = a if left is None else max(left[0], int(safe[max(0, i - reach)]))
+        high = b if right is None else min(right[0], int(safe[min(len(safe) - 1, j + reach)]))
+        raw = tool.encode(bytes(view[low:high]).decode())
+        coded = array("I", raw)
+        m = _split(tool, coded, a - low)
+        n = m + _split(tool, coded[m:], b - a) if m >= 0 else -1
+        if n >= m >= 0 and (left is None or left[1].endswith(raw[: 4 * m])) and (right is None or right[1].startswith(raw[4 * n :])):
+            return raw[4 * m : 4 * n]
+        if (left is None or low == left[0]) and (right is None or high == right[0]):
+            return None
+        reach *= 4
+
+
 def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows with the smallest chunk hash of their text, dealt out by it."""
 
@@ -199,8 +234,22 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(vocabulary)
-        known: dict[bytes, tuple[bytes, bytes]] = {}
+        known: dict[bytes, bytes] = {}
         held = 0
+
+        def inside(tool: Codec, view: memoryview, a: int, b: int) -> bytes:
+            """The ids of a chunk's inside, encoded once."""
+            nonlocal held
+            raw = bytes(view[a:b])
+            name = raw if len(raw) <= 16 else xxhash.xxh3_128_digest(raw)
+            got = known.get(name)
+            if got is None:
+                got = known[name] = tool.encode(raw.decode())
+                held += len(got) + 150
+                while held > cache_bytes:
+                    held -= len(known.pop(next(iter(known)))) + 150
+            return got
+
         for batch in batches:
             for part in text_slices(batch, "text", 2 << 20):
                 data, offsets = utf8_bytes(part.column(1))
@@ -208,24 +257,15 @@ def encode(
                 view = memoryview(data)
                 ids, texts = [], []
                 for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                    got_ids, got_text = [], []
-                    for a, b, shared in pieces(start, end, cuts, safe):
-                        raw = bytes(view[a:b])
-                        name = raw if len(raw) <= 16 else xxhash.xxh3_128_digest(raw)
-                        got = known.get(name)
-                        if got is None:
-                            coded = tool.encode(raw.decode())
-                            got = (coded, tool.decode_bytes(coded))
-                            if shared or len(raw) <= 64:
-                                known[name] = got
-                                held += len(got[0]) + len(got[1]) + 200
-                                while held > cache_bytes:
-                                    old = known.pop(next(iter(known)))
-                                    held -= len(old[0]) + len(old[1]) + 200
-                        got_ids.append(got[0])
-                        got_text.append(got[1])
-                    ids.append(b"".join(got_ids))
-                    texts.append(b"".join(got_text).decode("utf-8", "replace"))
+                    parts = pieces(start, end, cuts, safe)
+                    coded = [inside(tool, view, a, b) if shared else None for a, b, shared in parts]
+                    for k, (a, b, shared) in enumerate(parts):
+                        if not shared:
+                            left = (parts[k - 1][0], coded[k - 1]) if k else None
+                            right = (parts[k + 1][1], coded[k + 1]) if k + 1 < len(parts) else None
+                            coded[k] = joined(tool, view, a, b, left, right, safe)
+                    ids.append(tool.encode(bytes(view[start:end]).decode()) if None in coded else b"".join(coded))
+                    texts.append(tool.decode_bytes(ids[-1]).decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.string())],
                     names=["doc_id", "n_tokens", "ids", "decoded"],

@@ -5,13 +5,13 @@ is parsed greedily into phrases, each the longest match that the sample holds fr
 language whose parse needs the fewest phrases, normalised by the sample's size, wins.
 
 The sample: up to ``docs_per_lang`` labelled rows of each language in the order of a hash of the
-id, up to ``train_bytes`` normalised bytes in all. That bound holds for training only; every text
-is parsed whole. Normalisation: letters are lower-cased (ASCII and Latin-1), everything else that
+id, up to ``train_bytes`` normalised bytes a language and ``max_bytes`` in all; of a longer text stretches from all over it, at equal
+distances. That bound holds for training only; every text is parsed whole. Normalisation: letters are lower-cased (ASCII and Latin-1), everything else that
 is ASCII becomes one space. The parse starts anew every ``block`` bytes, which makes it a fixed
 function of the text and lets many blocks advance together through one transition table.
 
 Edge cases: null texts and texts without a letter get ``und`` with score 0; ties go to the smaller
-language name; without labelled rows every text is ``und``. Repeated rows keep a row each. Only the
+language name; without labelled rows every text is ``und``; texts of any length are parsed whole; an empty table gives an empty result. Repeated rows keep a row each. Only the
 named columns are read.
 """
 
@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quire.llm.common import text_slices, utf8_bytes
 
 UND = "und"
+#: Stretches that a long text is sampled by.
+STRETCHES = 8
 
 
 def _classes() -> np.ndarray:
@@ -119,12 +121,14 @@ class CrossParser:
             table = np.where(table >= 0, 4 * (table + base) * width, 4 * (first[None, :] + base) * width + ends)
             rows.append(table)
             roots.append(base * width)
+        table = np.concatenate(rows) if rows else np.zeros((0, width), np.int64)
+        kind = np.int32 if 4 * table.size + 4 < 1 << 31 else np.int64
         return cls(
             list(samples),
             np.array([math.log2(max(2, len(v))) for v in samples.values()]),
             code,
-            (np.concatenate(rows) if rows else np.zeros((0, width))).astype(np.int32).ravel(),
-            np.array(roots, np.int32),
+            table.astype(kind).ravel(),
+            np.array(roots, kind),
             width,
             block,
         )
@@ -154,36 +158,48 @@ class CrossParser:
 
 
 def sample_texts(
-    docs: DataFrame, label_col: str, id_col: str, text_col: str, docs_per_lang: int, train_bytes: int
+    docs: DataFrame, label_col: str, id_col: str, text_col: str, docs_per_lang: int, train_bytes: int, max_langs: int, max_bytes: int
 ) -> dict[str, bytes]:
     """A bounded training text for each label; the rows chosen depend on ids only."""
     keyed = docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.xxhash64(F.col(id_col)).alias("h")
     )
-    ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h", "id")))
-    chosen = ranked.where(F.col("r") <= docs_per_lang).select("id", F.col("label").alias("chosen_label"))
-    rows = (
+    known = keyed.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(max_langs).select("label")
+    first = Window.partitionBy("label").orderBy("h", "id")
+    ranked = keyed.distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= docs_per_lang)
+    chosen = ranked.join(F.broadcast(known), "label").select("id", F.col("label").alias("chosen_label"))  # max_langs rows
+    width = 4 * train_bytes // docs_per_lang
+    text, stretch = F.col("text"), max(1, width // STRETCHES)
+    begin = lambda i: (F.floor(i * (F.length("text") - stretch) / (STRETCHES - 1)) + 1).cast("int")
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda i: F.substring(text, begin(i), F.lit(stretch))), " ")
+    found = (
         docs.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-        .join(F.broadcast(chosen.distinct()), "id")  # docs_per_lang rows a label
+        .join(F.broadcast(chosen), "id")  # docs_per_lang rows of each of max_langs labels
         .where("label = chosen_label and text is not null")
-        .select("id", "label", F.substring("text", 1, 4 * train_bytes // docs_per_lang).alias("text"))
-        .collect()
+        .select("id", "label", F.when(F.length("text") <= width, text).otherwise(spread).alias("text"))
     )
+    # An id may stand in many rows: the bound holds for rows.
+    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"), "text"))
+    rows = found.withColumn("r", nth).where(F.col("r") <= docs_per_lang).select("id", "label", "text").collect()
     out: dict[str, bytearray] = {}
-    for row in sorted(rows, key=lambda r: (r["label"], r["id"])):
+    own = max(1, min(train_bytes, max_bytes // max(1, len({r["label"] for r in rows}))))
+    for row in sorted(rows, key=lambda r: (r["label"], r["id"], r["text"])):
         data = np.frombuffer(row["text"].encode(), np.uint8)
         if len(data):
             symbols, _ = normalise(data, np.array([0, len(data)]))
             got = out.setdefault(row["label"], bytearray())
-            got += symbols.tobytes()[: max(0, min(4 * train_bytes // docs_per_lang, train_bytes - len(got)))] + b"\0"
+            got += symbols.tobytes()[: max(0, min(4 * own // docs_per_lang, own - len(got)))] + b"\0"
     return {k: bytes(v) for k, v in out.items()}
 
 
 def train(
-    docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", docs_per_lang: int = 48, train_bytes: int = 16384
-) -> CrossParser:
-    """Fit on a bounded sample: at most ``docs_per_lang`` rows and ``train_bytes`` bytes a language."""
-    return CrossParser.fit(sample_texts(docs, label_col, id_col, text_col, docs_per_lang, train_bytes))
+    docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", docs_per_lang: int = 48, train_bytes: int = 16384,
+    max_langs: int = 256, max_bytes: int = 1 << 18,
+) -> CrossParser:
+    """Fit on a bounded sample: at most ``docs_per_lang`` rows and ``train_bytes`` bytes a language, ``max_bytes`` in
+    all, of the ``max_langs`` most frequent labels.
+    """
+    return CrossParser.fit(sample_texts(docs, label_col, id_col, text_col, docs_per_lang, train_bytes, max_langs, max_bytes))
 
 
 def identify(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
