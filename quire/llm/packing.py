@@ -8,7 +8,9 @@ compatible bin is found; if there is none, a bin is opened. Full pieces of long
 their own at once.
 
 Rows are dealt to groups of about ``group_rows`` rows by a hash of id and text; groups are packed
-independently, so memory is bounded and a source or cluster may hold any share of the rows.
+independently, so memory is bounded and a source or cluster may hold any share of the rows. Then the pieces of all
+groups' open bins (less than ``FULL`` of the capacity) are dealt anew and packed again, so pieces of different groups
+meet, until they fit into one group or most of them stay in open bins, as where one source needs a bin for each of its pieces.
 
 Edge cases: null and empty texts give one row with piece_bytes 0 and no bin; null sources and null
 clusters conflict with nothing; repeated rows belong to one cluster, so they lie in different bins;
@@ -20,10 +22,16 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quire.llm.common import Scratch, text_slices
+
 CAPACITY = 8192
+#: A bin that holds less than this share is open.
+FULL = 0.9
+PIECE = ("doc_id", "source", "cluster", "check", "piece", "start", "size")
 
 
 class Packer:
@@ -124,41 +132,69 @@ def pack(
     """
     if capacity < 4:
         raise ValueError("a capacity below four bytes can't hold every character")
-    kind, source_kind = docs.schema[id_col].dataType.simpleString(), docs.schema[source_col].dataType.simpleString()
-    total = docs.count()
-    groups = max(1, -(-total // group_rows))
+    scratch = Scratch(docs.sparkSession, "packing")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    ends = _piece_ends(docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.col(source_col).alias("source"), cluster.alias("cluster")), capacity)
-    dealt = ends.withColumn("group", F.pmod(F.xxhash64("doc_id", "check"), F.lit(groups)).cast("int")).drop("check")
-    dealt = dealt.repartition(groups, "group").sortWithinPartitions("group", F.desc("size"), "doc_id", "start")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.col(source_col).alias("source"), cluster.alias("cluster"))
+    rows = scratch.put(_piece_ends(narrow, capacity), "pieces")
+    left, level, done = rows.count(), 0, []
+    while True:
+        groups = max(1, -(-left // group_rows))
+        placed = _packed(rows, capacity, groups, level)
+        if groups == 1:
+            done.append(placed)
+            break
+        placed = scratch.put(placed, f"placed{level}")
+        opened = F.coalesce(F.col("used") < capacity * FULL, F.lit(False))
+        before, left = left, placed.where(opened).count()
+        if not left or 2 * left > before:
+            done.append(placed)
+            break
+        done.append(placed.where(~opened))
+        rows = placed.where(opened)
+        level += 1
+    found = done[0]
+    for more in done[1:]:
+        found = found.union(more)
+    names = {"start": "start_byte", "size": "piece_bytes"}
+    return found.select(*(F.col(c).alias(names.get(c, c)) for c in ("doc_id", "piece", "start", "size", "bin_id", "bin_offset", "source")))
+
+
+def _packed(rows: DataFrame, capacity: int, groups: int, level: int) -> DataFrame:
+    """The pieces with their bins and what these hold (``used``), each of ``groups`` groups packed by itself."""
+    dealt = rows.select(*PIECE).withColumn("group", F.pmod(F.xxhash64("doc_id", "check", F.lit(level)), F.lit(groups)).cast("int"))
+    dealt = dealt.repartition(groups, "group").sortWithinPartitions("group", F.desc("size"), "doc_id", "check", "start")
+
+    def emit(parts: list[pa.RecordBatch], group: int, bins: list, offsets: list, packer: Packer) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        used = [None if b is None else packer.used[b] for b in bins]
+        names = [None if b is None else (level << 56) + (group << 32) + b for b in bins]
+        arrays = [*(whole.column(i) for i in range(len(PIECE))), pa.array(names, pa.int64()), pa.array(offsets, pa.int32()), pa.array(used, pa.int32())]
+        return pa.RecordBatch.from_arrays(arrays, names=[*PIECE, "bin_id", "bin_offset", "used"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, packer = None, Packer(capacity)
+        current, packer, parts, bins, offsets = None, Packer(capacity), [], [], []
+        at = {n: i for i, n in enumerate([*PIECE, "group"])}
         for batch in batches:
-            cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            bins, offsets = [], []
-            for group, size, source, name in zip(cols["group"], cols["size"], cols["source"], cols["cluster"]):
-                if group != current:
-                    current, packer = group, Packer(capacity)
-                if not size:
-                    bins.append(None)
-                    offsets.append(None)
+            keys = batch.column(at["group"]).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a == b:
                     continue
-                bin_, offset = packer.add(size, source, name)
-                bins.append((group << 32) + bin_)
-                offsets.append(offset)
-            at = batch.schema.get_field_index
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(at("doc_id")), batch.column(at("piece")), batch.column(at("start")), batch.column(at("size")),
-                    pa.array(bins, pa.int64()), pa.array(offsets, pa.int32()), batch.column(at("source")),
-                ],
-                names=["doc_id", "piece", "start_byte", "piece_bytes", "bin_id", "bin_offset", "source"],
-            )
-
-    return dealt.mapInArrow(
-        run, f"doc_id {kind}, piece int, start_byte int, piece_bytes int, bin_id bigint, bin_offset int, source {source_kind}"
-    )
+                if keys[a] != current:
+                    if parts:
+                        yield emit(parts, current, bins, offsets, packer)
+                    current, packer, parts, bins, offsets = int(keys[a]), Packer(capacity), [], [], []
+                part = batch.slice(a, b - a)
+                parts.append(part)
+                for size, source, name in zip(*(part.column(at[n]).to_pylist() for n in ("size", "source", "cluster"))):
+                    bin_, offset = packer.add(size, source, name) if size else (None, None)
+                    bins.append(bin_)
+                    offsets.append(offset)
+        if parts:
+            yield emit(parts, current, bins, offsets, packer)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*PIECE).schema.fields)
+    return dealt.mapInArrow(run, f"{kinds}, bin_id bigint, bin_offset int, used int")
 
 
 def _piece_ends(rows: DataFrame, capacity: int) -> DataFrame:
@@ -169,7 +205,7 @@ def _piece_ends(rows: DataFrame, capacity: int) -> DataFrame:
     whole = rows.select(*base, F.when(short, F.lit(None)).otherwise(F.col("text")).alias("text"), F.octet_length("text").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, "text", 8 << 20)):
             at, piece, start, size = [], [], [], []
             sizes = batch.column(5).to_pylist()
             for i, text in enumerate(batch.column(4).to_pylist()):

@@ -268,6 +268,7 @@ def repeat_spans(docs: DataFrame, length: int = 200, group_rows: int = 2500, scr
     ``docs(doc_id, text)``; ``th`` is the CRC-32 of the text.
     """
     scratch = scratch or Scratch(docs.sparkSession, "repeats")
+    group_rows = max(2, min(group_rows, MAX_TEXT // (2 * length)))  # a context has less than 2 * length bytes
     occ = scratch.put(occurrences(docs, length), "occ")
     # Keys of joins are tables of their own: only a join between two plain exchanges can be split.
     often = scratch.put(occ.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")

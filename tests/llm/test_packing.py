@@ -58,3 +58,17 @@ def test_table(spark):
             raw = (t or "").encode()
             assert b"".join(raw[a : a + n].decode().encode() for a, n in own) == raw
     assert len(parts[4]) == 2 and packing.pack(df.where("doc_id < 0"), F.lit(1), capacity=600).count() == 0
+
+
+def test_open_bins_of_all_groups_meet(spark):
+    rows = [(i, "x" * 290, None) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    bins = lambda group_rows: packing.pack(df, F.col("doc_id"), 600, group_rows=group_rows).select("bin_id").distinct().count()
+    assert bins(1000) == 100 and bins(7) == 100  # groups with an odd number of pieces leave a half-filled bin each
+
+
+def test_long_text_and_clashing_columns(spark):
+    long = "ab é" * 60000
+    df = spark.createDataFrame([(1, long, "s", 3, "x"), (1, long, "s", 3, "x")], "doc_id long, text string, source string, bin_id long, used string")
+    got = packing.pack(df, F.xxhash64("text"), capacity=1000).collect()
+    assert sum(r["piece_bytes"] for r in got) == 2 * len(long.encode()) and max(r["piece_bytes"] for r in got) <= 1000

@@ -1,4 +1,3 @@
-import hashlib
 import random
 
 import numpy as np
@@ -62,7 +61,35 @@ def test_repeated_rows_and_kept_columns(spark):
     got = repeats.remove_repeats(df, keep=("h",), length=200).orderBy("doc_id").collect()
     assert [(r["h"], r["n_removed"]) for r in got] == [("x", 500), ("x", 500), ("y", 0)]
     none = repeats.remove_repeats(df.where("doc_id > 5"))
-    assert none.count() == 0 and hashlib.sha256(b"").hexdigest()
+    assert none.count() == 0
+
+
+def test_text_over_a_sort_keys_place(spark):
+    rng = np.random.default_rng(3)
+    long = rng.integers(97, 123, 5 << 20, dtype=np.uint8).tobytes().decode()
+    passage = long[(4 << 20) + 70 : (4 << 20) + 370]
+    df = spark.createDataFrame([(1, long), (2, "A" + passage + "B"), (3, long[:199])], SCHEMA)
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in repeats.remove_repeats(df).select("doc_id", "spans").collect()}
+    assert got == {1: [((4 << 20) + 70, (4 << 20) + 370)], 2: [(1, 301)], 3: []}
+
+
+def test_index_groups_follow_the_length(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    core = word(380)
+    texts = [word(500) + core + word(500) for _ in range(1400)] + [word(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = repeats.remove_repeats(df, length=400).where("n_removed > 0").count()
+    assert got == sum(1 for i in set().union(*(x for x in _shared(texts, 400))))
+
+
+def _shared(texts, length):
+    """Texts that hold a window that stands elsewhere too."""
+    where = {}
+    for i, t in enumerate(texts):
+        for p in range(len(t) - length + 1):
+            where.setdefault(hash(t[p : p + length]), []).append(i)
+    return (set(x) for x in where.values() if len(x) > 1)
 
 
 def test_index_statistics():
