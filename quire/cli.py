@@ -1,34 +1,51 @@
-"""Commands over a work folder: ``python -m quire.cli COMMAND ...``.
+"""Commands over a work folder: ``python -m quire.cli [--work WORK] COMMAND ...``.
 
-A work folder holds tables: members, package, segments, skips, state.
+A work folder holds tables: members, package, documents, segments, skips, and a state in versions; its file
+``current`` names the version that counts, and is moved into place whole.
 """
 
 from __future__ import annotations
 
 import argparse
+import json
+import os
+import sys
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.operators import chapters, models, reports, segments as sg, skip, state as st, web
+from quire.operators import audio, chapters, export as ex, models, reports, segments as sg, skip, state as st, web
 from quire.sources import epub, files
 
+VALUES = ("translation_workers", "audiobook_workers")
+
+
+# The work folder
+
+
+def current(work: str) -> int:
+    """The version of the state that counts."""
+    with open(f"{work}/current", encoding="utf-8") as f:
+        return int(f.read())
+
+
+def advance(work: str, version: int) -> int:
+    aside = f"{work}/current.{uuid.uuid4().hex}"
+    with open(aside, "x", encoding="utf-8") as f:
+        f.write(str(version))
+    os.replace(aside, f"{work}/current")
+    return version
+
+
+def put_state(work: str, state: DataFrame, version: int) -> int:
+    """A new version of the state; it counts only once it is written whole."""
+    state.write.mode("overwrite").parquet(f"{work}/state-{version}")
+    return advance(work, version)
 
-def extract(spark: SparkSession, books: str, work: str) -> None:
-    """E-books to tables: packages, segments with skip reasons, skips, and a pending state."""
-    found = epub.members(spark, books)
-    package = epub.packages(found)
-    package.write.mode("overwrite").parquet(f"{work}/package")
-    package = spark.read.parquet(f"{work}/package")
-    docs = epub.spine_documents(found, package).where("linear")
-    docs.write.mode("overwrite").parquet(f"{work}/documents")
-    docs = spark.read.parquet(f"{work}/documents")
-    spine, toc = tables(package)
-    skips = skip.candidates(toc, spine)
-    skips.write.mode("overwrite").parquet(f"{work}/skips")
-    rows = skip.tagged(sg.unique_ids(sg.segment_documents(docs)), spark.read.parquet(f"{work}/skips"))
-    rows.write.mode("overwrite").parquet(f"{work}/segments")
-    blank = spark.createDataFrame([], files.STATE_SCHEMA)
-    st.ensured(spark.read.parquet(f"{work}/segments"), blank).write.mode("overwrite").parquet(f"{work}/state-0")
+
+def load(spark: SparkSession, work: str, *names: str) -> tuple[DataFrame, ...]:
+    return tuple(spark.read.parquet(f"{work}/{f'state-{current(work)}' if n == 'state' else n}") for n in names)
 
 
 def tables(package: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -38,59 +55,258 @@ def tables(package: DataFrame) -> tuple[DataFrame, DataFrame]:
     return spine, toc
 
 
-def translate(spark: SparkSession, work: str, target: str, version: int, client=models.Stub) -> None:
+# Commands
+
+
+def extract(spark: SparkSession, books: str, work: str) -> None:
+    """E-books to tables: members, packages, segments with skip reasons, skips, and a pending state.
+
+    A work folder that was made from other books is refused; records of segments that are still there stay.
+    """
+    source = f"{work}/source.json"
+    if os.path.exists(source):
+        with open(source, encoding="utf-8") as f:
+            files.checked_workspace(work, books, json.load(f)["books"])
+    found = epub.members(spark, books)
+    found.write.mode("overwrite").parquet(f"{work}/members")
+    found = spark.read.parquet(f"{work}/members")
+    epub.packages(found).write.mode("overwrite").parquet(f"{work}/package")
+    package = spark.read.parquet(f"{work}/package")
+    epub.spine_documents(found, package).where("linear").write.mode("overwrite").parquet(f"{work}/documents")
+    docs = spark.read.parquet(f"{work}/documents")
+    spine, toc = tables(package)
+    skip.candidates(toc, spine).write.mode("overwrite").parquet(f"{work}/skips")
+    rows = skip.tagged(sg.unique_ids(sg.segment_documents(docs)), spark.read.parquet(f"{work}/skips"))
+    rows.write.mode("overwrite").parquet(f"{work}/segments")
+    with open(source, "w", encoding="utf-8") as f:
+        json.dump({"books": books}, f)
+    known = os.path.exists(f"{work}/current")
+    old = load(spark, work, "state")[0] if known else spark.createDataFrame([], files.STATE_SCHEMA)
+    put_state(work, st.ensured(spark.read.parquet(f"{work}/segments"), old), current(work) + 1 if known else 0)
+
+
+def translate(spark: SparkSession, work: str, target: str, client: Callable = models.Stub) -> None:
     """Pending segments through a client; a new version of the state."""
-    rows, state = spark.read.parquet(f"{work}/segments"), spark.read.parquet(f"{work}/state-{version}")
-    todo = st.pending(st.chosen(rows, None), state)
-    done = models.translate(todo, client, "auto", target)
+    rows, state = load(spark, work, "segments", "state")
+    version = current(work)
+    done = models.translate(st.pending(st.chosen(rows, None), state), client, "auto", target)
     done.write.mode("overwrite").parquet(f"{work}/answers-{version}")  # a client is called once
-    st.merged(state, spark.read.parquet(f"{work}/answers-{version}")).write.mode("overwrite").parquet(f"{work}/state-{version + 1}")
+    put_state(work, st.merged(state, spark.read.parquet(f"{work}/answers-{version}")), version + 1)
 
 
-def export(spark: SparkSession, work: str, version: int, kind: str, out: str, mode: str = "bilingual") -> None:
-    """Documents with translations, as markup for e-books or the web, or as markdown by chapter."""
-    docs, rows, state = (spark.read.parquet(f"{work}/{n}") for n in ("documents", "segments", f"state-{version}"))
+def export(spark: SparkSession, work: str, kind: str, out: str, mode: str = "bilingual") -> None:
+    """``epub``: whole books. ``web``: a folder a book. ``web-zip``: that as one archive. ``markdown``: a file a chapter.
+    ``combined``: a markdown file a book. ``images``: the books' images.
+    """
+    found, package, docs, rows, state = load(spark, work, "members", "package", "documents", "segments", "state")
     answers = st.injectable(rows, state)
-    if kind == "markdown":
-        spine, toc = tables(spark.read.parquet(f"{work}/package"))
+    folder = files.folder_name(F.col("book_id"))
+    if kind in ("markdown", "combined"):
+        spine, toc = tables(package)
         named = chapters.audio_chapter_of(spine, toc)
         bodies = chapters.bodies(answers, named, "translation").join(named.select("book_id", "chapter_file", "title").distinct(), ["book_id", "chapter_file"])
-        files.write_markdown(bodies.withColumn("position", F.col("spine_index")), out)
+        bodies = bodies.withColumn("position", F.col("spine_index"))
+        if kind == "markdown":
+            files.write_named(files.chapter_files(bodies), out)
+        else:
+            whole = files.combined_markdown(bodies)
+            files.write_named(whole.select(F.concat(folder, F.lit(".md")).alias("path"), F.encode("text", "UTF-8").alias("content")), out)
+        return
+    if kind == "images":
+        listed = epub.image_files(found, package)
+        files.write_named(listed.select(F.concat(folder, F.lit("/"), "path").alias("path"), "content"), out)
+        return
+    gone = sg.missing_documents(docs, answers)
+    if not gone.isEmpty():
+        files.write_report(gone, f"{work}/missing-documents")
+        print(f"translations without a document: see {work}/missing-documents", file=sys.stderr)
+    # What goes out is made before anything that is there is replaced.
+    sg.inject(docs, answers, mode).select("book_id", "file_path", "html").write.mode("overwrite").parquet(f"{work}/pages-{mode}")
+    pages = spark.read.parquet(f"{work}/pages-{mode}")
+    if kind == "epub":
+        only = mode == "translated_only"
+        made = epub.books(found, pages, sg.headings(answers, docs) if only else None, only)
+        ending = "_translated.epub" if only else "_bilingual.epub"
+        files.write_named(made.select(F.concat(folder, F.lit(ending)).alias("path"), "content"), out)
         return
-    pages = sg.inject(docs, answers, mode)
+    if kind not in ("web", "web-zip"):
+        raise ValueError(f"unknown kind of export: {kind}")
+    spine, toc = tables(package)
+    listed = ex.web_spine(spine.join(docs.select("book_id", "file_path"), ["book_id", "file_path"]), chapters.titles_by_file(toc))
+    books = ex.metadata(package).select("book_id", "title")
+    data = ex.book_json(books, listed, toc).join(books, "book_id")
+    clean = sg.column_map(pages, web.cleaned, ["html", "file_path"], "html")
+    parts = ex.web_files(found, clean, data)
     if kind == "web":
-        pages = sg.column_map(pages, web.cleaned, ["html", "file_path"], "html")
-    pages.select("book_id", "file_path", "html").write.mode("overwrite").parquet(out)
+        files.write_named(parts.select(F.concat(folder, F.lit("/"), "path").alias("path"), "content"), out)
+    else:
+        archives = epub.books(parts.withColumnRenamed("path", "member"), spark.createDataFrame([], "book_id string, file_path string, html string"))
+        files.write_named(archives.select(F.concat(folder, F.lit(".zip")).alias("path"), "content"), out)
+
+
+def pipeline(spark: SparkSession, books: str, work: str, target: str, out: str) -> None:
+    """Extraction, translation, and both kinds of e-books and the web export."""
+    extract(spark, books, work)
+    translate(spark, work, target)
+    for mode in ("bilingual", "translated_only"):
+        export(spark, work, "epub", out, mode)
+    export(spark, work, "web", f"{out}/web")
+
+
+def resume(spark: SparkSession, work: str) -> DataFrame:
+    """Per book how many segments remain, are done, are skipped."""
+    rows, state = load(spark, work, "segments", "state")
+    found = st.resume(rows, state)
+    return found.select("book_id", *(F.size(c).alias(c) for c in ("remaining", "completed", "skipped")))
+
+
+def format_(spark: SparkSession, work: str) -> None:
+    """Uniform typography in completed Chinese translations; a new version of the state."""
+    put_state(work, st.polished(load(spark, work, "state")[0]), current(work) + 1)
+
 
+def config_validate(spark: SparkSession | None, path: str) -> list[str]:
+    """What is wrong with a settings file; nothing is an empty list."""
+    found, unknown = files.settings([path])
+    wrong = [f"unknown key: {k}" for k in unknown]
+    wrong += [f"not a number from 1 on: {k}" for k in VALUES if not isinstance(found[k], int) or found[k] < 1]
+    return wrong
+
+
+def config_reset(spark: SparkSession | None, path: str, backup: bool = False) -> None:
+    """The settings file with the defaults; the old one may be kept beside it."""
+    if backup and os.path.exists(path):
+        os.replace(path, path + ".bak")
+    with open(path, "w", encoding="utf-8") as f:
+        f.writelines(f"{k}: {v if isinstance(v, int) else files.yaml_scalar(v)}\n" for k, v in files.DEFAULTS.items())
+
+
+def config_template(spark: SparkSession, work: str, folder: str) -> int:
+    """A settings file for each book, with its documents in order; those that are there stay. A book is a row at a time."""
+    rows, skips = load(spark, work, "segments", "skips")
+    listed = ex.template_files(rows, skips).groupBy("book_id").agg(F.collect_list(F.struct("file_path", "spine_index", "active")).alias("rows"))
+    os.makedirs(folder, exist_ok=True)
+    return sum(
+        files.write_new(f"{folder}/{files.work_name(r['book_id'])}.yaml", files.settings_template([x.asDict() for x in r["rows"]])) for r in listed.toLocalIterator()
+    )
+
+
+def audiobook_generate(spark: SparkSession, work: str, voice: str = "narrator", make: Callable = models.SilentSpeaker) -> None:
+    """What is to be spoken through a speaker; audio and the plan by which it is joined go to the work folder."""
+    package, docs, rows, state = load(spark, work, "package", "documents", "segments", "state")
+    said = sg.spoken(rows, docs)
+    plan = st.audio_plan(said.withColumn("source_content", F.coalesce("from_source", F.lit(""))), state).where("skipped_because is null")
+    models.render(plan, make, voice).write.mode("overwrite").parquet(f"{work}/audio")
+    made = spark.read.parquet(f"{work}/audio").select("book_id", "segment_id", "status", F.concat("segment_id", F.lit(".wav")).alias("audio_path"), "duration_seconds")
+    spine, toc = tables(package)
+    audio.assembly(rows, chapters.audio_chapter_of(spine, toc), made).write.mode("overwrite").parquet(f"{work}/assembly")
 
-def report(spark: SparkSession, work: str, version: int, name: str) -> DataFrame:
-    rows, state = spark.read.parquet(f"{work}/segments"), spark.read.parquet(f"{work}/state-{version}")
+
+def audiobook_export_chapters(spark: SparkSession, work: str, out: str) -> None:
+    """A chapters file a book, with the starts that the plan gives; a book is a row at a time."""
+    package, plan = load(spark, work, "package", "assembly")
+    spine, toc = tables(package)
+    named = chapters.audio_chapter_of(spine, toc).select("book_id", "chapter_file", "title").distinct()
+    length = plan.groupBy("book_id", "chapter_file").agg(F.sum("ms").alias("duration_ms"), F.min(F.struct("segment_id")).alias("s"))
+    order = chapters.audio_chapter_of(spine, toc).groupBy("book_id", "chapter_file").agg(F.min("spine_index").alias("position"))
+    starts = chapters.starts_ms(length.join(order, ["book_id", "chapter_file"])).join(named, ["book_id", "chapter_file"])
+    os.makedirs(out, exist_ok=True)
+    listed = starts.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("position", "title", "start_ms"))).alias("chapters"))
+    for r in listed.toLocalIterator():
+        found = [{"title": c["title"], "start": c["start_ms"] / 1000} for c in r["chapters"]]
+        files.write_chapters(f"{out}/{files.work_name(r['book_id'])}.yaml", found, {"book": r["book_id"]})
+
+
+def audiobook_update_chapters(spark: SparkSession | None, chapters_file: str, out: str) -> None:
+    """The chapter atom of a chapters file, for an audio book's container."""
+    listed, _ = files.read_chapters(chapters_file)
+    with open(out, "wb") as f:
+        f.write(audio.chapter_atom([(c["start"] or 0.0, c.get("title") or "") for c in listed]))
+
+
+def purge_refusals(spark: SparkSession, work: str, dry_run: bool = False) -> int:
+    """Records whose answer declines become pending; how many those are."""
+    state = load(spark, work, "state")[0]
+    new = st.purged(state)
+    n = state.join(new.where("status = 'pending'").select(*st.KEY), st.KEY, "left_semi").where("status <> 'pending'").count()
+    if n and not dry_run:
+        put_state(work, new, current(work) + 1)
+    return n
+
+
+def report(spark: SparkSession, work: str, name: str) -> DataFrame:
+    rows, state, skips, package = load(spark, work, "segments", "state", "skips", "package")
     return {
         "files": lambda: reports.files(rows),
         "pending": lambda: reports.pending_by_file(rows, state),
         "progress": lambda: reports.progress(rows, state),
         "dashboard": lambda: reports.dashboard(state),
         "resume": lambda: st.resume(rows, state),
-        "skips": lambda: reports.skip_counts(spark.read.parquet(f"{work}/skips")),
+        "skips": lambda: reports.skip_counts(skips),
+        "skip-list": lambda: ex.skip_list(skips, state, rows),
+        "skip-candidates": lambda: ex.skip_flags(rows, skips),
         "orphans": lambda: st.orphans(rows, state),
+        "totals": lambda: reports.pending_totals(rows, state),
+        "workspace": lambda: reports.library_totals(tables(package)[0], skips),
     }[name]()
 
 
+def analyze_skips(spark: SparkSession, work: str, out: str) -> None:
+    """The report on skips as JSON."""
+    files.write_report(report(spark, work, "skips"), out)
+
+
+def inspect_segment(spark: SparkSession, work: str, segment: str) -> DataFrame:
+    rows, state = load(spark, work, "segments", "state")
+    return ex.lookup(rows, state, segment)
+
+
+#: Command, its function, its arguments; ``work`` comes from the global option.
+COMMANDS: dict[str, tuple[Callable, tuple[str, ...]]] = {
+    "extract": (extract, ("books",)),
+    "translate": (translate, ("target",)),
+    "export": (export, ("kind", "out", "--mode")),
+    "pipeline": (pipeline, ("books", "target", "out")),
+    "resume": (resume, ()),
+    "format": (format_, ()),
+    "config-validate": (config_validate, ("path",)),
+    "config-reset": (config_reset, ("path", "--backup")),
+    "config-template": (config_template, ("folder",)),
+    "audiobook-generate": (audiobook_generate, ("--voice",)),
+    "audiobook-export-chapters": (audiobook_export_chapters, ("out",)),
+    "audiobook-update-chapters": (audiobook_update_chapters, ("chapters_file", "out")),
+    "debug-show-skip-list": (lambda spark, work: report(spark, work, "skip-list"), ()),
+    "debug-show-pending": (lambda spark, work: report(spark, work, "pending"), ()),
+    "debug-purge-refusals": (purge_refusals, ("--dry-run",)),
+    "debug-inspect-segment": (inspect_segment, ("segment",)),
+    "debug-list-files": (lambda spark, work: report(spark, work, "files"), ()),
+    "debug-preview-skip-candidates": (lambda spark, work: report(spark, work, "skip-candidates"), ()),
+    "debug-workspace": (lambda spark, work: report(spark, work, "workspace"), ()),
+    "debug-analyze-skips": (analyze_skips, ("out",)),
+    "report": (report, ("name",)),
+}
+_FLAGS = ("--backup", "--dry-run")
+_LOCAL = ("config-validate", "config-reset", "audiobook-update-chapters")
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="quire")
+    parser.add_argument("--work", default=files.DEFAULTS["work_dir"])
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, names in {
-        "extract": ["books", "work"], "translate": ["work", "target", "version"], "export": ["work", "version", "kind", "out"], "report": ["work", "version", "name"],
-    }.items():
+    for name, (_, names) in COMMANDS.items():
         sub = commands.add_parser(name)
         for n in names:
-            sub.add_argument(n, type=int if n == "version" else str)
-    args = vars(parser.parse_args(argv))
-    spark = SparkSession.builder.appName("quire").getOrCreate()
-    command = args.pop("command")
-    result = {"extract": extract, "translate": translate, "export": export, "report": report}[command](spark, **args)
-    if result is not None:
+            sub.add_argument(n, **({"action": "store_true"} if n in _FLAGS else {}))
+    args = {k: v for k, v in vars(parser.parse_args(argv)).items() if v is not None}
+    command, work = args.pop("command"), args.pop("work")
+    if command in _LOCAL:
+        result = COMMANDS[command][0](None, **args)
+    else:
+        result = COMMANDS[command][0](SparkSession.builder.appName("quire").getOrCreate(), work=work, **args)
+    if isinstance(result, DataFrame):
         result.show(100, truncate=False)
+    elif result is not None:
+        print(result)
 
 
 if __name__ == "__main__":

@@ -11,6 +11,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article aside blockquote div dl figure figcaption footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
 )
+#: Elements nested deeper become siblings, as in browsers; the tree's recursive functions rely on it.
+MOST_DEEP = 128
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
@@ -133,6 +135,8 @@ class _Builder(HTMLParser):
                 del self.open[i:]
                 break
         node = Node(tag, {k: v or "" for k, v in attrs})
+        if len(self.open) > MOST_DEEP:
+            self.open.pop()
         self._append(node)
         if tag not in VOID:
             self.open.append(node)

@@ -9,6 +9,8 @@ import struct
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from quire.functions.text import concat_line
+
 MOST_CHAPTERS, MOST_TITLE = 255, 255
 VOICES = ("alloy", "echo", "fable", "onyx", "nova", "shimmer")
 
@@ -73,3 +75,16 @@ def assembly(segments: DataFrame, chapter_of: DataFrame, audio: DataFrame, gap_m
     return rows.select(
         "book_id", "chapter_file", "segment_id", "audio_path", F.row_number().over(order).alias("position"), F.coalesce(before, F.lit(0)).alias("start_ms"), "ms"
     )
+
+
+def concat_lists(plan: DataFrame) -> DataFrame:
+    """(book_id, chapter_file, lines): what joins each chapter's files in order; a chapter bounds a row."""
+    parts = F.sort_array(F.collect_list(F.struct("position", concat_line(F.col("audio_path")).alias("line"))))
+    return plan.groupBy("book_id", "chapter_file").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("lines"))
+
+
+def tags(metadata: DataFrame, narrator: str, album: str = "Audiobook") -> DataFrame:
+    """(book_id, tags): what a finished audio book carries besides its sound."""
+    named = {"title": F.col("title"), "artist": F.col("creator"), "composer": F.lit(narrator), "date": F.col("year"), "genre": F.lit(album)}
+    pairs = F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in named.items()))
+    return metadata.select("book_id", F.map_from_entries(F.filter(pairs, lambda x: x["value"].isNotNull())).alias("tags"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.functions.paths import content_path, file_of, fragment_of
 from quire.functions.text import script_safe, stem
+from quire.operators import web
 
 
 def year(date: Column) -> Column:
@@ -111,3 +112,33 @@ def template_files(segments: DataFrame, skips: DataFrame) -> DataFrame:
 def same_artifact(segments: DataFrame, state: DataFrame) -> bool:
     """Whether two saved tables belong together: they share an id."""
     return not segments.join(state, ["book_id", "segment_id"], "left_semi").limit(1).isEmpty()
+
+
+#: Members that a web export leaves out: what only readers of e-books use.
+_PACKAGING = r"(?i)(^mimetype$|^META-INF/|\.opf$|\.ncx$|\.x?html?$)"
+
+
+def web_files(members: DataFrame, pages: DataFrame, books: DataFrame) -> DataFrame:
+    """(book_id, path, content): a start page, the documents and the static files of each book's web export.
+
+    ``members(book_id, member, content)``, ``pages(book_id, file_path, html)``, already cleaned, ``books(book_id, title, json)``.
+    """
+    start = F.udf(web.index_page, "string")  # a row a book
+    index = books.select("book_id", F.lit("index.html").alias("path"), F.encode(start(F.coalesce("title", F.lit("")), "json"), "UTF-8").alias("content"))
+    docs = pages.select("book_id", F.concat(F.lit("content/"), "file_path"), F.encode("html", "UTF-8"))
+    static = members.where(~F.col("member").rlike(_PACKAGING)).select("book_id", F.concat(F.lit("content/"), "member"), "content")
+    return index.union(docs).union(static)
+
+
+def skip_flags(segments: DataFrame, skips: DataFrame, override: DataFrame | None = None) -> DataFrame:
+    """(book_id, file_path, spine_index, reason, source, flagged): files that rules name, in reading order.
+
+    ``override(book_id, file_path, flagged)`` is what a reader decided instead.
+    """
+    files = segments.groupBy("book_id", "file_path").agg(F.min("spine_index").alias("spine_index"))
+    named = skips.select("book_id", "file_path", "reason", "source").join(files, ["book_id", "file_path"], "left")
+    if override is not None:
+        named = named.join(override.select("book_id", "file_path", F.col("flagged").alias("chosen")), ["book_id", "file_path"], "left")
+    flagged = F.lit(True) if override is None else F.coalesce("chosen", F.lit(True))
+    found = named.select("book_id", "file_path", "spine_index", "reason", "source", flagged.alias("flagged"))
+    return found.orderBy("book_id", F.col("spine_index").asc_nulls_last(), "file_path")

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import io
+import json
 import time
+import urllib.error
+import urllib.request
+import wave
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.functions.text import chinese_target, copy_class, polish_cjk
+from quire.functions.text import chinese_target, copy_class, polish_cjk, sentences
+from quire.operators.audio import pauses
 
 # HTTP answers that are worth another attempt.
 RETRIED = (408, 409, 425, 429)
@@ -96,3 +103,122 @@ def answer_text(answer: dict) -> str:
     if not parts and answer.get("choices"):
         parts = [(c.get("message") or {}).get("content") or "" for c in answer["choices"][:1]]
     return "".join(parts).strip()
+
+
+def post(url: str, body: dict, headers: dict[str, str], timeout: float = 60.0) -> dict:
+    """A JSON answer; statuses that aren't worth another attempt are fatal."""
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            return json.load(answer)
+    except urllib.error.HTTPError as e:
+        said = f"status {e.code}: {e.read()[:200].decode('utf-8', 'replace')}"
+        raise (ConnectionError if retryable(e.code) else FatalError)(said) from e
+
+
+#: How services take a prompt, as (body of a request, path to the answer's text).
+SHAPES: dict[str, tuple[Callable[[str, str], dict], Callable[[dict], str]]] = {
+    "responses": (lambda model, prompt: {"model": model, "input": prompt}, answer_text),
+    "chat": (lambda model, prompt: {"model": model, "messages": [{"role": "user", "content": prompt}]}, answer_text),
+    "messages": (
+        lambda model, prompt: {"model": model, "max_tokens": 8192, "messages": [{"role": "user", "content": prompt}]},
+        lambda a: "".join(c.get("text", "") for c in a.get("content", [])).strip(),
+    ),
+    "contents": (
+        lambda model, prompt: {"contents": [{"parts": [{"text": prompt}]}]},
+        lambda a: "".join(p.get("text", "") for c in a.get("candidates", [])[:1] for p in c.get("content", {}).get("parts", [])).strip(),
+    ),
+    "generate": (lambda model, prompt: {"model": model, "prompt": prompt, "stream": False}, lambda a: (a.get("response") or "").strip()),
+}
+
+
+@dataclass
+class Service:
+    """A translator behind an HTTP interface of one of SHAPES; ``headers`` carry its key."""
+
+    url: str
+    model: str
+    shape: str = "chat"
+    name: str = "service"
+    headers: dict[str, str] = field(default_factory=dict)
+    timeout: float = 60.0
+    html: bool = True
+
+    def translate(self, content: str, source: str, target: str) -> str:
+        body, text = SHAPES[self.shape]
+        asked = f"Translate from {source} into {target}. Return the translation only.\n\nSOURCE:\n{content}"
+        return text(post(self.url, body(self.model, asked), self.headers, self.timeout))
+
+
+# Speech
+
+
+class Speaker(Protocol):
+    name: str
+
+    def synthesize(self, text: str, voice: str) -> bytes:
+        """A sentence as a WAV file."""
+
+
+class SilentSpeaker:
+    """A deterministic speaker for tests: silence, a hundredth of a second a character."""
+
+    name, rate = "silent", 8000
+
+    def synthesize(self, text: str, voice: str) -> bytes:
+        return wav(bytes(2 * (self.rate * len(text) // 100)), self.rate)
+
+
+def wav(frames: bytes, rate: int, width: int = 2, channels: int = 1) -> bytes:
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(channels)
+        w.setsampwidth(width)
+        w.setframerate(rate)
+        w.writeframes(frames)
+    return out.getvalue()
+
+
+def spliced(parts: list[bytes], gaps_ms: list[int]) -> tuple[bytes, float]:
+    """(one WAV file of several of one format with silence between them, its seconds)."""
+    frames, shape = [], None
+    for i, part in enumerate(parts):
+        with wave.open(io.BytesIO(part)) as w:
+            own = (w.getframerate(), w.getsampwidth(), w.getnchannels())
+            if shape not in (None, own):
+                raise FatalError("the speaker changed its format")
+            shape = own
+            if i:
+                frames.append(bytes(own[0] * gaps_ms[i - 1] // 1000 * own[1] * own[2]))
+            frames.append(w.readframes(w.getnframes()))
+    whole = b"".join(frames)
+    rate, width, channels = shape
+    return wav(whole, rate, width, channels), len(whole) / (rate * width * channels)
+
+
+def render(
+    plan: DataFrame, make: Callable[[], Speaker], voice: str, low: float = 0.2, high: float = 0.6, attempts: int = 3, wait_s: float = 60.0
+) -> DataFrame:
+    """(book_id, segment_id, status, audio, duration_seconds, error_message) of ``plan(book_id, segment_id, spoken)``.
+
+    Each sentence is spoken by itself; pauses between them depend on the segment's id only. Persist the result
+    before it is used twice: a plan that reads it again would call the speaker again.
+    """
+    rows = plan.where("spoken is not null").select("book_id", "segment_id", sentences(F.col("spoken")).alias("sentences"))
+    schema = "book_id string, segment_id string, status string, audio binary, duration_seconds double, error_message string"
+    kinds = pa.schema([(n.split()[0], {"string": pa.string(), "binary": pa.binary(), "double": pa.float64()}[n.split()[1]]) for n in schema.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        speaker = None
+        for batch in batches:
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                speaker = speaker or make()
+                row = {"book_id": r["book_id"], "segment_id": r["segment_id"], "status": "completed", "audio": None, "duration_seconds": None, "error_message": None}
+                try:
+                    parts = [attempted(lambda: speaker.synthesize(s, voice), attempts, lambda n: wait_s) for s in r["sentences"]]
+                    row["audio"], row["duration_seconds"] = spliced(parts, pauses(r["segment_id"], max(0, len(parts) - 1), low, high))
+                except Exception as e:
+                    row |= {"status": "error", "error_message": str(e)}
+                yield pa.RecordBatch.from_pylist([row], schema=kinds)
+
+    return rows.mapInArrow(run, schema)

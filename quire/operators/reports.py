@@ -55,6 +55,28 @@ def book_stats(spine: DataFrame, toc: DataFrame, segments: DataFrame, skips: Dat
     return out.withColumn("skipped_percent", share).withColumn("warn", F.col("skipped_percent") > 50)
 
 
+def pending_totals(segments: DataFrame, state: DataFrame) -> DataFrame:
+    """Per book: pending segments, those copied without a model, and records that no segment has."""
+    full = with_state(segments, state)
+    known = full.groupBy("book_id").agg(
+        F.count_if(F.col("status") != "completed").alias("n_pending"),
+        F.count_if((F.col("status") == "completed") & F.col("provider_name").isNull()).alias("n_copied"),
+    )
+    lost = state.join(segments.select(*KEY), KEY, "left_anti").groupBy("book_id").agg(F.count("*").alias("n_orphans"))
+    return known.join(lost, "book_id", "full").fillna(0)
+
+
+def library_totals(spine: DataFrame, skips: DataFrame) -> DataFrame:
+    """One row: books read, and those with skipped files."""
+    books = spine.select("book_id").distinct().join(skips.select("book_id", F.lit(1).alias("hit")).distinct(), "book_id", "left")
+    return books.agg(F.count("*").alias("n_processed"), F.count("hit").alias("n_with_skips"))
+
+
+def first_rows(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first rows of a report: errors, pending segments, covers."""
+    return rows.orderBy(*order).limit(n)
+
+
 def top_titles(titles: DataFrame, n: int) -> DataFrame:
     """The most frequent titles; ties in the order of the titles."""
     return titles.groupBy("norm").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "norm").limit(n)

@@ -22,7 +22,9 @@ SIMPLE = ("p", "blockquote", "div", "h1", "h2", "h3", "h4", "h5", "h6")
 ATOMIC = ("ul", "ol", "dl", "table", "figure")
 NESTING = ("blockquote", "div")
 PLAIN = ("span", "a", "font")
-NOTE_HINTS = ("footnote", "endnote", "noteref", "fnref")
+NOTE_HINTS = ("footnote", "endnote", "noteref", "fn", "note")
+#: Characters of markup that a batch of results is made from.
+SLICE = 4 << 20
 
 SCHEMA = (
     "book_id string, segment_id string, file_path string, xpath string, extract_mode string, source_content string,"
@@ -82,16 +84,20 @@ def document_segments(source: str) -> Iterator[tuple[str, str, str, str]]:
 
 
 def _columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    return zip(*(batch.column(n).to_pylist() for n in names))
+    """The rows of a batch, made into Python values one at a time."""
+    cols = [batch.column(n) for n in names]
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in cols)
 
 
 def segment_documents(documents: DataFrame) -> DataFrame:
     """Segments of ``documents(book_id, file_path, spine_index, html)`` in SCHEMA; ids may still collide."""
+    kinds = pa.schema([(n, pa.int32() if n in ("spine_index", "order_in_file") else pa.string()) for n in _names()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = None
+        out: list[dict] = []
+        read = 0
         for batch in batches:
-            out: list[dict] = []
             for book, path, spine, source in _columns(batch, "book_id", "file_path", "spine_index", "html"):
                 name = path.rsplit("/", 1)[-1]
                 name = name.rsplit(".", 1)[0] if "." in name[1:] else name
@@ -101,8 +107,11 @@ def segment_documents(documents: DataFrame) -> DataFrame:
                         {"book_id": book, "segment_id": ident, "file_path": path, "xpath": xpath, "extract_mode": mode, "source_content": content,
                          "element_type": tag, "spine_index": spine, "order_in_file": order}
                     )
-            kinds = kinds or pa.schema([(n, pa.int32() if n in ("spine_index", "order_in_file") else pa.string()) for n in _names()])
-            yield pa.RecordBatch.from_pylist(out, schema=kinds)
+                read += len(source or "")
+                if read >= SLICE:
+                    yield pa.RecordBatch.from_pylist(out, schema=kinds)
+                    out, read = [], 0
+        yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     cols = documents.select("book_id", "file_path", F.col("spine_index").cast("int"), "html")
     return cols.mapInArrow(run, SCHEMA)
@@ -125,20 +134,27 @@ def unique_ids(segments: DataFrame) -> DataFrame:
 # Speech: lists, notes
 
 
+_STOPPED = re.compile(r"[.!?…]\s*\Z")
+
+
 def with_list_stops(root: Node) -> None:
-    """List items end like sentences."""
-    for item in root.walk():
-        if item.tag != "li" or not item.content().strip():
+    """Every item of a list that says something ends in a stop: behind its own first text, else behind its last."""
+    for item in (n for n in root.walk() if n.tag == "li" and n.content().strip()):
+        said = (item, "text") if item.text.strip() else _last_text(item)
+        if said is None:
             continue
-        own = item.text.strip()
-        if own:
-            if not re.search(r"[.!?…]$", own):
-                item.text = item.text.rstrip() + ". "
-        elif not re.search(r"[.!?…]$", item.content().rstrip()):
-            spots = [(n, a) for n in item.walk() if n is not item for a in ("text", "tail") if getattr(n, a).strip() and n.tag != "#comment"]
-            if spots:
-                node, attr = spots[-1]
-                setattr(node, attr, getattr(node, attr).rstrip() + ". ")
+        words = getattr(*said)
+        if not _STOPPED.search(words if said == (item, "text") else item.content()):
+            setattr(*said, words.rstrip() + ". ")
+
+
+def _last_text(item: Node) -> tuple[Node, str] | None:
+    """Where the last words inside an item stand."""
+    for node in reversed(list(item.walk())[1:]):
+        for place in ("tail", "text"):
+            if node.tag != "#comment" and getattr(node, place).strip():
+                return node, place
+    return None
 
 
 def note_reference(link: Node) -> bool:
@@ -169,6 +185,48 @@ def note_definition(node: Node) -> bool:
     return False
 
 
+def spoken_source(document: Node, xpath: str, element: str) -> str | None:
+    """What is read aloud of the element at a path of its document; null where it defines a note.
+
+    Segments have lost the attributes that tell notes, so the document itself is read again.
+    """
+    node = find(document, xpath)
+    if node is None:
+        raise ValueError(f"no element at {xpath}")
+    if note_definition(node):
+        return None
+    root = Node("#root")
+    own = node.copy()
+    own.parent, own.tail = root, ""
+    root.children.append(own)
+    if element in ("ul", "ol"):
+        with_list_stops(root)
+    without_notes(root)
+    return squeeze(root.content())
+
+
+def spoken(segments: DataFrame, documents: DataFrame) -> DataFrame:
+    """``segments`` with what is read aloud of each (``from_source``), notes left out; a document is parsed once.
+
+    A document's paths are collected into its row; a document bounds them.
+    """
+    places = segments.groupBy("book_id", "file_path").agg(F.collect_list(F.struct("segment_id", "xpath", "element_type")).alias("places"))
+    joined = places.join(documents.select("book_id", "file_path", "html"), ["book_id", "file_path"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for book, source, found in _columns(batch, "book_id", "html", "places"):
+                root = parse(source or "")
+                texts = [spoken_source(root, p["xpath"], p["element_type"]) for p in found]
+                ids = [p["segment_id"] for p in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([book] * len(ids), pa.string()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["book_id", "segment_id", "from_source"]
+                )
+
+    said = joined.select("book_id", "html", "places").mapInArrow(run, "book_id string, segment_id string, from_source string")
+    return segments.join(said, ["book_id", "segment_id"], "left")
+
+
 def spoken_markup(content: str, element: str) -> str:
     """The text of an HTML segment as it is read aloud."""
     root = parse(content)
@@ -196,6 +254,19 @@ def column_map(df: DataFrame, function: Callable[..., object], inputs: list[str]
 # Injection
 
 
+def with_structure(page: str, source: str) -> str:
+    """A changed page with the head and the body's attributes of its source."""
+    new, old = parse(page), parse(source)
+    first = lambda root, tag: next((n for n in root.walk() if n.tag == tag), None)
+    head, old_head = first(new, "head"), first(old, "head")
+    if head is not None and old_head is not None:
+        head.attrs, head.text, head.children = old_head.attrs, old_head.text, old_head.children
+    body, old_body = first(new, "body"), first(old, "body")
+    if body is not None and old_body is not None:
+        body.attrs = old_body.attrs
+    return new.inner()
+
+
 def injected(source: str, items: list[dict], mode: str = "bilingual") -> tuple[str, list[str]]:
     """(document with translations, ids whose place wasn't found).
 
@@ -254,7 +325,48 @@ def inject(documents: DataFrame, translations: DataFrame, mode: str = "bilingual
     return joined.mapInArrow(run, "book_id string, file_path string, html string, lost array<string>")
 
 
-def headings(translations: DataFrame) -> DataFrame:
-    """(book_id, file_path, title): the translation of a file's heading; the last one stands for the file."""
-    heads = translations.where(F.col("element_type").rlike("^h[1-6]$"))
-    return heads.groupBy("book_id", "file_path").agg(F.max_by("translation", "order_in_file").alias("title"))
+def missing_documents(documents: DataFrame, translations: DataFrame) -> DataFrame:
+    """(book_id, file_path, n): files that have translations but no document."""
+    counted = translations.groupBy("book_id", "file_path").agg(F.count("*").alias("n"))
+    return counted.join(documents.select("book_id", "file_path"), ["book_id", "file_path"], "left_anti")
+
+
+def headings(translations: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """(book_id, file_path, fragment, title): the translations of a file's headings.
+
+    A null fragment stands for the file and has the last heading's. With the documents each heading
+    that carries an id, or stands in an element that does, also stands for that fragment.
+    """
+    heads = translations.where(F.col("element_type").rlike("^h[1-4]$"))
+    whole = heads.groupBy("book_id", "file_path").agg(F.max_by("translation", "order_in_file").alias("title"))
+    whole = whole.select("book_id", "file_path", F.lit(None).cast("string").alias("fragment"), "title")
+    if documents is None:
+        return whole
+    listed = heads.groupBy("book_id", "file_path").agg(F.sort_array(F.collect_list(F.struct("order_in_file", "xpath", "translation"))).alias("heads"))
+    joined = listed.join(documents.select("book_id", "file_path", "html"), ["book_id", "file_path"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for book, path, source, found in _columns(batch, "book_id", "file_path", "html", "heads"):
+                root = parse(source or "")
+                named: dict[str, str] = {}
+                for h in found:
+                    node = find(root, h["xpath"])
+                    for ident in ids_of(node) if node is not None else ():
+                        named.setdefault(ident, h["translation"])
+                out += [(book, path, ident, title) for ident, title in named.items()]
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["book_id", "file_path", "fragment", "title"])
+
+    return whole.union(joined.mapInArrow(run, "book_id string, file_path string, fragment string, title string"))
+
+
+def ids_of(node: Node) -> list[str]:
+    """The ids of a heading, of what is inside it, and of elements around it that begin with it."""
+    found = [n.attrs["id"] for n in node.walk() if n.attrs.get("id")]
+    while node.parent is not None and node.parent.children[0] is node and not node.parent.text.strip():
+        node = node.parent
+        if node.attrs.get("id"):
+            found.append(node.attrs["id"])
+    return found

@@ -117,6 +117,18 @@ def audio_pending(plan: DataFrame, audio: DataFrame, files: DataFrame) -> DataFr
     return plan.where("skipped_because is null").join(there, KEY, "left_anti").join(audio.where("status = 'skipped'"), KEY, "left_anti")
 
 
+def stamped(state: DataFrame, updates: DataFrame, now: Column | None = None) -> DataFrame:
+    """Audio records replaced or added, with the time of the change in ``updated_at``."""
+    marked = updates.withColumn("updated_at", F.current_timestamp() if now is None else now)
+    return merged(state, marked, insert=True)
+
+
+def audio_missing(plan: DataFrame, audio: DataFrame, files: DataFrame) -> DataFrame:
+    """(book_id, n_missing, first_missing): what a finished audio book still lacks."""
+    todo = audio_pending(plan, audio, files)
+    return todo.groupBy("book_id").agg(F.count("*").alias("n_missing"), F.min(F.struct("spine_index", "order_in_file", "segment_id"))["segment_id"].alias("first_missing"))
+
+
 def failure_runs(events: DataFrame, key: str, order: list[str], failed: Column) -> DataFrame:
     """Each event with the length of the run of failures it ends; a success resets it."""
     from pyspark.sql import Window

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import posixpath
 import re
 
@@ -185,3 +186,25 @@ def _image(node: Node, document: str, images: dict[str, str]) -> str:
     source = node.attrs.get("src") or node.attrs.get("href") or node.attrs.get("xlink:href") or ""
     path = posixpath.normpath(posixpath.join(posixpath.dirname(document), source)) if source else ""
     return f"![{node.attrs.get('alt', '')}]({'images/' + images[path] if path in images else source})"
+
+
+#: The start page of a web export: its documents in a frame, its contents beside it.
+INDEX = """<!DOCTYPE html>
+<html><head><meta charset="utf-8"><title>{title}</title></head>
+<body><nav id="contents"></nav><iframe name="page" title="page"></iframe>
+<script type="application/json" id="book">{json}</script>
+<script>
+const book = JSON.parse(document.getElementById("book").textContent), nav = document.getElementById("contents");
+for (const doc of book.spine || []) {{
+  const link = document.createElement("a");
+  link.href = doc.href; link.target = "page"; link.textContent = doc.title;
+  nav.append(link, document.createElement("br"));
+}}
+if (book.spine && book.spine.length) document.querySelector("iframe").src = book.spine[0].href;
+</script></body></html>
+"""
+
+
+def index_page(title: str, json: str) -> str:
+    """``json`` is made safe for a script element, as export.book_json does."""
+    return INDEX.format(title=html.escape(title), json=json)

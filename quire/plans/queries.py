@@ -100,7 +100,8 @@ COPY = """CASE WHEN t = '' THEN 'empty'
 def copy_classes(spark, sf):
     """Why pieces of text need no model, counted by language; every word is a piece."""
     words = table(spark, sf, "documents").select("lang", F.explode(F.split("text", "[ \n]")).alias("t"))
-    return words.groupBy("lang", text.copy_class(F.col("t")).alias("class")).agg(F.count("*").alias("n"))
+    distinct = words.groupBy("lang", "t").agg(F.count("*").alias("n"))  # each word is classified once
+    return distinct.groupBy("lang", text.copy_class(F.col("t")).alias("class")).agg(F.sum("n").alias("n"))
 
 
 REFUSE = "lower(regexp_replace(trim({0}), '\\s+', ' ', 'g'))"
@@ -130,19 +131,17 @@ def refusals(spark, sf):
     """SELECT doc_id, slug, CASE WHEN length(a) = 0 THEN 'audiobook' ELSE a END AS ascii_slug FROM (SELECT doc_id,
  CASE WHEN length(s) > 50 THEN rtrim(substr(s, 1, 50), '-') WHEN s = '' THEN 'untitled' ELSE s END AS slug, a FROM (
  SELECT doc_id, trim(lower(regexp_replace(trim(regexp_replace(t, '[<>:"/\\\\|?*!]', '', 'g')), '\\s+', '-', 'g')), '-') AS s,
- regexp_replace(regexp_replace(trim(t), '\\s+', '_', 'g'), '[^A-Za-z0-9_-]', '', 'g') AS a FROM (SELECT doc_id, substr(replace(text, chr(10), ' '), 1, 90) AS t FROM documents)))"""
+ regexp_replace(regexp_replace(trim(t), '\\s+', '_', 'g'), '[^A-Za-z0-9_-]', '', 'g') AS a FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents)))"""
 )
 def slugs(spark, sf):
-    """File names from the beginnings of texts."""
-    title = F.substring(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), 1, 90)
+    """File names from whole texts."""
+    title = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
     return table(spark, sf, "documents").select("doc_id", text.slug(title).alias("slug"), text.ascii_slug(title).alias("ascii_slug"))
 
 
 @query()
 def text_slugs(spark, sf):
-    """File names from whole texts."""
-    title = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
-    return table(spark, sf, "documents").select("doc_id", text.slug(title).alias("slug"), text.ascii_slug(title).alias("ascii_slug"))
+    return slugs(spark, sf)
 
 
 @query(
@@ -175,22 +174,27 @@ def roman_words(spark, sf):
 
 
 HREFS = ("../img/a.png", "b.xhtml#x", "/c/d.css", "data:image/png;base64,x", "mailto:a@b", "../../../out", "./e/../f.xhtml", "http://x.org/", "", "//h/x", "../.", "JavaScript:x")
-_RESOLVED = ("img/a.png", "text/b.xhtml#x", "c/d.css", None, None, None, "text/f.xhtml", None, None, None, ".", None)
-_CONTENT = (
-    "content/img/a.png", "content/text/b.xhtml#x", "content/text/c/d.css", "data:image/png;base64,x", "mailto:a@b", "content/../../out", "content/text/f.xhtml", "http://x.org/", "", "//h/x",
-    "content/.", "content/text/JavaScript:x",
-)
+#: A path without dots: parts fall off, then each part before a .. with it, as often as a path here can need it.
+_DOTLESS = r"regexp_replace(regexp_replace(regexp_replace({0}, '^(\./)+', ''), '/(\./)+', '/', 'g'), '/\.$', '')"
+_UP = r"regexp_replace({0}, '(^|/)[^/.]+/\.\.(/|$)', '\1')"
+_FOLDED = _UP.format(_UP.format(_UP.format(_DOTLESS)))
+_PATH_SQL = f"CASE WHEN rtrim({_FOLDED}, '/') = '' THEN '.' ELSE rtrim({_FOLDED}, '/') END"
 
 
 @query(
-    "SELECT doc_id, resolved, content FROM documents JOIN (VALUES "
-    + ", ".join(f"({i}, {'NULL' if r is None else repr(r)}, {c!r})" for i, (r, c) in enumerate(zip(_RESOLVED, _CONTENT)))
-    + f") v(k, resolved, content) ON doc_id % {len(HREFS)} = k"
+    f"""SELECT doc_id, CASE WHEN href <> '' AND NOT regexp_matches(lower(href), '^(data:|mailto:|tel:|blob:|javascript:|//)') AND NOT contains(href, '://') AND NOT starts_with(inside, '../') THEN inside END AS resolved,
+ CASE WHEN href = '' OR regexp_matches(lower(href), '^(data:|http:|https:|//|#|mailto:|tel:|ftp:|file:|blob:)') THEN href ELSE 'content/' || shown END AS content FROM (
+ SELECT doc_id, href, {_PATH_SQL.format("q")} AS inside, {_PATH_SQL.format("p")} AS shown FROM (
+ SELECT doc_id, href, 'text/d' || doc_id % 7 || '/' || href AS whole, regexp_replace('text/d' || doc_id % 7 || '/' || href, '/+', '/', 'g') AS p,
+ CASE WHEN starts_with(href, '/') THEN ltrim(href, '/') ELSE 'text/d' || doc_id % 7 || '/' || href END AS q FROM (
+ SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN (['{"', '".join(HREFS)}'])[CAST(doc_id % {len(HREFS)} AS INT) + 1] ELSE '../d' || doc_id % 5 || '/./x' || doc_id || '.png' END AS href FROM documents)))"""
 )
 def hrefs(spark, sf):
-    """Relative links resolved against ``text/ch1.xhtml``, and rewritten for the web."""
-    href = F.element_at(F.array(*map(F.lit, HREFS)), (F.col("doc_id") % len(HREFS) + 1).cast("int"))
-    at = F.lit("text/ch1.xhtml")
+    """Relative links resolved against the document they stand in, and rewritten for the web."""
+    made = F.concat(F.lit("../d"), F.col("doc_id") % 5, F.lit("/./x"), "doc_id", F.lit(".png"))
+    fixed = F.element_at(F.array(*map(F.lit, HREFS)), (F.col("doc_id") % len(HREFS) + 1).cast("int"))
+    href = F.when(F.col("doc_id") % 2 == 0, fixed).otherwise(made)
+    at = F.concat(F.lit("text/d"), F.col("doc_id") % 7, F.lit("/ch1.xhtml"))
     return table(spark, sf, "documents").select("doc_id", paths.resolved(at, href).alias("resolved"), paths.content_path(at, href).alias("content"))
 
 
@@ -204,36 +208,43 @@ def url_classes(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.dangerous_url(url).alias("dangerous"), text.external_url(external).alias("external"))
 
 
+ALIASES = ("EN", " english", "Zh_Hans", "TW", "zh-cn ", "Simplified Chinese", "cmn", "日本語", "中文", "deu", "", "detect", "ko")
+_CODES_SQL = "CASE lower(trim(a)) WHEN '' THEN 'auto' " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in text.LANGUAGES.items()) + " ELSE trim(a) END"
+_NAMES_SQL = "CASE code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in dict(reversed(list(text.LANGUAGES.values()))).items()) + " ELSE code END"
+_DEEPL_SQL = "CASE lower(name) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.DEEPL_CODES.items()) + " END"
+
+
 @query(
-    """SELECT lang, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' ELSE lang END AS name,
- upper(lang) AS deepl, false AS chinese, count(*) AS n FROM documents GROUP BY lang"""
+    f"""SELECT a AS alias, code, name, {_DEEPL_SQL} AS deepl, contains(lower(trim(code)), 'chinese') OR regexp_matches(lower(trim(code)), '^(zh|cmn|yue)([_-]|$)') OR regexp_matches(code, '[一-鿿]') AS chinese, count(*) AS n FROM (
+ SELECT a, code, {_NAMES_SQL} AS name FROM (SELECT a, {_CODES_SQL} AS code FROM (
+ SELECT CASE WHEN doc_id % 3 = 0 THEN ' ' || upper(lang) ELSE ([{", ".join(f"'{x}'" for x in ALIASES)}])[CAST(doc_id % {len(ALIASES)} AS INT) + 1] END AS a FROM documents))) GROUP BY ALL"""
 )
 def languages(spark, sf):
-    code = text.language_code(F.concat(F.lit(" "), F.upper("lang")))
-    rows = table(spark, sf, "documents").select("lang", text.language_name(code).alias("name"), text.deepl_code(code).alias("deepl"), text.chinese_target(code).alias("chinese"))
-    return rows.groupBy("lang", "name", "deepl", "chinese").agg(F.count("*").alias("n"))
+    """Names that people give languages, as codes, names, codes of one service, and whether they are Chinese."""
+    fixed = F.element_at(F.array(*map(F.lit, ALIASES)), (F.col("doc_id") % len(ALIASES) + 1).cast("int"))
+    alias = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), F.upper("lang"))).otherwise(fixed)
+    rows = table(spark, sf, "documents").select(alias.alias("alias")).withColumn("code", text.language_code(F.col("alias")))
+    code = F.col("code")
+    rows = rows.withColumns({"name": text.language_name(code), "deepl": text.deepl_code(code), "chinese": text.chinese_target(code)})
+    return rows.groupBy("alias", "code", "name", "deepl", "chinese").agg(F.count("*").alias("n"))
 
 
 @query(
     """SELECT segment_id, CASE WHEN length(source_content) > 80 THEN substr(source_content, 1, 79) || '…' ELSE source_content END AS preview,
  'Detect the source language automatically and translate it into Simplified Chinese. Return a faithful translation of the prose without adding explanations.' || chr(10) || chr(10) || 'SOURCE:' || chr(10) || source_content AS prompt
- FROM segments WHERE order_in_file <= 2""",
+ FROM segments""",
     "segments",
 )
 def prompts(spark, sf):
-    """Prompts of the first two segments of each document, which is what the SQL covers."""
-    return _prompts(lib.segments(spark, sf).where("order_in_file <= 2"))
+    """A prompt and a preview for every segment."""
+    rows = lib.segments(spark, sf)
+    asked = text.prompt(F.col("source_content"), F.col("extract_mode"), F.lit("auto"), F.lit("zh-CN"), "{language_instruction} {mode_instruction}")
+    return rows.select("segment_id", text.truncated(F.col("source_content")).alias("preview"), asked.alias("prompt"))
 
 
 @query()
 def segment_prompts(spark, sf):
-    """A prompt and a preview for every segment."""
-    return _prompts(lib.segments(spark, sf))
-
-
-def _prompts(rows: DataFrame) -> DataFrame:
-    asked = text.prompt(F.col("source_content"), F.col("extract_mode"), F.lit("auto"), F.lit("zh-CN"), "{language_instruction} {mode_instruction}")
-    return rows.select("segment_id", text.truncated(F.col("source_content")).alias("preview"), asked.alias("prompt"))
+    return prompts(spark, sf)
 
 
 @query(
@@ -565,7 +576,23 @@ def html_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.unique_ids(segments.segment_documents(page_documents(spark, sf_dir)))
 
 
-@query()
+#: Markup as text: tags gone, the references that the pages use decoded, white space made single.
+_TEXT_SQL = r"""trim(regexp_replace(regexp_replace(replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))"""
+_DOTS_SQL = r"regexp_replace(regexp_replace({0}, '\.\s+\.\s+\.(\s+\.)*', '...', 'g'), '\.\.\.\s*([^\s])', '... \1', 'g')"
+_PAGE_TEXT_SQL = _DOTS_SQL.format(_TEXT_SQL)
+#: The blocks of the test tables' pages by regular expressions, apart from the tree that the segmenter builds.
+PAGE_SQL = f"""art AS (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*', ''), '://([^/]*)/', 1) AS book_id, regexp_extract(html, '(?s)<nav><ul>(.*?)</ul>', 1) AS menu, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS ad,
+ regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS head, string_split(regexp_extract(html, '(?s)</h1>(.*?)</article>', 1), '<p>')[2:] AS paras FROM pages),
+parts AS (SELECT book_id, page_id, 1 AS k, 'ul' AS element_type, '/html/body/nav/ul' AS xpath, trim(regexp_replace(replace(menu, '&quot;', '"'), '</?a[^>]*>', '', 'g')) AS source_content FROM art
+ UNION ALL SELECT book_id, page_id, 2, 'div', '/html/body/div', {_PAGE_TEXT_SQL.format("ad")} FROM art
+ UNION ALL SELECT book_id, page_id, 3, 'h1', '/html/body/article/h1', {_PAGE_TEXT_SQL.format("head")} FROM art
+ UNION ALL SELECT book_id, page_id, 3 + i, 'p', '/html/body/article/p' || CASE WHEN n > 1 THEN '[' || i || ']' ELSE '' END, {_PAGE_TEXT_SQL.format("p")} FROM (
+  SELECT book_id, page_id, len(paras) AS n, unnest(paras) AS p, generate_subscripts(paras, 1) AS i FROM art)),
+psegs AS (SELECT book_id, 'page_' || page_id || '-' || substr(sha1(xpath), 1, 12) AS segment_id, 'Text/page_' || page_id || '.xhtml' AS file_path, xpath, CASE element_type WHEN 'ul' THEN 'html' ELSE 'text' END AS extract_mode,
+ source_content, element_type, CAST(page_id AS INT) AS spine_index, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) AS INT) AS order_in_file FROM parts WHERE source_content <> '')"""
+
+
+@query(f"WITH {PAGE_SQL} SELECT * FROM psegs")
 def page_segments(spark, sf):
     """Segments of web pages: paragraphs and headings as text, lists as markup, with unique ids."""
     return html_segments(spark, sf)
@@ -580,28 +607,23 @@ def page_lists(spark, sf):
     return found.select(F.col("spine_index").cast("long").alias("page_id"), "n_lists", F.lit(1).cast("long").alias("n_pages"))
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\\s+', ' ', 'g')) AS raw_title FROM pages WHERE html NOT LIKE '%<h1>%&%</h1>%'")
+@query("SELECT page_id, " + _TEXT_SQL.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)") + " AS raw_title FROM pages")
 def page_titles(spark, sf):
-    """Headings by segmentation, of pages whose heading holds no character reference."""
-    plain = table(spark, sf, "pages").where("html not like '%<h1>%&%</h1>%'").select(F.col("page_id").cast("int").alias("spine_index"))
-    heads = html_segments(spark, sf).where("element_type = 'h1'").join(plain, "spine_index", "left_semi")
+    """Headings of all pages by segmentation, character references decoded."""
+    heads = html_segments(spark, sf).where("element_type = 'h1'")
     return heads.select(F.col("spine_index").cast("long").alias("page_id"), F.col("source_content").alias("raw_title"))
 
 
 @query()
 def heading_titles(spark, sf):
-    """Headings of all pages by segmentation, character references decoded."""
-    heads = html_segments(spark, sf).where("element_type = 'h1'")
-    return heads.select(F.col("spine_index").cast("long").alias("page_id"), F.col("source_content").alias("raw_title"))
+    return page_titles(spark, sf)
 
 
 @query()
 def page_speech(spark, sf):
-    """What is read aloud of each segment; lists with stops, notes left out."""
-    rows = html_segments(spark, sf)
-    marked = segments.column_map(rows, segments.spoken_markup, ["source_content", "element_type"], "from_markup")
-    content = F.when(F.col("extract_mode") == "html", F.col("from_markup")).otherwise(F.col("source_content"))
-    said = text.speech_text(content, F.col("element_type"), F.col("order_in_file"), F.col("segment_id"), F.col("xpath"))
+    """What is read aloud of each segment, by its document: lists with stops, notes left out."""
+    marked = segments.spoken(html_segments(spark, sf), page_documents(spark, sf))
+    said = text.speech_text(F.col("from_source"), F.col("element_type"), F.col("order_in_file"), F.col("segment_id"), F.col("xpath"))
     return marked.select("book_id", "segment_id", said.alias("spoken"))
 
 
@@ -618,7 +640,11 @@ def page_markdown(spark, sf):
     return segments.column_map(rows, web.markdown, ["html", "file_path"], "markdown").select("book_id", "file_path", "markdown")
 
 
-@query()
+@query(
+    f"""WITH {PAGE_SQL} SELECT book_id, segment_id, CASE WHEN length(t) > 80 THEN substr(t, 1, 79) || '…' ELSE t END AS preview FROM (
+ SELECT book_id, segment_id, CASE element_type WHEN 'ul' THEN trim(regexp_replace(regexp_replace(replace(source_content, '&amp;', '&'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))
+ ELSE regexp_replace(source_content, '<[^>]*>', '', 'g') END AS t FROM psegs)"""
+)
 def page_previews(spark, sf):
     rows = segments.column_map(html_segments(spark, sf), segments.stripped, ["source_content"], "bare")
     return rows.select("book_id", "segment_id", text.truncated(F.col("bare")).alias("preview"))
@@ -648,9 +674,15 @@ def translated_pages(spark, sf):
     return segments.inject(page_documents(spark, sf), _answers(spark, sf), "translated_only").select("book_id", "file_path", "html", F.size("lost").alias("n_lost"))
 
 
-@query()
+@query(
+    f"""WITH {PAGE_SQL} SELECT book_id, file_path, CAST(NULL AS VARCHAR) AS fragment, '[Simplified Chinese] ' || source_content AS title FROM psegs WHERE element_type = 'h1'"""
+)
 def translated_headings(spark, sf):
-    return segments.headings(_answers(spark, sf))
+    """The translation of each page's heading; the stub's capitals are undone by taking the text from the segment."""
+    rows = html_segments(spark, sf)
+    done = _answers(spark, sf)
+    found = segments.headings(done.withColumn("translation", F.concat(F.regexp_extract("translation", r"^\[[^\]]*\] ", 0), "source_content")), page_documents(spark, sf))
+    return found
 
 
 @query(
@@ -768,5 +800,287 @@ def cached_chapters(spark, sf):
     rows = lib.segments(spark, sf).groupBy("book_id", F.col("file_path").alias("chapter_file")).agg(
         F.sort_array(F.collect_list("order_in_file")).alias("ids"), F.lit(5).alias("newest"), F.max("order_in_file").alias("n")
     )
-    manifest = rows.select("book_id", "chapter_file", F.when(F.col("n") % 2 == 0, F.col("ids")).otherwise(F.slice("ids", 2, 10000)).alias("ids"), F.lit(9).alias("built"))
+    manifest = rows.select("book_id", "chapter_file", F.when(F.col("n") % 2 == 0, F.col("ids")).otherwise(F.slice("ids", F.lit(2), F.size("ids"))).alias("ids"), F.lit(9).alias("built"))
     return chapters.cache_valid(rows, manifest).where("current").groupBy("book_id").agg(F.count("*").alias("n_current"))
+
+
+# Operators that the queries above don't reach
+
+
+@query("SELECT book_id, segment_id FROM segments WHERE doc_id % 5 = 0", "segments")
+def chosen_segments(spark, sf):
+    """Segments of listed files; every fifth document is on the list."""
+    listed = lib.spine(spark, sf).where("doc_id % 5 = 0").select("book_id", "file_path")
+    return st.chosen(lib.segments(spark, sf), listed).select("book_id", "segment_id")
+
+
+@query(_skip_sql("SELECT book_id, segment_id FROM segments g WHERE NOT EXISTS (SELECT 1 FROM skips k WHERE k.book_id = g.book_id AND k.file_path = g.file_path)", "segments"))
+def unskipped_segments(spark, sf):
+    """Without a list, segments of the files that no rule skips."""
+    return st.chosen(skip.tagged(lib.segments(spark, sf), _skips(spark, sf)), None).select("book_id", "segment_id")
+
+
+def _spoken_plan(spark, sf) -> DataFrame:
+    rows = lib.segments(spark, sf).withColumns({"skip_reason": F.lit(None).cast("string"), "element_type": F.lit("p")})
+    return st.audio_plan(rows, lib.state(spark, sf))
+
+
+def _audio_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(audio records, files that are there): of every third finished segment the file is lost."""
+    done = lib.segments(spark, sf).join(lib.state(spark, sf).select("book_id", "segment_id", "status"), ["book_id", "segment_id"])
+    rows = done.select("book_id", "segment_id", "status", F.concat("book_id", F.lit("/"), "segment_id", F.lit(".m4a")).alias("audio_path"), "order_in_file")
+    there = rows.where("order_in_file % 3 <> 0").select(F.col("audio_path").alias("path"))
+    return rows.drop("order_in_file"), there
+
+
+_AUDIO_TODO = """SELECT g.* FROM segments g LEFT JOIN state s USING (book_id, segment_id) WHERE coalesce(s.status, '') <> 'skipped'
+ AND NOT regexp_full_match(source_content, '[^\\w\\p{L}\\p{N}\\p{M}]+') AND NOT (coalesce(s.status, '') = 'completed' AND order_in_file % 3 <> 0)"""
+
+
+@query(f"SELECT book_id, segment_id FROM ({_AUDIO_TODO})", "state")
+def audio_pending(spark, sf):
+    """Segments to be spoken: without audio, or with audio whose file is lost."""
+    audio_rows, there = _audio_rows(spark, sf)
+    return st.audio_pending(_spoken_plan(spark, sf), audio_rows, there).select("book_id", "segment_id")
+
+
+@query(
+    f"SELECT book_id, count(*) AS n_missing, arg_min(segment_id, (spine_index, order_in_file)) AS first_missing FROM ({_AUDIO_TODO}) GROUP BY book_id", "state"
+)
+def audio_missing(spark, sf):
+    return st.audio_missing(_spoken_plan(spark, sf), *_audio_rows(spark, sf))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Own' WHEN doc_id % 5 = 0 THEN 'Entry' WHEN doc_id % 3 = 0 THEN 'Heading' ELSE 'Doc ' || doc_id END AS title FROM documents"""
+)
+def chapter_titles(spark, sf):
+    """The first title that isn't blank: a custom one, the contents' entry, the document's heading, the file's name."""
+    k = F.col("doc_id")
+    custom, entry = F.when(k % 7 == 0, "Own"), F.when(k % 5 == 0, "Entry").otherwise("")
+    heading = F.when(k % 3 == 0, "Heading").otherwise("  ")
+    return table(spark, sf, "documents").select("doc_id", chapters.chapter_title(custom, entry, heading, F.concat(F.lit("Text/doc_"), k, F.lit(".xhtml"))).alias("title"))
+
+
+_VOICES = ("en-US-AriaNeural", "zh-CN-XiaoxiaoMultilingualNeural", "de-DE-Kat-Ja", "alloy", "fr-FR-Neural", "x-y-_Bob-Turbo")
+
+
+@query(
+    f"""SELECT o_orderkey, CASE WHEN trim(n, '-_') = '' THEN v ELSE trim(n, '-_') END AS narrator FROM (SELECT o_orderkey, v, regexp_replace(regexp_replace(regexp_replace(
+ CASE WHEN len(string_split(v, '-')) >= 3 THEN array_to_string(string_split(v, '-')[3:], '-') ELSE v END, 'Neural$', ''), 'Multilingual$', ''), 'Turbo$', '') AS n FROM (
+ SELECT o_orderkey, ([{", ".join(f"'{v}'" for v in _VOICES)}])[CAST(o_orderkey % {len(_VOICES)} AS INT) + 1] AS v FROM orders))"""
+)
+def narrators(spark, sf):
+    voice = F.element_at(F.array(*map(F.lit, _VOICES)), (F.col("o_orderkey") % len(_VOICES) + 1).cast("int"))
+    return table(spark, sf, "orders").select("o_orderkey", text.narrator(voice).alias("narrator"))
+
+
+@query(
+    """SELECT doc_id, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS chars FROM (SELECT doc_id, unnest(string_split(regexp_replace(replace(text, ', ', '。'), '([。？！…；.!?])\\s*', '\\1' || chr(1), 'g'), chr(1))) AS s FROM documents)
+ WHERE trim(s) <> '' GROUP BY doc_id"""
+)
+def cjk_sentences(spark, sf):
+    """Sentences that end without white space; commas stand for ideographic full stops."""
+    said = text.sentences(F.replace(F.col("text"), F.lit(", "), F.lit("。")), cjk=True)
+    rows = table(spark, sf, "documents").select("doc_id", F.explode(said).alias("s"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"))
+
+
+_IDS = ("ftn", "footnote-", "fnord", "note_", "my note ", "banknote", "x-rearnote", "Endnote-")
+
+
+@query(
+    f"""SELECT o_orderkey, len(list_filter(string_split_regex(lower(v), '[\\s_\\-]+'), lambda p: regexp_full_match(p, '(footnote|endnote|rearnote|ftn|fn|note)[0-9]*'))) > 0 AS names_note FROM (
+ SELECT o_orderkey, ([{", ".join(f"'{v}'" for v in _IDS)}])[CAST(o_orderkey % {len(_IDS)} AS INT) + 1] || o_orderkey AS v FROM orders)"""
+)
+def note_identifiers(spark, sf):
+    value = F.concat(F.element_at(F.array(*map(F.lit, _IDS)), (F.col("o_orderkey") % len(_IDS) + 1).cast("int")), F.col("o_orderkey"))
+    return table(spark, sf, "orders").select("o_orderkey", text.note_identifier(value).alias("names_note"))
+
+
+@query("SELECT page_id, 'file ''' || replace(p, '''', '''\\''''') || '''' AS line FROM (SELECT page_id, '/a/it''s ' || page_id || '/' || url AS p FROM pages)")
+def concat_lines(spark, sf):
+    path = F.concat(F.lit("/a/it's "), "page_id", F.lit("/"), "url")
+    return table(spark, sf, "pages").select("page_id", text.concat_line(path).alias("line"))
+
+
+@query(
+    """SELECT o_orderkey, regexp_replace(regexp_replace(v, '(\\.\\s+){2,}\\.', '...', 'g'), '(\\.\\s+){2,}\\.', '...', 'g') AS spoken FROM (
+ SELECT o_orderkey, 'a' || repeat(' .', CAST(o_orderkey % 6 AS INT)) || CASE WHEN o_orderkey % 2 = 0 THEN ' b' ELSE '.  . .c' END AS v FROM orders)"""
+)
+def spoken_dots(spark, sf):
+    """Spaced full stops as they are read aloud."""
+    k = F.col("o_orderkey")
+    value = F.concat(F.lit("a"), F.repeat(F.lit(" ."), (k % 6).cast("int")), F.when(k % 2 == 0, " b").otherwise(".  . .c"))
+    return table(spark, sf, "orders").select("o_orderkey", text.spoken_dots(value).alias("spoken"))
+
+
+@query(
+    """SELECT book_id, segment_id, CASE WHEN status = 'completed' AND translation IS NOT NULL THEN '译 ' || n || ' 字 —— ' || n || ' 完... 好' ELSE NULL END AS translation FROM (
+ SELECT t.*, length(segment_id) AS n FROM state t)""",
+    "state",
+)
+def polished_state(spark, sf):
+    """Completed Chinese translations in uniform typography; other records keep what they have."""
+    n = F.length("segment_id")
+    rough = F.concat(F.lit("译"), n, F.lit("字--"), n, F.lit("完 . . . 好"))
+    rows = lib.state(spark, sf).withColumn("translation", F.when(F.col("translation").isNotNull() & (F.col("status") == "completed"), rough))
+    return st.polished(rows).select("book_id", "segment_id", "translation")
+
+
+@query(
+    """SELECT book_id, segment_id, CASE status WHEN 'completed' THEN 'pending' ELSE status END AS status, CASE WHEN status <> 'completed' THEN segment_id || '.m4a' END AS audio_path,
+ CASE WHEN status <> 'completed' THEN CAST(length(segment_id) AS DOUBLE) END AS duration_seconds FROM state""",
+    "state",
+)
+def invalidated_audio(spark, sf):
+    """Audio records after the voice has changed."""
+    rows = lib.state(spark, sf).select("book_id", "segment_id", "status", F.concat("segment_id", F.lit(".m4a")).alias("audio_path"), F.length("segment_id").cast("double").alias("duration_seconds"))
+    return st.invalidated(rows, {"voice": "a"}, {"voice": "b", "cover": "c"})
+
+
+_IMAGES_SQL = "SELECT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS book_id, page_id AS pos, 'i/' || CASE WHEN page_id % 13 = 5 THEN 'Cover' ELSE 'p' END || page_id || '.png' AS file_path FROM pages"
+
+
+@query(
+    f"""WITH im AS ({_IMAGES_SQL}), marked AS (SELECT * FROM im WHERE pos % 29 = 3 UNION ALL SELECT book_id, pos, 'gone.png' FROM im),
+ used AS (SELECT book_id, pos % 5 AS nth, pos, file_path FROM im WHERE pos % 7 = 2)
+ SELECT book_id, coalesce(a, b, c, d) AS cover FROM (SELECT book_id, arg_min(file_path, pos) AS d, arg_min(file_path, pos) FILTER (contains(lower(file_path), 'cover')) AS c FROM im GROUP BY book_id)
+ LEFT JOIN (SELECT book_id, min(file_path) AS a FROM marked WHERE file_path <> 'gone.png' GROUP BY book_id) USING (book_id)
+ LEFT JOIN (SELECT book_id, arg_min(file_path, (nth, pos)) AS b FROM used GROUP BY book_id) USING (book_id)"""
+)
+def covers(spark, sf):
+    """Marked images, images in reading order, images named cover, first images; some marks lead nowhere."""
+    k = F.col("page_id")
+    name = F.concat(F.lit("i/"), F.when(k % 13 == 5, "Cover").otherwise("p"), k, F.lit(".png"))
+    found = table(spark, sf, "pages").select(F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)).alias("book_id"), k.alias("pos"), name.alias("file_path"))
+    marked = found.where("pos % 29 = 3").select("book_id", "file_path").union(found.select("book_id", F.lit("gone.png")))
+    used = found.where("pos % 7 = 2").select("book_id", (F.col("pos") % 5).alias("spine_index"), "pos", "file_path")
+    return export.covers(found, marked, used)
+
+
+@query(
+    """SELECT source AS book_id, arg_min('T' || doc_id, doc_id) AS title, arg_min(lang, doc_id) FILTER (doc_id % 3 = 0) AS creator, CAST(NULL AS VARCHAR) AS publisher,
+ arg_min(CASE WHEN doc_id % 2 = 0 THEN CAST(1900 + doc_id % 100 AS VARCHAR) ELSE 'about ' || doc_id END, doc_id) AS year FROM documents GROUP BY source"""
+)
+def book_metadata(spark, sf):
+    """The first value of each field; documents of a source stand for the entries of its package."""
+    k = F.col("doc_id")
+    entry = lambda key, value: F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"))
+    date = F.when(k % 2 == 0, F.concat((1900 + k % 100).cast("string"), F.lit("-01-02"))).otherwise(F.concat(F.lit("about "), k))
+    own = F.array(entry("title", F.concat(F.lit("T"), k)), entry("creator", F.when(k % 3 == 0, F.col("lang"))), entry("date", date))
+    listed = F.array_sort(F.collect_list(F.struct("doc_id", own.alias("own"))))
+    rows = table(spark, sf, "documents").groupBy(F.col("source").alias("book_id")).agg(F.flatten(F.transform(listed, lambda x: x["own"])).alias("metadata"))
+    return export.metadata(rows.select("book_id", F.filter("metadata", lambda m: m["value"].isNotNull()).alias("metadata")))
+
+
+_KEYS = ("mimetype", "META-INF/container.xml", "a/b/x{}.OPF", "c/x{}.opf", "t{}.ncx", "d/t{}.ncx", "page{}.html")
+
+
+@query(
+    f"""SELECT book_id, kind, arg_min(member, (length(member) - length(replace(member, '/', '')), lower(member))) AS member FROM (SELECT *, CASE WHEN regexp_matches(lower(member), '(^|/)mimetype$') THEN 'mimetype'
+ WHEN ends_with(lower(member), 'container.xml') THEN 'container' WHEN ends_with(lower(member), '.opf') THEN 'opf' WHEN ends_with(lower(member), '.ncx') THEN 'ncx' END AS kind FROM (
+ SELECT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS book_id, replace(([{", ".join(f"'{m}'" for m in _KEYS)}])[CAST(page_id % {len(_KEYS)} AS INT) + 1], '{{}}', CAST(page_id AS VARCHAR)) AS member FROM pages)) WHERE kind IS NOT NULL GROUP BY book_id, kind"""
+)
+def key_files(spark, sf):
+    k = F.col("page_id")
+    name = F.replace(F.element_at(F.array(*map(F.lit, _KEYS)), (k % len(_KEYS) + 1).cast("int")), F.lit("{}"), k.cast("string"))
+    return export.key_files(table(spark, sf, "pages").select(F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)).alias("book_id"), name.alias("member")))
+
+
+@query(
+    """SELECT page_id, starts_with(m, '/') OR starts_with(m, '\\') OR regexp_matches(m, '^[A-Za-z]:') OR list_contains(string_split_regex(m, '[/\\\\]'), '..') AS unsafe FROM (
+ SELECT page_id, (['a/', '/a/', 'c:', 'a/../', '..\\', '\\\\h\\', 'a..b/', './'])[CAST(page_id % 8 AS INT) + 1] || url AS m FROM pages)"""
+)
+def unsafe_members(spark, sf):
+    start = F.element_at(F.array(*map(F.lit, ("a/", "/a/", "c:", "a/../", "..\\", "\\\\h\\", "a..b/", "./"))), (F.col("page_id") % 8 + 1).cast("int"))
+    return table(spark, sf, "pages").select("page_id", paths.unsafe_member(F.concat(start, "url")).alias("unsafe"))
+
+
+@query(
+    """SELECT book_id, n_pending, n_copied, coalesce(n_orphans, 0) AS n_orphans FROM (SELECT book_id, CAST(sum(CASE WHEN coalesce(status, 'pending') <> 'completed' THEN 1 ELSE 0 END) AS BIGINT) AS n_pending,
+ CAST(sum(CASE WHEN status = 'completed' AND provider_name IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_copied FROM segments LEFT JOIN state USING (book_id, segment_id) GROUP BY book_id)
+ FULL JOIN (SELECT book_id, count(*) AS n_orphans FROM state t WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.segment_id = t.segment_id AND s.book_id = t.book_id) GROUP BY book_id) USING (book_id)""",
+    "state",
+)
+def pending_totals(spark, sf):
+    """Pending and copied segments of each book, and records without a segment."""
+    return reports.pending_totals(lib.segments(spark, sf), lib.state(spark, sf))
+
+
+@query(_skip_sql("SELECT (SELECT count(DISTINCT book_id) FROM spine) AS n_processed, count(DISTINCT book_id) AS n_with_skips FROM skips"))
+def library_totals(spark, sf):
+    return reports.library_totals(lib.spine(spark, sf), _skips(spark, sf))
+
+
+@query("SELECT book_id, segment_id, error_message FROM state WHERE status = 'error' ORDER BY book_id, segment_id LIMIT 10", "state")
+def first_errors(spark, sf):
+    """The first ten errors of a report."""
+    rows = lib.state(spark, sf).where("status = 'error'").select("book_id", "segment_id", "error_message")
+    return reports.first_rows(rows, ["book_id", "segment_id"], 10)
+
+
+@query(
+    _skip_sql(
+        """SELECT k.book_id, k.file_path, g.spine_index, k.reason, k.source, k.file_path NOT LIKE '%5.xhtml' AS flagged FROM skips k LEFT JOIN (
+ SELECT book_id, file_path, min(spine_index) AS spine_index FROM segments GROUP BY ALL) g USING (book_id, file_path)""",
+        "segments",
+    )
+)
+def skip_flags(spark, sf):
+    """Skipped files in reading order; a reader takes those ending in 5 back."""
+    skips = _skips(spark, sf)
+    taken = skips.where("file_path like '%5.xhtml'").select("book_id", "file_path", F.lit(False).alias("flagged"))
+    return export.skip_flags(lib.segments(spark, sf), skips, taken)
+
+
+@query(
+    """SELECT book_id, file_path, count(*) AS n FROM segments WHERE doc_id % 9 = 4 GROUP BY book_id, file_path""", "segments"
+)
+def missing_documents(spark, sf):
+    """Files with translations whose document is gone: every ninth."""
+    docs = lib.spine(spark, sf).where("doc_id % 9 <> 4").select("book_id", "file_path")
+    return segments.missing_documents(docs, lib.segments(spark, sf))
+
+
+@query(
+    """SELECT book_id, segment_id, coalesce(u.status, t.status) AS status, coalesce(u.at, CAST(t.at AS VARCHAR)) AS updated_at FROM (SELECT book_id, segment_id, status, CAST(NULL AS VARCHAR) AS at FROM state) t
+ FULL JOIN (SELECT book_id, segment_id, 'completed' AS status, '2020-01-02 03:04:05' AS at FROM segments WHERE order_in_file % 4 = 1) u USING (book_id, segment_id)""",
+    "state",
+)
+def stamped_audio(spark, sf):
+    """Audio records of every fourth segment, replaced or added, with the time of the change."""
+    old = lib.state(spark, sf).select("book_id", "segment_id", "status", F.lit(None).cast("string").alias("updated_at"))
+    new = lib.segments(spark, sf).where("order_in_file % 4 = 1").select("book_id", "segment_id", F.lit("completed").alias("status"))
+    return st.stamped(old, new, F.lit("2020-01-02 03:04:05"))
+
+
+@query(
+    _chapter_sql(
+        f"""SELECT book_id, chapter_file, md5(string_agg('file ''' || segment_id || '.m4a''', chr(10) ORDER BY spine_index, order_in_file)) AS lines_md5
+ FROM segments JOIN (SELECT book_id, file_path, chapter_file FROM ({AUDIO})) USING (book_id, file_path) JOIN state t USING (book_id, segment_id) WHERE t.status = 'completed' GROUP BY book_id, chapter_file""",
+        "state",
+    )
+)
+def concat_lists(spark, sf):
+    """What joins the audio files of each chapter, in reading order."""
+    rows = lib.segments(spark, sf)
+    done = lib.state(spark, sf).where("status = 'completed'").select("book_id", "segment_id", "status", F.concat("segment_id", F.lit(".m4a")).alias("audio_path"), F.lit(1.0).alias("duration_seconds"))
+    plan = audio.assembly(rows, chapters.audio_chapter_of(lib.spine(spark, sf), lib.toc(spark, sf)), done)
+    return audio.concat_lists(plan).select("book_id", "chapter_file", F.md5("lines").alias("lines_md5"))
+
+
+@query(
+    "SELECT book_id, segment_id, t.status, source_content FROM segments LEFT JOIN state t USING (book_id, segment_id) WHERE doc_id = 30 AND order_in_file = 1", "state"
+)
+def segment_lookup(spark, sf):
+    """One segment with its record, by its id."""
+    ident = lib.segments(spark, sf).where("doc_id = 30 and order_in_file = 1").select("segment_id").first()["segment_id"]
+    return export.lookup(lib.segments(spark, sf), lib.state(spark, sf), ident).select("book_id", "segment_id", "status", "source_content")
+
+
+@query("SELECT 'en-US' AS locale, 'A' || o_orderkey AS short_name FROM orders WHERE o_orderkey % 3 = 0")
+def voice_list(spark, sf):
+    """Voices of a locale's prefix, whatever its case."""
+    locale = F.element_at(F.array(F.lit("en-US"), F.lit("de-DE"), F.lit("fr-FR")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return audio.voices(table(spark, sf, "orders").select(locale.alias("locale"), F.concat(F.lit("A"), "o_orderkey").alias("short_name")), "EN")

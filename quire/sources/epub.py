@@ -23,6 +23,8 @@ from pyspark.sql.types import StructType
 from quire.operators.export import image_names
 
 MAX_BYTES = 500 * 1024 * 1024
+#: Bytes that the members of one book may have unpacked.
+MOST_UNPACKED = 4 * MAX_BYTES
 SCHEMA = "book_id string, member string, content binary"
 
 
@@ -33,12 +35,27 @@ def safe_member(name: str) -> bool:
 
 def read_members(raw: bytes) -> list[tuple[str, bytes]]:
     """All members of an archive; every name is checked before any content is given."""
+    return [m for part in member_parts(raw) for m in part]
+
+
+def member_parts(raw: bytes, most: int = 64 << 20) -> Iterator[list[tuple[str, bytes]]]:
+    """All members of an archive in lists of about ``most`` bytes; names and sizes are checked before any content is given."""
     with zipfile.ZipFile(io.BytesIO(raw)) as archive:
-        names = [i.filename for i in archive.infolist() if not i.is_dir()]
-        for name in names:
-            if not safe_member(name):
-                raise ValueError(f"unsafe archive member: {name}")
-        return [(name, archive.read(name)) for name in names]
+        items = [i for i in archive.infolist() if not i.is_dir()]
+        for i in items:
+            if not safe_member(i.filename):
+                raise ValueError(f"unsafe archive member: {i.filename}")
+        if sum(i.file_size for i in items) > MOST_UNPACKED:
+            raise ValueError(f"unpacks to more than {MOST_UNPACKED} bytes")
+        out, size = [], 0
+        for i in items:
+            if out and size + i.file_size > most:
+                yield out
+                out, size = [], 0
+            out.append((i.filename, archive.read(i)))
+            size += i.file_size
+        if out:
+            yield out
 
 
 @dataclass
@@ -47,7 +64,10 @@ class _Book(InputPartition):
 
 
 class EpubDataSource(DataSource):
-    """Options: ``path`` (a file or folder), ``limit`` (books in order of their paths)."""
+    """Options: ``path`` (a file or folder that the driver and all executors mount), ``limit`` (books in order of their paths).
+
+    For other stores there is ``members``.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -87,18 +107,22 @@ def register(spark: SparkSession) -> None:
 
 
 def members(spark: SparkSession, path: str) -> DataFrame:
-    """The same rows through Spark's file readers; works on any store that Spark reads."""
+    """The same rows through Spark's file readers; works on any store that Spark reads.
+
+    A book over MAX_BYTES fails the read, as it does in the data source.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.epub").load(path)
-    files = files.where(F.col("length") <= MAX_BYTES).select("path", "content")
+    large = F.raise_error(F.concat(F.lit(f"larger than {MAX_BYTES} bytes: "), "path")).cast("binary")
+    files = files.select("path", F.when(F.col("length") > MAX_BYTES, large).otherwise(F.col("content")).alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path_, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = read_members(raw)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path_] * len(rows)), pa.array([n for n, _ in rows]), pa.array([c for _, c in rows], pa.binary())],
-                    names=["book_id", "member", "content"],
-                )
+            for i in range(batch.num_rows):
+                for rows in member_parts(batch.column(1)[i].as_py()):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([batch.column(0)[i].as_py()] * len(rows)), pa.array([n for n, _ in rows]), pa.array([c for _, c in rows], pa.binary())],
+                        names=["book_id", "member", "content"],
+                    )
 
     return files.mapInArrow(run, SCHEMA)
 
@@ -203,19 +227,76 @@ def written(parts: list[tuple[str, bytes]], replaced: dict[str, bytes]) -> bytes
     return out.getvalue()
 
 
-def books(found: DataFrame, replaced: DataFrame) -> DataFrame:
+#: Fixed value: the rules of a book that shows translations only.
+ONLY_CSS = """
+[data-lang="original"] { display: none !important; }
+[data-lang="translation"] { display: block !important; }
+"""
+
+
+def retitled(ncx: bytes, base: str, titles: dict[tuple[str, str | None], str]) -> bytes:
+    """A table of contents with new titles, by (file, fragment), else by (file, None); other entries stay."""
+    space = "http://www.daisy.org/z3986/2005/ncx/"
+    ET.register_namespace("", space)
+    root = ET.fromstring(ncx)
+    for point in root.iter(f"{{{space}}}navPoint"):
+        src = next((e.attrib.get("src", "") for e in point if _local(e.tag) == "content"), "")
+        path, _, fragment = src.partition("#")
+        at = posixpath.normpath(posixpath.join(base, path)) if path else ""
+        title = titles.get((at, fragment)) or titles.get((at, None))
+        label = next((t for e in point if _local(e.tag) == "navLabel" for t in e if _local(t.tag) == "text"), None)
+        if title and label is not None:
+            label.text = title
+    return ET.tostring(root, encoding="utf-8", xml_declaration=True)
+
+
+def finished(parts: list[tuple[str, bytes]], titles: dict[tuple[str, str | None], str], only: bool) -> bytes:
+    """A book's archive, with new titles in its contents, and with ONLY_CSS once in its first style sheet if asked for."""
+    new = {}
+    if only:
+        for name, content in parts:
+            if titles and name.lower().endswith(".ncx"):
+                new[name] = retitled(content, posixpath.dirname(name), titles)
+        sheets = [(n, c) for n, c in parts if n.lower().endswith(".css")]
+        if sheets and b'[data-lang="original"]' not in sheets[0][1]:
+            new[sheets[0][0]] = sheets[0][1] + ONLY_CSS.encode()
+    return written(parts, new)
+
+
+def books(found: DataFrame, replaced: DataFrame, titles: DataFrame | None = None, only: bool = False) -> DataFrame:
     """(book_id, content): whole archives with the documents of ``replaced(book_id, file_path, html)``.
 
+    ``titles(book_id, file_path, fragment, title)`` and ONLY_CSS go into books that show translations ``only``.
     A book's members are brought together in one row, which its size limit bounds.
     """
     new = replaced.select("book_id", F.col("file_path").alias("member"), F.encode("html", "UTF-8").alias("new"))
     joined = found.join(new, ["book_id", "member"], "left").select("book_id", "member", F.coalesce("new", "content").alias("content"))
     grouped = joined.groupBy("book_id").agg(F.collect_list(F.struct("member", "content")).alias("parts"))
+    if titles is None:
+        grouped = grouped.withColumn("titles", F.expr("cast(array() as array<struct<file_path:string,fragment:string,title:string>>)"))
+    else:
+        named = titles.groupBy("book_id").agg(F.collect_list(F.struct("file_path", "fragment", "title")).alias("titles"))
+        grouped = grouped.join(named, "book_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for book, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                whole = written(sorted((p["member"], p["content"]) for p in parts), {})
+            for i in range(batch.num_rows):
+                book, parts, named = (batch.column(c)[i].as_py() for c in range(3))
+                own = {(t["file_path"], t["fragment"]): t["title"] for t in named or ()}
+                whole = finished(sorted((p["member"], p["content"]) for p in parts), own, only)
                 yield pa.RecordBatch.from_arrays([pa.array([book]), pa.array([whole], pa.binary())], names=["book_id", "content"])
 
-    return grouped.mapInArrow(run, "book_id string, content binary")
+    return grouped.select("book_id", "parts", "titles").mapInArrow(run, "book_id string, content binary")
+
+
+def item(package: DataFrame, href: str) -> DataFrame:
+    """The manifest items at a path; a book without one fails."""
+    at = F.filter("manifest", lambda m: m["file_path"] == href)
+    missing = F.raise_error(F.concat(F.lit(f"no {href} in "), "book_id"))
+    return package.select("book_id", F.when(F.size(at) == 0, missing.cast("struct<id:string,file_path:string,media_type:string>")).otherwise(F.get(at, F.lit(0))).alias("m")).select("book_id", "m.*")
+
+
+def image_files(found: DataFrame, package: DataFrame) -> DataFrame:
+    """(book_id, path, content): every image under its unique name."""
+    named = images(package).select("book_id", F.col("file_path").alias("member"), "name").distinct()
+    return found.join(named, ["book_id", "member"]).select("book_id", F.concat(F.lit("images/"), "name").alias("path"), "content")

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import os
+import posixpath
 import re
 import unicodedata
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from quire.functions.text import slug, stem
 
 STATE_SCHEMA = (
     "book_id string, segment_id string, status string, translation string, provider_name string, model_name string, error_message string"
@@ -69,17 +73,34 @@ def read_chapters(path: str) -> tuple[list[dict], dict]:
     return [c | {"start": secs(c.get("start"))} for c in body["chapters"]], body.get("metadata") or {}
 
 
+_WORD = re.compile(r"[^\s_-]+")
+#: What a scalar in double quotes writes differently.
+_ESCAPES = str.maketrans({"\\": r"\\", '"': r"\"", "\n": " ", "\r": " "})
+
+
 def work_name(path: str) -> str:
     """A book's work folder: the first word of its file name in ASCII, and a digest of its path."""
-    whole = Path(path).expanduser().resolve(strict=False)
-    words = [w for w in re.split(r"[\s_-]+", whole.stem) if w]
-    plain = unicodedata.normalize("NFKD", words[0] if words else "book").encode("ascii", "ignore").decode().lower()
-    return f"{re.sub('[^a-z0-9]+', '', plain) or 'book'}-{hashlib.sha1(str(whole).encode()).hexdigest()[:8]}"
+    at = os.path.realpath(os.path.expanduser(path))
+    word = _WORD.search(Path(at).stem)
+    letters = (c for c in unicodedata.normalize("NFKD", word[0] if word else "").lower() if c.isascii() and c.isalnum())
+    return "-".join(("".join(letters) or "book", hashlib.sha1(at.encode()).hexdigest()[:8]))
 
 
 def yaml_scalar(value: object) -> str:
-    text = str(value).replace("\\", "\\\\").replace('"', '\\"').replace("\n", " ").replace("\r", " ")
-    return f'"{text}"'
+    return str(value).translate(_ESCAPES).join('""')
+
+
+def checked_workspace(work: str, book: str, recorded: str) -> None:
+    """Fails where a work folder was made from another book than the one at hand."""
+    if os.path.realpath(os.path.expanduser(recorded)) != os.path.realpath(os.path.expanduser(book)):
+        raise ValueError(f"{work} belongs to {recorded}, not to {book}")
+
+
+def output_path(book: str, mode: str) -> str:
+    """Where a translated book goes: beside the original, with its mode behind the name."""
+    ending = {"bilingual": "_bilingual", "translated_only": "_translated"}[mode]
+    at = Path(book)
+    return str(at.with_name(at.stem + ending + at.suffix))
 
 
 def settings_template(rows: list[dict]) -> str:
@@ -100,6 +121,53 @@ def write_new(path: str, text: str) -> bool:
     return True
 
 
+def write_named(rows: DataFrame, folder: str) -> None:
+    """The files of ``rows(path, content)`` below a folder, written by the executors.
+
+    ``folder`` is a path or URI of a store that all executors reach. A file is written beside its place and
+    moved there whole, so a task that runs again leaves nothing half done.
+    """
+
+    def put(part: Iterator) -> None:
+        import uuid
+
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
+        for row in part:
+            path = posixpath.join(base, row["path"])
+            if ".." in row["path"].split("/") or row["path"].startswith("/"):
+                raise ValueError(f"outside the folder: {row['path']}")
+            store.create_dir(posixpath.dirname(path), recursive=True)
+            aside = f"{path}.{uuid.uuid4().hex}"
+            with store.open_output_stream(aside) as out:
+                out.write(bytes(row["content"]))
+            store.move(aside, path)
+
+    rows.select("path", "content").foreachPartition(put)
+
+
+def chapter_files(chapters: DataFrame, width: int = 3) -> DataFrame:
+    """(path, content): a markdown file a chapter, numbered in reading order and named by its title.
+
+    ``chapters(book_id, position, title, body)``.
+    """
+    nth = F.row_number().over(Window.partitionBy("book_id").orderBy("position", "title"))
+    name = F.concat(F.lpad(nth.cast("string"), width, "0"), F.lit("_"), slug(F.col("title")), F.lit(".md"))
+    text = F.concat(F.lit("# "), "title", F.lit("\n\n"), "body", F.lit("\n"))
+    return chapters.select(F.concat(folder_name(F.col("book_id")), F.lit("/"), name).alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+
+def folder_name(book: Column) -> Column:
+    """A book's folder in an export: its file's stem and a digest of its path, so that equal names stay apart."""
+    return F.concat(slug(stem(book)), F.lit("-"), F.substring(F.sha1(book), 1, 8))
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report as JSON, one object a line."""
+    rows.write.mode("overwrite").json(path)
+
+
 def write_markdown(chapters: DataFrame, folder: str) -> None:
     """A text file tree partitioned by book; ``chapters(book_id, position, title, body)``."""
     text = F.concat(F.lit("# "), "title", F.lit("\n\n"), "body")

@@ -16,24 +16,41 @@ TITLES = (
 )
 
 
+#: Ids of a book that are numbered in one task: blocks of this width.
+BLOCK = 8192
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with each row's place among those of its source by doc_id, from 0.
+
+    Blocks of ids are counted first and their counts summed up, so no task holds a whole source.
+    """
+    keyed = docs.withColumn("block", F.expr(f"doc_id div {BLOCK}"))
+    counts = keyed.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("s", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    joined = keyed.join(starts, F.col("source").eqNullSafe(F.col("s")) & F.col("block").eqNullSafe(F.col("b")))
+    within = F.row_number().over(Window.partitionBy("s", "b").orderBy("doc_id"))
+    return joined.withColumn("nth", F.col("start") + within - 1).drop("block", "s", "b", "start")
+
+
 def spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    index = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    docs = numbered(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang"))
     return docs.select(
         F.col("source").alias("book_id"),
         "doc_id",
         F.concat(F.lit("Text/doc_"), F.col("doc_id"), F.lit(".xhtml")).alias("file_path"),
-        index.cast("long").alias("spine_index"),
+        F.col("nth").cast("long").alias("spine_index"),
         "lang",
         (F.col("doc_id") % 17 != 0).alias("linear"),
     )
 
 
 def toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third spine item is an entry, so its position follows from its index."""
     named = F.element_at(F.array(*map(F.lit, TITLES)), (F.col("doc_id") % len(TITLES) + 1).cast("int"))
     chosen = spine(spark, sf_dir).where("spine_index % 3 = 1")
-    pos = F.row_number().over(Window.partitionBy("book_id").orderBy("spine_index")) - 1
-    return chosen.select("book_id", pos.cast("long").alias("pos"), named.alias("title"), F.concat("file_path", F.lit("#top")).alias("href"))
+    return chosen.select("book_id", F.expr("spine_index div 3").alias("pos"), named.alias("title"), F.concat("file_path", F.lit("#top")).alias("href"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quire.functions.html import find, parse, path_of
 from quire.operators import segments, web
@@ -68,6 +69,61 @@ def test_speech():
     assert not segments.note_definition(parse("<div id='banknote'><p>x</p></div>").children[0].children[0])
 
 
+@pytest.mark.parametrize(
+    ("link", "want"),
+    [
+        ("<a class='note' href='x.html'><sup>1</sup></a>", True),
+        ("<a class='fn' href='x.html'><sup>1</sup></a>", True),
+        ("<a id='note4' href='x.html'><sup>1</sup></a>", True),
+        ("<a epub:type='noteref' href='x.html'><sup>1</sup></a>", True),
+        ("<a role='doc-noteref' href='x.html'><sup>1</sup></a>", True),
+        ("<a><sup>1</sup></a>", True),
+        ("<a href='notes.xhtml#n1'><sup>1</sup></a>", True),
+        ("<a href='formula.xhtml'><sup>2</sup></a>", False),
+    ],
+)
+def test_note_references(link, want):
+    assert segments.note_reference(parse(link).children[0]) == want
+
+
+def test_speech_reads_the_document(spark):
+    page = "<html><body><p>Text<a class='noteref' href='n.html'><sup>1</sup></a> goes on.</p><aside epub:type='footnote'><p>A note.</p></aside><ul><li>one</li></ul></body></html>"
+    docs = spark.createDataFrame([("b", "a.xhtml", 0, page)], "book_id string, file_path string, spine_index int, html string")
+    rows = segments.segment_documents(docs)
+    got = {r["element_type"] + str(r["order_in_file"]): r["from_source"] for r in segments.spoken(rows, docs).collect()}
+    assert got == {"p1": "Text goes on.", "p2": None, "ul3": "one."}
+
+
+def test_deep_pages():
+    page = "<div>" * 5000 + "<p>in</p>" + "</div>" * 5000
+    assert [c for _, _, c, _ in segments.document_segments(page)] == ["in"]
+    assert "in" in web.cleaned(page) and web.markdown(page) == "in"
+    assert "in" in segments.injected(page, [{"segment_id": "s", "xpath": "/p", "extract_mode": "text", "translation": "x", "order_in_file": 1}])[0]
+
+
+def test_list_stops():
+    def stopped(source):
+        root = parse(source)
+        segments.with_list_stops(root)
+        return [n.content().strip() for n in root.walk() if n.tag == "li"]
+
+    assert stopped("<ul><li>a<li>b!<li> <li><b>c</b> d</ul>") == ["a.", "b!", "", "c d."]
+    assert stopped("<ul><li><i>e</i></ul>") == ["e."] and stopped("<ul><li><i>f.</i></ul>") == ["f."]
+
+
+def test_structure_headings_and_missing_documents(spark):
+    old = "<html><head lang='x'><title>t</title></head><body class='k'><p>a</p></body></html>"
+    new = "<html><head></head><body><p>b</p></body></html>"
+    assert segments.with_structure(new, old) == '<html><head lang="x"><title>t</title></head><body class="k"><p>b</p></body></html>'
+    page = "<html><body><h1 id='one'>A</h1><section id='two'><h2>B <i id='three'>x</i></h2><p>y</p></section></body></html>"
+    docs = spark.createDataFrame([("b", "f", 0, page)], "book_id string, file_path string, spine_index int, html string")
+    rows = segments.segment_documents(docs).withColumn("translation", F.concat(F.lit("T"), "order_in_file"))
+    got = {(r["fragment"], r["title"]) for r in segments.headings(rows, docs).collect()}
+    assert got == {(None, "T2"), ("one", "T1"), ("two", "T2"), ("three", "T2")}
+    lost = segments.missing_documents(docs.where("false"), rows).first()
+    assert (lost["file_path"], lost["n"]) == ("f", 3)
+
+
 def test_cleaning_and_markdown():
     got = web.cleaned("<p onclick='x' style='y' class='z'>a<script>bad()</script><a href='java\tscript:x'>l</a><font>f</font></p><img src='../i/a.png'>", "Text/c.xhtml")
     assert "script" not in got and "onclick" not in got and "style" not in got and "<font>" not in got and "f</p>" in got

@@ -1,3 +1,7 @@
+import json
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from threading import Thread
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +115,66 @@ def test_audio(spark):
     assert {r["segment_id"]: r["pause_ms"] for r in made} == {"a": sum(audio.pauses("a", 3, 1, 2)), "b": 0}
     rows = spark.createDataFrame([("en-US", "b"), ("en-GB", "a"), ("de-DE", "c")], "locale string, short_name string")
     assert [r[1] for r in audio.voices(rows, "EN").collect()] == ["a", "b"] and audio.voices(rows, "xx").count() == 0
+
+
+class _Answers(BaseHTTPRequestHandler):
+    """A service that is busy once, then answers in the shape of its path."""
+
+    busy = 1
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        if self.path == "/wrong":
+            self.send_error(404)
+            return
+        if _Answers.busy:
+            _Answers.busy -= 1
+            self.send_error(503)
+            return
+        said = json.dumps(body)[-60:]
+        answer = {
+            "/responses": {"output": [{"content": [{"text": said}]}]},
+            "/chat": {"choices": [{"message": {"content": said}}]},
+            "/messages": {"content": [{"text": said}]},
+            "/contents": {"candidates": [{"content": {"parts": [{"text": said}]}}]},
+            "/generate": {"response": said},
+        }[self.path]
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps(answer).encode())
+
+    def log_message(self, *args):
+        pass
+
+
+def test_services():
+    server = ThreadingHTTPServer(("127.0.0.1", 0), _Answers)
+    Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    for shape in models.SHAPES:
+        client = models.Service(f"{base}/{shape}", "m", shape, headers={"Authorization": "Bearer k"})
+        assert "Hello" in models.attempted(lambda: client.translate("Hello", "en", "French"), sleep=lambda s: None)
+    with pytest.raises(models.FatalError):
+        models.attempted(lambda: models.Service(f"{base}/wrong", "m").translate("x", "en", "fr"))
+    server.shutdown()
+
+
+def test_speech(spark):
+    class Bad(models.SilentSpeaker):
+        def synthesize(self, text, voice):
+            if "boom" in text:
+                raise OSError("down")
+            return super().synthesize(text, voice)
+
+    plan = spark.createDataFrame([("b", "1", "One sentence. Two here."), ("b", "2", None), ("b", "3", "boom")], "book_id string, segment_id string, spoken string")
+    got = {r["segment_id"]: r for r in models.render(plan, Bad, "v", attempts=2, wait_s=0).collect()}
+    assert set(got) == {"1", "3"} and got["3"]["status"] == "error" and got["3"]["audio"] is None
+    pause = audio.pauses("1", 1, 0.2, 0.6)[0] / 1000
+    assert abs(got["1"]["duration_seconds"] - (0.13 + 0.09 + pause)) < 0.002
+
+
+def test_audio_lists_and_tags(spark):
+    plan = spark.createDataFrame([("b", "c", 2, "it's.m4a"), ("b", "c", 1, "a.m4a")], "book_id string, chapter_file string, position int, audio_path string")
+    assert audio.concat_lists(plan).first()["lines"] == "file 'a.m4a'\nfile 'it'\\''s.m4a'"
+    meta = spark.createDataFrame([("b", "T", None, "1999")], "book_id string, title string, creator string, year string")
+    assert audio.tags(meta, "Aria").first()["tags"] == {"title": "T", "composer": "Aria", "date": "1999", "genre": "Audiobook"}

@@ -57,6 +57,27 @@ def test_unsafe_members():
     assert not epub.safe_member("/x") and not epub.safe_member("C:\\x") and epub.safe_member("a/b..c")
 
 
+def test_oversize_and_overfull_books_fail(spark, folder, monkeypatch):
+    monkeypatch.setattr(epub, "MAX_BYTES", 100)
+    with pytest.raises(Exception, match="larger than 100 bytes"):
+        epub.members(spark, f"file://{folder}").collect()
+    monkeypatch.setattr(epub, "MOST_UNPACKED", 100)
+    with pytest.raises(ValueError, match="unpacks to more"):
+        epub.read_members(epub.written(PARTS, {}))
+
+
+def test_members_come_in_parts():
+    parts = list(epub.member_parts(epub.written(PARTS, {}), most=300))
+    assert len(parts) > 2 and [n for p in parts for n, _ in p] == [n for n, _ in PARTS]
+
+
+def test_manifest_items(spark, folder):
+    package = epub.packages(epub.members(spark, f"file://{folder}"))
+    assert {r["media_type"] for r in epub.item(package, "OEBPS/img/cover.png").collect()} == {"image/png"}
+    with pytest.raises(Exception, match="no OEBPS/none in"):
+        epub.item(package, "OEBPS/none").collect()
+
+
 def test_state_and_settings(spark, tmp_path):
     rows = spark.createDataFrame([("b", "s", "completed", "x", "p", None, None)], files.STATE_SCHEMA)
     path = files.write_state(rows, str(tmp_path / "state"), 1)

@@ -1,20 +1,104 @@
+import io
+import json
+import os
+import zipfile
+
+import pytest
+import yaml
+
 from quire import cli
+from quire.operators import models
 from quire.sources import epub
 from tests.sources.test_books import PARTS
 
+CSS = ("OEBPS/style.css", b"p { margin: 0 }")
+
+
+@pytest.fixture(scope="module")
+def work(spark, tmp_path_factory):
+    at = tmp_path_factory.mktemp("cli")
+    parts = [(n, c.replace(b'linear="no"', b"").replace(b"<h1>T</h1>", b'<h1 id="a">Heading</h1>')) for n, c in PARTS]
+    (at / "a.epub").write_bytes(epub.written([*parts, CSS], {}))
+    work = str(at / "work")
+    cli.extract(spark, f"file://{at}", work)
+    assert cli.report(spark, work, "progress").first()["n_segments"] == 2
+    cli.translate(spark, work, "French")
+    return work
 
-def test_book_to_exports(spark, tmp_path):
-    parts = [(n, c.replace(b'linear="no"', b"")) for n, c in PARTS]
-    (tmp_path / "a.epub").write_bytes(epub.written(parts, {}))
-    work = str(tmp_path / "work")
-    cli.extract(spark, f"file://{tmp_path}", work)
-    assert cli.report(spark, work, 0, "progress").first()["n_segments"] == 2
-    cli.translate(spark, work, "French", 0)
-    done = cli.report(spark, work, 1, "dashboard").first()
+
+def files_below(folder):
+    return {os.path.relpath(os.path.join(d, f), folder): os.path.join(d, f) for d, _, names in os.walk(folder) for f in names}
+
+
+def test_state_and_reports(spark, work):
+    done = cli.report(spark, work, "dashboard").first()
     assert done["n_completed"] == 2 and done["n_pending"] == 0
-    cli.export(spark, work, 1, "web", str(tmp_path / "web"))
-    page = spark.read.parquet(str(tmp_path / "web")).first()["html"]
-    assert "<h1>T</h1>" not in page or "[French] T" in page
-    cli.export(spark, work, 1, "markdown", str(tmp_path / "md"))
-    assert "[French]" in spark.read.text(str(tmp_path / "md"), wholetext=True).first()["value"]
-    assert {cli.report(spark, work, 1, n).count() for n in ("files", "resume")} == {1} and cli.report(spark, work, 1, "orphans").count() == 0
+    names = ("files", "pending", "resume", "totals", "workspace")
+    assert {cli.report(spark, work, n).count() for n in names} == {1} and cli.report(spark, work, "orphans").count() == 0
+    assert [r["completed"] for r in cli.resume(spark, work).collect()] == [2]
+    assert all(cli.report(spark, work, n).count() == 0 for n in ("skips", "skip-list", "skip-candidates"))
+    ident = spark.read.parquet(f"{work}/segments").first()["segment_id"]
+    assert cli.inspect_segment(spark, work, ident).first()["status"] == "completed"
+    cli.analyze_skips(spark, work, f"{work}/skip-report")
+    version = cli.current(work)
+    assert cli.purge_refusals(spark, work, dry_run=True) == 0 and cli.current(work) == version
+    cli.format_(spark, work)
+    assert cli.current(work) == version + 1
+
+
+def test_books_come_out_readable(spark, work, tmp_path):
+    for mode, ending in (("bilingual", "_bilingual.epub"), ("translated_only", "_translated.epub")):
+        cli.export(spark, work, "epub", str(tmp_path), mode)
+        (path,) = (p for n, p in files_below(tmp_path).items() if n.endswith(ending))
+        parts = dict(epub.read_members(open(path, "rb").read()))
+        page, css = parts["OEBPS/text.html"].decode(), parts["OEBPS/style.css"]
+        assert "[French] HEADING" in page and ('data-lang="original"' in page) == (mode == "bilingual")
+        assert (b"display: none" in css) == (mode == "translated_only")
+        spine = epub.package_rows(parts)
+        titles = [t["title"] for t in spine["toc"]]
+        assert titles == (["One", "In"] if mode == "bilingual" else ["[French] HEADING", "[French] HEADING"])
+        assert zipfile.ZipFile(path).namelist()[0] == "mimetype"
+
+
+def test_web_markdown_and_images(spark, work, tmp_path):
+    cli.export(spark, work, "web", str(tmp_path / "web"))
+    found = files_below(tmp_path / "web")
+    index = open(next(p for n, p in found.items() if n.endswith("index.html"))).read()
+    data = json.loads(index.split('id="book">')[1].split("</script>")[0])
+    assert data["title"] == "Test Book" and [s["href"] for s in data["spine"]] == ["content/OEBPS/text.html"]
+    names = {n.split("/", 1)[1] for n in found}
+    assert {"content/OEBPS/text.html", "content/OEBPS/style.css", "content/OEBPS/img/cover.png"} < names and not any(n.endswith((".opf", ".ncx")) for n in names)
+    cli.export(spark, work, "web-zip", str(tmp_path / "zip"))
+    (archive,) = files_below(tmp_path / "zip").values()
+    assert "index.html" in zipfile.ZipFile(io.BytesIO(open(archive, "rb").read())).namelist()
+    cli.export(spark, work, "markdown", str(tmp_path / "md"))
+    ((name, path),) = files_below(tmp_path / "md").items()
+    assert name.endswith("/001_one.md") and open(path).read().startswith("# One\n\n[French] HEADING")
+    cli.export(spark, work, "combined", str(tmp_path / "one"))
+    assert len(files_below(tmp_path / "one")) == 1
+    cli.export(spark, work, "images", str(tmp_path / "img"))
+    assert {os.path.basename(n) for n in files_below(tmp_path / "img")} == {"cover.png", "cover_2.png"}
+    with pytest.raises(ValueError):
+        cli.export(spark, work, "scroll", str(tmp_path))
+
+
+def test_audiobook(spark, work, tmp_path):
+    cli.audiobook_generate(spark, work, make=models.SilentSpeaker)
+    made = spark.read.parquet(f"{work}/audio").collect()
+    assert len(made) == 2 and all(r["status"] == "completed" and bytes(r["audio"][:4]) == b"RIFF" for r in made)
+    cli.audiobook_export_chapters(spark, work, str(tmp_path))
+    (path,) = files_below(tmp_path).values()
+    assert yaml.safe_load(open(path))["chapters"][0]["start"] == 0
+    cli.main(["audiobook-update-chapters", path, str(tmp_path / "atom")])
+    assert (tmp_path / "atom").read_bytes()[8] == 1
+
+
+def test_settings_and_work_folders(spark, work, tmp_path):
+    path = tmp_path / "c.yaml"
+    path.write_text("odd: 1\naudiobook_workers: 0\n")
+    assert cli.config_validate(None, str(path)) == ["unknown key: odd", "not a number from 1 on: audiobook_workers"]
+    cli.main(["config-reset", str(path), "--backup"])
+    assert cli.config_validate(None, str(path)) == [] and (tmp_path / "c.yaml.bak").read_text().startswith("odd")
+    assert cli.config_template(spark, work, str(tmp_path / "t")) == 1 and cli.config_template(spark, work, str(tmp_path / "t")) == 0
+    with pytest.raises(ValueError):
+        cli.extract(spark, "file:///elsewhere", work)
