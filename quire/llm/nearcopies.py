@@ -16,8 +16,8 @@ blocks of bounded size, so neither a task nor the number of pairs grows with a b
 1. Each text meets blocks of its largest buckets. Within a block the similarities are estimated from
    256 minima of a byte each, and only the edges of a maximum spanning forest are proposed.
 2. Where a bucket still holds several components, the texts outside its largest component meet
-   the whole bucket; pairs of different components whose estimate isn't below 0.8 by more
-   than four standard errors are proposed.
+   the whole bucket; of the pairs of different components whose estimate isn't below 0.8 by more
+   than four standard errors those are proposed that half hashes of the whole sets don't rule out.
 
 Edge cases: null, empty and blank texts are copies of each other; repeated rows keep a row each.
 """
@@ -42,6 +42,8 @@ BANDS, ROWS, MINIMA = 20, 5, 256
 FEW = 8
 #: Texts of a block, and buckets of a text in the first pass.
 BLOCK, LARGEST = 256, 4
+#: How far half hashes may be off in a similarity.
+DOUBT = 0.01
 _RNG = np.random.default_rng(42)
 _MUL = _RNG.integers(0, 1 << 31, MINIMA, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, MINIMA, dtype=np.uint32)[:, None]
@@ -183,37 +185,80 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["u", "v"])
 
 
-def _across(items: DataFrame, bar: float) -> DataFrame:
-    """(u, v): pairs of different roots with an estimate of at least ``bar``, of ``left`` rows and others of one block."""
+def _sets(texts: DataFrame) -> DataFrame:
+    """(node, set): the sorted high halves of a text's shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, left = None, []
         for batch in batches:
-            found = []
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
-            sides = batch.column(3).to_pylist()
-            ids, roots = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-            sig = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, MINIMA)
+            for part in text_slices(batch, "text", 4 << 20):
+                found = [(shingles(t) >> np.uint64(32)).astype(np.uint32).tobytes() for t in texts_of(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["node", "set"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, set binary")
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sorted arrays; values that a text repeats count as they are."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / max(1, len(both) - shared)
+
+
+def _across(items: DataFrame, bar: float, least: float) -> DataFrame:
+    """(u, v): likely links between different roots, of the left rows and the others of one block.
+
+    Pairs with an estimate of at least ``bar`` are held against each other by half hashes, the likeliest first; pairs that
+    links have already joined in a task aren't. What is within ``DOUBT`` of the threshold joins nothing here: it is decided later.
+    """
+
+    def links(left: list[tuple], node: np.ndarray, root: np.ndarray, sig: np.ndarray, sets: list[bytes], up: dict[int, int]) -> Iterator[tuple[int, int]]:
+        def find(i: int) -> int:
+            while up.setdefault(i, i) != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        near = np.concatenate([x[1] for x in left])
+        estimate = _estimates(np.concatenate([x[2] for x in left]), sig)
+        x, y = np.nonzero((estimate >= bar) & (near[:, None] != root[None, :]))
+        names = np.concatenate([x[0] for x in left])
+        own = [s for part in left for s in part[3]]
+        for i in np.argsort(-estimate[x, y], kind="stable").tolist():
+            a, b = int(x[i]), int(y[i])
+            ra, rb = find(int(near[a])), find(int(root[b]))
+            if ra == rb:
+                continue
+            close = _alike(np.frombuffer(own[a], np.uint32), np.frombuffer(sets[b], np.uint32))
+            if close >= least - DOUBT:
+                yield int(names[a]), int(node[b])
+            if close >= least + DOUBT:
+                up[max(ra, rb)] = min(ra, rb)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, left, up = None, [], {}
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
             i = 0
             while i < len(keys):
-                j = i
-                while j < len(keys) and keys[j] == keys[i] and sides[j] == sides[i]:
+                j = i + 1
+                while j < len(keys) and keys[j] == keys[i]:
                     j += 1
-                if keys[i] != current:
-                    current, left = keys[i], []
-                if not sides[i]:  # the block's left rows come first
-                    left.append((ids[i:j].copy(), roots[i:j].copy(), sig[i:j].copy()))
+                if keys[i][:3] != current:
+                    current, left, up = keys[i][:3], [], {}
+                part = batch.slice(i, j - i)
+                node, root = part.column(4).to_numpy(), part.column(5).to_numpy()
+                sig = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint8).reshape(-1, MINIMA)
+                if not keys[i][3]:  # the block's left rows come first
+                    left.append((node, root, sig, part.column(7).to_pylist()))
                 elif left:
-                    near = zip(*left)
-                    a, ra, sa = (np.concatenate(x) for x in near)
-                    close = (_estimates(sa, sig[i:j]) >= bar) & (ra[:, None] != roots[None, i:j])
-                    x, y = np.nonzero(close)
-                    found += zip(a[x].tolist(), ids[i:j][y].tolist())
+                    found += links(left, node, root, sig, part.column(7).to_pylist(), up)
                 i = j
             if found:
                 yield _pairs(found)
 
-    cols = ["band", "block", "part", "side", "node", "root", "sig"]
+    cols = ["band", "block", "part", "side", "node", "root", "sig", "set"]
     keys = ["band", "block", "part"]
     return items.select(*cols).repartition(*keys).sortWithinPartitions(*keys, "side", "node").mapInArrow(run, "u bigint, v bigint")
 
@@ -256,8 +301,8 @@ def _first_blocks(many: DataFrame, features: DataFrame) -> DataFrame:
     return chosen.select("band", block.alias("block"), "node").join(features.select("node", "sig"), "node")
 
 
-def _second_blocks(rooted: DataFrame, features: DataFrame) -> DataFrame:
-    """(band, block, part, side, node, root, sig) of the buckets with several components.
+def _second_blocks(rooted: DataFrame) -> DataFrame:
+    """(band, block, part, side, node, root) of the buckets with several components.
 
     Side 0: the texts outside the bucket's largest component; side 1: all its texts.
     """
@@ -265,11 +310,11 @@ def _second_blocks(rooted: DataFrame, features: DataFrame) -> DataFrame:
     main = sizes.groupBy("band").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("all"), F.count("*").alias("c")).where("c > 1")
     main = main.select("band", F.col("main.root").alias("main"), (F.col("all") - F.col("main.m")).alias("outer"), "all")
     rows = rooted.join(main, "band")
-    blocks, parts = F.ceil(F.col("outer") / BLOCK).cast("int"), F.ceil(F.col("all") / (16 * BLOCK)).cast("int")
+    blocks, parts = F.ceil(F.col("outer") / (4 * BLOCK)).cast("int"), F.ceil(F.col("all") / (64 * BLOCK)).cast("int")
     own, place = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.pmod(F.xxhash64("band", "node"), parts).cast("int")
     left = rows.where("root <> main").select("band", own.alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("side"), "node", "root")
     right = rows.select("band", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), place.alias("part"), F.lit(1).alias("side"), "node", "root")
-    return left.union(right).join(features.select("node", "sig"), "node")
+    return left.union(right)
 
 
 def components(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = LEAST) -> DataFrame:
@@ -289,12 +334,15 @@ def components(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     first = scratch.put(_verified(proposed, texts, least), "first")
     near = scratch.put(connected_components(first, scratch), "near_roots")
     rooted = scratch.put(many.select("band", "node").join(near, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "rooted")
-    second = scratch.put(_across(_second_blocks(rooted, features), bar).distinct(), "across")
+    blocks = scratch.put(_second_blocks(rooted), "blocks")
+    needed = scratch.put(blocks.select("node").distinct(), "needed")
+    sets = scratch.put(_sets(texts.join(needed, "node", "left_semi")), "sets")
+    described = blocks.join(features.select("node", "sig").join(sets, "node"), "node")
+    second = scratch.put(_across(described, bar, least).distinct(), "across")
     second = scratch.put(_verified(second, texts, least), "second")
-    roots = near
+    roots, again = near, Scratch(docs.sparkSession, "nearcopies")
     if not second.isEmpty():
-        again = Scratch(docs.sparkSession, "nearcopies")
         roots = again.put(connected_components(first.union(second), again), "roots")
-    for name in ("features", "sizes_of_bands", "met", "heads", "cells", "sizes", "few", "near", "proposed", "first", "rooted", "across", "second"):
-        scratch.drop(name)
+    scratch.keep("rows", "near_roots")
+    again.keep("roots")
     return rows.join(roots, "node", "left").select(*keep, "text", F.coalesce("root", "node").alias("root"))

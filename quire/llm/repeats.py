@@ -324,8 +324,7 @@ def remove_repeats(
     spans = repeat_spans(narrow, length, group_rows, scratch)
     listed = spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
     listed = scratch.put(listed.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "spans"), "listed")
-    for name in ("again", "pairs", "items"):
-        scratch.drop(name)
+    scratch.keep("listed")
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["doc_id", *keep]
     keyed = docs.select(

@@ -171,6 +171,7 @@ def assign(
     ends = scratch.put(light.groupBy("g").agg(F.max("end").alias("s")).select(F.col("s") - sum(s for _, s, _ in heavy)), "ends").toDF("s")
     total = ends.agg(F.max("s")).first()[0] or 0
     cuts = minimax_cuts(ends, total, shards - len(heavy))
+    scratch.keep("running")
     base = sum(s for _, s, _ in heavy)
     bounds, at = [], 0
     for _, s, _ in heavy:

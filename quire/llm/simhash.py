@@ -131,6 +131,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = scratch.put(named.join(least, "root").select("fp", "component_id"), "named")
-    for name in ("cells", "sizes", "few", "near"):
-        scratch.drop(name)
+    scratch.keep("fps", "named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
