@@ -75,4 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = scratch.put(stage(spark, docs, sf_dir), name)
+        scratch.keep(name)
     return docs
