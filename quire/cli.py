@@ -18,8 +18,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quire.operators import audio, chapters, export as ex, models, reports, segments as sg, skip, state as st, web
 from quire.sources import epub, files
 
-VALUES = ("translation_workers", "audiobook_workers")
-
 
 # The work folder
 
@@ -104,6 +102,7 @@ def export(spark: SparkSession, work: str, kind: str, out: str, mode: str = "bil
     if kind in ("markdown", "combined"):
         spine, toc = tables(package)
         named = chapters.audio_chapter_of(spine, toc)
+        answers = ex.markdown_answers(answers, epub.images(package).select("book_id", "file_path", "name"))
         bodies = chapters.bodies(answers, named, "translation").join(named.select("book_id", "chapter_file", "title").distinct(), ["book_id", "chapter_file"])
         bodies = bodies.withColumn("position", F.col("spine_index"))
         if kind == "markdown":
@@ -134,7 +133,8 @@ def export(spark: SparkSession, work: str, kind: str, out: str, mode: str = "bil
     spine, toc = tables(package)
     listed = ex.web_spine(spine.join(docs.select("book_id", "file_path"), ["book_id", "file_path"]), chapters.titles_by_file(toc))
     books = ex.metadata(package).select("book_id", "title")
-    data = ex.book_json(books, listed, toc).join(books, "book_id")
+    entries = package.select("book_id", F.explode("toc").alias("t")).select("book_id", "t.*")
+    data = ex.book_json(books, listed, ex.web_toc(entries)).join(books, "book_id")
     clean = sg.column_map(pages, web.cleaned, ["html", "file_path"], "html")
     parts = ex.web_files(found, clean, data)
     if kind == "web":
@@ -169,8 +169,7 @@ def config_validate(spark: SparkSession | None, path: str) -> list[str]:
     """What is wrong with a settings file; nothing is an empty list."""
     found, unknown = files.settings([path])
     wrong = [f"unknown key: {k}" for k in unknown]
-    wrong += [f"not a number from 1 on: {k}" for k in VALUES if not isinstance(found[k], int) or found[k] < 1]
-    return wrong
+    return wrong + files.settings_problems(found)
 
 
 def config_reset(spark: SparkSession | None, path: str, backup: bool = False) -> None:
@@ -178,7 +177,7 @@ def config_reset(spark: SparkSession | None, path: str, backup: bool = False) ->
     if backup and os.path.exists(path):
         os.replace(path, path + ".bak")
     with open(path, "w", encoding="utf-8") as f:
-        f.writelines(f"{k}: {v if isinstance(v, int) else files.yaml_scalar(v)}\n" for k, v in files.DEFAULTS.items())
+        f.writelines(f"{k}: {json.dumps(v)}\n" for k, v in files.DEFAULTS.items())
 
 
 def config_template(spark: SparkSession, work: str, folder: str) -> int:
@@ -217,11 +216,15 @@ def audiobook_export_chapters(spark: SparkSession, work: str, out: str) -> None:
         files.write_chapters(f"{out}/{files.work_name(r['book_id'])}.yaml", found, {"book": r["book_id"]})
 
 
-def audiobook_update_chapters(spark: SparkSession | None, chapters_file: str, out: str) -> None:
-    """The chapter atom of a chapters file, for an audio book's container."""
+def audiobook_update_chapters(spark: SparkSession | None, book: str, chapters_file: str) -> None:
+    """An audio book's container with the chapters of a file; it is replaced whole."""
     listed, _ = files.read_chapters(chapters_file)
-    with open(out, "wb") as f:
-        f.write(audio.chapter_atom([(c["start"] or 0.0, c.get("title") or "") for c in listed]))
+    with open(book, "rb") as f:
+        made = audio.with_chapters(f.read(), [(c["start"] or 0.0, c.get("title") or "") for c in listed])
+    aside = f"{book}.{uuid.uuid4().hex}"
+    with open(aside, "xb") as f:
+        f.write(made)
+    os.replace(aside, book)
 
 
 def purge_refusals(spark: SparkSession, work: str, dry_run: bool = False) -> int:
@@ -247,10 +250,27 @@ def report(spark: SparkSession, work: str, name: str) -> DataFrame:
         "skip-candidates": lambda: ex.skip_flags(rows, skips),
         "orphans": lambda: st.orphans(rows, state),
         "totals": lambda: reports.pending_totals(rows, state),
+        "covers": lambda: covers(spark, work),
         "workspace": lambda: reports.library_totals(tables(package)[0], skips),
     }[name]()
 
 
+def covers(spark: SparkSession, work: str) -> DataFrame:
+    """The cover of each book: marked in its package, shown first, named so, or its first image."""
+    package, docs = load(spark, work, "package", "documents")
+    items = package.select("book_id", F.posexplode("manifest").alias("pos", "m")).select("book_id", "pos", "m.file_path", "m.id", "m.media_type")
+    images = items.where(F.col("media_type").startswith("image/"))
+    marked = images.where(F.lower("id").contains("cover")).select("book_id", "file_path")
+    return ex.covers(images.select("book_id", "pos", "file_path"), marked, sg.image_references(docs))
+
+
+def audiobook_read_chapters(spark: SparkSession | None, book: str, out: str) -> None:
+    """A chapters file from an audio book's container."""
+    with open(book, "rb") as f:
+        found, length = audio.read_mp4(f.read())
+    files.write_chapters(out, [{"title": t, "start": s} for s, t in found], {"source": book, "duration": round(length, 3)})
+
+
 def analyze_skips(spark: SparkSession, work: str, out: str) -> None:
     """The report on skips as JSON."""
     files.write_report(report(spark, work, "skips"), out)
@@ -274,7 +294,8 @@ COMMANDS: dict[str, tuple[Callable, tuple[str, ...]]] = {
     "config-template": (config_template, ("folder",)),
     "audiobook-generate": (audiobook_generate, ("--voice",)),
     "audiobook-export-chapters": (audiobook_export_chapters, ("out",)),
-    "audiobook-update-chapters": (audiobook_update_chapters, ("chapters_file", "out")),
+    "audiobook-read-chapters": (audiobook_read_chapters, ("book", "out")),
+    "audiobook-update-chapters": (audiobook_update_chapters, ("book", "chapters_file")),
     "debug-show-skip-list": (lambda spark, work: report(spark, work, "skip-list"), ()),
     "debug-show-pending": (lambda spark, work: report(spark, work, "pending"), ()),
     "debug-purge-refusals": (purge_refusals, ("--dry-run",)),
@@ -286,7 +307,7 @@ COMMANDS: dict[str, tuple[Callable, tuple[str, ...]]] = {
     "report": (report, ("name",)),
 }
 _FLAGS = ("--backup", "--dry-run")
-_LOCAL = ("config-validate", "config-reset", "audiobook-update-chapters")
+_LOCAL = ("config-validate", "config-reset", "audiobook-read-chapters", "audiobook-update-chapters")
 
 
 def main(argv: list[str] | None = None) -> None:

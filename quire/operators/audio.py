@@ -88,3 +88,92 @@ def tags(metadata: DataFrame, narrator: str, album: str = "Audiobook") -> DataFr
     named = {"title": F.col("title"), "artist": F.col("creator"), "composer": F.lit(narrator), "date": F.col("year"), "genre": F.lit(album)}
     pairs = F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in named.items()))
     return metadata.select("book_id", F.map_from_entries(F.filter(pairs, lambda x: x["value"].isNotNull())).alias("tags"))
+
+
+# MP4 containers
+
+_HOLDERS = (b"moov", b"udta", b"trak", b"mdia", b"minf", b"stbl")
+
+
+def atoms(data: bytes, start: int = 0, end: int | None = None) -> list[tuple[bytes, int, int, int]]:
+    """(name, begin, begin of its content, end) of the atoms of a stretch."""
+    out, at, end = [], start, len(data) if end is None else end
+    while at + 8 <= end:
+        size, name, head = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8], 8
+        if size == 1:
+            size, head = int.from_bytes(data[at + 8 : at + 16], "big"), 16
+        elif size == 0:
+            size = end - at
+        if size < head or at + size > end:
+            raise ValueError("not an MP4 container")
+        out.append((name, at, at + head, at + size))
+        at += size
+    return out
+
+
+def _inside(data: bytes, *path: bytes) -> tuple[bytes, int, int, int] | None:
+    start, end, found = 0, len(data), None
+    for name in path:
+        found = next((a for a in atoms(data, start, end) if a[0] == name), None)
+        if found is None:
+            return None
+        start, end = found[2:]
+    return found
+
+
+def _clock(data: bytes) -> tuple[int, float]:
+    """(units a second, seconds) of a movie."""
+    head = _inside(data, b"moov", b"mvhd")
+    if head is None:
+        return 1000, 0.0
+    at = head[2]
+    wide = data[at] == 1
+    scale = int.from_bytes(data[at + (20 if wide else 12) :][:4], "big") or 1000
+    length = int.from_bytes(data[at + (24 if wide else 16) :][: 8 if wide else 4], "big")
+    return scale, length / scale
+
+
+def read_mp4(data: bytes) -> tuple[list[tuple[float, str]], float]:
+    """(chapters, seconds) of an audio book; one without chapters fails."""
+    found = _inside(data, b"moov", b"udta", b"chpl")
+    if found is None:
+        raise ValueError("no chapters in this container")
+    scale, length = _clock(data)
+    return read_chapter_atom(data[found[2] : found[3]], scale), length
+
+
+def _atom(name: bytes, content: bytes) -> bytes:
+    return struct.pack(">I", len(content) + 8) + name + content
+
+
+def with_chapters(data: bytes, chapters: list[tuple[float, str]]) -> bytes:
+    """The container with its chapter atom replaced or added; the offsets of its sound follow."""
+    moov = _inside(data, b"moov")
+    if moov is None:
+        raise ValueError("no movie in this container")
+    made = _atom(b"chpl", chapter_atom(chapters, _clock(data)[0]))
+    kept, user = [], b""
+    for name, begin, content, end in atoms(data, moov[2], moov[3]):
+        if name == b"udta":
+            user = b"".join(data[b:e] for n, b, _, e in atoms(data, content, end) if n != b"chpl")
+        else:
+            kept.append((name, data[begin:end]))
+    new = b"".join(x for _, x in kept) + _atom(b"udta", user + made)
+    shift = len(new) + 8 - (moov[3] - moov[1])
+    return data[: moov[1]] + _atom(b"moov", _moved(new, shift, moov[3])) + data[moov[3] :]
+
+
+def _moved(content: bytes, shift: int, behind: int) -> bytes:
+    """Atoms whose tables of sample offsets are shifted for what lies behind a place."""
+    out = []
+    for name, begin, start, end in atoms(content):
+        if name in (b"stco", b"co64"):
+            width = 4 if name == b"stco" else 8
+            n = int.from_bytes(content[start + 4 : start + 8], "big")
+            spots = (int.from_bytes(content[start + 8 + i * width :][:width], "big") for i in range(n))
+            out.append(_atom(name, content[start : start + 8] + b"".join((x + shift if x >= behind else x).to_bytes(width, "big") for x in spots)))
+        elif name in _HOLDERS and name != b"udta":
+            out.append(_atom(name, _moved(content[start:end], shift, behind)))
+        else:
+            out.append(content[begin:end])
+    return b"".join(out)

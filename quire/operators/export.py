@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.functions.paths import content_path, file_of, fragment_of
 from quire.functions.text import script_safe, stem
 from quire.operators import web
+from quire.operators.segments import column_map
 
 
 def year(date: Column) -> Column:
@@ -63,10 +66,15 @@ def web_spine(spine: DataFrame, titles: DataFrame) -> DataFrame:
     return joined.select("book_id", "spine_index", content_path(F.lit(""), F.col("file_path")).alias("href"), title.alias("title"))
 
 
+def web_toc(toc: DataFrame) -> DataFrame:
+    """(book_id, pos, level, title, href): the entries that lead somewhere, with their depth; mere sections fall away."""
+    return toc.where("href <> ''").select("book_id", "pos", "level", "title", content_path(F.lit(""), F.col("href")).alias("href"))
+
+
 def book_json(books: DataFrame, spine: DataFrame, toc: DataFrame) -> DataFrame:
     """(book_id, json): a book's data for a script element; a book's spine and contents bound a row."""
     docs = spine.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("spine_index", "href", "title"))).alias("spine"))
-    entries = toc.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("pos", "title", "href"))).alias("toc"))
+    entries = toc.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("pos", *(c for c in ("level", "title", "href") if c in toc.columns)))).alias("toc"))
     joined = books.join(docs, "book_id", "left").join(entries, "book_id", "left")
     return joined.select("book_id", script_safe(F.to_json(F.struct("title", "spine", "toc"))).alias("json"))
 
@@ -114,6 +122,17 @@ def same_artifact(segments: DataFrame, state: DataFrame) -> bool:
     return not segments.join(state, ["book_id", "segment_id"], "left_semi").limit(1).isEmpty()
 
 
+def markdown_answers(answers: DataFrame, images: DataFrame) -> DataFrame:
+    """``answers`` with what markdown shows of each translation: markup converted, its images by the names they are exported under.
+
+    ``images(book_id, file_path, name)``; a book's images bound a row.
+    """
+    named = images.groupBy("book_id").agg(F.to_json(F.map_from_entries(F.collect_set(F.struct("file_path", "name")))).alias("names"))
+    rows = answers.join(named, "book_id", "left").withColumn("names", F.coalesce("names", F.lit("{}")))
+    shown = column_map(rows, lambda text, path, names: web.markdown(text, path, json.loads(names)), ["translation", "file_path", "names"], "shown")
+    return shown.withColumn("translation", F.when(F.col("extract_mode") == "html", F.col("shown")).otherwise(F.col("translation"))).drop("shown", "names")
+
+
 #: Members that a web export leaves out: what only readers of e-books use.
 _PACKAGING = r"(?i)(^mimetype$|^META-INF/|\.opf$|\.ncx$|\.x?html?$)"
 

@@ -56,12 +56,12 @@ def book_stats(spine: DataFrame, toc: DataFrame, segments: DataFrame, skips: Dat
 
 
 def pending_totals(segments: DataFrame, state: DataFrame) -> DataFrame:
-    """Per book: pending segments, those copied without a model, and records that no segment has."""
-    full = with_state(segments, state)
-    known = full.groupBy("book_id").agg(
-        F.count_if(F.col("status") != "completed").alias("n_pending"),
-        F.count_if((F.col("status") == "completed") & F.col("provider_name").isNull()).alias("n_copied"),
-    )
+    """Per book: segments to translate, those of skipped files (which stay pending for good), and records that no segment has.
+
+    ``segments`` carry a skip_reason, as skip.tagged gives it.
+    """
+    waiting = with_state(segments, state).where("status = 'pending'")
+    known = waiting.groupBy("book_id").agg(F.count_if(F.col("skip_reason").isNull()).alias("n_pending"), F.count("skip_reason").alias("n_auto_skipped"))
     lost = state.join(segments.select(*KEY), KEY, "left_anti").groupBy("book_id").agg(F.count("*").alias("n_orphans"))
     return known.join(lost, "book_id", "full").fillna(0)
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quire.functions.html import BLOCKS, Node, find, parse, path_of, squeeze
+from quire.functions.paths import resolved
 from quire.functions.text import rekeyed_segment_id, stem
 
 # The kinds of elements.
@@ -254,19 +255,6 @@ def column_map(df: DataFrame, function: Callable[..., object], inputs: list[str]
 # Injection
 
 
-def with_structure(page: str, source: str) -> str:
-    """A changed page with the head and the body's attributes of its source."""
-    new, old = parse(page), parse(source)
-    first = lambda root, tag: next((n for n in root.walk() if n.tag == tag), None)
-    head, old_head = first(new, "head"), first(old, "head")
-    if head is not None and old_head is not None:
-        head.attrs, head.text, head.children = old_head.attrs, old_head.text, old_head.children
-    body, old_body = first(new, "body"), first(old, "body")
-    if body is not None and old_body is not None:
-        body.attrs = old_body.attrs
-    return new.inner()
-
-
 def injected(source: str, items: list[dict], mode: str = "bilingual") -> tuple[str, list[str]]:
     """(document with translations, ids whose place wasn't found).
 
@@ -331,6 +319,34 @@ def missing_documents(documents: DataFrame, translations: DataFrame) -> DataFram
     return counted.join(documents.select("book_id", "file_path"), ["book_id", "file_path"], "left_anti")
 
 
+def document_title(source: str) -> str | None:
+    """The text of a document's first h1, else of its title element, if there is any."""
+    found = {"h1": None, "title": None}
+    for node in parse(source).walk():
+        if node.local in found and not found[node.local]:
+            found[node.local] = squeeze(node.content())
+    return found["h1"] or found["title"] or None
+
+
+def image_references(documents: DataFrame) -> DataFrame:
+    """(book_id, spine_index, pos, file_path): images that ``documents(book_id, file_path, spine_index, html)`` show, in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for book, path, spine, source in _columns(batch, "book_id", "file_path", "spine_index", "html"):
+                shown = (n for n in parse(source or "").walk() if n.local in ("img", "image"))
+                urls = (next((n.attrs[k] for k in ("src", "href", "xlink:href") if n.attrs.get(k)), None) for n in shown)
+                out += [(book, spine, i, path, url) for i, url in enumerate(urls) if url]
+            cols = list(zip(*out)) or [()] * 5
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["book_id", "spine_index", "pos", "document", "url"])
+
+    cols = documents.select("book_id", "file_path", F.col("spine_index").cast("int"), "html")
+    found = cols.mapInArrow(run, "book_id string, spine_index int, pos int, document string, url string")
+    return found.select("book_id", "spine_index", "pos", resolved(F.col("document"), F.col("url")).alias("file_path")).where("file_path is not null")
+
+
 def headings(translations: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """(book_id, file_path, fragment, title): the translations of a file's headings.
 

@@ -614,6 +614,19 @@ def page_titles(spark, sf):
     return heads.select(F.col("spine_index").cast("long").alias("page_id"), F.col("source_content").alias("raw_title"))
 
 
+@query(
+    "SELECT page_id, coalesce(nullif(h, ''), nullif(t, '')) AS title FROM (SELECT page_id, "
+    + _TEXT_SQL.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)") + " AS h, "
+    + _TEXT_SQL.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")
+    + " AS t FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_replace(html, '(?s)<h1>.*?</h1>', '') ELSE html END AS html FROM pages))"
+)
+def document_titles(spark, sf):
+    """The title of each page: its h1, else its title element; every third page has lost its h1."""
+    html = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", "(?s)<h1>.*?</h1>", "")).otherwise(F.col("html"))
+    rows = table(spark, sf, "pages").select("page_id", html.alias("html"))
+    return segments.column_map(rows, segments.document_title, ["html"], "title").select("page_id", "title")
+
+
 @query()
 def heading_titles(spark, sf):
     return page_titles(spark, sf)
@@ -998,14 +1011,17 @@ def unsafe_members(spark, sf):
 
 
 @query(
-    """SELECT book_id, n_pending, n_copied, coalesce(n_orphans, 0) AS n_orphans FROM (SELECT book_id, CAST(sum(CASE WHEN coalesce(status, 'pending') <> 'completed' THEN 1 ELSE 0 END) AS BIGINT) AS n_pending,
- CAST(sum(CASE WHEN status = 'completed' AND provider_name IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_copied FROM segments LEFT JOIN state USING (book_id, segment_id) GROUP BY book_id)
+    _skip_sql(
+        """SELECT book_id, coalesce(n_pending, 0) AS n_pending, coalesce(n_auto_skipped, 0) AS n_auto_skipped, coalesce(n_orphans, 0) AS n_orphans FROM (
+ SELECT g.book_id, CAST(sum(CASE WHEN k.reason IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_pending, count(k.reason) AS n_auto_skipped FROM segments g LEFT JOIN state t ON g.book_id = t.book_id AND g.segment_id = t.segment_id
+ LEFT JOIN skips k ON g.book_id = k.book_id AND g.file_path = k.file_path WHERE coalesce(t.status, 'pending') = 'pending' GROUP BY g.book_id)
  FULL JOIN (SELECT book_id, count(*) AS n_orphans FROM state t WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.segment_id = t.segment_id AND s.book_id = t.book_id) GROUP BY book_id) USING (book_id)""",
-    "state",
+        "state",
+    )
 )
 def pending_totals(spark, sf):
-    """Pending and copied segments of each book, and records without a segment."""
-    return reports.pending_totals(lib.segments(spark, sf), lib.state(spark, sf))
+    """Segments of each book that wait for translation, those of skipped files, and records without a segment."""
+    return reports.pending_totals(skip.tagged(lib.segments(spark, sf), _skips(spark, sf)), lib.state(spark, sf))
 
 
 @query(_skip_sql("SELECT (SELECT count(DISTINCT book_id) FROM spine) AS n_processed, count(DISTINCT book_id) AS n_with_skips FROM skips"))

@@ -13,11 +13,47 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quire.functions.text import slug, stem
+from quire.operators.skip import KEYWORDS, THRESHOLD, TRIGGERS
 
 STATE_SCHEMA = (
     "book_id string, segment_id string, status string, translation string, provider_name string, model_name string, error_message string"
 )
-DEFAULTS = {"work_dir": ".quire", "source_language": "auto", "target_language": "Simplified Chinese", "translation_workers": 3, "audiobook_workers": 3}
+#: Settings of a library or a book, with their defaults.
+DEFAULTS: dict[str, object] = {
+    "work_dir": ".quire",
+    "source_language": "auto",
+    "target_language": "Simplified Chinese",
+    "translation_workers": 3,
+    "audiobook_workers": 3,
+    "output_mode": "bilingual",
+    "prompt_preamble": None,
+    "skip_rules": list(KEYWORDS),
+    "skip_after_back_matter": True,
+    "back_matter_triggers": list(TRIGGERS),
+    "back_matter_threshold": THRESHOLD,
+    "translation_files": None,
+    "audiobook_files": None,
+    "cover_image_path": None,
+    "audiobook_voice": None,
+    "audiobook_opening_statement": None,
+    "audiobook_closing_statement": None,
+    "audiobook_tts_provider": "silent",
+    "audiobook_tts_model": None,
+    "audiobook_tts_speed": 1.0,
+}
+
+
+def settings_problems(found: dict) -> list[str]:
+    """What is out of range in settings."""
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
+    wrong = [f"not a number from 1 on: {k}" for k in ("translation_workers", "audiobook_workers") if not number(found[k]) or found[k] < 1]
+    for key, low, high in (("back_matter_threshold", 0.0, 1.0), ("audiobook_tts_speed", 0.25, 4.0)):
+        if not number(found[key]) or not low <= found[key] <= high:
+            wrong.append(f"not between {low} and {high}: {key}")
+    if str(found["output_mode"]).replace("-", "_").strip().lower() not in ("bilingual", "translated_only"):
+        wrong.append("neither bilingual nor translated_only: output_mode")
+    wrong += [f"not a list: {k}" for k in ("skip_rules", "back_matter_triggers", "translation_files", "audiobook_files") if not isinstance(found[k], (list, type(None)))]
+    return wrong
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +80,8 @@ def settings(layers: list[str | dict], environment: dict[str, str] | None = None
     for key, value in (environment or {}).items():
         name = key.removeprefix(prefix).lower()
         if key.startswith(prefix) and name in DEFAULTS:
-            out[name] = type(DEFAULTS[name])(value)
+            kind = type(DEFAULTS[name])
+            out[name] = value if kind is type(None) else value.lower() in ("1", "true", "yes") if kind is bool else value.split(",") if kind is list else kind(value)
     return out, sorted(unknown)
 
 

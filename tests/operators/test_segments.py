@@ -111,10 +111,22 @@ def test_list_stops():
     assert stopped("<ul><li><i>e</i></ul>") == ["e."] and stopped("<ul><li><i>f.</i></ul>") == ["f."]
 
 
-def test_structure_headings_and_missing_documents(spark):
-    old = "<html><head lang='x'><title>t</title></head><body class='k'><p>a</p></body></html>"
-    new = "<html><head></head><body><p>b</p></body></html>"
-    assert segments.with_structure(new, old) == '<html><head lang="x"><title>t</title></head><body class="k"><p>b</p></body></html>'
+def test_injection_keeps_head_and_body():
+    page = "<html><head lang='x'><title>t</title></head><body class='k'><p>a</p></body></html>"
+    item = {"segment_id": "s", "xpath": "/html/body/p", "extract_mode": "text", "translation": "b", "order_in_file": 1}
+    got, _ = segments.injected(page, [item], "translated_only")
+    assert got == '<html><head lang="x"><title>t</title></head><body class="k"><p>b</p></body></html>'
+
+
+def test_titles_and_images(spark):
+    assert segments.document_title("<title>T</title><h1> a <b>b</b></h1><h1>c</h1>") == "a b"
+    assert segments.document_title("<title>T</title><h1> </h1>") == "T" and segments.document_title("<p>x") is None
+    rows = [("b", "t/a.xhtml", 1, "<svg><image xlink:href='../i/x.png'/></svg><img src='http://x/y.png'><img src='y.png'>"), ("b", "t/b.xhtml", 0, None)]
+    docs = spark.createDataFrame(rows, "book_id string, file_path string, spine_index int, html string")
+    assert [tuple(r)[1:] for r in segments.image_references(docs).orderBy("pos").collect()] == [(1, 0, "i/x.png"), (1, 2, "t/y.png")]
+
+
+def test_headings_and_missing_documents(spark):
     page = "<html><body><h1 id='one'>A</h1><section id='two'><h2>B <i id='three'>x</i></h2><p>y</p></section></body></html>"
     docs = spark.createDataFrame([("b", "f", 0, page)], "book_id string, file_path string, spine_index int, html string")
     rows = segments.segment_documents(docs).withColumn("translation", F.concat(F.lit("T"), "order_in_file"))

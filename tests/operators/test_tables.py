@@ -178,3 +178,29 @@ def test_audio_lists_and_tags(spark):
     assert audio.concat_lists(plan).first()["lines"] == "file 'a.m4a'\nfile 'it'\\''s.m4a'"
     meta = spark.createDataFrame([("b", "T", None, "1999")], "book_id string, title string, creator string, year string")
     assert audio.tags(meta, "Aria").first()["tags"] == {"title": "T", "composer": "Aria", "date": "1999", "genre": "Audiobook"}
+
+
+def box(name, content):
+    return (len(content) + 8).to_bytes(4, "big") + name + content
+
+
+def test_chapters_in_a_container():
+    sound = box(b"mdat", b"SOUND")
+    clock = box(b"mvhd", bytes(12) + (600).to_bytes(4, "big") + (1200).to_bytes(4, "big"))
+
+    def movie(offset):
+        return box(b"moov", clock + box(b"trak", box(b"mdia", box(b"minf", box(b"stbl", box(b"stco", bytes(4) + (1).to_bytes(4, "big") + offset.to_bytes(4, "big")))))))
+
+    start = box(b"ftyp", b"M4A ")
+    first = start + movie(len(start) + len(movie(0)) + 8) + sound
+    chapters = [(0.0, "One"), (1.5, "Zwei \u00e9")]
+    for whole in (first, start + sound + movie(len(start) + 8)):
+        for listed in (chapters, [(0.0, "A")], chapters):
+            whole = audio.with_chapters(whole, listed)
+            assert audio.read_mp4(whole) == (listed, 2.0)
+            table = audio._inside(whole, b"moov", b"trak", b"mdia", b"minf", b"stbl", b"stco")
+            at = int.from_bytes(whole[table[2] + 8 : table[2] + 12], "big")
+            assert whole[at : at + 5] == b"SOUND"
+    for bad in (first, b"\0\0\0\3abcd"):
+        with pytest.raises(ValueError):
+            audio.read_mp4(bad)

@@ -9,6 +9,7 @@ import yaml
 from quire import cli
 from quire.operators import models
 from quire.sources import epub
+from tests.operators.test_tables import box
 from tests.sources.test_books import PARTS
 
 CSS = ("OEBPS/style.css", b"p { margin: 0 }")
@@ -33,7 +34,7 @@ def files_below(folder):
 def test_state_and_reports(spark, work):
     done = cli.report(spark, work, "dashboard").first()
     assert done["n_completed"] == 2 and done["n_pending"] == 0
-    names = ("files", "pending", "resume", "totals", "workspace")
+    names = ("files", "pending", "resume", "totals", "workspace", "covers")
     assert {cli.report(spark, work, n).count() for n in names} == {1} and cli.report(spark, work, "orphans").count() == 0
     assert [r["completed"] for r in cli.resume(spark, work).collect()] == [2]
     assert all(cli.report(spark, work, n).count() == 0 for n in ("skips", "skip-list", "skip-candidates"))
@@ -89,14 +90,19 @@ def test_audiobook(spark, work, tmp_path):
     cli.audiobook_export_chapters(spark, work, str(tmp_path))
     (path,) = files_below(tmp_path).values()
     assert yaml.safe_load(open(path))["chapters"][0]["start"] == 0
-    cli.main(["audiobook-update-chapters", path, str(tmp_path / "atom")])
-    assert (tmp_path / "atom").read_bytes()[8] == 1
+    book = tmp_path / "a.m4a"
+    book.write_bytes(box(b"ftyp", b"M4A ") + box(b"moov", b"") + box(b"mdat", b"x"))
+    cli.main(["audiobook-update-chapters", str(book), path])
+    cli.main(["audiobook-read-chapters", str(book), str(tmp_path / "read.yaml")])
+    assert [c["title"] for c in yaml.safe_load((tmp_path / "read.yaml").read_text())["chapters"]] == ["One"]
 
 
 def test_settings_and_work_folders(spark, work, tmp_path):
     path = tmp_path / "c.yaml"
-    path.write_text("odd: 1\naudiobook_workers: 0\n")
-    assert cli.config_validate(None, str(path)) == ["unknown key: odd", "not a number from 1 on: audiobook_workers"]
+    path.write_text("odd: 1\naudiobook_workers: 0\noutput_mode: both\nback_matter_threshold: .nan\nskip_rules: x\n")
+    assert [w.split(":")[0] for w in cli.config_validate(None, str(path))] == [
+        "unknown key", "not a number from 1 on", "not between 0.0 and 1.0", "neither bilingual nor translated_only", "not a list",
+    ]
     cli.main(["config-reset", str(path), "--backup"])
     assert cli.config_validate(None, str(path)) == [] and (tmp_path / "c.yaml.bak").read_text().startswith("odd")
     assert cli.config_template(spark, work, str(tmp_path / "t")) == 1 and cli.config_template(spark, work, str(tmp_path / "t")) == 0
