@@ -23,7 +23,8 @@ are decoded. Reading takes time in proportion to the page's size, also for unclo
 
 Edge cases: null and empty pages, and pages without content, give an empty text; unclosed elements
 are closed as browsers do (a new paragraph ends the open one); a page that ends inside a comment, script or tag
-loses only that; a bare ``<`` is text; repeated rows keep a row each; only the named columns are read.
+loses only that; a bare ``<`` is text; pages of any length are read whole; repeated rows keep a row each; an empty table gives an empty result; only the
+named columns are read.
 """
 
 from __future__ import annotations

@@ -30,6 +30,8 @@ from quire.llm.common import text_slices, utf8_bytes
 UND = "und"
 #: Stretches that a long text is sampled by.
 STRETCHES = 8
+#: Buckets that a label's rows are first ranked in.
+BUCKETS = 16
 
 
 def _classes() -> np.ndarray:
@@ -165,8 +167,11 @@ def sample_texts(
         F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.xxhash64(F.col(id_col)).alias("h")
     )
     known = keyed.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(max_langs).select("label")
-    first = Window.partitionBy("label").orderBy("h", "id")
-    ranked = keyed.distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= docs_per_lang)
+    # First within buckets of the hash, then among what these leave: a bounded number of rows, whatever a label's share.
+    ranked = keyed.distinct()
+    for keys in (("label", F.pmod("h", F.lit(BUCKETS))), ("label",)):
+        first = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "id"))
+        ranked = ranked.withColumn("r", first).where(F.col("r") <= docs_per_lang).drop("r")
     chosen = ranked.join(F.broadcast(known), "label").select("id", F.col("label").alias("chosen_label"))  # max_langs rows
     width = 4 * train_bytes // docs_per_lang
     text, stretch = F.col("text"), max(1, width // STRETCHES)

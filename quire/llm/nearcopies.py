@@ -19,7 +19,8 @@ blocks of bounded size, so neither a task nor the number of pairs grows with a b
    the whole bucket; of the pairs of different components whose estimate isn't below 0.8 by more
    than four standard errors those are proposed that half hashes of the whole sets don't rule out.
 
-Edge cases: null, empty and blank texts are copies of each other; repeated rows keep a row each.
+Edge cases: null, empty and blank texts are copies of each other; repeated rows keep a row each, whatever their ids; texts of any
+length are compared whole; an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations

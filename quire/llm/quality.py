@@ -10,7 +10,8 @@ The fit uses at most ``max_rows`` labelled rows, those whose ids have the smalle
 
 Edge cases: null and blank texts have zero words and fail the base rules; without labels of both
 classes the list is empty and only the base rules decide; null labels don't count. A labelled id
-that occurs in several rows counts once a row. Only the named columns are read.
+that occurs in several rows counts once a row. Texts of any length are measured whole; repeated rows keep a row each; an empty
+table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ host may hold any share of the rows; counts are pre-aggregated before they are s
 
 Edge cases: null urls and those without ``://`` have empty host and path, match no rule, and form
 one host with no domain; pages without label count as no evidence; a page id with several labels
-counts each; without any label everything is allowed. Repeated rows keep a row each.
+counts each; without any label everything is allowed. Repeated rows keep a row each; urls of any length are read whole; an empty table gives
+an empty result; only the named columns are read.
 """
 
 from __future__ import annotations

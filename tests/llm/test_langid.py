@@ -54,3 +54,22 @@ def test_held_out_accuracy_and_edges(spark):
     none = langid.train(df.where("doc_id < 0"))
     assert {r["lang_pred"] for r in langid.identify(df, none).collect()} == {"und"}
     assert langid.identify(df.where("doc_id < 0"), parser).count() == 0
+
+
+def test_sample_is_bounded_and_drawn_from_whole_texts(spark):
+    text = "".join(chr(97 + i * 26 // 60000) for i in range(60000))
+    rows = [(i % 30, text, "aa") for i in range(600)] + [(1000 + i, text.upper(), "bb") for i in range(3)] + [(None, text, "aa"), (5000, None, "cc"), (1, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample_texts(df, "lang", "doc_id", "text", 8, 4096, 256, 1 << 18)
+    assert set(got) == {"aa", "bb"} and all(len(v) <= 4096 + 8 * 8 for v in got.values())
+    assert set(got["bb"]) >= set(b"adlz")  # stretches from the first letters to the last
+    assert all(len(v) <= 200 for v in langid.sample_texts(df, "lang", "doc_id", "text", 8, 4096, 256, 300).values())
+    assert set(langid.sample_texts(df, "lang", "doc_id", "text", 8, 4096, 1, 1 << 18)) == {"aa"}
+
+
+def test_long_text_and_clashing_columns(spark):
+    rows = [(i, "the other thing with her " * 40, "en", 1, "x") for i in range(10)] + [(10 + i, "der und schon ein ver " * 40, "de", 1, "x") for i in range(10)]
+    df = spark.createDataFrame([*rows, (99, "the thing " * 300000, None, 2, "y")], "doc_id long, text string, lang string, bits long, lang_pred string")
+    parser = langid.train(df)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, parser).collect()}
+    assert got[99] == "en" and got[3] == "en" and got[13] == "de" and langid.identify(df.where("false"), parser).count() == 0
