@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next stage's ``docs``; all but the last return the columns of ``documents``.
+
+Edge cases: null, empty and letterless texts go in the first stage, texts under 50 words in the second; null and repeated ids are
+kept apart by their rows; texts of any length are read whole; further columns are left out, whatever their names; without labels only the
+base rules decide; an empty table gives an empty result.
 """
 
 from __future__ import annotations
