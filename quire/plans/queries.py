@@ -632,7 +632,18 @@ def heading_titles(spark, sf):
     return page_titles(spark, sf)
 
 
-@query()
+_LI_SQL = _TEXT_SQL.format("li")
+
+
+@query(
+    f"""WITH {PAGE_SQL}, items AS (SELECT page_id, trim(string_agg(CASE WHEN regexp_matches(t, '[.!?…]$') THEN t ELSE t || '. ' END, '' ORDER BY i)) AS said FROM (
+ SELECT page_id, i, {_LI_SQL} AS t FROM (SELECT page_id, unnest(regexp_extract_all(menu, '(?s)<li>(.*?)</li>', 1)) AS li, generate_subscripts(regexp_extract_all(menu, '(?s)<li>(.*?)</li>', 1), 1) AS i FROM art)) WHERE t <> '' GROUP BY page_id),
+ raw AS (SELECT page_id, 2 AS k, {_TEXT_SQL.format("ad")} AS t FROM art UNION ALL SELECT page_id, 3, {_TEXT_SQL.format("head")} FROM art
+ UNION ALL SELECT page_id, 3 + i, {_TEXT_SQL.format("p")} FROM (SELECT page_id, unnest(paras) AS p, generate_subscripts(paras, 1) AS i FROM art) UNION ALL SELECT page_id, 1, said FROM items),
+ spoke AS (SELECT book_id, segment_id, element_type, order_in_file, regexp_replace(regexp_replace(t, '(\\.\\s+){{2,}}\\.', '...', 'g'), '(\\.\\s+){{2,}}\\.', '...', 'g') AS t FROM psegs JOIN raw ON page_id = spine_index AND k = CASE element_type
+  WHEN 'ul' THEN 1 WHEN 'div' THEN 2 WHEN 'h1' THEN 3 ELSE 3 + coalesce(TRY_CAST(regexp_extract(xpath, 'p\\[([0-9]+)\\]$', 1) AS INT), 1) END)
+ SELECT book_id, segment_id, CASE WHEN t = '' OR regexp_full_match(t, '[^\\w\\p{{L}}\\p{{N}}\\p{{M}}]+') THEN NULL ELSE t END AS spoken FROM spoke"""
+)
 def page_speech(spark, sf):
     """What is read aloud of each segment, by its document: lists with stops, notes left out."""
     marked = segments.spoken(html_segments(spark, sf), page_documents(spark, sf))
@@ -663,7 +674,11 @@ def page_previews(spark, sf):
     return rows.select("book_id", "segment_id", text.truncated(F.col("bare")).alias("preview"))
 
 
-@query()
+@query(
+    f"""WITH {PAGE_SQL} SELECT book_id, segment_id, 'completed' AS status, CASE WHEN class = 'translate' THEN '[Simplified Chinese] ' || upper(replace(t, 'ß', 'ss')) ELSE t END AS translation,
+ CASE WHEN class = 'translate' THEN 'stub' END AS provider_name, CASE WHEN class = 'translate' THEN 'upper' END AS model_name, CAST(NULL AS VARCHAR) AS error_message FROM (
+ SELECT *, {COPY} AS class FROM (SELECT book_id, segment_id, source_content AS t FROM psegs))"""
+)
 def translated_segments(spark, sf):
     """Segments through the stub translator; copied where no model is needed."""
     return models.translate(html_segments(spark, sf), models.Stub, "auto", "Simplified Chinese")
