@@ -651,14 +651,31 @@ def page_speech(spark, sf):
     return marked.select("book_id", "segment_id", said.alias("spoken"))
 
 
-@query()
+@query(
+    r"""SELECT book_id, file_path, CASE WHEN ends_with(x, '</html>') THEN x ELSE x || '</body></html>' END AS cleaned FROM (SELECT regexp_extract(regexp_replace(url, '[?#].*', ''), '://([^/]*)/', 1) AS book_id, 'Text/page_' || page_id || '.xhtml' AS file_path, replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '&([^a-z#]|a[^m]|am[^p])', '&amp;\1', 'g'), '&amp;amp;', '&amp;', 'g'),
+ '^<!DOCTYPE html>', ''), ' lang="[^"]*"', '', 'g'), '(?s)<meta[^>]*>|<script>.*?</script>', '', 'g'), ' class="ad"', '', 'g'), '<p><b>(.*?<br>)', '<p><b>\1</b></p>', 'g'), 'href="/', 'href="content/Text/', 'g'),
+ '&amp([^;a-z])', '&amp;\1', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"') AS x FROM pages)"""
+)
 def cleaned_pages(spark, sf):
     """Pages without active content, their links and media pointing into the export."""
     rows = page_documents(spark, sf)
     return segments.column_map(rows, web.cleaned, ["html", "file_path"], "cleaned").select("book_id", "file_path", "cleaned")
 
 
-@query()
+def _shown(markup: str) -> str:
+    """SQL of the text of markup, with the references of the pages' footers too."""
+    return _TEXT_SQL.replace("replace(regexp_replace({0}", "replace(replace(replace(regexp_replace({0}").replace("'&quot;', '\"')", "'&copy;', '©'), '&middot;', '·'), '&quot;', '\"')").format(markup)
+
+
+@query(
+    f"""WITH {PAGE_SQL}, menu AS (SELECT page_id, string_agg('* [' || {_shown("li[2]")} || '](' || {_shown("li[1]")} || ')', chr(10) ORDER BY i) AS t FROM (
+ SELECT page_id, i, [regexp_extract(x, 'href="([^"]*)"', 1), regexp_extract(x, '(?s)<a[^>]*>(.*?)</a>', 1)] AS li FROM (SELECT page_id, unnest(regexp_extract_all(menu, '(?s)<li>(.*?)</li>', 1)) AS x, generate_subscripts(regexp_extract_all(menu, '(?s)<li>(.*?)</li>', 1), 1) AS i FROM art)) GROUP BY page_id),
+ pieces AS (SELECT page_id, 1 AS k, t FROM menu UNION ALL SELECT page_id, 2, {_shown("ad")} FROM art UNION ALL SELECT page_id, 3, '# ' || {_shown("head")} FROM art
+ UNION ALL SELECT page_id, 3 + i, CASE WHEN starts_with(p, '<b>') THEN '**' || {_shown("p")} || '**' ELSE {_shown("p")} END FROM (SELECT page_id, unnest(paras) AS p, generate_subscripts(paras, 1) AS i FROM art)
+ UNION ALL SELECT page_id, 100000, {_shown("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)")} FROM pages)
+ SELECT book_id, file_path, markdown FROM (SELECT page_id, string_agg(t, chr(10) || chr(10) ORDER BY k) AS markdown FROM pieces WHERE t <> '' GROUP BY page_id)
+ JOIN (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*', ''), '://([^/]*)/', 1) AS book_id, 'Text/page_' || page_id || '.xhtml' AS file_path FROM pages) USING (page_id)"""
+)
 def page_markdown(spark, sf):
     rows = page_documents(spark, sf)
     return segments.column_map(rows, web.markdown, ["html", "file_path"], "markdown").select("book_id", "file_path", "markdown")
