@@ -60,8 +60,10 @@ def pending_totals(segments: DataFrame, state: DataFrame) -> DataFrame:
 
     ``segments`` carry a skip_reason, as skip.tagged gives it.
     """
-    waiting = with_state(segments, state).where("status = 'pending'")
-    known = waiting.groupBy("book_id").agg(F.count_if(F.col("skip_reason").isNull()).alias("n_pending"), F.count("skip_reason").alias("n_auto_skipped"))
+    full, waits = with_state(segments, state), F.col("status") == "pending"
+    known = full.groupBy("book_id").agg(
+        F.count_if(waits & F.col("skip_reason").isNull()).alias("n_pending"), F.count_if(waits & F.col("skip_reason").isNotNull()).alias("n_auto_skipped")
+    )
     lost = state.join(segments.select(*KEY), KEY, "left_anti").groupBy("book_id").agg(F.count("*").alias("n_orphans"))
     return known.join(lost, "book_id", "full").fillna(0)
 

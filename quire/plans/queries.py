@@ -1045,8 +1045,8 @@ def unsafe_members(spark, sf):
 @query(
     _skip_sql(
         """SELECT book_id, coalesce(n_pending, 0) AS n_pending, coalesce(n_auto_skipped, 0) AS n_auto_skipped, coalesce(n_orphans, 0) AS n_orphans FROM (
- SELECT g.book_id, CAST(sum(CASE WHEN k.reason IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_pending, count(k.reason) AS n_auto_skipped FROM segments g LEFT JOIN state t ON g.book_id = t.book_id AND g.segment_id = t.segment_id
- LEFT JOIN skips k ON g.book_id = k.book_id AND g.file_path = k.file_path WHERE coalesce(t.status, 'pending') = 'pending' GROUP BY g.book_id)
+ SELECT book_id, CAST(sum(CASE WHEN w AND k.reason IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_pending, count(CASE WHEN w THEN k.reason END) AS n_auto_skipped FROM (SELECT g.book_id, g.file_path, coalesce(t.status, 'pending') = 'pending' AS w FROM segments g LEFT JOIN state t ON g.book_id = t.book_id AND g.segment_id = t.segment_id) g
+ LEFT JOIN skips k USING (book_id, file_path) GROUP BY book_id)
  FULL JOIN (SELECT book_id, count(*) AS n_orphans FROM state t WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.segment_id = t.segment_id AND s.book_id = t.book_id) GROUP BY book_id) USING (book_id)""",
         "state",
     )
