@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import ann, bpe, htmltext, langid, packing, quality, repeats, sharding, simhash, urlfilter
+from quire.llm import ann, bpe, divergence, htmltext, langid, packing, quality, repeats, sharding, simhash, turns, urlfilter
 from quire.llm.common import Scratch
 
 
@@ -81,6 +81,15 @@ def op10_tag_path_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_cost_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return turns.repair(turns.damaged(rows), rows.select("conv_id").distinct())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_run_length_index,
@@ -93,6 +102,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_dimension_scan,
         op9_segment_popcount,
         op10_tag_path_ratio,
+        op12_source_divergence,
+        op13_cost_layers,
     )
     return {f.__name__: f for f in found}
 
@@ -129,6 +140,25 @@ SELECT page_id, host, path, {_rule_sql("rule")} AS rule, coalesce({_rule_sql("ve
  FROM p JOIN h USING (host)"""
 
 
+OP12_SQL = r"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+ translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+e AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM e GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d)
+ LEFT JOIN (SELECT lang, source, sum(c.n) AS total FROM c JOIN k USING (lang, term) GROUP BY ALL) USING (lang, source)),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + v.v)::HUGEINT AS p,
+ 1 + (1000000000::HUGEINT * (k.n + 1)) // (v.total + v.v)::HUGEINT AS q FROM g JOIN k USING (lang) JOIN v USING (lang)
+ LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS f FROM dense a JOIN dense b USING (lang, term) GROUP BY ALL),
+found AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+ LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM dense WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM found
+QUALIFY part = 'pair' OR rank <= 200"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express a query; the others are tested against brute force."""
-    return {"op3_host_reputation": OP3_SQL}
+    return {"op3_host_reputation": OP3_SQL, "op12_source_divergence": OP12_SQL}
