@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import ann, bpe, divergence, htmltext, langid, packing, quality, repeats, sharding, simhash, turns, urlfilter
+from quire.llm import ann, bpe, divergence, htmltext, langid, ngramjoin, packing, quality, repeats, sharding, simhash, turns, urlfilter
 from quire.llm.common import Scratch
 
 
@@ -81,6 +81,10 @@ def op10_tag_path_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_count_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.components(_table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
@@ -102,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_dimension_scan,
         op9_segment_popcount,
         op10_tag_path_ratio,
+        op11_count_vector_tree,
         op12_source_divergence,
         op13_cost_layers,
     )
