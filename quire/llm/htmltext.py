@@ -4,19 +4,21 @@ A page is read into blocks of text, each with its path of tags (and classes) fro
 distinct path two ratios are formed: characters of text outside links per node on the path, and punctuation
 marks per node. Both are smoothed over neighbouring paths in page order and fused, with the path's own characters, into one
 weight (the root of their product); what markup says of a path (its elements are named as boilerplate, or lie in an article or
-main element) scales the weight as one feature among others. Paths whose weight reaches ``share`` of the mean weight are content paths.
+main element) scales the weight. Paths whose weight reaches ``share`` of the mean weight are content paths.
 
 Selection is block by block:
 
 * blocks on content paths are content;
 * so is every other block of the region that the content paths span, down to the shortest: their lowest common
-  ancestor, or the article and main elements where these hold most of the characters on content paths. Where that ancestor is only the
+  ancestor, or the article and main elements where these hold most of the characters on content paths (of several articles the one that holds most,
+  those of its own path, and others only with half as much on content paths). Where that ancestor is only the
   page's body, the region ends with the first and last content block, and blocks that are mostly links don't belong to it;
 * and so are the headings right in front of the region;
-* never a block inside an element that is boilerplate: menus, headers, footers, sidebars, notices,
-  adverts, forms, scripts, styles and reader comments, known by tag, role, or the name that a class or id gives
-  them (its last word, or its first before words for layout only). That is decided on after the ratios: such a name doesn't hold for
-  an element around the page's article, or around most of the content where no article is marked.
+* a block inside an element that markup calls boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+  reader comments, by tag, role, or the name that a class or id gives them) is content only if its path is one all the same, at a hundredth of its weight. Such a
+  name doesn't hold for an element around the page's article, or around most of the content where no article is marked; inside an
+  article the names of ordinary things (a search, a menu, a banner) hold only for elements that are mostly links or have controls; and a named
+  inline element is part of its sentence: it goes only where it is all of its block.
 
 White space inside a block becomes one space, blocks are joined by a line feed, character references
 are decoded. Reading takes time in proportion to the page's size, also for unclosed quotes and deep nesting.
@@ -46,12 +48,13 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style noscript template textarea title iframe noframes noembed xmp".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output progress q rp rt ruby s samp small"
-    " span strike strong sub sup time tt u var wbr img picture audio video object embed map area svg math canvas".split()
+    " span strike strong sub sup time tt u var wbr img picture audio video object embed map area svg math canvas button".split()
 )
+_CONTROLS = frozenset("input button select textarea".split())
 #: Elements that never hold article text.
-_APART = frozenset("nav footer aside form button select option fieldset dialog menu head script style noscript template iframe textarea title object".split())
+_APART = frozenset("nav footer aside form select option fieldset dialog menu head script style noscript template iframe textarea title object".split())
 #: Of these, elements that are never a layout wrapper.
-_NEVER = frozenset("nav footer button select option menu head".split())
+_NEVER = frozenset("nav footer select option menu head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 #: Words that name boilerplate, as the last word of a class or id ("cookie-notice", "page-header").
 _NAMES = frozenset(
@@ -59,8 +62,10 @@ _NAMES = frozenset(
     " consent gdpr notice notices notification notifications alert alerts sidebar sidebars aside menu menus nav navbar navigation breadcrumb"
     " breadcrumbs footer foot header masthead topbar toolbar comment comments discussion disqus replies reply respond share sharing social related"
     " recommended recommendations newsletter subscribe subscription signup popup modal overlay login form search widget pagination pager copyright"
-    " skip".split()
+    " skip response responses feedback reactions".split()
 )
+#: Of these, words that name ordinary things inside an article as well.
+_ORDINARY = frozenset("search menu menus banner banners header head foot overlay skip form pager alert alerts reply respond response toolbar topbar promotion share".split())
 #: Words for layout: a name in front of them is the element's own ("comment-list", "ad-container").
 _LAYOUT = frozenset(
     "a area bar block body bottom box btn button buttons card cards center col column container content count entry feed footer group head header holder icon"
@@ -87,22 +92,28 @@ _ENDS = {
     "head": ("body", {"head"}, set()),
 }
 _ENDED_BY = {tag: i for i, (tags, _, _) in enumerate(_ENDS.values()) for tag in tags.split()}
-_ROOMS = frozenset("html body div article section main table td th caption object button".split())
+_ROOMS = frozenset("html body div article section main table td th caption object".split())
 #: What the markup's hints scale a path's weight by.
-NAMED_APART, IN_ARTICLE = 0.25, 2.0
+NAMED_APART, IN_ARTICLE = 0.01, 2.0
 
 
 class _Node:
     """An open or closed element; what concerns its ancestors is carried down, so nothing walks up."""
 
-    __slots__ = ("apart", "depth", "ends", "flagged", "inline", "marked", "p", "parent", "path", "tag")
+    __slots__ = ("apart", "article", "controls", "depth", "ends", "flag", "flagged", "inline", "marked", "ordinary", "p", "parent", "path", "tag", "verbatim")
 
-    def __init__(self, tag: str, parent: _Node | None, flagged: bool, path: int = 0):
+    def __init__(self, tag: str, parent: _Node | None, flagged: bool, path: int = 0, ordinary: bool = False):
         self.tag, self.parent, self.flagged, self.path = tag, parent, flagged, path
         self.depth = parent.depth + 1 if parent else 0
+        #: Whether it, or an element around it, is named as boilerplate; the nearest such element.
         self.apart = flagged or (parent is not None and parent.apart)
-        #: Whether an article or main element holds it, itself included.
+        self.flag = self if flagged else parent.flag if parent else None
+        #: Whether its name is one of ordinary things; whether it has controls of a form.
+        self.ordinary, self.controls = ordinary, False
+        #: Whether an article or main element holds it, itself included; the nearest article.
         self.marked = tag in ("article", "main") or (parent is not None and parent.marked)
+        self.article = self if tag == "article" else parent.article if parent else None
+        self.verbatim = tag in ("pre", "code") or (parent is not None and parent.verbatim)
         at = self.depth
         # Kinds of inline elements open around the place, the depth of the nearest open paragraph, and those
         # of the outermost open elements that tags of _ENDS end.
@@ -140,39 +151,52 @@ def names_boilerplate(token: str) -> bool:
     return words[-1] in _NAMES or (words[0] in _NAMES and all(w in _LAYOUT or w in _NAMES for w in words[1:]))
 
 
-def _apart(tag: str, attrs: str, parent: _Node) -> tuple[bool, str]:
-    """(whether the element is named as boilerplate, its label in paths)."""
+def _ordinary(token: str) -> bool:
+    """Whether the word that makes a name boilerplate is one of ordinary things."""
+    words = _words(token)
+    return (words[-1] if words[-1] in _NAMES else words[0]) in _ORDINARY
+
+
+def _apart(tag: str, attrs: str, parent: _Node) -> tuple[bool, str, bool]:
+    """(whether the element is named as boilerplate, its label in paths, whether only by names of ordinary things)."""
     label = tag
-    named = tag in _APART or (tag == "header" and not parent.marked)
-    if attrs and tag not in ("html", "body", "article", "main"):
+    named = tag in _APART or tag == "button" or (tag == "header" and not parent.marked)
+    ordinary = False
+    if attrs and tag in ("article", "main"):  # never boilerplate, whatever their names
+        label += "".join(f".{m[2] or m[3] or m[4] or ''}" for m in _ATTR.finditer(attrs) if m[1].lower() == "class")
+    elif attrs and tag not in ("html", "body"):
         bare = _ATTR.sub(" ", attrs).split() if "hidden" in attrs.lower() else ()
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
                 label += f".{value}" if name == "class" else ""
-                named = named or any(map(names_boilerplate, value.split()))
+                hits = [] if named else [t for t in value.split() if names_boilerplate(t)]
+                ordinary = ordinary or bool(hits) and all(map(_ordinary, hits))
+                named = named or bool(hits)
             elif name == "role":
                 named = named or value.strip().lower() in _ROLES
             elif name == "aria-hidden":
                 named = named or value.strip().lower() == "true"
         named = named or any(x.strip("/").lower() == "hidden" for x in bare)
-    return named, label
-
-
-def blocks(page: str) -> list[_Block]:
-    """The page's blocks of text outside boilerplate, in order."""
-    return _unflagged(_all_blocks(page))
+    return named, label, ordinary
 
 
-def _unflagged(found: list[_Block], most: float = 0.75) -> list[_Block]:
-    """The blocks outside flagged elements.
+def lost_blocks(found: list[_Block], most: float = 0.75) -> list[bool]:
+    """Which blocks are inside flagged elements whose flags hold.
 
-    A flag is spared, from the outside in, while no article or main element outside flags carries a part of
-    the characters on content paths: first where the element holds such an element, else where it holds ``most`` of them.
+    Names of ordinary things hold inside an article only for elements that are mostly links or have controls. Another flag is spared, from
+    the outside in, while no article or main element outside flags carries a part of the characters on content
+    paths: first where the element holds such an element, else where it holds ``most`` of them.
     """
     if not any(b.node.apart for b in found):
-        return found
-    weights = path_weights(found, hints=False)
+        return [False] * len(found)
+    sizes: dict[int, list[int]] = {}
+    for b in found:
+        if b.node.flag is not None:
+            own = sizes.setdefault(id(b.node.flag), [0, 0])
+            own[0] += len(b.text)
+            own[1] += b.linked
+    weights = path_weights(found)
     votes = [float(len(b.text) - b.linked) if b.path in weights else 0.0 for b in found]
     total = sum(votes)
     # Votes of each element, and those of them that lie in article and main elements; deepest elements first.
@@ -208,7 +232,7 @@ def _unflagged(found: list[_Block], most: float = 0.75) -> list[_Block]:
                 heapq.heappush(heap, (-held, -share.get(id(n), 0.0), id(n)))
 
     offer(below[0])
-    spared = set()
+    spared = {id(n) for n in ordered if n.flagged and n.ordinary and n.marked and not n.controls and 2 * sizes.get(id(n), (0, 0))[1] <= sizes.get(id(n), (0, 0))[0]}
     while heap and clear <= (1 - most) * total:
         held, own, key = heapq.heappop(heap)
         if not held and -own < most * total:
@@ -220,14 +244,17 @@ def _unflagged(found: list[_Block], most: float = 0.75) -> list[_Block]:
     lost: dict[int, bool] = {}
     for n in ordered:
         lost[id(n)] = (n.flagged and id(n) not in spared) or (n.parent is not None and lost[id(n.parent)])
-    return [b for b in found if not lost[id(b.node)]]
+    return [lost[id(b.node)] for b in found]
 
 
-def _all_blocks(page: str) -> list[_Block]:
+def all_blocks(page: str) -> list[_Block]:
+    """The page's blocks of text, in order."""
     root = _Node("", None, False)
     stack, out = [root], []
     text: list[str] = []
     linked = [0, 0]  # characters inside links of the block at hand, open links
+    hushed = [0, 0]  # characters of the block at hand, those of them inside named inline elements
+    named_inline: list[list] = []  # open ones: tag, open elements of that tag since, depth of the stack
     paths: dict[tuple[int, str], int] = {}
     count: dict[str, int] = {}
 
@@ -236,24 +263,32 @@ def _all_blocks(page: str) -> list[_Block]:
             joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if joined:
-                out.append(_Block(stack[-1], joined, min(linked[0], len(joined))))
-        linked[0] = 0
+                node = stack[-1]
+                if hushed[0] and hushed[1] == hushed[0]:  # nothing but named inline elements
+                    node = _Node("span", node, True, paths.setdefault((node.path, "span!"), len(paths) + 1))
+                out.append(_Block(node, joined, min(linked[0], len(joined))))
+        linked[0] = hushed[0] = hushed[1] = 0
 
     def say(piece: str) -> None:
         text.append(piece)
         if linked[1]:
             linked[0] += len(piece)
+        if piece and not piece.isspace():
+            hushed[0] += 1
+            hushed[1] += bool(named_inline)
 
     def close(depth: int) -> None:
         flush()
         for node in stack[depth:]:
             count[node.tag] -= 1
         del stack[depth:]
+        while named_inline and named_inline[-1][2] > len(stack):
+            named_inline.pop()
 
-    def push(tag: str, label: str, flagged: bool) -> None:
+    def push(tag: str, label: str, flagged: bool, ordinary: bool) -> None:
         above = stack[-1]
         path = paths.setdefault((above.path, label), len(paths) + 1)
-        stack.append(_Node(tag, above, flagged, path))
+        stack.append(_Node(tag, above, flagged or bool(named_inline), path, ordinary and not named_inline))
         count[tag] = count.get(tag, 0) + 1
 
     for kind, tag, attrs in _tokens(page):
@@ -264,21 +299,22 @@ def _all_blocks(page: str) -> list[_Block]:
         elif tag == "hr":
             flush()
         elif tag in _VOID or tag in _RAW:
-            continue
+            if tag in _CONTROLS and stack[-1].flag is not None:
+                stack[-1].flag.controls = True
         elif tag in _INLINE and tag != "object":
-            # Inline elements don't shape paths unless they are boilerplate themselves.
+            # Inline elements don't shape paths; named ones go with their block unless they are all of it.
             if tag == "a":
                 linked[1] = int(kind == "open")
-            if kind == "open":
-                named, label = _apart(tag, attrs, stack[-1])
-                if named and not attrs.rstrip().endswith("/"):
-                    flush()
-                    push(tag, label, True)
-            elif tag in stack[-1].inline:
-                i = len(stack) - 1
-                while stack[i].tag != tag:
-                    i -= 1
-                close(i)
+            if tag == "button" and stack[-1].flag is not None:
+                stack[-1].flag.controls = True
+            if attrs.rstrip().endswith("/"):
+                continue
+            if named_inline and named_inline[-1][0] == tag:
+                named_inline[-1][1] += 1 if kind == "open" else -1
+                if named_inline[-1][1] == 0:
+                    named_inline.pop()
+            elif kind == "open" and not stack[-1].verbatim and _apart(tag, attrs, stack[-1])[0]:
+                named_inline.append([tag, 1, len(stack)])
         elif kind == "close":
             linked[1] = 0
             if count.get(tag, 0):
@@ -295,8 +331,8 @@ def _all_blocks(page: str) -> list[_Block]:
                 close(stack[-1].p)
             if tag in _ENDED_BY and stack[-1].ends[_ENDED_BY[tag]] >= 0:
                 close(stack[-1].ends[_ENDED_BY[tag]])
-            named, label = _apart(tag, attrs, stack[-1])
-            push(tag, label, named)
+            named, label, ordinary = _apart(tag, attrs, stack[-1])
+            push(tag, label, named, ordinary)
     flush()
     return out
 
@@ -359,19 +395,19 @@ def _raw_end(tag: str) -> Callable[..., re.Match[str] | None]:
     return re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search
 
 
-def path_weights(found: list[_Block], share: float = 0.75, hints: bool = True) -> dict[int, float]:
-    """The fused weight of each path that reaches the threshold."""
+def path_weights(found: list[_Block], share: float = 0.75, lost: list[bool] | None = None) -> dict[int, float]:
+    """The fused weight of each path that reaches the threshold; with ``lost`` blocks told, scaled by what markup says."""
     chars: dict[int, float] = {}
     marks: dict[int, float] = {}
     nodes: dict[int, int] = {}
     scale: dict[int, float] = {}
-    for b in found:
+    for i, b in enumerate(found):
         bare = max(0, len(b.text) - b.linked)
         chars[b.path] = chars.get(b.path, 0) + bare
         marks[b.path] = marks.get(b.path, 0) + (len(_MARKS.findall(b.text)) if 2 * bare > len(b.text) else 0)
         nodes[b.path] = nodes.get(b.path, 0) + 1
-        if hints:
-            scale[b.path] = (NAMED_APART if b.node.apart else 1.0) * (IN_ARTICLE if b.node.marked else 1.0)
+        if lost is not None:
+            scale[b.path] = (NAMED_APART if lost[i] else 1.0) * (IN_ARTICLE if b.node.marked else 1.0)
     paths = list(chars)
     own, points = ([x[p] / nodes[p] for p in paths] for x in (chars, marks))
     weights = [(o * x * (1 + y)) ** 0.5 * scale.get(p, 1.0) for p, o, x, y in zip(paths, own, _smooth(own), _smooth(points))]
@@ -387,12 +423,21 @@ def _smooth(values: list[float]) -> list[float]:
 
 def content(found: list[_Block], most: float = 0.75) -> list[_Block]:
     """The blocks of the article, as the module's text says."""
-    weights = path_weights(found)
+    if not found:
+        return []
+    lost = lost_blocks(found, most)
+    weights = path_weights(found, lost=lost)
+    found = [b for b, gone in zip(found, lost) if not gone or b.path in weights]
+    if not found:
+        return []
     chosen = [b.path in weights for b in found]
+    if not any(chosen):  # all content paths are boilerplate: what is left is weighed by itself
+        weights = path_weights(found)
+        chosen = [b.path in weights for b in found]
     votes = [max(1, len(b.text) - b.linked) if c else 0 for b, c in zip(found, chosen)]
     marked = [b.node.marked for b in found]
     if any(marked) and sum(v for v, m in zip(votes, marked) if m) >= most * sum(votes):
-        keep = marked
+        keep = _articles(found, votes)
     else:
         titled = _with_headings(found, [c or b.node.tag == "h1" for b, c in zip(found, chosen)])
         home, inside = _region(found, titled)
@@ -405,6 +450,28 @@ def content(found: list[_Block], most: float = 0.75) -> list[_Block]:
     return [b for b, k in zip(found, _with_headings(found, keep)) if k]
 
 
+def _articles(found: list[_Block], votes: list[int]) -> list[bool]:
+    """Blocks of main elements and of the articles that are the page's own: the one with most characters on content paths, those of its path, and such as have half as many.
+
+    An article inside another is a part of it only where the outer one has no more of its own.
+    """
+    held: dict[int, int] = {}
+    nodes: dict[int, _Node] = {}
+    for b, v in zip(found, votes):
+        if b.node.article is not None:
+            nodes[id(b.node.article)] = b.node.article
+            held[id(b.node.article)] = held.get(id(b.node.article), 0) + v
+    if len(nodes) < 2:
+        return [b.node.marked for b in found]
+    best = max(held, key=lambda k: (held[k], -nodes[k].depth))
+    own = {k for k, n in nodes.items() if n.path == nodes[best].path or 2 * held[k] >= held[best]}
+    for k, n in nodes.items():
+        outer = n.parent.article if n.parent is not None else None
+        if outer is not None and k != best and held.get(id(outer), 0) >= held[k]:
+            own.discard(k)
+    return [b.node.marked and (b.node.article is None or id(b.node.article) in own) for b in found]
+
+
 def _region(found: list[_Block], chosen: list[bool]) -> tuple[_Node, list[bool]]:
     """(the lowest common ancestor of the chosen blocks' elements, which blocks lie in it)."""
     seen: dict[int, _Node] = {}
@@ -430,7 +497,7 @@ def _region(found: list[_Block], chosen: list[bool]) -> tuple[_Node, list[bool]]
 def _with_headings(found: list[_Block], keep: list[bool]) -> list[bool]:
     """Also keeps the headings right in front of the first kept block."""
     keep = list(keep)
-    i = keep.index(True) - 1
+    i = keep.index(True) - 1 if True in keep else -1
     while i >= 0 and found[i].node.tag in _HEADINGS:
         keep[i] = True
         i -= 1
@@ -438,8 +505,7 @@ def _with_headings(found: list[_Block], keep: list[bool]) -> list[bool]:
 
 
 def extract(page: str) -> str:
-    found = blocks(page)
-    return "\n".join(b.text for b in content(found)) if found else ""
+    return "\n".join(b.text for b in content(all_blocks(page)))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -19,20 +19,19 @@ Matches never cross documents; texts are judged as UTF-8 bytes, as they are in t
 are compared by their bytes inside an index and by 64-bit hashes within an anchor elsewhere.
 
 Edge cases: a null or empty text has no bytes; texts shorter than ``length`` have no repeats;
-repeated rows repeat each other, so they are covered whole if long enough; ids may be null or occur
-with several texts, as rows are told apart by id and checksum of the text; an empty table gives an
-empty result. Only the named columns are read.
+repeated rows repeat each other, so they are covered whole if long enough, and count once where
+contexts are read; ids may be null or occur with several texts, as rows are told apart by id and a
+64-bit hash of the text; an empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.llm.common import Scratch, text_slices, texts_of, utf8_bytes
 from quire.llm.runindex import MAX_TEXT, long_matches
@@ -56,6 +55,11 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
+def text_hash(column: str) -> Column:
+    """A 64-bit hash of a text, a null being an empty one."""
+    return F.xxhash64(F.coalesce(column, F.lit("")))
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the minimizers of all windows of ``length`` bytes inside one text."""
     n = len(data)
@@ -104,13 +108,13 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
                     np.uint64,
                     len(at),
                 )
-                sums = np.fromiter((zlib.crc32(view[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())), np.int64, part.num_rows)
+                sums = np.fromiter((xxhash.xxh64_intdigest(view[a:b], 42) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())), np.uint64, part.num_rows)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(h.view(np.int64)),
                         pa.array(c.view(np.int64)),
                         part.column(0).take(pa.array(doc)),
-                        pa.array(sums[doc]),
+                        pa.array(sums[doc].view(np.int64)),
                         pa.array((at - offsets[doc]).astype(np.int32)),
                         pa.array(right.astype(np.int32)),
                     ],
@@ -134,9 +138,11 @@ def _long_text(data: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarr
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of the wanted contexts: (key, doc_id, th, lo, core, want, ctx), ``core`` inside ``ctx``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    places = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "pos", "rt", "want")).alias("places"))
-    keyed = docs.select(F.col("doc_id").alias("d"), F.crc32(F.coalesce("text", F.lit(""))).alias("t"), "text")
-    joined = places.join(keyed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("doc_id", "th", "places", "text")
+    # Of equal rows one is read; a task drops copies before the shuffle, and both sides are dealt by the same keys.
+    same = [F.coalesce("doc_id", F.lit(0).cast(kind)).alias("id"), F.col("doc_id").isNull().alias("none"), "th"]
+    places = wanted.select(*same, F.struct("h", "pos", "rt", "want").alias("place")).groupBy("id", "none", "th").agg(F.collect_list("place").alias("places"))
+    once = docs.withColumn("th", text_hash("text")).select(*same, "text").groupBy("id", "none", "th").agg(F.first("text").alias("text"))
+    joined = places.join(once, ["id", "none", "th"]).select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "th", "places", "text")
     reach = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +186,8 @@ def _grow(items: DataFrame, length: int) -> DataFrame:
             for row in batch.to_pylist():
                 ctx, lo, core, size = row["ctx"], row["lo"], row["core"], row["size"]
                 more = -(-(length - size) // 2)
-                for a, b in ((core, core + size + more), (core - more, core + size)):
+                # A core of full length is all that is left of its context: equal ones have been counted.
+                for a, b in () if more <= 0 else ((core, core + size + more), (core - more, core + size)):
                     if a >= 0 and b <= len(ctx):
                         first, last = max(0, b - length), min(len(ctx), a + length)
                         if last - first < length:
@@ -265,7 +272,7 @@ def _merged(rows: list[tuple]) -> Iterator[tuple]:
 def repeat_spans(docs: DataFrame, length: int = 200, group_rows: int = 2500, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, th, a, b): byte ranges that cover exactly the repeated bytes; they may overlap.
 
-    ``docs(doc_id, text)``; ``th`` is the CRC-32 of the text.
+    ``docs(doc_id, text)``; ``th`` is the text's hash.
     """
     scratch = scratch or Scratch(docs.sparkSession, "repeats")
     group_rows = max(2, min(group_rows, MAX_TEXT // (2 * length)))  # a context has less than 2 * length bytes
@@ -294,6 +301,8 @@ def repeat_spans(docs: DataFrame, length: int = 200, group_rows: int = 2500, scr
         if over.isEmpty():
             break
         level += 1
+        if level > length.bit_length() + 1:
+            raise RuntimeError("collections don't become smaller by growth")
         grown = scratch.put(_grow(items.join(over, "key", "left_semi"), length).withColumn("cx", F.xxhash64("ctx")), f"grown{level}")
         same = ["key", "core", "cx"]
         counted = grown.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "lo")).alias("o"))
@@ -329,7 +338,7 @@ def remove_repeats(
     names = ["doc_id", *keep]
     keyed = docs.select(
         F.col(id_col).alias("__id"), *(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), F.coalesce(text_col, F.lit("")).alias("__text")
-    ).withColumn("__th", F.crc32("__text"))
+    ).withColumn("__th", text_hash("__text"))
     joined = keyed.join(listed, F.col("__id").eqNullSafe(F.col("d")) & (F.col("__th") == F.col("t")), "left")
     joined = joined.select("__id", *(f"__k{i}" for i in range(len(keep))), "__text", "spans")
 

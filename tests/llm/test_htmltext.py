@@ -94,11 +94,50 @@ BARE = [
 @pytest.mark.parametrize(("page", "want"), BARE)
 def test_paths_select(page, want, monkeypatch):
     assert htmltext.extract(page) == want
-    every = lambda found, share=0, hints=True: {b.path: 1.0 for b in found}
+    every = lambda found, share=0, lost=None: {b.path: 1.0 for b in found}
     monkeypatch.setattr(htmltext, "path_weights", every)
     assert htmltext.extract(page) != want
 
 
+INLINE = [
+    (f"<article><p>{TEXT}</p><pre><code><span class='comment'># say it</span>\nprint(1)</code></pre></article>", f"{TEXT}\n# say it print(1)"),
+    (f"<article><p>{TEXT}</p><p>In <span class='ad'>AD</span> 79, the town fell.</p></article>", f"{TEXT}\nIn AD 79, the town fell."),
+    (f"<article><p>{TEXT}</p><p>Press <button>Go</button> to start.</p><p><button>Buy</button></p></article>", f"{TEXT}\nPress Go to start."),
+    (f"<article><p>{TEXT}</p><p><span class='ad'>Cheap things.</span></p><span class='ad'><div>More, of it. All.</div></span><p>End.</p></article>", f"{TEXT}\nEnd."),
+    (f"<article><p>{TEXT}</p><p><span class=ad>An unclosed one.</p><p>{TEXT}</p></article>", f"{TEXT}\n{TEXT}"),
+    (f"<article><p>{TEXT}</p><p><span class=ad>a <span>b</span> c</span> and d.</p></article>", f"{TEXT}\na b c and d."),
+]
+ORDINARY = [
+    (f"<article><p>{TEXT}</p><p class='search'>The search went on for days, in vain.</p></article>", f"{TEXT}\nThe search went on for days, in vain."),
+    (f"<article><p>{TEXT}</p><ul class='menu'><li>Soup</li><li>Fish</li></ul><p>{TEXT}</p></article>", f"{TEXT}\nSoup\nFish\n{TEXT}"),
+    (f"<article><p>{TEXT}</p><ul class='menu'><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></article>", TEXT),
+    (f"<article><p>{TEXT}</p><div class='quote-banner'>To be, or not.</div></article>", f"{TEXT}\nTo be, or not."),
+    (f"<article><p>{TEXT}</p><div class='search'>Find it <input></div></article>", TEXT),
+    (f"<div class='banner'>Big, cheap. Now!</div><p>{TEXT}</p><p>{TEXT}</p>", f"{TEXT}\n{TEXT}"),
+]
+OTHERS = [
+    (f"<article><p>{TEXT}</p><p>{TEXT}</p></article><article class='teaser'><h2>Other</h2><p>Read on.</p></article>", f"{TEXT}\n{TEXT}"),
+    (f"<main><article class='post'><p>{TEXT}</p></article><article class='post'><p>Two, too.</p></article></main>", f"{TEXT}\nTwo, too."),
+    (f"<article><p>{TEXT} {TEXT}</p><div><article><p>{TEXT}</p></article></div></article>", f"{TEXT} {TEXT}"),
+    (f"<article><p>{TEXT}</p></article><section id='user-responses'><p>{TEXT}</p><p>{TEXT}</p></section>", TEXT),
+    (f"<article><p>{TEXT}</p><div class='reader-feedback'><p>{TEXT}</p></div></article>", TEXT),
+    (f"<div class=c><p>{TEXT}</p><p>{TEXT}</p></div><div class='responses'><p>Nice, this. I like it.</p></div>", f"{TEXT}\n{TEXT}"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), INLINE + ORDINARY + OTHERS)
+def test_names_are_one_feature(page, want):
+    assert htmltext.extract(page) == want
+
+
+def test_weights_decide_in_articles(monkeypatch):
+    """Without weights what is named as boilerplate stays, also around an article."""
+    page = f"<nav><a href=x>Home</a></nav><div class='ad'>Buy, now.</div><article><h1>T</h1><p>{TEXT}</p><p>x</p><div class='ad'>And this.</div></article><footer>me</footer>"
+    assert htmltext.extract(page) == f"T\n{TEXT}\nx"
+    monkeypatch.setattr(htmltext, "path_weights", lambda found, share=0, lost=None: {b.path: 1.0 for b in found})
+    assert htmltext.extract(page) != f"T\n{TEXT}\nx"
+
+
 class Plain(HTMLParser):
     """Blocks with their paths, for pages whose elements are all closed; an independent reading."""
 

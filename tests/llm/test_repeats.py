@@ -122,3 +122,23 @@ def test_repetitive_collection_has_few_runs():
     index = RunIndex(strings, np.zeros(len(strings), int))
     assert index.runs * 20 < index.n
     assert {i for i, *_ in long_matches(strings, np.zeros(len(strings), int), 100)} == set(range(len(strings)))
+
+
+@pytest.mark.parametrize("copies, group_rows", [(6, 4), (10000, 2500)])
+def test_more_equal_rows_than_a_group(spark, copies, group_rows):
+    """Rows with one id (or none) and one text, next to documents that share a passage with them."""
+    rng = random.Random(6)
+    word = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passage = word(230)
+    rows = [(None, word(60) + passage + word(40))] * copies + [(7, word(90) + passage)] * copies + [(1, passage + word(10)), (2, word(300) + passage)]
+    raw = [t.encode() for _, t in dict.fromkeys(rows)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    got = repeats.remove_repeats(df, group_rows=group_rows).groupBy("doc_id", "n_removed").count().collect()
+    want = {None: len(raw[0]), 7: len(raw[1]), 1: 230, 2: 230}
+    assert {r["doc_id"]: (r["n_removed"], r["count"]) for r in got} == {d: (n, copies if d in (None, 7) else 1) for d, n in want.items()}
+
+
+def test_hash_of_texts_agrees(spark):
+    for t in ("", "a", "é" * 40, "x" * 1000):
+        df = spark.createDataFrame([(t,)], "text string")
+        assert df.select(repeats.text_hash("text")).first()[0] % (1 << 64) == repeats.xxhash.xxh64_intdigest(t.encode(), 42)
