@@ -1,49 +1,47 @@
-"""Commands over a work folder: ``python -m quire.cli [--work WORK] COMMAND ...``.
+"""Commands over a work folder: ``python -m quire.cli [--work WORK] [--config FILE] [-v|-q] COMMAND ...``.
 
-A work folder holds tables: members, package, documents, segments, skips, and a state in versions; its file
-``current`` names the version that counts, and is moved into place whole.
+A work folder holds tables: members, package, documents, segments, skips, answers, and the state as a log of commits (``sources.commits``).
+It is reached through Spark's file systems only, so any store that Spark reads and writes will do. Settings come in layers
+(``files.setting_layers``), and what a command is told by its arguments counts before them.
 """
 
 from __future__ import annotations
 
 import argparse
 import json
+import logging
 import os
-import sys
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.operators import audio, chapters, export as ex, models, reports, segments as sg, skip, state as st, web
-from quire.sources import epub, files
+from quire.sources import epub, files, sinks
+from quire.sources.commits import CommitLog
+
+log = logging.getLogger("quire")
 
 
 # The work folder
 
 
-def current(work: str) -> int:
-    """The version of the state that counts."""
-    with open(f"{work}/current", encoding="utf-8") as f:
-        return int(f.read())
+def state_log(spark: SparkSession, work: str) -> CommitLog:
+    return CommitLog(spark, f"{work}/state")
 
 
-def advance(work: str, version: int) -> int:
-    aside = f"{work}/current.{uuid.uuid4().hex}"
-    with open(aside, "x", encoding="utf-8") as f:
-        f.write(str(version))
-    os.replace(aside, f"{work}/current")
-    return version
+def current(spark: SparkSession, work: str) -> int | None:
+    """The version of the state that counts."""
+    return state_log(spark, work).version()
 
 
-def put_state(work: str, state: DataFrame, version: int) -> int:
-    """A new version of the state; it counts only once it is written whole."""
-    state.write.mode("overwrite").parquet(f"{work}/state-{version}")
-    return advance(work, version)
+def load(spark: SparkSession, work: str, *names: str) -> tuple[DataFrame, ...]:
+    return tuple(state_log(spark, work).table() if n == "state" else spark.read.parquet(f"{work}/{n}") for n in names)
 
 
-def load(spark: SparkSession, work: str, *names: str) -> tuple[DataFrame, ...]:
-    return tuple(spark.read.parquet(f"{work}/{f'state-{current(work)}' if n == 'state' else n}") for n in names)
+def there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def tables(package: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -56,15 +54,15 @@ def tables(package: DataFrame) -> tuple[DataFrame, DataFrame]:
 # Commands
 
 
-def extract(spark: SparkSession, books: str, work: str) -> None:
+def extract(spark: SparkSession, books: str, work: str, settings: dict | None = None) -> None:
     """E-books to tables: members, packages, segments with skip reasons, skips, and a pending state.
 
     A work folder that was made from other books is refused; records of segments that are still there stay.
     """
-    source = f"{work}/source.json"
-    if os.path.exists(source):
-        with open(source, encoding="utf-8") as f:
-            files.checked_workspace(work, books, json.load(f)["books"])
+    own = {**files.DEFAULTS, **(settings or {})}
+    source = f"{work}/source"
+    if there(spark, source):
+        files.checked_workspace(work, books, spark.read.json(source).first()["books"])
     found = epub.members(spark, books)
     found.write.mode("overwrite").parquet(f"{work}/members")
     found = spark.read.parquet(f"{work}/members")
@@ -73,31 +71,46 @@ def extract(spark: SparkSession, books: str, work: str) -> None:
     epub.spine_documents(found, package).where("linear").write.mode("overwrite").parquet(f"{work}/documents")
     docs = spark.read.parquet(f"{work}/documents")
     spine, toc = tables(package)
-    skip.candidates(toc, spine).write.mode("overwrite").parquet(f"{work}/skips")
+    skips = skip.candidates(toc, spine, own["skip_after_back_matter"], own["skip_rules"], own["back_matter_triggers"], own["back_matter_threshold"])
+    skips.write.mode("overwrite").parquet(f"{work}/skips")
     rows = skip.tagged(sg.unique_ids(sg.segment_documents(docs)), spark.read.parquet(f"{work}/skips"))
     rows.write.mode("overwrite").parquet(f"{work}/segments")
-    with open(source, "w", encoding="utf-8") as f:
-        json.dump({"books": books}, f)
-    known = os.path.exists(f"{work}/current")
-    old = load(spark, work, "state")[0] if known else spark.createDataFrame([], files.STATE_SCHEMA)
-    put_state(work, st.ensured(spark.read.parquet(f"{work}/segments"), old), current(work) + 1 if known else 0)
+    spark.createDataFrame([(books,)], "books string").coalesce(1).write.mode("overwrite").json(source)
+    rows = spark.read.parquet(f"{work}/segments")
+    state_log(spark, work).commit(lambda old: st.ensured(rows, spark.createDataFrame([], files.STATE_SCHEMA) if old is None else old), "extract")
 
 
-def translate(spark: SparkSession, work: str, target: str, client: Callable = models.Stub) -> None:
-    """Pending segments through a client; a new version of the state."""
+def listed(spark: SparkSession, names: list[str] | None, rows: DataFrame) -> DataFrame | None:
+    """The files of all books that a setting lists, or None without a list."""
+    if names is None:
+        return None
+    return rows.select("book_id", "file_path").where(F.col("file_path").isin(*names) if names else F.lit(False)).distinct()
+
+
+def translate(spark: SparkSession, work: str, target: str | None = None, client: Callable = models.Stub, settings: dict | None = None) -> None:
+    """Pending segments through a client; a new version of the state.
+
+    Answers are committed window by window. A run that died is taken up: its folder is named by the version of the state that it
+    started from. Records of other writers that came meanwhile stay.
+    """
+    own = {**files.DEFAULTS, **(settings or {})}
+    target = target or own["target_language"]
     rows, state = load(spark, work, "segments", "state")
-    version = current(work)
-    done = models.translate(st.pending(st.chosen(rows, None), state), client, "auto", target)
-    done.write.mode("overwrite").parquet(f"{work}/answers-{version}")  # a client is called once
-    put_state(work, st.merged(state, spark.read.parquet(f"{work}/answers-{version}")), version + 1)
+    todo = st.pending(st.chosen(rows, listed(spark, own["translation_files"], rows)), state)
+    intro = own["prompt_preamble"] or models.INTRO
+    step = lambda found: models.translate(found, client, own["source_language"], target, workers=int(own["translation_workers"]), intro=intro)
+    done = models.in_windows(todo, f"{work}/answers-{current(spark, work)}", step, cooldown_s=own["cooldown_seconds"])
+    version = state_log(spark, work).commit(lambda old: st.merged(old, done), f"translate into {target}")
+    log.info("state %d: %d answers", version, done.count())
 
 
-def export(spark: SparkSession, work: str, kind: str, out: str, mode: str = "bilingual") -> None:
-    """``epub``: whole books. ``web``: a folder a book. ``web-zip``: that as one archive. ``markdown``: a file a chapter.
+def export(spark: SparkSession, work: str, kind: str, out: str, mode: str | None = None, settings: dict | None = None) -> None:
+    """All files of an export, or none if it fails. ``epub``: whole books. ``web``: a folder a book. ``web-zip``: that as one archive. ``markdown``: a file a chapter.
     ``combined``: a markdown file a book. ``images``: the books' images.
     """
     found, package, docs, rows, state = load(spark, work, "members", "package", "documents", "segments", "state")
     answers = st.injectable(rows, state)
+    mode = files.output_mode(mode or (settings or files.DEFAULTS)["output_mode"])
     folder = files.folder_name(F.col("book_id"))
     if kind in ("markdown", "combined"):
         spine, toc = tables(package)
@@ -106,51 +119,50 @@ def export(spark: SparkSession, work: str, kind: str, out: str, mode: str = "bil
         bodies = chapters.bodies(answers, named, "translation").join(named.select("book_id", "chapter_file", "title").distinct(), ["book_id", "chapter_file"])
         bodies = bodies.withColumn("position", F.col("spine_index"))
         if kind == "markdown":
-            files.write_named(files.chapter_files(bodies), out)
+            sinks.write_files(files.chapter_files(bodies), out)
         else:
             whole = files.combined_markdown(bodies)
-            files.write_named(whole.select(F.concat(folder, F.lit(".md")).alias("path"), F.encode("text", "UTF-8").alias("content")), out)
+            sinks.write_files(whole.select(F.concat(folder, F.lit(".md")).alias("path"), F.encode("text", "UTF-8").alias("content")), out)
         return
     if kind == "images":
-        listed = epub.image_files(found, package)
-        files.write_named(listed.select(F.concat(folder, F.lit("/"), "path").alias("path"), "content"), out)
+        shown = epub.image_files(found, package)
+        sinks.write_files(shown.select(F.concat(folder, F.lit("/"), "path").alias("path"), "content"), out)
         return
     gone = sg.missing_documents(docs, answers)
     if not gone.isEmpty():
         files.write_report(gone, f"{work}/missing-documents")
-        print(f"translations without a document: see {work}/missing-documents", file=sys.stderr)
+        log.warning("translations without a document: see %s/missing-documents", work)
     # What goes out is made before anything that is there is replaced.
     sg.inject(docs, answers, mode).select("book_id", "file_path", "html").write.mode("overwrite").parquet(f"{work}/pages-{mode}")
     pages = spark.read.parquet(f"{work}/pages-{mode}")
     if kind == "epub":
         only = mode == "translated_only"
-        made = epub.books(found, pages, sg.headings(answers, docs) if only else None, only)
+        made = epub.book_members(found, pages, sg.headings(answers, docs) if only else None, only)
         ending = "_translated.epub" if only else "_bilingual.epub"
-        files.write_named(made.select(F.concat(folder, F.lit(ending)).alias("path"), "content"), out)
+        sinks.write_archives(made.select(F.concat(folder, F.lit(ending)).alias("path"), "member", "content"), out)
         return
     if kind not in ("web", "web-zip"):
         raise ValueError(f"unknown kind of export: {kind}")
     spine, toc = tables(package)
-    listed = ex.web_spine(spine.join(docs.select("book_id", "file_path"), ["book_id", "file_path"]), chapters.titles_by_file(toc))
+    order = ex.web_spine(spine.join(docs.select("book_id", "file_path"), ["book_id", "file_path"]), chapters.titles_by_file(toc))
     books = ex.metadata(package).select("book_id", "title")
     entries = package.select("book_id", F.explode("toc").alias("t")).select("book_id", "t.*")
-    data = ex.book_json(books, listed, ex.web_toc(entries)).join(books, "book_id")
+    data = ex.book_json(books, order, ex.web_toc(entries)).join(books, "book_id")
     clean = sg.column_map(pages, web.cleaned, ["html", "file_path"], "html")
     parts = ex.web_files(found, clean, data)
     if kind == "web":
-        files.write_named(parts.select(F.concat(folder, F.lit("/"), "path").alias("path"), "content"), out)
+        sinks.write_files(parts.select(F.concat(folder, F.lit("/"), "path").alias("path"), "content"), out)
     else:
-        archives = epub.books(parts.withColumnRenamed("path", "member"), spark.createDataFrame([], "book_id string, file_path string, html string"))
-        files.write_named(archives.select(F.concat(folder, F.lit(".zip")).alias("path"), "content"), out)
+        sinks.write_archives(parts.select(F.concat(folder, F.lit(".zip")).alias("path"), F.col("path").alias("member"), "content"), out)
 
 
-def pipeline(spark: SparkSession, books: str, work: str, target: str, out: str) -> None:
+def pipeline(spark: SparkSession, books: str, work: str, out: str, target: str | None = None, settings: dict | None = None) -> None:
     """Extraction, translation, and both kinds of e-books and the web export."""
-    extract(spark, books, work)
-    translate(spark, work, target)
+    extract(spark, books, work, settings)
+    translate(spark, work, target, settings=settings)
     for mode in ("bilingual", "translated_only"):
         export(spark, work, "epub", out, mode)
-    export(spark, work, "web", f"{out}/web")
+    export(spark, work, "web", f"{out}/web", settings=settings)
 
 
 def resume(spark: SparkSession, work: str) -> DataFrame:
@@ -162,7 +174,7 @@ def resume(spark: SparkSession, work: str) -> DataFrame:
 
 def format_(spark: SparkSession, work: str) -> None:
     """Uniform typography in completed Chinese translations; a new version of the state."""
-    put_state(work, st.polished(load(spark, work, "state")[0]), current(work) + 1)
+    state_log(spark, work).commit(st.polished, "format")
 
 
 def config_validate(spark: SparkSession | None, path: str) -> list[str]:
@@ -190,12 +202,17 @@ def config_template(spark: SparkSession, work: str, folder: str) -> int:
     )
 
 
-def audiobook_generate(spark: SparkSession, work: str, voice: str = "narrator", make: Callable = models.SilentSpeaker) -> None:
+def audiobook_generate(
+    spark: SparkSession, work: str, voice: str | None = None, make: Callable = models.SilentSpeaker, settings: dict | None = None
+) -> None:
     """What is to be spoken through a speaker; audio and the plan by which it is joined go to the work folder."""
+    own = {**files.DEFAULTS, **(settings or {})}
     package, docs, rows, state = load(spark, work, "package", "documents", "segments", "state")
-    said = sg.spoken(rows, docs)
+    wanted = listed(spark, own["audiobook_files"], rows)
+    said = sg.spoken(rows if wanted is None else st.chosen(rows, wanted), docs)
     plan = st.audio_plan(said.withColumn("source_content", F.coalesce("from_source", F.lit(""))), state).where("skipped_because is null")
-    models.render(plan, make, voice).write.mode("overwrite").parquet(f"{work}/audio")
+    render = models.render(plan, make, voice or own["audiobook_voice"] or "narrator", workers=int(own["audiobook_workers"]))
+    render.write.mode("overwrite").parquet(f"{work}/audio")
     made = spark.read.parquet(f"{work}/audio").select("book_id", "segment_id", "status", F.concat("segment_id", F.lit(".wav")).alias("audio_path"), "duration_seconds")
     spine, toc = tables(package)
     audio.assembly(rows, chapters.audio_chapter_of(spine, toc), made).write.mode("overwrite").parquet(f"{work}/assembly")
@@ -233,7 +250,7 @@ def purge_refusals(spark: SparkSession, work: str, dry_run: bool = False) -> int
     new = st.purged(state)
     n = state.join(new.where("status = 'pending'").select(*st.KEY), st.KEY, "left_semi").where("status <> 'pending'").count()
     if n and not dry_run:
-        put_state(work, new, current(work) + 1)
+        state_log(spark, work).commit(st.purged, "purge refusals")
     return n
 
 
@@ -284,9 +301,9 @@ def inspect_segment(spark: SparkSession, work: str, segment: str) -> DataFrame:
 #: Command, its function, its arguments; ``work`` comes from the global option.
 COMMANDS: dict[str, tuple[Callable, tuple[str, ...]]] = {
     "extract": (extract, ("books",)),
-    "translate": (translate, ("target",)),
+    "translate": (translate, ("--target",)),
     "export": (export, ("kind", "out", "--mode")),
-    "pipeline": (pipeline, ("books", "target", "out")),
+    "pipeline": (pipeline, ("books", "out", "--target")),
     "resume": (resume, ()),
     "format": (format_, ()),
     "config-validate": (config_validate, ("path",)),
@@ -308,18 +325,36 @@ COMMANDS: dict[str, tuple[Callable, tuple[str, ...]]] = {
 }
 _FLAGS = ("--backup", "--dry-run")
 _LOCAL = ("config-validate", "config-reset", "audiobook-read-chapters", "audiobook-update-chapters")
+#: Commands that take settings.
+_SET = ("extract", "translate", "export", "pipeline", "audiobook-generate")
 
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="quire")
-    parser.add_argument("--work", default=files.DEFAULTS["work_dir"])
+    parser.add_argument("--work")
+    parser.add_argument("--config", help="a settings file that counts before all other layers")
+    loud = parser.add_mutually_exclusive_group()
+    loud.add_argument("-v", "--verbose", action="store_true")
+    loud.add_argument("-q", "--quiet", action="store_true")
     commands = parser.add_subparsers(dest="command", required=True)
     for name, (_, names) in COMMANDS.items():
         sub = commands.add_parser(name)
         for n in names:
             sub.add_argument(n, **({"action": "store_true"} if n in _FLAGS else {}))
     args = {k: v for k, v in vars(parser.parse_args(argv)).items() if v is not None}
-    command, work = args.pop("command"), args.pop("work")
+    logging.basicConfig(format="%(message)s")
+    log.setLevel(logging.DEBUG if args.pop("verbose") else logging.ERROR if args.pop("quiet") else logging.INFO)
+    args.pop("quiet", None)
+    command, config = args.pop("command"), args.pop("config", None)
+    settings, unknown = files.settings(files.setting_layers(config))
+    for key in unknown:
+        log.warning("unknown setting: %s", key)
+    work = args.pop("work", settings["work_dir"])
+    if command in _SET:
+        problems = files.settings_problems(settings)
+        if problems:
+            parser.error("; ".join(problems))
+        args["settings"] = settings
     if command in _LOCAL:
         result = COMMANDS[command][0](None, **args)
     else:

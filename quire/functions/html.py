@@ -19,6 +19,9 @@ _CLOSES = {
 }
 
 
+_STEP = re.compile(r"([^\[]+)(?:\[(\d+)\])?")
+
+
 class Node:
     """An element, or a comment (tag ``#comment``) whose text is its content."""
 
@@ -173,26 +176,48 @@ def parse(source: str) -> Node:
     return builder.root
 
 
-def path_of(node: Node) -> str:
-    """A positional path; an index only where a tag has siblings of its kind."""
-    parts = []
-    while node.parent is not None:
-        same = [c for c in node.parent.children if c.tag == node.tag]
-        parts.append(node.tag if len(same) == 1 else f"{node.tag}[{next(i for i, c in enumerate(same, 1) if c is node)}]")
-        node = node.parent
-    return "/" + "/".join(reversed(parts))
-
-
-def find(root: Node, path: str) -> Node | None:
-    node = root
-    for step in path.strip("/").split("/"):
-        m = re.fullmatch(r"([^\[]+)(?:\[(\d+)\])?", step)
-        same = [c for c in node.children if m and c.tag == m[1]]
-        at = int(m[2] or 1) - 1 if m else 0
-        if at >= len(same):
-            return None
-        node = same[at]
-    return node
+class Paths:
+    """The positional paths of a tree, both ways; an index stands only where a tag has siblings of its kind.
+
+    Each parent's children are counted once, when they are first asked for, so all paths of a document take time in proportion to its
+    size. Paths are those of the tree as it was then: insertions don't shift them.
+    """
+
+    def __init__(self, root: Node):
+        self.root = root
+        self.kinds: dict[int, dict[str, list[Node]]] = {}
+        self.steps: dict[int, str] = {}
+
+    def children(self, parent: Node) -> dict[str, list[Node]]:
+        """The children of each tag."""
+        found = self.kinds.get(id(parent))
+        if found is None:
+            found = self.kinds[id(parent)] = {}
+            for child in parent.children:
+                found.setdefault(child.tag, []).append(child)
+            for tag, same in found.items():
+                for i, child in enumerate(same, 1):
+                    self.steps[id(child)] = tag if len(same) == 1 else f"{tag}[{i}]"
+        return found
+
+    def of(self, node: Node) -> str:
+        parts = []
+        while node.parent is not None:
+            self.children(node.parent)
+            parts.append(self.steps[id(node)])
+            node = node.parent
+        return "/" + "/".join(reversed(parts))
+
+    def find(self, path: str) -> Node | None:
+        node = self.root
+        for step in path.strip("/").split("/"):
+            m = _STEP.fullmatch(step)
+            same = self.children(node).get(m[1], ()) if m else ()
+            at = int(m[2] or 1) - 1 if m else 0
+            if at >= len(same) or at < 0:
+                return None
+            node = same[at]
+        return node
 
 
 def squeeze(text: str) -> str:

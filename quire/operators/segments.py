@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quire.functions.html import BLOCKS, Node, find, parse, path_of, squeeze
+from quire.functions.html import BLOCKS, Node, Paths, parse, squeeze
 from quire.functions.paths import resolved
 from quire.functions.text import rekeyed_segment_id, stem
 
@@ -67,7 +67,8 @@ def own_text(node: Node) -> str:
 
 def document_segments(source: str) -> Iterator[tuple[str, str, str, str]]:
     """(xpath, mode, content, element) of each segment of a document, in order."""
-    for node in parse(source).walk():
+    paths = Paths(parse(source))
+    for node in paths.root.walk():
         tag = node.local
         if tag not in SIMPLE and tag not in ATOMIC or any(a.local in ATOMIC for a in node.ancestors()):
             continue
@@ -81,7 +82,7 @@ def document_segments(source: str) -> Iterator[tuple[str, str, str, str]]:
                 continue
             mode, content = "text", tidy_dots(squeeze(node.content()))
         if content:
-            yield path_of(node), mode, content, tag
+            yield paths.of(node), mode, content, tag
 
 
 def _columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
@@ -186,12 +187,12 @@ def note_definition(node: Node) -> bool:
     return False
 
 
-def spoken_source(document: Node, xpath: str, element: str) -> str | None:
+def spoken_source(document: Paths, xpath: str, element: str) -> str | None:
     """What is read aloud of the element at a path of its document; null where it defines a note.
 
     Segments have lost the attributes that tell notes, so the document itself is read again.
     """
-    node = find(document, xpath)
+    node = document.find(xpath)
     if node is None:
         raise ValueError(f"no element at {xpath}")
     if note_definition(node):
@@ -217,8 +218,8 @@ def spoken(segments: DataFrame, documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for book, source, found in _columns(batch, "book_id", "html", "places"):
-                root = parse(source or "")
-                texts = [spoken_source(root, p["xpath"], p["element_type"]) for p in found]
+                paths = Paths(parse(source or ""))
+                texts = [spoken_source(paths, p["xpath"], p["element_type"]) for p in found]
                 ids = [p["segment_id"] for p in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([book] * len(ids), pa.string()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["book_id", "segment_id", "from_source"]
@@ -258,22 +259,23 @@ def column_map(df: DataFrame, function: Callable[..., object], inputs: list[str]
 def injected(source: str, items: list[dict], mode: str = "bilingual") -> tuple[str, list[str]]:
     """(document with translations, ids whose place wasn't found).
 
-    ``items``: segment_id, xpath, extract_mode, translation, order_in_file. They are applied from the
-    last to the first, so that insertions don't shift paths still to come. ``bilingual`` puts the
-    translation behind the original; ``translated_only`` replaces it.
+    ``items``: segment_id, xpath, extract_mode, translation, order_in_file. They are applied from the last to the first, so that what
+    is inside an element comes before it. ``bilingual`` puts the translation behind the original; ``translated_only`` replaces it.
+    Elements that are put in join their parents at the end, so a document takes time in proportion to its size.
     """
     root, lost = parse(source), []
+    paths, behind, parents = Paths(root), {}, {}
     for item in sorted(items, key=lambda x: -x["order_in_file"]):
-        node = find(root, item["xpath"])
+        node = paths.find(item["xpath"])
         if node is None or node.parent is None:
             lost.append(item["segment_id"])
             continue
         target = node
         if mode == "bilingual":
-            target = node.copy()
+            target = Node(node.tag, node.attrs, node.parent)
             target.tail, node.tail = node.tail, ""
-            target.parent = node.parent
-            node.parent.children.insert(node.parent.children.index(node) + 1, target)
+            behind.setdefault(id(node), []).append(target)
+            parents[id(node.parent)] = node.parent
             target.attrs.pop("id", None)
             node.attrs["data-lang"], target.attrs["data-lang"] = "original", "translation"
         else:
@@ -286,6 +288,8 @@ def injected(source: str, items: list[dict], mode: str = "bilingual") -> tuple[s
                 child.parent = target
         else:
             target.text = item["translation"]
+    for parent in parents.values():
+        parent.children = [x for child in parent.children for x in (child, *reversed(behind.get(id(child), ())))]
     return root.inner(), lost
 
 
@@ -365,10 +369,10 @@ def headings(translations: DataFrame, documents: DataFrame | None = None) -> Dat
         for batch in batches:
             out: list[tuple] = []
             for book, path, source, found in _columns(batch, "book_id", "file_path", "html", "heads"):
-                root = parse(source or "")
+                paths = Paths(parse(source or ""))
                 named: dict[str, str] = {}
                 for h in found:
-                    node = find(root, h["xpath"])
+                    node = paths.find(h["xpath"])
                     for ident in ids_of(node) if node is not None else ():
                         named.setdefault(ident, h["translation"])
                 out += [(book, path, ident, title) for ident, title in named.items()]

@@ -40,10 +40,12 @@ def after_back_matter(found: DataFrame, spine: DataFrame, titled: DataFrame, tri
     return behind.select("book_id", "file_path", "spine_index", F.concat(F.lit("after "), F.col("t.word")).alias("reason"), F.lit("cascade").alias("source"))
 
 
-def candidates(toc: DataFrame, spine: DataFrame, cascade: bool = True) -> DataFrame:
+def candidates(
+    toc: DataFrame, spine: DataFrame, cascade: bool = True, keywords=KEYWORDS, triggers=TRIGGERS, threshold: float = THRESHOLD
+) -> DataFrame:
     found = entries(toc, spine)
-    titled = by_title(found)
-    return titled.unionByName(after_back_matter(found, spine, titled)) if cascade else titled
+    titled = by_title(found, keywords)
+    return titled.unionByName(after_back_matter(found, spine, titled, triggers, threshold)) if cascade else titled
 
 
 def unmatched_titles(toc: DataFrame, spine: DataFrame) -> DataFrame:

@@ -7,13 +7,16 @@ own readers, ``members`` does the same over a ``binaryFile`` scan.
 
 from __future__ import annotations
 
+import codecs
 import io
 import os
 import posixpath
+import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -131,45 +134,81 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
+def local_path(base: str, href: str) -> str:
+    """The member that an href of a document in ``base`` names: escapes are read, a fragment stays."""
+    path, mark, fragment = href.partition("#")
+    return posixpath.normpath(posixpath.join(base, unquote(path))) + mark + fragment if path else ""
+
+
+def ncx_entries(source: bytes, base: str) -> list[dict]:
+    """The contents of an NCX document in ``base``, in their order."""
+    toc: list[dict] = []
+
+    def visit(e: ET.Element, level: int) -> None:
+        for point in e:
+            if _local(point.tag) == "navPoint":
+                title = " ".join("".join(t.itertext()) for t in point if _local(t.tag) == "navLabel").strip()
+                src = next((t.attrib.get("src", "") for t in point if _local(t.tag) == "content"), "")
+                toc.append({"pos": len(toc), "level": level, "title": title, "href": local_path(base, src)})
+                visit(point, level + 1)
+
+    for e in ET.fromstring(source).iter():
+        if _local(e.tag) == "navMap":
+            visit(e, 0)
+    return toc
+
+
+def nav_entries(source: str, base: str) -> list[dict]:
+    """The contents of a navigation document in ``base``: the items of its element of type toc, or of its first one."""
+    from quire.functions.html import Node, parse, squeeze
+
+    navs = [n for n in parse(source).walk() if n.local == "nav"]
+    nav = next((n for n in navs if "toc" in n.attrs.get("epub:type", "").split()), navs[0] if navs else None)
+    toc: list[dict] = []
+
+    def visit(node: Node, level: int) -> None:
+        for child in node.children:
+            if child.local == "li":
+                label = next((c for c in child.children if c.local in ("a", "span")), None)
+                if label is not None:
+                    href = local_path(base, label.attrs.get("href", ""))
+                    toc.append({"pos": len(toc), "level": level, "title": squeeze(label.content()), "href": href})
+                visit(child, level + 1)
+            elif child.local in ("ol", "ul"):
+                visit(child, level)
+
+    if nav is not None:
+        visit(nav, 0)
+    return toc
+
+
 def package_rows(parts: dict[str, bytes]) -> dict[str, list[dict]]:
-    """Spine, manifest, contents and metadata of one book's small XML members."""
+    """Spine, manifest, contents and metadata of one book's small XML members, and the path of its navigation document."""
     container = ET.fromstring(parts["META-INF/container.xml"])
-    opf = next(e.attrib["full-path"] for e in container.iter() if _local(e.tag) == "rootfile")
+    opf = unquote(next(e.attrib["full-path"] for e in container.iter() if _local(e.tag) == "rootfile"))
     base, root = posixpath.dirname(opf), ET.fromstring(parts[opf])
-    manifest, spine, meta, ncx = {}, [], [], None
+    manifest, spine, meta, ncx, nav = {}, [], [], None, None
     for e in root.iter():
         kind = _local(e.tag)
         if kind == "item":
-            manifest[e.attrib["id"]] = (posixpath.normpath(posixpath.join(base, e.attrib["href"])), e.attrib.get("media-type", ""))
+            manifest[e.attrib["id"]] = (local_path(base, e.attrib["href"]), e.attrib.get("media-type", ""))
+            if "nav" in e.attrib.get("properties", "").split():
+                nav = manifest[e.attrib["id"]][0]
         elif kind == "itemref":
             spine.append((e.attrib["idref"], e.attrib.get("linear", "yes") == "yes"))
         elif kind == "spine":
             ncx = e.attrib.get("toc")
         elif kind in ("title", "creator", "publisher", "date", "language", "identifier") and (e.text or "").strip():
             meta.append({"key": kind, "value": e.text.strip()})
-    toc: list[dict] = []
     toc_at = next((h for i, (h, t) in manifest.items() if i == ncx or t == "application/x-dtbncx+xml"), None)
-    if toc_at and toc_at in parts:
-
-        def visit(e: ET.Element, level: int) -> None:
-            for point in e:
-                if _local(point.tag) == "navPoint":
-                    title = " ".join("".join(t.itertext()) for t in point if _local(t.tag) == "navLabel").strip()
-                    src = next((t.attrib.get("src", "") for t in point if _local(t.tag) == "content"), "")
-                    href = posixpath.normpath(posixpath.join(posixpath.dirname(toc_at), src)) if src else ""
-                    toc.append({"pos": len(toc), "level": level, "title": title, "href": href})
-                    visit(point, level + 1)
-
-        for e in ET.fromstring(parts[toc_at]).iter():
-            if _local(e.tag) == "navMap":
-                visit(e, 0)
+    toc = ncx_entries(parts[toc_at], posixpath.dirname(toc_at)) if toc_at and toc_at in parts else []
     # The index counts every reference; those without a manifest item leave a gap.
     rows = [
         {"spine_index": i, "idref": r, "file_path": manifest[r][0], "media_type": manifest[r][1], "linear": linear}
         for i, (r, linear) in enumerate(spine)
         if r in manifest
     ]
-    return {"spine": rows, "toc": toc, "metadata": meta, "manifest": [{"id": i, "file_path": h, "media_type": t} for i, (h, t) in manifest.items()]}
+    return {"spine": rows, "toc": toc, "metadata": meta, "manifest": [{"id": i, "file_path": h, "media_type": t} for i, (h, t) in manifest.items()], "nav": nav}
 
 
 PACKAGE = (
@@ -180,31 +219,96 @@ PACKAGE = (
 
 
 def packages(found: DataFrame) -> DataFrame:
-    """(book_id, spine, toc, metadata, manifest) of each book of ``members``; explode what is needed."""
+    """(book_id, spine, toc, metadata, manifest) of each book of ``members``; explode what is needed.
+
+    A book without entries in an NCX document has those of its navigation document.
+    """
     small = found.where(F.lower("member").rlike(r"(\.opf|\.ncx|/container\.xml)$"))
     grouped = small.groupBy("book_id").agg(F.map_from_entries(F.collect_list(F.struct("member", "content"))).alias("parts"))
+    text, number = pa.string(), pa.int32()
+    lists = {
+        "spine": [("spine_index", number), ("idref", text), ("file_path", text), ("media_type", text), ("linear", pa.bool_())],
+        "toc": [("pos", number), ("level", number), ("title", text), ("href", text)],
+        "metadata": [("key", text), ("value", text)],
+        "manifest": [("id", text), ("file_path", text), ("media_type", text)],
+    }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, number = pa.string(), pa.int32()
-        lists = {
-            "spine": [("spine_index", number), ("idref", text), ("file_path", text), ("media_type", text), ("linear", pa.bool_())],
-            "toc": [("pos", number), ("level", number), ("title", text), ("href", text)],
-            "metadata": [("key", text), ("value", text)],
-            "manifest": [("id", text), ("file_path", text), ("media_type", text)],
-        }
-        schema = pa.schema([("book_id", text), *((k, pa.list_(pa.struct(v))) for k, v in lists.items())])
+        schema = pa.schema([("book_id", text), *((k, pa.list_(pa.struct(v))) for k, v in lists.items()), ("nav", text)])
         for batch in batches:
             out = [{"book_id": b, **package_rows(dict(p))} for b, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return grouped.mapInArrow(run, PACKAGE)
+    def navigation(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct(lists["toc"]))
+        for batch in batches:
+            tocs = [nav_entries(decoded(c), posixpath.dirname(n)) for n, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tocs, kind)], names=["book_id", "entries"])
+
+    named = grouped.mapInArrow(run, PACKAGE + ", nav string")
+    bare = named.where((F.size("toc") == 0) & F.col("nav").isNotNull()).select("book_id", F.col("nav").alias("member"))
+    read = found.join(bare, ["book_id", "member"]).select("book_id", "member", "content")
+    toc_kind = PACKAGE[PACKAGE.index(" toc ") + 5 : PACKAGE.index(", metadata")]
+    entries = read.mapInArrow(navigation, f"book_id string, entries {toc_kind}")
+    joined = named.join(entries, "book_id", "left")
+    return joined.select("book_id", "spine", F.coalesce("entries", "toc").alias("toc"), "metadata", "manifest")
+
+
+#: Byte-order marks, longer ones first.
+MARKS = (
+    (codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be"), (codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"),
+)
+_DECLARED = (re.compile(rb"<\?xml[^>]*?encoding\s*=\s*[\"']([\w.:-]+)"), re.compile(rb"<meta[^>]*?charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I))
+
+
+def encoding(content: bytes) -> str:
+    """A document's encoding: of its byte-order mark, its XML declaration or its meta element; else UTF-8, or Windows-1252 where it isn't.
+
+    Latin-1 is read as the Windows encoding that holds it, as browsers do. UTF-16 without a mark shows by its first character.
+    """
+    for mark, name in MARKS:
+        if content.startswith(mark):
+            return name
+    if content[:4] in (b"<\0?\0", b"<\0!\0", b"<\0h\0"):
+        return "utf-16-le"
+    if content[:4] in (b"\0<\0?", b"\0<\0!", b"\0<\0h"):
+        return "utf-16-be"
+    for pattern in _DECLARED:
+        m = pattern.search(content[:1024])
+        if m:
+            try:
+                name = codecs.lookup(m[1].decode()).name
+            except LookupError:
+                continue
+            # What declares two bytes a character in a declaration of one byte each can't be right.
+            if not name.startswith(("utf-16", "utf-32")):
+                return "cp1252" if name in ("iso8859-1", "ascii") else name
+    try:
+        content.decode("utf-8")
+    except UnicodeDecodeError:
+        return "cp1252"
+    return "utf-8"
+
+
+def decoded(content: bytes | None) -> str | None:
+    """A document's text without its byte-order mark; bytes that its encoding doesn't have become replacement characters."""
+    return None if content is None else content.decode(encoding(content), "replace").removeprefix("\ufeff")
 
 
 def spine_documents(found: DataFrame, package: DataFrame) -> DataFrame:
     """(book_id, file_path, spine_index, linear, html) of the XHTML documents in the spine."""
     spine = package.select("book_id", F.explode("spine").alias("s")).select("book_id", "s.*").where(F.col("media_type").startswith("application/xhtml"))
-    texts = found.select("book_id", F.col("member").alias("file_path"), F.decode("content", "UTF-8").alias("html"))
-    return spine.join(texts, ["book_id", "file_path"]).select("book_id", "file_path", "spine_index", "linear", "html")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                texts = pa.array(map(decoded, part.column(4).to_pylist()), pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], texts], names=["book_id", "file_path", "spine_index", "linear", "html"])
+
+    held = found.select("book_id", F.col("member").alias("file_path"), "content")
+    joined = spine.join(held, ["book_id", "file_path"]).select("book_id", "file_path", "spine_index", "linear", "content")
+    return joined.mapInArrow(run, "book_id string, file_path string, spine_index int, linear boolean, html string")
 
 
 def images(package: DataFrame) -> DataFrame:
@@ -242,7 +346,7 @@ def retitled(ncx: bytes, base: str, titles: dict[tuple[str, str | None], str]) -
     for point in root.iter(f"{{{space}}}navPoint"):
         src = next((e.attrib.get("src", "") for e in point if _local(e.tag) == "content"), "")
         path, _, fragment = src.partition("#")
-        at = posixpath.normpath(posixpath.join(base, path)) if path else ""
+        at = local_path(base, path)
         title = titles.get((at, fragment)) or titles.get((at, None))
         label = next((t for e in point if _local(e.tag) == "navLabel" for t in e if _local(t.tag) == "text"), None)
         if title and label is not None:
@@ -250,43 +354,37 @@ def retitled(ncx: bytes, base: str, titles: dict[tuple[str, str | None], str]) -
     return ET.tostring(root, encoding="utf-8", xml_declaration=True)
 
 
-def finished(parts: list[tuple[str, bytes]], titles: dict[tuple[str, str | None], str], only: bool) -> bytes:
-    """A book's archive, with new titles in its contents, and with ONLY_CSS once in its first style sheet if asked for."""
-    new = {}
-    if only:
-        for name, content in parts:
-            if titles and name.lower().endswith(".ncx"):
-                new[name] = retitled(content, posixpath.dirname(name), titles)
-        sheets = [(n, c) for n, c in parts if n.lower().endswith(".css")]
-        if sheets and b'[data-lang="original"]' not in sheets[0][1]:
-            new[sheets[0][0]] = sheets[0][1] + ONLY_CSS.encode()
-    return written(parts, new)
+def book_members(found: DataFrame, replaced: DataFrame, titles: DataFrame | None = None, only: bool = False) -> DataFrame:
+    """(book_id, member, content) with the documents of ``replaced(book_id, file_path, html)``, for ``sinks.write_archives``.
 
-
-def books(found: DataFrame, replaced: DataFrame, titles: DataFrame | None = None, only: bool = False) -> DataFrame:
-    """(book_id, content): whole archives with the documents of ``replaced(book_id, file_path, html)``.
-
-    ``titles(book_id, file_path, fragment, title)`` and ONLY_CSS go into books that show translations ``only``.
-    A book's members are brought together in one row, which its size limit bounds.
+    ``titles(book_id, file_path, fragment, title)`` go into the contents of books that show translations ``only``, and ONLY_CSS once into
+    the first style sheet. Members stay rows; a book's titles, no more than its headings, are brought together beside its contents.
     """
     new = replaced.select("book_id", F.col("file_path").alias("member"), F.encode("html", "UTF-8").alias("new"))
     joined = found.join(new, ["book_id", "member"], "left").select("book_id", "member", F.coalesce("new", "content").alias("content"))
-    grouped = joined.groupBy("book_id").agg(F.collect_list(F.struct("member", "content")).alias("parts"))
+    if not only:
+        return joined
+    low = F.lower("member")
+    first = joined.where(low.endswith(".css")).groupBy("book_id").agg(F.min("member").alias("sheet"))
+    rule, mark = F.lit(ONLY_CSS.encode()), F.lit(b'[data-lang="original"]')
+    styled = joined.join(first, "book_id", "left")
+    add = (F.col("member") == F.col("sheet")) & ~F.contains("content", mark)
+    styled = styled.withColumn("content", F.when(add, F.concat("content", rule)).otherwise(F.col("content"))).select("book_id", "member", "content")
     if titles is None:
-        grouped = grouped.withColumn("titles", F.expr("cast(array() as array<struct<file_path:string,fragment:string,title:string>>)"))
-    else:
-        named = titles.groupBy("book_id").agg(F.collect_list(F.struct("file_path", "fragment", "title")).alias("titles"))
-        grouped = grouped.join(named, "book_id", "left")
+        return styled
+    named = titles.groupBy("book_id").agg(F.collect_list(F.struct("file_path", "fragment", "title")).alias("titles"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                book, parts, named = (batch.column(c)[i].as_py() for c in range(3))
-                own = {(t["file_path"], t["fragment"]): t["title"] for t in named or ()}
-                whole = finished(sorted((p["member"], p["content"]) for p in parts), own, only)
-                yield pa.RecordBatch.from_arrays([pa.array([book]), pa.array([whole], pa.binary())], names=["book_id", "content"])
-
-    return grouped.select("book_id", "parts", "titles").mapInArrow(run, "book_id string, content binary")
+            made = []
+            for name, content, own in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                made.append(retitled(content, posixpath.dirname(name), {(t["file_path"], t["fragment"]): t["title"] for t in own}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["book_id", "member", "content"])
+
+    contents = low.endswith(".ncx")
+    listed = styled.where(contents).join(named, "book_id").select("book_id", "member", "content", "titles").mapInArrow(run, SCHEMA)
+    other = styled.where(contents).join(named.select("book_id"), "book_id", "left_anti")
+    return styled.where(~contents).union(listed).union(other)
 
 
 def item(package: DataFrame, href: str) -> DataFrame:

@@ -7,7 +7,6 @@ import os
 import posixpath
 import re
 import unicodedata
-from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -40,6 +39,7 @@ DEFAULTS: dict[str, object] = {
     "audiobook_tts_provider": "silent",
     "audiobook_tts_model": None,
     "audiobook_tts_speed": 1.0,
+    "cooldown_seconds": 1800,
 }
 
 
@@ -50,12 +50,19 @@ def settings_problems(found: dict) -> list[str]:
     for key, low, high in (("back_matter_threshold", 0.0, 1.0), ("audiobook_tts_speed", 0.25, 4.0)):
         if not number(found[key]) or not low <= found[key] <= high:
             wrong.append(f"not between {low} and {high}: {key}")
-    if str(found["output_mode"]).replace("-", "_").strip().lower() not in ("bilingual", "translated_only"):
+    if output_mode(found["output_mode"]) not in ("bilingual", "translated_only"):
         wrong.append("neither bilingual nor translated_only: output_mode")
+    if not number(found["cooldown_seconds"]) or found["cooldown_seconds"] < 0:
+        wrong.append("not a number from 0 on: cooldown_seconds")
     wrong += [f"not a list: {k}" for k in ("skip_rules", "back_matter_triggers", "translation_files", "audiobook_files") if not isinstance(found[k], (list, type(None)))]
     return wrong
 
 
+def output_mode(value: object) -> str:
+    """A mode as it is written in the code."""
+    return str(value).replace("-", "_").strip().lower()
+
+
 def read_state(spark: SparkSession, path: str) -> DataFrame:
     """Records, one JSON object a line; anything that doesn't fit the schema fails."""
     return spark.read.schema(STATE_SCHEMA).option("mode", "FAILFAST").json(path)
@@ -74,15 +81,38 @@ def settings(layers: list[str | dict], environment: dict[str, str] | None = None
 
     out, unknown = dict(DEFAULTS), set()
     for layer in layers:
-        found = layer if isinstance(layer, dict) else (yaml.safe_load(Path(layer).read_text()) or {}) if os.path.exists(layer) else {}
+        if isinstance(layer, dict):
+            found = layer
+        elif not os.path.exists(layer):
+            found = {}
+        elif layer.endswith((".yaml", ".yml")):
+            found = yaml.safe_load(Path(layer).read_text()) or {}
+        else:
+            lines = (line.strip().removeprefix("export ").partition("=") for line in Path(layer).read_text().splitlines())
+            found = environment_layer({k.strip(): v.strip().strip("\"'") for k, mark, v in lines if mark and not k.startswith("#")}, prefix)
         unknown |= set(found) - set(DEFAULTS)
         out |= {k: v for k, v in found.items() if k in DEFAULTS and v is not None}
-    for key, value in (environment or {}).items():
+    return out | environment_layer(environment or {}, prefix), sorted(unknown)
+
+
+def environment_layer(environment: dict[str, str], prefix: str = "QUIRE_") -> dict:
+    """The settings among variables of a name with ``prefix``, each in the type of its default; lists are separated by commas."""
+    out = {}
+    for key, value in environment.items():
         name = key.removeprefix(prefix).lower()
         if key.startswith(prefix) and name in DEFAULTS:
-            kind = type(DEFAULTS[name])
+            kind = list if name.endswith("_files") else type(DEFAULTS[name])
             out[name] = value if kind is type(None) else value.lower() in ("1", "true", "yes") if kind is bool else value.split(",") if kind is list else kind(value)
-    return out, sorted(unknown)
+    return out
+
+
+def setting_layers(config: str | None = None, home: str | None = None, folder: str = ".", environment: dict[str, str] | None = None) -> list[str | dict]:
+    """Where settings come from, later ones win: the user's file, ``.env`` and ``config.yaml`` of the folder, the environment, a named file."""
+    if config is not None and not os.path.exists(config):
+        raise FileNotFoundError(config)
+    user = os.path.join(home or os.path.expanduser("~"), ".quire", "config.yaml")
+    env = environment_layer(dict(os.environ) if environment is None else environment)
+    return [user, os.path.join(folder, ".env"), os.path.join(folder, "config.yaml"), env, *([config] if config else [])]
 
 
 def write_chapters(path: str, chapters: list[dict], metadata: dict) -> None:
@@ -158,32 +188,6 @@ def write_new(path: str, text: str) -> bool:
     return True
 
 
-def write_named(rows: DataFrame, folder: str) -> None:
-    """The files of ``rows(path, content)`` below a folder, written by the executors.
-
-    ``folder`` is a path or URI of a store that all executors reach. A file is written beside its place and
-    moved there whole, so a task that runs again leaves nothing half done.
-    """
-
-    def put(part: Iterator) -> None:
-        import uuid
-
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
-        for row in part:
-            path = posixpath.join(base, row["path"])
-            if ".." in row["path"].split("/") or row["path"].startswith("/"):
-                raise ValueError(f"outside the folder: {row['path']}")
-            store.create_dir(posixpath.dirname(path), recursive=True)
-            aside = f"{path}.{uuid.uuid4().hex}"
-            with store.open_output_stream(aside) as out:
-                out.write(bytes(row["content"]))
-            store.move(aside, path)
-
-    rows.select("path", "content").foreachPartition(put)
-
-
 def chapter_files(chapters: DataFrame, width: int = 3) -> DataFrame:
     """(path, content): a markdown file a chapter, numbered in reading order and named by its title.
 

@@ -1,7 +1,9 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions.html import find, parse, path_of
+from quire.functions.html import Paths, parse
 from quire.operators import segments, web
 
 
@@ -35,8 +37,8 @@ def test_paths_round_trip():
     root = parse("<html><body><p>a</p><div><p>b</p><p>c</p></div></body></html>")
     for node in root.walk():
         if node.parent is not None:
-            assert find(root, path_of(node)) is node
-    assert find(root, "/html/body/p[2]") is None
+            assert Paths(root).find(Paths(root).of(node)) is node
+    assert Paths(root).find("/html/body/p[2]") is None
 
 
 def test_ids_and_order(spark):
@@ -144,3 +146,14 @@ def test_cleaning_and_markdown():
     assert web.srcset("a.png 1x, b.png 2x") == ["a.png 1x", " b.png 2x"] and web.srcset("data:image/png;base64,x,y 1x, b 2x")[0] == "data:image/png;base64,x,y 1x"
     assert web.markdown("<h1>T</h1><p>a <em>b</em> <strong>c</strong></p><ul><li>x<li>y</ul><blockquote><p>q</p></blockquote>") == "# T\n\na _b_ **c**\n\n* x\n* y\n\n> q"
     assert web.markdown("<p><img src='../img/a.png' alt='A'></p>", "Text/c.xhtml", {"img/a.png": "a_2.png"}) == "![A](images/a_2.png)"
+
+
+def test_wide_documents_take_linear_time():
+    """A hundred thousand paragraphs: their paths, and translations behind all of them."""
+    source = "<body>" + "".join(f"<p>n{i}</p>" for i in range(100_000)) + "</body>"
+    began = time.perf_counter()
+    found = list(segments.document_segments(source))
+    items = [{"segment_id": str(i), "xpath": x, "extract_mode": m, "translation": c.upper(), "order_in_file": i} for i, (x, m, c, _) in enumerate(found)]
+    page, lost = segments.injected(source, items)
+    assert time.perf_counter() - began < 30 and not lost and len(found) == 100_000
+    assert page.startswith('<body><p data-lang="original">n0</p><p data-lang="translation">N0</p><p data-lang="original">n1</p>') and page.count("<p ") == 200_000

@@ -151,11 +151,12 @@ def test_services():
     server = ThreadingHTTPServer(("127.0.0.1", 0), _Answers)
     Thread(target=server.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{server.server_port}"
+    asked = models.Request("Hello", "text", "en", "French", "Translate.\n\nSOURCE:\nHello")
     for shape in models.SHAPES:
         client = models.Service(f"{base}/{shape}", "m", shape, headers={"Authorization": "Bearer k"})
-        assert "Hello" in models.attempted(lambda: client.translate("Hello", "en", "French"), sleep=lambda s: None)
+        assert "Hello" in models.attempted(lambda: client.respond(asked), sleep=lambda s: None)
     with pytest.raises(models.FatalError):
-        models.attempted(lambda: models.Service(f"{base}/wrong", "m").translate("x", "en", "fr"))
+        models.attempted(lambda: models.Service(f"{base}/wrong", "m").respond(asked))
     server.shutdown()
 
 

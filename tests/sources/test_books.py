@@ -3,7 +3,7 @@ import zipfile
 
 import pytest
 
-from quire.sources import epub, files
+from quire.sources import epub, files, sinks
 
 CONTAINER = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf"/></rootfiles></container>'
 OPF = """<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>Test Book</dc:title><dc:creator>A. B.</dc:creator></metadata>
@@ -32,7 +32,7 @@ def test_both_readers(spark, folder):
     assert spark.read.format("epub").option("limit", 1).load(folder).select("book_id").distinct().count() == 1
 
 
-def test_package(spark, folder):
+def test_package(spark, folder, tmp_path):
     found = epub.members(spark, f"file://{folder}")
     package = epub.packages(found)
     row = package.first()
@@ -43,9 +43,11 @@ def test_package(spark, folder):
     assert len(docs) == 2 and docs[0]["html"].startswith("<html>")
     assert sorted(r["name"] for r in epub.images(package).collect()) == ["cover.png", "cover.png", "cover_2.png", "cover_2.png"]
     new = epub.spine_documents(found, package).selectExpr("book_id", "file_path", "'<html>new</html>' as html")
-    made = epub.books(found, new).first()["content"]
-    names = zipfile.ZipFile(io.BytesIO(made)).namelist()
-    assert names[0] == "mimetype" and dict(epub.read_members(bytes(made)))["OEBPS/text.html"] == b"<html>new</html>"
+    made = epub.book_members(found, new)
+    sinks.write_archives(made.selectExpr("concat(regexp_extract(book_id, '[^/]*$', 0), '.zip') as path", "member", "content"), str(tmp_path))
+    whole = (tmp_path / "a.epub.zip").read_bytes()
+    names = zipfile.ZipFile(io.BytesIO(whole)).namelist()
+    assert names[0] == "mimetype" and dict(epub.read_members(whole))["OEBPS/text.html"] == b"<html>new</html>"
 
 
 def test_unsafe_members():
@@ -91,3 +93,50 @@ def test_state_and_settings(spark, tmp_path):
     assert files.combined_markdown(chapters).first()["text"] == "# A\n\nx\n\n---\n\n# B\n\ny"
     files.write_markdown(chapters, str(tmp_path / "md"))
     assert spark.read.text(str(tmp_path / "md"), wholetext=True).count() == 2
+
+
+NAV = """<html xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="landmarks"><ol><li><a href="x.html">X</a></li></ol></nav>
+<nav epub:type="toc"><h1>Contents</h1><ol><li><a href="ch%201.xhtml">First &amp; more</a><ol><li><a href="ch%201.xhtml#s%31">Inner</a></li></ol></li>
+<li><span>Part</span><ol><li><a href="sub/two.xhtml">Second</a></li></ol></li></ol></nav></body></html>"""
+OPF3 = """<package xmlns="http://www.idpf.org/2007/opf"><metadata/><manifest><item id="n" href="nav.xhtml" properties="nav" media-type="application/xhtml+xml"/>
+<item id="a" href="ch%201.xhtml" media-type="application/xhtml+xml"/><item id="b" href="sub/two.xhtml" media-type="application/xhtml+xml"/></manifest>
+<spine><itemref idref="a"/><itemref idref="b"/></spine></package>"""
+
+
+def test_escaped_names_navigation_and_encodings(spark, tmp_path):
+    """A book whose hrefs are escaped, whose contents are a navigation document, whose documents aren't UTF-8."""
+    pages = {
+        "OEBPS/ch 1.xhtml": '<?xml version="1.0" encoding="UTF-16"?><p>Größe ż</p>'.encode("utf-16"),
+        "OEBPS/sub/two.xhtml": '<?xml version="1.0" encoding="ISO-8859-1"?><p>café “x”</p>'.encode("cp1252"),
+    }
+    parts = [PARTS[0], PARTS[1], ("OEBPS/content.opf", OPF3.encode()), ("OEBPS/nav.xhtml", NAV.encode()), *pages.items()]
+    (tmp_path / "a.epub").write_bytes(epub.written(parts, {}))
+    found = epub.members(spark, f"file://{tmp_path}")
+    package = epub.packages(found)
+    assert [(t["level"], t["title"], t["href"]) for t in package.first()["toc"]] == [
+        (0, "First & more", "OEBPS/ch 1.xhtml"), (1, "Inner", "OEBPS/ch 1.xhtml#s%31"), (0, "Part", ""), (1, "Second", "OEBPS/sub/two.xhtml"),
+    ]
+    got = {r["file_path"]: r["html"] for r in epub.spine_documents(found, package).collect()}
+    assert got["OEBPS/ch 1.xhtml"].endswith("<p>Größe ż</p>") and got["OEBPS/sub/two.xhtml"].endswith("<p>café “x”</p>")
+
+
+@pytest.mark.parametrize("raw, want", [
+    (b"\xef\xbb\xbf<p>\xc3\xa9</p>", "<p>é</p>"), ("<p>é</p>".encode("utf-32"), "<p>é</p>"), (b"<p>\xe9</p>", "<p>é</p>"), (b"<p>\xc3\xa9</p>", "<p>é</p>"),
+    (b'<meta charset="shift_jis"><p>\x82\xa0</p>', '<meta charset="shift_jis"><p>あ</p>'), (b'<?xml version="1.0" encoding="none-such"?>\xe9', '<?xml version="1.0" encoding="none-such"?>é'),
+    (b'<?xml version="1.0" encoding="utf-8"?>\xff.', '<?xml version="1.0" encoding="utf-8"?>�.'), (b'<?xml encoding="utf-16"?>\xc3\xa9', '<?xml encoding="utf-16"?>é'),
+    ("<?xml ?>é".encode("utf-16-le"), "<?xml ?>é"), (b"", ""),
+])
+def test_encodings(raw, want):
+    assert epub.decoded(raw) == want
+
+
+def test_contents_are_retitled_and_styled(spark, tmp_path):
+    (tmp_path / "a.epub").write_bytes(epub.written([*PARTS, ("OEBPS/b.css", b"p {}"), ("OEBPS/a.css", b"q {}")], {}))
+    found = epub.members(spark, f"file://{tmp_path}")
+    book = found.first()["book_id"]
+    titles = spark.createDataFrame([(book, "OEBPS/text.html", "a", "Eins"), (book, "OEBPS/text.html", None, "Datei")], "book_id string, file_path string, fragment string, title string")
+    none = spark.createDataFrame([], "book_id string, file_path string, html string")
+    for given, want in ((titles, ["Eins", "Datei"]), (titles.limit(0), ["One", "In"]), (None, ["One", "In"])):
+        made = {r["member"]: bytes(r["content"]) for r in epub.book_members(found, none, given, True).collect()}
+        assert len(made) == len(PARTS) + 2 and epub.ONLY_CSS.encode() in made["OEBPS/a.css"] and made["OEBPS/b.css"] == b"p {}"
+        assert [t["title"] for t in epub.ncx_entries(made["OEBPS/toc.ncx"], "OEBPS")] == want

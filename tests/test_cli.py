@@ -2,13 +2,15 @@ import io
 import json
 import os
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 import yaml
+from pyspark.sql import functions as F
 
 from quire import cli
 from quire.operators import models
-from quire.sources import epub
+from quire.sources import epub, files
 from tests.operators.test_tables import box
 from tests.sources.test_books import PARTS
 
@@ -41,10 +43,10 @@ def test_state_and_reports(spark, work):
     ident = spark.read.parquet(f"{work}/segments").first()["segment_id"]
     assert cli.inspect_segment(spark, work, ident).first()["status"] == "completed"
     cli.analyze_skips(spark, work, f"{work}/skip-report")
-    version = cli.current(work)
-    assert cli.purge_refusals(spark, work, dry_run=True) == 0 and cli.current(work) == version
+    version = cli.current(spark, work)
+    assert cli.purge_refusals(spark, work, dry_run=True) == 0 and cli.current(spark, work) == version
     cli.format_(spark, work)
-    assert cli.current(work) == version + 1
+    assert cli.current(spark, work) == version + 1
 
 
 def test_books_come_out_readable(spark, work, tmp_path):
@@ -97,6 +99,56 @@ def test_audiobook(spark, work, tmp_path):
     assert [c["title"] for c in yaml.safe_load((tmp_path / "read.yaml").read_text())["chapters"]] == ["One"]
 
 
+def test_settings_change_results(spark, work, tmp_path):
+    """A key of a YAML file reaches the command: what is skipped, what is translated into what, which form goes out."""
+    books = tmp_path / "books"
+    books.mkdir()
+    parts = [(n, c.replace(b'linear="no"', b"")) for n, c in PARTS]
+    (books / "a.epub").write_bytes(epub.written(parts, {}))
+    config = tmp_path / "c.yaml"
+    config.write_text("target_language: German\noutput_mode: translated-only\nskip_rules: [one]\ntranslation_workers: 1\n")
+    at = str(tmp_path / "w")
+    run = lambda *words: cli.main(["-q", "--work", at, "--config", str(config), *words])
+    run("extract", f"file://{books}")
+    assert spark.read.parquet(f"{at}/skips").first()["reason"] == "one"
+    run("translate")
+    assert cli.report(spark, at, "dashboard").first()["n_completed"] == 0  # its only file is skipped
+    config.write_text("target_language: German\noutput_mode: translated-only\ntranslation_files: [OEBPS/text.html]\n")
+    run("translate")
+    state = cli.load(spark, at, "state")[0].where("provider_name is not null").collect()
+    assert {r["translation"] for r in state} == {"[German] T", "[German] X"}
+    run("export", "epub", str(tmp_path / "out"))
+    assert [n.rsplit("_", 1)[1] for n in files_below(tmp_path / "out")] == ["translated.epub"]
+    config.write_text("translation_workers: 0\n")
+    with pytest.raises(SystemExit):
+        run("translate")
+
+
+def test_layers_of_settings(tmp_path):
+    (tmp_path / "home/.quire").mkdir(parents=True)
+    for name, text in (("home/.quire/config.yaml", "target_language: A\nsource_language: A\noutput_mode: A\nwork_dir: A\naudiobook_voice: A"), (".env", "QUIRE_SOURCE_LANGUAGE='B'\nexport QUIRE_WORK_DIR=B\n# x=1\nQUIRE_OUTPUT_MODE=B\nQUIRE_AUDIOBOOK_VOICE=B"),
+                       ("config.yaml", "output_mode: C\nwork_dir: C\naudiobook_voice: C"), ("named.yaml", "audiobook_voice: E")):
+        (tmp_path / name).write_text(text)
+    layers = files.setting_layers(str(tmp_path / "named.yaml"), str(tmp_path / "home"), str(tmp_path), {"QUIRE_WORK_DIR": "D", "QUIRE_AUDIOBOOK_VOICE": "D", "QUIRE_SKIP_RULES": "x,y"})
+    got, unknown = files.settings(layers)
+    assert [got[k] for k in ("target_language", "source_language", "output_mode", "work_dir", "audiobook_voice", "skip_rules")] == ["A", "B", "C", "D", "E", ["x", "y"]]
+    with pytest.raises(FileNotFoundError):
+        files.setting_layers(str(tmp_path / "none.yaml"))
+
+
+def test_two_writers_lose_nothing(spark, work):
+    """Two translations of one state at a time: the answers of both are in the latest version."""
+    state = cli.state_log(spark, work)
+    before = state.version()
+    old = state.table()
+    ids = [r["segment_id"] for r in old.select("segment_id").orderBy("segment_id").collect()]
+    change = lambda i: lambda now: now.withColumn("error_message", F.when(F.col("segment_id") == ids[i], F.lit(f"by {i}")).otherwise(F.col("error_message")))
+    with ThreadPoolExecutor(2) as pool:
+        versions = list(pool.map(lambda i: cli.state_log(spark, work).commit(change(i)), (0, 1)))
+    assert sorted(versions) == [before + 1, before + 2]
+    assert {r["error_message"] for r in cli.load(spark, work, "state")[0].collect()} == {"by 0", "by 1"}
+
+
 def test_settings_and_work_folders(spark, work, tmp_path):
     path = tmp_path / "c.yaml"
     path.write_text("odd: 1\naudiobook_workers: 0\noutput_mode: both\nback_matter_threshold: .nan\nskip_rules: x\n")
