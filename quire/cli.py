@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.operators import audio, chapters, export as ex, models, reports, segments as sg, skip, state as st, web
+from quire.operators import audio, chapters, export as ex, models, reports, segments as sg, skip, sound, state as st, web
 from quire.sources import epub, files, sinks
 from quire.sources.commits import CommitLog
 
@@ -218,6 +218,27 @@ def audiobook_generate(
     audio.assembly(rows, chapters.audio_chapter_of(spine, toc), made).write.mode("overwrite").parquet(f"{work}/assembly")
 
 
+def audiobook_assemble(spark: SparkSession, work: str, out: str, settings: dict | None = None) -> None:
+    """The rendered sound as WAV files: one for each chapter, and one for each book with its tags and a mark at each chapter."""
+    own = {**files.DEFAULTS, **(settings or {})}
+    package, rows, made = load(spark, work, "package", "segments", "audio")
+    spine, toc = tables(package)
+    named = chapters.audio_chapter_of(spine, toc)
+    first = named.groupBy("book_id", "chapter_file").agg(F.min("spine_index").alias("position"), F.min_by("title", "spine_index").alias("title"))
+    plan = rows.select("book_id", "file_path", "segment_id", "spine_index", "order_in_file").join(named.select("book_id", "file_path", "chapter_file"), ["book_id", "file_path"])
+    plan = sound.with_gaps(plan.join(first.drop("title"), ["book_id", "chapter_file"]))
+    found = sound.parts(made)
+    folder = files.folder_name(F.col("book_id"))
+    narrator = own["audiobook_voice"] or "narrator"
+    tags = audio.tags(ex.metadata(package), narrator)
+    order = ["position", "spine_index", "order_in_file"]
+    each = sound.laid_out(plan, found, ["book_id", "chapter_file"], order)
+    name = F.concat(folder, F.lit("/"), files.slug(files.stem(F.col("chapter_file"))), F.lit("-"), F.substring(F.sha1("chapter_file"), 1, 8), F.lit(".wav"))
+    sinks.write_joined(sound.pieces(each, found, ["book_id", "chapter_file"], name, tags, first), out)
+    whole = sound.laid_out(plan, found, ["book_id"], order)
+    sinks.write_joined(sound.pieces(whole, found, ["book_id"], F.concat(folder, F.lit(".wav")), tags, first), out)
+
+
 def audiobook_export_chapters(spark: SparkSession, work: str, out: str) -> None:
     """A chapters file a book, with the starts that the plan gives; a book is a row at a time."""
     package, plan = load(spark, work, "package", "assembly")
@@ -310,6 +331,7 @@ COMMANDS: dict[str, tuple[Callable, tuple[str, ...]]] = {
     "config-reset": (config_reset, ("path", "--backup")),
     "config-template": (config_template, ("folder",)),
     "audiobook-generate": (audiobook_generate, ("--voice",)),
+    "audiobook-assemble": (audiobook_assemble, ("out",)),
     "audiobook-export-chapters": (audiobook_export_chapters, ("out",)),
     "audiobook-read-chapters": (audiobook_read_chapters, ("book", "out")),
     "audiobook-update-chapters": (audiobook_update_chapters, ("book", "chapters_file")),
@@ -326,7 +348,7 @@ COMMANDS: dict[str, tuple[Callable, tuple[str, ...]]] = {
 _FLAGS = ("--backup", "--dry-run")
 _LOCAL = ("config-validate", "config-reset", "audiobook-read-chapters", "audiobook-update-chapters")
 #: Commands that take settings.
-_SET = ("extract", "translate", "export", "pipeline", "audiobook-generate")
+_SET = ("extract", "translate", "export", "pipeline", "audiobook-generate", "audiobook-assemble")
 
 
 def main(argv: list[str] | None = None) -> None:

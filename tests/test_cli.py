@@ -9,7 +9,7 @@ import yaml
 from pyspark.sql import functions as F
 
 from quire import cli
-from quire.operators import models
+from quire.operators import models, sound
 from quire.sources import epub, files
 from tests.operators.test_tables import box
 from tests.sources.test_books import PARTS
@@ -89,8 +89,13 @@ def test_audiobook(spark, work, tmp_path):
     cli.audiobook_generate(spark, work, make=models.SilentSpeaker)
     made = spark.read.parquet(f"{work}/audio").collect()
     assert len(made) == 2 and all(r["status"] == "completed" and bytes(r["audio"][:4]) == b"RIFF" for r in made)
-    cli.audiobook_export_chapters(spark, work, str(tmp_path))
-    (path,) = files_below(tmp_path).values()
+    cli.audiobook_assemble(spark, work, str(tmp_path / "sound"))
+    found = files_below(tmp_path / "sound")
+    whole = next(open(p, "rb").read() for n, p in found.items() if "/" not in n)
+    tags, marks = sound.read_marks(whole)
+    assert len(found) == 2 and tags["title"] == "Test Book" and tags["composer"] == "narrator" and marks == [(0, "One")]
+    cli.audiobook_export_chapters(spark, work, str(tmp_path / "lists"))
+    (path,) = files_below(tmp_path / "lists").values()
     assert yaml.safe_load(open(path))["chapters"][0]["start"] == 0
     book = tmp_path / "a.m4a"
     book.write_bytes(box(b"ftyp", b"M4A ") + box(b"moov", b"") + box(b"mdat", b"x"))
