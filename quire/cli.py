@@ -168,8 +168,7 @@ def pipeline(spark: SparkSession, books: str, work: str, out: str, target: str |
 def resume(spark: SparkSession, work: str) -> DataFrame:
     """Per book how many segments remain, are done, are skipped."""
     rows, state = load(spark, work, "segments", "state")
-    found = st.resume(rows, state)
-    return found.select("book_id", *(F.size(c).alias(c) for c in ("remaining", "completed", "skipped")))
+    return st.resume_counts(rows, state)
 
 
 def format_(spark: SparkSession, work: str) -> None:
@@ -282,7 +281,7 @@ def report(spark: SparkSession, work: str, name: str) -> DataFrame:
         "pending": lambda: reports.pending_by_file(rows, state),
         "progress": lambda: reports.progress(rows, state),
         "dashboard": lambda: reports.dashboard(state),
-        "resume": lambda: st.resume(rows, state),
+        "resume": lambda: st.resume_counts(rows, state),
         "skips": lambda: reports.skip_counts(skips),
         "skip-list": lambda: ex.skip_list(skips, state, rows),
         "skip-candidates": lambda: ex.skip_flags(rows, skips),

@@ -256,13 +256,30 @@ def narrator(voice: Column) -> Column:
     return F.when(name == "", voice).otherwise(name)
 
 
-def sentences(value: Column, cjk: bool = False) -> Column:
-    """A text's sentences as an array; the CJK form also ends them without white space."""
+def sentences(value: Column, cjk: bool = False, abbreviations: Column | None = None) -> Column:
+    """A text's sentences as an array; the CJK form also ends them without white space.
+
+    A sentence doesn't end at one of ``abbreviations`` (lower case, without their last full stop); the parts are then joined by a space.
+    """
     if cjk:
         parts = F.split(value, r"(?<=[。？！…；.!?])\s*")
     else:
         parts = F.split(value, r"(?<=[.!?…][\"'”’)]?)\s+")
-    return F.filter(parts, lambda p: F.trim(p) != "")
+    found = F.filter(parts, lambda p: F.trim(p) != "")
+    if abbreviations is None:
+        return found
+
+    def told(last: Column) -> Column:
+        """Whether a part ends at an abbreviation."""
+        word = F.ltrim(F.lower(F.element_at(F.split(last, r"\s+"), -1)), F.lit("\"'“”‘’«»([{"))
+        return word.endswith(".") & F.array_contains(abbreviations, F.substring(word, F.lit(1), F.length(word) - 1))
+
+    def joined(done: Column, part: Column) -> Column:
+        last = F.element_at(done, -1)
+        whole = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(last, F.lit(" "), part)))
+        return F.when(F.size(done) == 0, F.array(part)).when(told(last), whole).otherwise(F.concat(done, F.array(part)))
+
+    return F.aggregate(found, F.array().cast("array<string>"), joined)
 
 
 def polish_cjk(value: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quire.functions.paths import content_path, file_of, fragment_of
 from quire.functions.text import script_safe, stem
 from quire.operators import web
+from quire.operators.numbering import numbered
 from quire.operators.segments import column_map
 
 
@@ -19,7 +20,11 @@ def year(date: Column) -> Column:
 
 def metadata(package: DataFrame) -> DataFrame:
     """(book_id, title, creator, publisher, year): the first value of each."""
-    rows = package.select("book_id", F.posexplode("metadata").alias("pos", "m")).select("book_id", "pos", "m.key", "m.value")
+    return first_values(package.select("book_id", F.posexplode("metadata").alias("pos", "m")).select("book_id", "pos", "m.key", "m.value"))
+
+
+def first_values(rows: DataFrame) -> DataFrame:
+    """The same of ``rows(book_id, pos, key, value)``; no book is brought together."""
     first = lambda k: F.min_by(F.when(F.col("key") == k, F.col("value")), F.when(F.col("key") == k, F.col("pos")))
     return rows.groupBy("book_id").agg(first("title").alias("title"), first("creator").alias("creator"), first("publisher").alias("publisher"), year(first("date")).alias("year"))
 
@@ -51,9 +56,7 @@ def covers(images: DataFrame, marked: DataFrame, referenced: DataFrame) -> DataF
 
 def image_names(images: DataFrame) -> DataFrame:
     """(book_id, file_path, name): a name that occurs again in a book gets its number."""
-    base = F.substring_index("file_path", "/", -1)
-    nth = F.row_number().over(Window.partitionBy("book_id", "base").orderBy("pos"))
-    rows = images.withColumn("base", base).withColumn("nth", nth)
+    rows = numbered(images.withColumn("base", F.substring_index("file_path", "/", -1)), ["book_id", "base"], "pos")
     dot = F.instr(F.reverse("base"), ".")
     head, tail = F.when(dot > 0, F.expr("substring(base, 1, length(base) - instr(reverse(base), '.'))")).otherwise(F.col("base")), F.when(dot > 0, F.expr("right(base, instr(reverse(base), '.'))")).otherwise("")
     return rows.select("book_id", "file_path", F.when(F.col("nth") == 1, F.col("base")).otherwise(F.concat(head, F.lit("_"), "nth", tail)).alias("name"))
@@ -94,8 +97,10 @@ def toc_titles(toc: DataFrame, headings: DataFrame) -> DataFrame:
 def preview(chapter_of: DataFrame, segments: DataFrame) -> DataFrame:
     """(book_id, chapter_file, title, files, n_segments) of each chapter, in order of its first document."""
     joined = segments.join(chapter_of.select("book_id", "file_path", "chapter_file", "title"), ["book_id", "file_path"])
-    files = F.transform(F.array_distinct(F.sort_array(F.collect_list(F.struct("spine_index", "file_path")))), lambda x: x["file_path"])
-    return joined.groupBy("book_id", "chapter_file", "title").agg(files.alias("files"), F.count("*").alias("n_segments"), F.min("spine_index").alias("spine_index"))
+    # A row a file first: the list is of a chapter's files, not of its segments.
+    by_file = joined.groupBy("book_id", "chapter_file", "title", "spine_index", "file_path").agg(F.count("*").alias("n"))
+    files = F.transform(F.sort_array(F.collect_list(F.struct("spine_index", "file_path"))), lambda x: x["file_path"])
+    return by_file.groupBy("book_id", "chapter_file", "title").agg(files.alias("files"), F.sum("n").alias("n_segments"), F.min("spine_index").alias("spine_index"))
 
 
 def skip_list(skips: DataFrame, state: DataFrame, segments: DataFrame) -> DataFrame:
@@ -105,8 +110,10 @@ def skip_list(skips: DataFrame, state: DataFrame, segments: DataFrame) -> DataFr
     return docs.union(known.select("book_id", F.lit("segment"), "segment_id", F.coalesce("error_message", F.lit(""))))
 
 
-def lookup(segments: DataFrame, state: DataFrame, segment_id: str) -> DataFrame:
-    """A segment and its record; the filter reaches both sides."""
+def lookup(segments: DataFrame, state: DataFrame, segment_id: str | DataFrame) -> DataFrame:
+    """A segment and its record, or those of all ids of a table; the filter reaches both sides."""
+    if isinstance(segment_id, DataFrame):
+        return segments.join(segment_id, "segment_id", "left_semi").join(state, ["book_id", "segment_id"], "left")
     return segments.where(F.col("segment_id") == segment_id).join(state.where(F.col("segment_id") == segment_id), ["book_id", "segment_id"], "left")
 
 

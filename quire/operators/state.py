@@ -83,11 +83,18 @@ def polished(state: DataFrame) -> DataFrame:
 
 
 def resume(segments: DataFrame, state: DataFrame) -> DataFrame:
-    """Per book the sorted ids that remain, are completed, are skipped."""
+    """(book_id, segment_id, kind): each segment as remaining, completed or skipped."""
     full = with_state(segments.select(*KEY), state.select(*KEY, "status"))
-    ids = lambda s: F.sort_array(F.collect_list(F.when(s, F.col("segment_id"))))
-    done, skipped = F.col("status") == "completed", F.col("status") == "skipped"
-    return full.groupBy("book_id").agg(ids(~done & ~skipped).alias("remaining"), ids(done).alias("completed"), ids(skipped).alias("skipped"))
+    kind = F.when(F.col("status").isin("completed", "skipped"), F.col("status")).otherwise("remaining")
+    return full.select(*KEY, kind.alias("kind"))
+
+
+def resume_counts(segments: DataFrame, state: DataFrame) -> DataFrame:
+    """(book_id, remaining, completed, skipped, first_completed): counts of a book's segments, and the least completed id."""
+    found, is_ = resume(segments, state), lambda k: F.col("kind") == k
+    return found.groupBy("book_id").agg(
+        *(F.count_if(is_(k)).alias(k) for k in ("remaining", "completed", "skipped")), F.min(F.when(is_("completed"), F.col("segment_id"))).alias("first_completed")
+    )
 
 
 def invalidated(audio: DataFrame, old: dict, new: dict) -> DataFrame:

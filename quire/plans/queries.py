@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quire.functions import paths, text
-from quire.operators import audio, chapters, export, models, reports, segments, skip, state as st, web
+from quire.operators import abbreviations, audio, chapters, export, models, reports, segments, skip, state as st, web
 from quire.sources import library as lib
+from quire.operators.numbering import numbered
 from quire.sources.library import with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,13 +42,14 @@ def spine_linear(spark, sf):
 
 @query(
     """SELECT page_id, host, CAST(row_number() OVER (PARTITION BY host ORDER BY page_id) AS BIGINT) AS nth FROM (
- SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages WHERE length(html) <= 524288000)"""
+ SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages)"""
 )
 def library_scan(spark, sf):
-    """Pages as members of the book of their host, within the size limit, numbered."""
-    rows = table(spark, sf, "pages").where(F.length("html") <= 500 * 1024 * 1024)
-    rows = rows.select("page_id", F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)).alias("host"))
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("host").orderBy("page_id")).cast("long"))
+    """Pages as members of the book of their host, numbered in blocks of ids; a page over the size limit fails the scan."""
+    large = F.raise_error(F.concat(F.lit("larger than 500 MiB: page "), F.col("page_id").cast("string"))).cast("long")
+    checked = F.when(F.octet_length("html") > 500 * 1024 * 1024, large).otherwise(F.col("page_id"))
+    rows = table(spark, sf, "pages").select(checked.alias("page_id"), F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)).alias("host"))
+    return numbered(rows, ["host"], "page_id").select("page_id", "host", F.col("nth").cast("long").alias("nth"))
 
 
 @query(
@@ -58,7 +60,7 @@ def library_scan(spark, sf):
 def spine_scan(spark, sf):
     rows = lib.spine(spark, sf)
     return rows.groupBy("book_id").agg(
-        F.count("*").alias("n_docs"), F.min(F.substring("file_path", 6, 100)).alias("first_name"), F.count_if("linear").alias("n_linear")
+        F.count("*").alias("n_docs"), F.min(F.expr("substring(file_path, 6)")).alias("first_name"), F.count_if("linear").alias("n_linear")
     )
 
 
@@ -72,8 +74,7 @@ def archive_names(spark, sf):
     host = F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1))
     name = F.concat(F.regexp_extract(F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1), r"^/([^/]*)", 1), F.lit(".html"))
     rows = table(spark, sf, "pages").select("page_id", host.alias("host"), name.alias("name"))
-    nth = F.row_number().over(Window.partitionBy("host", "name").orderBy("page_id")).cast("long")
-    rows = rows.withColumn("nth", nth)
+    rows = numbered(rows, ["host", "name"], "page_id").withColumn("nth", F.col("nth").cast("long"))
     return rows.select("host", "name", "nth", paths.numbered_names(F.col("name"), F.col("nth")).alias("flat"))
 
 
@@ -409,11 +410,8 @@ def purged_state(spark, sf):
     "state",
 )
 def resume_info(spark, sf):
-    found = st.resume(lib.segments(spark, sf), lib.state(spark, sf))
-    n = lambda c: F.size(c).cast("long")
-    return found.select(
-        "book_id", n("remaining").alias("n_remaining"), n("completed").alias("n_completed"), n("skipped").alias("n_skipped"), F.get("completed", F.lit(0)).alias("first_completed")
-    )
+    found = st.resume_counts(lib.segments(spark, sf), lib.state(spark, sf))
+    return found.select("book_id", F.col("remaining").alias("n_remaining"), F.col("completed").alias("n_completed"), F.col("skipped").alias("n_skipped"), "first_completed")
 
 
 @query("SELECT book_id, file_path, count(*) AS n_segments, min(spine_index) AS spine_index FROM segments GROUP BY book_id, file_path", "segments")
@@ -1014,9 +1012,8 @@ def book_metadata(spark, sf):
     entry = lambda key, value: F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"))
     date = F.when(k % 2 == 0, F.concat((1900 + k % 100).cast("string"), F.lit("-01-02"))).otherwise(F.concat(F.lit("about "), k))
     own = F.array(entry("title", F.concat(F.lit("T"), k)), entry("creator", F.when(k % 3 == 0, F.col("lang"))), entry("date", date))
-    listed = F.array_sort(F.collect_list(F.struct("doc_id", own.alias("own"))))
-    rows = table(spark, sf, "documents").groupBy(F.col("source").alias("book_id")).agg(F.flatten(F.transform(listed, lambda x: x["own"])).alias("metadata"))
-    return export.metadata(rows.select("book_id", F.filter("metadata", lambda m: m["value"].isNotNull()).alias("metadata")))
+    rows = table(spark, sf, "documents").select(F.col("source").alias("book_id"), k.alias("pos"), F.explode(own).alias("m"))
+    return export.first_values(rows.select("book_id", "pos", "m.*").where("value is not null"))
 
 
 _KEYS = ("mimetype", "META-INF/container.xml", "a/b/x{}.OPF", "c/x{}.opf", "t{}.ncx", "d/t{}.ncx", "page{}.html")
@@ -1123,8 +1120,8 @@ def concat_lists(spark, sf):
 )
 def segment_lookup(spark, sf):
     """One segment with its record, by its id."""
-    ident = lib.segments(spark, sf).where("doc_id = 30 and order_in_file = 1").select("segment_id").first()["segment_id"]
-    return export.lookup(lib.segments(spark, sf), lib.state(spark, sf), ident).select("book_id", "segment_id", "status", "source_content")
+    wanted = lib.segments(spark, sf).where("doc_id = 30 and order_in_file = 1").select("segment_id")
+    return export.lookup(lib.segments(spark, sf), lib.state(spark, sf), wanted).select("book_id", "segment_id", "status", "source_content")
 
 
 @query("SELECT 'en-US' AS locale, 'A' || o_orderkey AS short_name FROM orders WHERE o_orderkey % 3 = 0")
@@ -1132,3 +1129,27 @@ def voice_list(spark, sf):
     """Voices of a locale's prefix, whatever its case."""
     locale = F.element_at(F.array(F.lit("en-US"), F.lit("de-DE"), F.lit("fr-FR")), (F.col("o_orderkey") % 3 + 1).cast("int"))
     return audio.voices(table(spark, sf, "orders").select(locale.alias("locale"), F.concat(F.lit("A"), "o_orderkey").alias("short_name")), "EN")
+
+
+#: The tokens of documents by language, with their final full stop told apart.
+WORDS_SQL = """t AS (SELECT lang, trim(lower(unnest(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'))), '"''“”‘’«»()[]{},;:!?…') AS token FROM documents),
+w AS (SELECT lang, CASE WHEN ends_with(token, '.') THEN left(token, length(token) - 1) ELSE token END AS word, CASE WHEN ends_with(token, '.') THEN 1 ELSE 0 END AS dot FROM t),
+c AS (SELECT lang, word, CAST(sum(dot) AS BIGINT) AS dotted, CAST(sum(1 - dot) AS BIGINT) AS bare FROM w
+ WHERE word <> '' AND NOT ends_with(word, '.') AND regexp_matches(word, '\\p{L}') GROUP BY lang, word)"""
+
+
+@query(f"WITH {WORDS_SQL} SELECT * FROM c")
+def abbreviation_counts(spark, sf):
+    """How often each word of a language stands with a final full stop, and without."""
+    return abbreviations.counts(table(spark, sf, "documents"))
+
+
+@query(
+    f"""WITH {WORDS_SQL}, a AS (SELECT lang, sum(dotted)::DOUBLE / sum(dotted + bare) AS p FROM c GROUP BY lang),
+s AS (SELECT lang, word, length(replace(word, '.', '')) AS k, length(word) - length(replace(word, '.', '')) AS d,
+ -2 * (dotted * ln(p) + bare * ln(1 - p) - dotted * ln(0.99) - bare * ln(1 - 0.99)) AS ratio, bare FROM c JOIN a USING (lang) WHERE dotted > 0 AND p < 1)
+SELECT lang, word FROM s WHERE ratio * exp(-k) * (d + 1) * pow(k::DOUBLE, -bare::DOUBLE) >= 0.3"""
+)
+def learned_abbreviations(spark, sf):
+    """The abbreviations of each language, by the ratio of likelihoods."""
+    return abbreviations.learned(abbreviations.counts(table(spark, sf, "documents"))).select("lang", "word")

@@ -10,32 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quire.functions.text import collapse, dots, segment_id, stem
+from quire.operators.numbering import numbered
 
 TITLES = (
     "Cover", "Index of things", "Notes", "Chapter", "Discovery", "Bibliography", "Part Two", "Preface", "About the Author", "", "Further Reading",
 )
 
 
-#: Ids of a book that are numbered in one task: blocks of this width.
-BLOCK = 8192
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row's place among those of its source by doc_id, from 0.
-
-    Blocks of ids are counted first and their counts summed up, so no task holds a whole source.
-    """
-    keyed = docs.withColumn("block", F.expr(f"doc_id div {BLOCK}"))
-    counts = keyed.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("s", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    joined = keyed.join(starts, F.col("source").eqNullSafe(F.col("s")) & F.col("block").eqNullSafe(F.col("b")))
-    within = F.row_number().over(Window.partitionBy("s", "b").orderBy("doc_id"))
-    return joined.withColumn("nth", F.col("start") + within - 1).drop("block", "s", "b", "start")
-
-
 def spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = numbered(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang"))
+    docs = numbered(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang"), ["source"], "doc_id", 0)
     return docs.select(
         F.col("source").alias("book_id"),
         "doc_id",

@@ -61,8 +61,9 @@ def test_state(spark):
     assert {r["status"] for r in state.reset_errors(st).where("segment_id = 's2'").collect()} == {"pending"}
     assert state.reset_errors(st, []).where("status = 'error'").count() == 1 and state.reset_errors(st, [], True).where("status = 'error'").count() == 0
     assert ids(state.purged(st).where("status = 'pending'")) == ["gone"]
-    r = state.resume(segs, st).first()
-    assert (r["remaining"], r["completed"], r["skipped"]) == (["s2", "s4", "s5"], ["s0", "s1"], ["s3"])
+    r = state.resume_counts(segs, st).first()
+    assert (r["remaining"], r["completed"], r["skipped"], r["first_completed"]) == (3, 2, 1, "s0")
+    assert ids(state.resume(segs, st).where("kind = 'remaining'")) == ["s2", "s4", "s5"]
     new = st.where("segment_id = 's2'").withColumn("status", F.lit("completed")).unionByName(st.where("segment_id = 's0'").withColumn("segment_id", F.lit("new")))
     assert state.merged(st, new).count() == 6 and state.merged(st, new, insert=False).count() == 5
     audio_rows = st.selectExpr("*", "'f.m4a' as audio_path", "1.5D as duration_seconds")
