@@ -174,7 +174,8 @@ def audit(
     groups = groups.join(totals, ["lang", "source"], "left").select("lang", "source", F.coalesce("total", F.lit(0).cast("long")).alias("total"))
     groups = scratch.put(groups, "groups")
     beside = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "total"))).alias("groups"))
-    found = scratch.put(_measured(kept.join(langs.join(beside, "lang"), "lang"), top), "found")
+    beside = scratch.put(langs.join(beside, "lang"), "beside")  # a table of known size: small ones are sent to the terms, not the terms to them
+    found = scratch.put(_measured(kept.join(beside, "lang"), top), "found")
     scratch.keep("groups", "found")
 
     sums = found.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("sum"))
