@@ -1,23 +1,14 @@
-"""Near copies by the Jaccard similarity of word shingles: SimHash and MinHash propose, the whole sets decide.
+"""Near copies by the Jaccard similarity of word shingles: SimHash finds the nearest, an exact join of candidates the rest.
 
 Two texts are copies if the sets of their five-word shingles (lowered ASCII, split at white space; fewer
 words form one shingle) have a Jaccard similarity of 0.8 or more. Components of that relation are
-found over distinct word sequences.
+found over distinct word sequences, and no link of it is left to chance.
 
-Pairs are proposed in two ways. SimHash fingerprints of the shingles meet in the segment-popcount grid
-(``simhash.links``); that finds the nearest copies. At a similarity of 0.8 fingerprints of 64 bits differ
-in about ten bits, a radius at which no grid is selective, so the others come from MinHash: 20 bands of five
-minima, of which a pair at 0.8 shares one with probability 1 - (1 - 0.8^5)^20 = 0.9996. Every proposed
-pair is decided on its whole sets.
-
-A bucket of up to ``FEW`` texts proposes all its pairs. Larger ones are read in two passes, in
-blocks of bounded size, so neither a task nor the number of pairs grows with a bucket's square:
-
-1. Each text meets blocks of its largest buckets. Within a block the similarities are estimated from
-   256 minima of a byte each, and only the edges of a maximum spanning forest are proposed.
-2. Where a bucket still holds several components, the texts outside its largest component meet
-   the whole bucket; of the pairs of different components whose estimate isn't below 0.8 by more
-   than four standard errors those are proposed that half hashes of the whole sets don't rule out.
+SimHash fingerprints of the shingles meet in the segment-popcount grid (``simhash.links``), which finds the nearest copies with
+no look at their sets; those pairs are then decided on their sets. At a similarity of 0.8 fingerprints of 64 bits differ in about ten
+bits, a radius at which no grid is selective, so the links that are left come from the candidates of ``ngramjoin``: texts that share one
+of their rarest tokens, which every pair at 0.8 does. Texts that SimHash has joined are passed over there. What unlike texts share with many others
+isn't among their rarest tokens, so templates don't make candidates of all pairs.
 
 Edge cases: null, empty and blank texts are copies of each other; repeated rows keep a row each, whatever their ids; texts of any
 length are compared whole; an empty table gives an empty result; only the named columns are read.
@@ -26,66 +17,15 @@ length are compared whole; an empty table gives an empty result; only the named
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from quire.llm import simhash
+from quire.llm import ngramjoin, simhash
 from quire.llm.common import Scratch, text_slices, texts_of
-from quire.llm.components import connected_components
-
-SHINGLE, LEAST = 5, 0.8
-BANDS, ROWS, MINIMA = 20, 5, 256
-#: Buckets of up to so many texts propose all pairs.
-FEW = 8
-#: Texts of a block, and buckets of a text in the first pass.
-BLOCK, LARGEST = 256, 4
-#: How far half hashes may be off in a similarity.
-DOUBT = 0.01
-_RNG = np.random.default_rng(42)
-_MUL = _RNG.integers(0, 1 << 31, MINIMA, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
-_ADD = _RNG.integers(0, 1 << 32, MINIMA, dtype=np.uint32)[:, None]
-_CHUNK = 1 << 10
-
-
-def grams(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """The hashes of a text's shingles in order; none for a text without words."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    n = max(1, len(words) - shingle + 1)
-    found = map(b" ".join, zip(*(words[i : i + n] for i in range(shingle)))) if len(words) >= shingle else iter([b" ".join(words)])
-    return np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(42)), dtype=np.uint64, count=n)
-
-
-def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct hashes of a text's shingles, sorted."""
-    return np.unique(grams(text, shingle))
 
-
-def minima(found: np.ndarray) -> np.ndarray:
-    """The least value of each of MINIMA hash functions over a set of shingles."""
-    least = np.full(MINIMA, np.iinfo(np.uint32).max, np.uint32)
-    x = (found >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(x), _CHUNK):
-        np.minimum(least, (x[i : i + _CHUNK] * _MUL + _ADD).min(axis=1), out=least)
-    return least
-
-
-def bands(least: np.ndarray) -> list[int]:
-    """A hash of each band's minima."""
-    rows = least[: BANDS * ROWS].reshape(BANDS, ROWS)
-    return [xxhash.xxh64_intdigest(r.tobytes(), b) - (1 << 63) for b, r in enumerate(rows)]
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+SHINGLE, PERCENT = 5, 80
 
 
 def nodes(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
@@ -97,253 +37,49 @@ def nodes(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
         for batch in batches:
             for part in text_slices(batch, "__t", 4 << 20):
                 column = part.column(len(keep))
-                found = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) for t in texts_of(column)], np.uint64)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), column, pa.array(found.view(np.int64))], names=names)
+                found = [ngramjoin.word_hash(t.lower().split()) for t in texts_of(column)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), column, pa.array(found, pa.int64())], names=names)
 
     return docs.select(*keep, F.col(text_col).alias("__t")).mapInArrow(run, f"{kinds}, text string, node bigint")
 
 
-def _features(distinct: DataFrame) -> DataFrame:
-    """(node, fp, sig, bands): the fingerprint, a byte of each minimum, the bands."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, "text", 4 << 20):
-                fps, sigs, keys = [], [], []
-                for t in texts_of(part.column(1)):
-                    hashes = grams(t)
-                    least = minima(np.unique(hashes))
-                    fps.append(simhash.fingerprint(hashes))
-                    sigs.append(least.astype(np.uint8).tobytes())
-                    keys.append(bands(least))
-                fp = np.array(fps, dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(fp), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "fp", "sig", "bands"]
-                )
-
-    return distinct.select("node", "text").mapInArrow(run, "node bigint, fp bigint, sig binary, bands array<bigint>")
-
-
-def _fingerprint_pairs(features: DataFrame, scratch: Scratch) -> DataFrame:
-    """(u, v): texts whose fingerprints the segment-popcount grid links, by the least text of each fingerprint."""
-    fps = features.select("fp", "node")
-    heads = scratch.put(fps.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+def fingerprint_pairs(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v): texts of ``prints(node, fp)`` whose fingerprints the segment-popcount grid links, by the least text of each fingerprint."""
+    heads = scratch.put(prints.groupBy("fp").agg(F.min("node").alias("head")), "heads_of_prints")
     linked = simhash.links(heads.select("fp"), scratch=scratch)
     across = linked.join(heads.toDF("u", "hu"), "u").join(heads.toDF("v", "hv"), "v").select(F.col("hu").alias("u"), F.col("hv").alias("v"))
-    return across.union(fps.join(heads, "fp").where("node <> head").select("head", "node"))
-
-
-def _estimates(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Shares of equal minima of each pair."""
-    out = np.empty((len(left), len(right)), np.float32)
-    for i, row in enumerate(left):
-        out[i] = (right == row).sum(axis=1, dtype=np.int32)
-    return out / MINIMA
-
-
-def _forest(items: DataFrame, bar: float) -> DataFrame:
-    """(u, v): edges of a maximum spanning forest of each block's estimates; a block holds a few times BLOCK rows."""
-
-    def edges(ids: list[int], sigs: list[bytes]) -> Iterator[tuple[int, int]]:
-        sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), MINIMA)
-        # Prim's algorithm: the best estimate of each text outside the tree to one inside.
-        n = len(ids)
-        best, near, out = np.full(n, -1.0, np.float32), np.zeros(n, np.int64), np.ones(n, bool)
-        at = 0
-        for _ in range(n - 1):
-            out[at], best[at] = False, -1.0
-            own = _estimates(sig[at : at + 1], sig)[0]
-            nearer = out & (own > best)
-            best[nearer], near[nearer] = own[nearer], at
-            at = int(np.where(out, best, -1.0).argmax())
-            if best[at] >= bar:
-                yield ids[near[at]], ids[at]
-            elif not out[at]:
-                at = int(np.flatnonzero(out)[0])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, sigs, found = None, [], [], []
-        for batch in batches:
-            for band, block, node, sig in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if (band, block) != current:
-                    found += edges(ids, sigs) if len(ids) > 1 else ()
-                    current, ids, sigs = (band, block), [], []
-                ids.append(node)
-                sigs.append(sig)
-            if found:
-                yield _pairs(found)
-                found = []
-        if len(ids) > 1:
-            yield _pairs(list(edges(ids, sigs)))
-
-    dealt = items.select("band", "block", "node", "sig").repartition("band", "block").sortWithinPartitions("band", "block", "node")
-    return dealt.mapInArrow(run, "u bigint, v bigint")
+    return across.union(prints.join(heads, "fp").where("node <> head").select("head", "node"))
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    """Pairs, the smaller node first."""
-    ends = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["u", "v"])
-
-
-def _sets(texts: DataFrame) -> DataFrame:
-    """(node, set): the sorted high halves of a text's shingle hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, "text", 4 << 20):
-                found = [(shingles(t) >> np.uint64(32)).astype(np.uint32).tobytes() for t in texts_of(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["node", "set"])
-
-    return texts.select("node", "text").mapInArrow(run, "node bigint, set binary")
-
-
-def _alike(a: np.ndarray, b: np.ndarray) -> float:
-    """The Jaccard similarity of two sorted arrays; values that a text repeats count as they are."""
-    both = np.concatenate((a, b))
-    both.sort(kind="stable")
-    shared = int((both[1:] == both[:-1]).sum())
-    return shared / max(1, len(both) - shared)
-
-
-def _across(items: DataFrame, bar: float, least: float) -> DataFrame:
-    """(u, v): likely links between different roots, of the left rows and the others of one block.
-
-    Pairs with an estimate of at least ``bar`` are held against each other by half hashes, the likeliest first; pairs that
-    links have already joined in a task aren't. What is within ``DOUBT`` of the threshold joins nothing here: it is decided later.
-    """
-
-    def links(left: list[tuple], node: np.ndarray, root: np.ndarray, sig: np.ndarray, sets: list[bytes], up: dict[int, int]) -> Iterator[tuple[int, int]]:
-        def find(i: int) -> int:
-            while up.setdefault(i, i) != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        near = np.concatenate([x[1] for x in left])
-        estimate = _estimates(np.concatenate([x[2] for x in left]), sig)
-        x, y = np.nonzero((estimate >= bar) & (near[:, None] != root[None, :]))
-        names = np.concatenate([x[0] for x in left])
-        own = [s for part in left for s in part[3]]
-        for i in np.argsort(-estimate[x, y], kind="stable").tolist():
-            a, b = int(x[i]), int(y[i])
-            ra, rb = find(int(near[a])), find(int(root[b]))
-            if ra == rb:
-                continue
-            close = _alike(np.frombuffer(own[a], np.uint32), np.frombuffer(sets[b], np.uint32))
-            if close >= least - DOUBT:
-                yield int(names[a]), int(node[b])
-            if close >= least + DOUBT:
-                up[max(ra, rb)] = min(ra, rb)
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose sets link; a text without a set has no links at all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, left, up = None, [], {}
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
-            i = 0
-            while i < len(keys):
-                j = i + 1
-                while j < len(keys) and keys[j] == keys[i]:
-                    j += 1
-                if keys[i][:3] != current:
-                    current, left, up = keys[i][:3], [], {}
-                part = batch.slice(i, j - i)
-                node, root = part.column(4).to_numpy(), part.column(5).to_numpy()
-                sig = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint8).reshape(-1, MINIMA)
-                if not keys[i][3]:  # the block's left rows come first
-                    left.append((node, root, sig, part.column(7).to_pylist()))
-                elif left:
-                    found += links(left, node, root, sig, part.column(7).to_pylist(), up)
-                i = j
-            if found:
-                yield _pairs(found)
-
-    cols = ["band", "block", "part", "side", "node", "root", "sig", "set"]
-    keys = ["band", "block", "part"]
-    return items.select(*cols).repartition(*keys).sortWithinPartitions(*keys, "side", "node").mapInArrow(run, "u bigint, v bigint")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose shingle sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, None
-        for batch in batches:
-            keep = []
-            for part in text_slices(batch, "b", 4 << 20):
-                us = part.column(0).to_pylist()
-                for u, a, b in zip(us, part.column(2), texts_of(part.column(3))):
-                    if u != last:
-                        last, left = u, shingles((a.as_py() or "").encode())
-                    keep.append(jaccard(left, shingles(b)) >= least)
-            if any(keep):
-                good = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["u", "v"])
-
-    a = texts.select(F.col("node").alias("u"), F.col("text").alias("a"))
-    b = texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
+            good = []
+            for a, b in zip(texts_of(batch.column(2)), texts_of(batch.column(3))):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                good.append(ngramjoin.similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+
+    a = sets.select(F.col("node").alias("u"), F.col("set").alias("a"))
+    b = sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
     return pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
-def _few_pairs(met: DataFrame) -> DataFrame:
-    """All pairs of the buckets of up to FEW texts."""
-    few = met.where(F.col("n") <= FEW).select("band", "node")
-    return few.alias("a").join(few.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node"))).select(
-        F.col("a.node").alias("u"), F.col("b.node").alias("v")
-    )
-
-
-def _first_blocks(many: DataFrame, features: DataFrame) -> DataFrame:
-    """(band, block, node, sig): each text in blocks of its LARGEST largest buckets."""
-    largest = Window.partitionBy("node").orderBy(F.desc("n"), "band")
-    chosen = many.withColumn("r", F.row_number().over(largest)).where(F.col("r") <= LARGEST)
-    block = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    return chosen.select("band", block.alias("block"), "node").join(features.select("node", "sig"), "node")
-
-
-def _second_blocks(rooted: DataFrame) -> DataFrame:
-    """(band, block, part, side, node, root) of the buckets with several components.
-
-    Side 0: the texts outside the bucket's largest component; side 1: all its texts.
-    """
-    sizes = rooted.groupBy("band", "root").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("band").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("all"), F.count("*").alias("c")).where("c > 1")
-    main = main.select("band", F.col("main.root").alias("main"), (F.col("all") - F.col("main.m")).alias("outer"), "all")
-    rows = rooted.join(main, "band")
-    blocks, parts = F.ceil(F.col("outer") / (4 * BLOCK)).cast("int"), F.ceil(F.col("all") / (64 * BLOCK)).cast("int")
-    own, place = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.pmod(F.xxhash64("band", "node"), parts).cast("int")
-    left = rows.where("root <> main").select("band", own.alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("side"), "node", "root")
-    right = rows.select("band", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), place.alias("part"), F.lit(1).alias("side"), "node", "root")
-    return left.union(right)
-
-
-def components(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = LEAST) -> DataFrame:
+def components(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), percent: int = PERCENT, tile: int = ngramjoin.TILE) -> DataFrame:
     """(*keep, text, root) for every row; rows of one component have one root."""
     scratch = Scratch(docs.sparkSession, "nearcopies")
-    bar = least - 4 * float(np.sqrt(least * (1 - least) / MINIMA))
     rows = scratch.put(nodes(docs, text_col, keep), "rows")
-    features = scratch.put(_features(rows.select("node", "text").dropDuplicates(["node"])), "features")
-    banded = features.select("node", F.explode("bands").alias("band"))
-    # Keys of joins are tables of their own: only a join between two plain exchanges can be split.
-    sizes = scratch.put(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes_of_bands")
-    met = scratch.put(banded.join(sizes, "band"), "met")
-    many = met.where(F.col("n") > FEW)
-    proposed = _fingerprint_pairs(features, scratch).union(_few_pairs(met)).union(_forest(_first_blocks(many, features), bar))
-    proposed = scratch.put(proposed.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "proposed")
-    texts = rows.select("node", "text").dropDuplicates(["node"])
-    first = scratch.put(_verified(proposed, texts, least), "first")
-    near = scratch.put(connected_components(first, scratch), "near_roots")
-    rooted = scratch.put(many.select("band", "node").join(near, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "rooted")
-    blocks = scratch.put(_second_blocks(rooted), "blocks")
-    needed = scratch.put(blocks.select("node").distinct(), "needed")
-    sets = scratch.put(_sets(texts.join(needed, "node", "left_semi")), "sets")
-    described = blocks.join(features.select("node", "sig").join(sets, "node"), "node")
-    second = scratch.put(_across(described, bar, least).distinct(), "across")
-    second = scratch.put(_verified(second, texts, least), "second")
-    roots, again = near, Scratch(docs.sparkSession, "nearcopies")
-    if not second.isEmpty():
-        roots = again.put(connected_components(first.union(second), again), "roots")
-    scratch.keep("rows", "near_roots")
-    again.keep("roots")
-    return rows.join(roots, "node", "left").select(*keep, "text", F.coalesce("root", "node").alias("root"))
+    texts = rows.select(F.col("node").alias("doc_id"), F.col("text").alias("t"))
+    parsed = scratch.put(ngramjoin.parsed_texts(texts, percent, SHINGLE), "parsed")
+    sets = scratch.put(ngramjoin.sets_of(texts, ngramjoin.candidates(parsed, scratch), SHINGLE), "sets")
+    prints = parsed.where("n > 0").select("node", "fp").distinct().join(sets.select("node"), "node", "left_semi")
+    near = fingerprint_pairs(scratch.put(prints, "prints"), scratch)
+    near = scratch.put(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near")
+    known = scratch.put(verified(near, sets, percent), "known")
+    roots = ngramjoin.joined(sets, scratch, percent, tile, known)
+    named = scratch.put(roots, "named")
+    scratch.keep("rows", "named")
+    return rows.join(named, "node", "left").select(*keep, "text", F.coalesce("root", "node").alias("root"))

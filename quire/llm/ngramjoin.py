@@ -27,13 +27,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm import nearcopies
+from quire.llm import simhash
 from quire.llm.common import Scratch, text_slices, texts_of
 from quire.llm.components import connected_components
 
@@ -58,6 +59,21 @@ def apart(total: int, percent: int = PERCENT) -> int:
     return total * (100 - percent) // (100 + percent)
 
 
+def grams(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles in order; none for a text without words, one for fewer words than a shingle."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    found = map(b" ".join, zip(*(words[i : i + n] for i in range(shingle)))) if len(words) >= shingle else iter([b" ".join(words)])
+    return np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(42)), dtype=np.uint64, count=n)
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(grams(text, shingle))
+
+
 # Tokens
 
 
@@ -96,43 +112,50 @@ def tokens(found: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int, np
     return out
 
 
-def _word_hash(words: list[bytes]) -> int:
+def word_hash(words: list[bytes]) -> int:
+    """A text's node: the hash of its words in order."""
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 
 
-def _parsed(docs: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, node, n, slots): the word sequence's hash, its set's size and tokens; a task gives those of equal texts once."""
+def parsed_texts(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, node, n, fp, slots) of ``docs(doc_id, t)``: the word sequence's hash, its set's size, fingerprint and tokens.
+
+    A task gives the tokens of equal texts once.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     slot = pa.struct([("slot", pa.int32()), ("slack", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes: dict[int, int] = {}
+        seen: dict[int, tuple[int, int]] = {}
         for batch in batches:
             for part in text_slices(batch, "t", 4 << 20):
-                nodes, ns, slots = [], [], []
+                nodes, ns, fps, slots = [], [], [], []
                 for text in texts_of(part.column(1)):
                     words = text.lower().split()
-                    node = _word_hash(words)
+                    node = word_hash(words)
                     own = []
                     if not words:
-                        n = 0
-                    elif node in sizes:
-                        n = sizes[node]
+                        n, fp = 0, 0
+                    elif node in seen:
+                        n, fp = seen[node]
                     else:
-                        found = nearcopies.shingles(text, SHINGLE)
-                        n = len(found)
+                        hashes = grams(text, shingle)
+                        found = np.unique(hashes)
+                        n, fp = len(found), simhash.fingerprint(hashes)
                         own = [{"slot": c, "slack": s, "keys": k} for c, s, k in tokens(found, percent)]
-                        if len(sizes) >= _SEEN:
-                            sizes.clear()
-                        sizes[node] = n
+                        if len(seen) >= _SEEN:
+                            seen.clear()
+                        seen[node] = (n, fp)
                     nodes.append(node)
                     ns.append(n)
+                    fps.append(fp)
                     slots.append(own)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(nodes, pa.int64()), pa.array(ns, pa.int64()), pa.array(slots, pa.list_(slot))], names=["doc_id", "node", "n", "slots"]
+                    [part.column(0), pa.array(nodes, pa.int64()), pa.array(ns, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(slots, pa.list_(slot))],
+                    names=["doc_id", "node", "n", "fp", "slots"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, node bigint, n bigint, slots array<struct<slot:int,slack:int,keys:array<bigint>>>")
+    return docs.select("doc_id", "t").mapInArrow(run, f"doc_id {kind}, node bigint, n bigint, fp bigint, slots array<struct<slot:int,slack:int,keys:array<bigint>>>")
 
 
 def _chosen(parsed: DataFrame, scratch: Scratch) -> DataFrame:
@@ -148,7 +171,7 @@ def _chosen(parsed: DataFrame, scratch: Scratch) -> DataFrame:
     return listed.select("node", F.explode(F.concat(F.slice("held", 1, take), "empty")).alias("x")).select("x.key", "node").distinct()
 
 
-def _candidates(parsed: DataFrame, scratch: Scratch) -> DataFrame:
+def candidates(parsed: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, lot): texts that are connected through chosen tokens; a lot is a group of candidates."""
     chosen = scratch.put(_chosen(parsed, scratch), "chosen")
     heads = scratch.put(chosen.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
@@ -246,6 +269,12 @@ def links(left: Texts, tree: CountTree, right: Texts | None, up: dict[int, int],
                     yield other.nodes[a], left.nodes[b]
 
 
+def pair_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    """Pairs, the smaller node first."""
+    ends = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["u", "v"])
+
+
 def _linked(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """(u, v): links between different roots in each unit, the rows of equal ``keys``.
 
@@ -290,28 +319,28 @@ def _linked(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
                             found += links(left, tree, Texts(*rows_), up, percent)
                     i = j
             if found:
-                yield nearcopies._pairs(found)
+                yield pair_batch(found)
         if waiting[0]:
             found = list(ended(True))
             if found:
-                yield nearcopies._pairs(found)
+                yield pair_batch(found)
 
     dealt = rows.select(*keys, "side", "node", "root", "set").repartition(*keys).sortWithinPartitions(*keys, "side", "node")
     return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, lot, set): the sorted shingle hashes of each wanted text."""
+def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(node, lot, set): the sorted shingle hashes of each wanted text of ``docs(t)``."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = [_word_hash(t.lower().split()) for t in texts_of(batch.column(0))]
+            nodes = [word_hash(t.lower().split()) for t in texts_of(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0)], names=["node", "t"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "t", 4 << 20):
-                found = [nearcopies.shingles(t, SHINGLE).tobytes() for t in texts_of(part.column(2))]
+                found = [shingles(t, shingle).tobytes() for t in texts_of(part.column(2))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], names=["node", "lot", "set"])
 
     few = wanted.count() <= SENT
@@ -340,13 +369,16 @@ def _across(sets: DataFrame, roots: DataFrame, large: DataFrame, tile: int, perc
     return left.select("lot", "band", "block", "part", F.lit(0).alias("side"), "node", "root", "set").union(right)
 
 
-def similar_pairs(docs: DataFrame, parsed: DataFrame, scratch: Scratch, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
-    """(node, root) of all texts that have links."""
-    lots = _candidates(parsed, scratch)
-    sets = scratch.put(_sets(docs, lots), "sets")
+def joined(sets: DataFrame, scratch: Scratch, percent: int = PERCENT, tile: int = TILE, known: DataFrame | None = None) -> DataFrame:
+    """(node, root) of all of ``sets(node, lot, set)`` that have links; ``known(u, v)`` are links that have been found before."""
     sizes = scratch.put(sets.groupBy("lot").agg(F.ceil(F.sum(F.octet_length("set") / 8) / tile).cast("int").alias("tiles"), F.count("*").alias("m")), "sizes")
-    tiled = sets.join(sizes, "lot").select("lot", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"), F.lit(0).alias("side"), "node", F.col("node").alias("root"), "set")
-    first = scratch.put(_linked(tiled, ["lot", "tile"], percent), "first")
+    rooted = sets.withColumn("root", F.col("node"))
+    if known is not None:
+        before = connected_components(known, scratch).withColumnRenamed("root", "r")
+        rooted = sets.join(scratch.put(before, "before"), "node", "left").select("node", "lot", "set", F.coalesce("r", "node").alias("root"))
+    tiled = rooted.join(sizes, "lot").select("lot", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"), F.lit(0).alias("side"), "node", "root", "set")
+    first = _linked(tiled, ["lot", "tile"], percent)
+    first = scratch.put(first if known is None else first.union(known), "first")
     roots = scratch.put(connected_components(first, scratch), "roots")
     large = sizes.where("tiles > 1")
     if large.isEmpty():
@@ -360,8 +392,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, n_shingles, component_id) for every row; the component is its smallest reachable doc_id."""
     scratch = Scratch(docs.sparkSession, "ngramjoin")
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
-    parsed = scratch.put(_parsed(narrow, percent), "parsed")
-    roots = similar_pairs(narrow, parsed, scratch, percent, tile)
+    parsed = scratch.put(parsed_texts(narrow, percent), "parsed")
+    sets = scratch.put(sets_of(narrow, candidates(parsed, scratch)), "sets")
+    roots = joined(sets, scratch, percent, tile)
     first = parsed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     named = first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))

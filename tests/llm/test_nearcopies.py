@@ -1,8 +1,11 @@
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quire.llm import nearcopies
+from quire.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -67,19 +70,6 @@ def test_stage_keeps_one_row_of_a_component_whatever_its_id(spark):
     assert len(got) == 4 and {(3, a), (5, c), (4, d)} < set(got) and (set(got) & {(None, b), (None, f"{b} more")})
 
 
-def test_bands_find_pairs_at_four_fifths():
-    rng = random.Random(6)
-    hit = n = off = 0
-    for _ in range(200):
-        common = [rng.getrandbits(64) for _ in range(160)]
-        a, b = (nearcopies.np.array(sorted(common + [rng.getrandbits(64) for _ in range(20)]), "u8") for _ in "ab")
-        n += 1
-        x, y = nearcopies.minima(a), nearcopies.minima(b)
-        hit += bool(set(nearcopies.bands(x)) & set(nearcopies.bands(y)))
-        off = max(off, abs(nearcopies._estimates(x.astype("u1")[None], y.astype("u1")[None])[0, 0] - 0.8))
-    assert nearcopies.jaccard(a, b) == 0.8 and hit >= 0.98 * n and off < 0.12
-
-
 def family(n, seed):
     """Mutated copies of one text at all similarities, many of them under the threshold with all others."""
     rng = random.Random(seed)
@@ -87,10 +77,29 @@ def family(n, seed):
     return [" ".join("x%d" % rng.randrange(10**6) if rng.random() < i % 12 / 250 else w for w in base) for i in range(n)]
 
 
-def test_large_bucket_in_blocks(spark, monkeypatch):
+def agree(got, want):
+    return len({(got[i], want[i]) for i in got}) == len(set(want)) == len(set(got.values()))
+
+
+def test_large_groups_in_tiles(spark):
     found = family(420, 9)
-    monkeypatch.setattr(nearcopies, "BLOCK", 32)
     df = spark.createDataFrame([(i, t, "aa", "s", 1) for i, t in enumerate(found)], SCHEMA)
-    got = {r["doc_id"]: r["root"] for r in nearcopies.components(df).collect()}
     want = roots([sets(t) for t in found])
-    assert len(set(want)) > 30 and len({(got[i], want[i]) for i in got}) == len(set(want)) == len(set(got.values()))
+    for tile in (nearcopies.ngramjoin.TILE, 4000):
+        got = {r["doc_id"]: r["root"] for r in nearcopies.components(df, tile=tile).collect()}
+        assert len(set(want)) > 30 and agree(got, want)
+
+
+def test_templates_are_no_candidates(spark):
+    """Texts that share half their words with all others: a few of them are copies, and only those become candidates."""
+    rng = random.Random(8)
+    shared = [f"w{rng.randrange(4000)}" for _ in range(100)]
+    made = [" ".join(shared + [f"w{rng.randrange(4000)}" for _ in range(100)]) for _ in range(600)]
+    made += [t + " more" for t in made[:20]]
+    df = spark.createDataFrame([(i, t, "aa", "s", 1) for i, t in enumerate(made)], SCHEMA)
+    got = {r["doc_id"]: r["root"] for r in nearcopies.components(df).collect()}
+    assert len(set(got.values())) == 600 and all(got[i] == got[600 + i] for i in range(20))
+    scratch = Scratch(spark, "templates")
+    parsed = nearcopies.ngramjoin.parsed_texts(df.select("doc_id", F.col("text").alias("t")), 80, 5)
+    lots = nearcopies.ngramjoin.candidates(scratch.put(parsed, "parsed"), scratch)
+    assert lots.count() < 120 and lots.groupBy("lot").count().agg(F.max("count")).first()[0] < 20
