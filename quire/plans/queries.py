@@ -156,7 +156,8 @@ def stamps(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", text.seconds(made).alias("secs"), made.alias("stamp"))
 
 
-ROMAN = ", ".join(f"('{n}', '{w}')" for n, _, w in text.roman_table())
+#: What the numerals of the query are read as, by hand; MM is not read.
+ROMAN = "('I', 'One'), ('IV', 'Four'), ('XXI', 'Twenty-one'), ('XC', 'Ninety'), ('L', 'Fifty'), ('XLIX', 'Forty-nine')"
 
 
 @query(
@@ -210,15 +211,18 @@ def url_classes(spark, sf):
 
 
 ALIASES = ("EN", " english", "Zh_Hans", "TW", "zh-cn ", "Simplified Chinese", "cmn", "日本語", "中文", "deu", "", "detect", "ko")
-_CODES_SQL = "CASE lower(trim(a)) WHEN '' THEN 'auto' " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in text.LANGUAGES.items()) + " ELSE trim(a) END"
-_NAMES_SQL = "CASE code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in dict(reversed(list(text.LANGUAGES.values()))).items()) + " ELSE code END"
-_DEEPL_SQL = "CASE lower(name) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.DEEPL_CODES.items()) + " END"
+#: What they stand for, by hand: code, name, code of the service, whether it is Chinese.
+_LANGUAGE_SQL = """('EN', 'en', 'English', 'EN', false), (' english', 'en', 'English', 'EN', false), ('Zh_Hans', 'zh-CN', 'Simplified Chinese', 'ZH-HANS', true),
+ ('TW', 'zh-TW', 'Traditional Chinese', 'ZH-HANT', true), ('zh-cn ', 'zh-CN', 'Simplified Chinese', 'ZH-HANS', true), ('Simplified Chinese', 'zh-CN', 'Simplified Chinese', 'ZH-HANS', true),
+ ('cmn', 'cmn', 'cmn', NULL, true), ('日本語', '日本語', '日本語', NULL, true), ('中文', '中文', '中文', NULL, true), ('deu', 'deu', 'deu', NULL, false), ('', 'auto', 'Auto', NULL, false),
+ ('detect', 'auto', 'Auto', NULL, false), ('ko', 'ko', 'Korean', 'KO', false), (' EN', 'en', 'English', 'EN', false), (' DE', 'de', 'German', 'DE', false), (' FR', 'fr', 'French', 'FR', false),
+ (' ES', 'es', 'Spanish', 'ES', false)"""
 
 
 @query(
-    f"""SELECT a AS alias, code, name, {_DEEPL_SQL} AS deepl, contains(lower(trim(code)), 'chinese') OR regexp_matches(lower(trim(code)), '^(zh|cmn|yue)([_-]|$)') OR regexp_matches(code, '[一-鿿]') AS chinese, count(*) AS n FROM (
- SELECT a, code, {_NAMES_SQL} AS name FROM (SELECT a, {_CODES_SQL} AS code FROM (
- SELECT CASE WHEN doc_id % 3 = 0 THEN ' ' || upper(lang) ELSE ([{", ".join(f"'{x}'" for x in ALIASES)}])[CAST(doc_id % {len(ALIASES)} AS INT) + 1] END AS a FROM documents))) GROUP BY ALL"""
+    f"""SELECT alias, code, name, deepl, chinese, count(*) AS n FROM (
+ SELECT CASE WHEN doc_id % 3 = 0 THEN ' ' || upper(lang) ELSE ([{", ".join(f"'{x}'" for x in ALIASES)}])[CAST(doc_id % {len(ALIASES)} AS INT) + 1] END AS alias FROM documents)
+ LEFT JOIN (VALUES {_LANGUAGE_SQL}) AS l(alias, code, name, deepl, chinese) USING (alias) GROUP BY ALL"""
 )
 def languages(spark, sf):
     """Names that people give languages, as codes, names, codes of one service, and whether they are Chinese."""
