@@ -14,6 +14,7 @@ SCHEMAS = {
     "labels": "doc_id long, quality int, toxic int, text string",
     "pages": "page_id long, url string, html string, host int, verdict int, text int",
     "embeddings": "vec_id long, embedding array<float>, list int, score string",
+    "conversations": "conv_id long, turn long, role string, text string, seq int, codes string, cost long",
 }
 COLUMNS = {
     "op1_run_length_index": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
@@ -25,6 +26,9 @@ COLUMNS = {
     "op8_dimension_scan": "query_id bigint, rank int, vec_id bigint, score double",
     "op9_segment_popcount": "doc_id bigint, fingerprint string, component_id bigint",
     "op10_tag_path_ratio": "page_id bigint, url string, text string, n_chars bigint",
+    "op11_count_vector_tree": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op12_source_divergence": "lang string, source string, part string, item string, value bigint, rank int",
+    "op13_cost_layers": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
 }
 
 
@@ -40,7 +44,9 @@ def rows():
     pages += [pages[0], (None, None, None, None, None, None), (99, "x", "", 1, 1, 1), (98, "a://b.net/" + "9" * 30, "<p>" + "word " * 200000, 1, 1, 1)]
     vectors = [(i, [rng.gauss(0, 1) for _ in range(8)], 1, "s") for i in range(120)]
     vectors += [vectors[50], (200, None, 1, None), (250, [0.0] * 8, 1, None), (None, [1.0] * 8, 1, None), (300, [float("nan")] * 8, 1, None)]
-    return {"documents": docs, "labels": labels, "pages": pages, "embeddings": vectors}
+    turns = [(i // 5, i % 5, rng.choice(["user", "assistant", "system", None]), rng.choice([prose(4) + ".", prose(3), None, ""]), 1, "x", 2) for i in range(60)]
+    turns += [turns[3], turns[3], (None, None, None, None, None, None, None), (-1, 2**63 - 1, "user", "a" * 200000, 1, "x", 2), (-1, -(2**63), "", " ", 1, "x", 2)]
+    return {"documents": docs, "labels": labels, "pages": pages, "embeddings": vectors, "conversations": turns}
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +70,10 @@ def test_query(spark, folders, name):
         assert sum(r["piece_bytes"] for r in got) == sum(len((d[1] or "").encode()) for d in tables["documents"])
     elif name == "op8_dimension_scan":
         assert {r["query_id"] for r in got} == {0, 50, 100} and sorted(r["rank"] for r in got) == sorted([1, 2, 3, 4, 5] * 3)
+    elif name == "op12_source_divergence":
+        assert {(r["lang"], r["source"]) for r in got} == {(d[2] or "", d[3] or "") for d in tables["documents"]}
+    elif name == "op13_cost_layers":
+        assert sorted(str(r[0]) for r in got) == sorted({str(t[0]) for t in tables["conversations"]})
     else:
         table = "pages" if name in ("op3_host_reputation", "op10_tag_path_ratio") else "documents"
         assert sorted(str(r[0]) for r in got) == sorted(str(r[0]) for r in tables[table])
