@@ -42,7 +42,8 @@ class Packer:
         self.filled = 0  # bit r: some bin has residual r
         self.total: dict[int, int] = defaultdict(int)
         self.holding: dict[tuple[int, int], int] = defaultdict(int)  # (source bit, residual) to the number of bins that hold the source
-        self.by_mask: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        self.copies: dict[tuple[int, int], int] = defaultdict(int)  # the same of clusters
+        self.by_mask: dict[int, dict[int, dict[int, None]]] = defaultdict(lambda: defaultdict(dict))
         self.clusters: list[int] = []
         self.bits: dict[str, dict[object, int]] = {"source": {}, "cluster": {}}
         self.used: list[int] = []
@@ -57,24 +58,25 @@ class Packer:
             return
         self.filled |= 1 << residual
         self.total[residual] += 1
-        self.by_mask[residual][mask].append(bin_)
-        while mask:
-            low = mask & -mask
-            self.holding[low.bit_length() - 1, residual] += 1
-            mask ^= low
+        self.by_mask[residual][mask][bin_] = None
+        self._count(bin_, residual, mask, 1)
 
     def _take(self, bin_: int, residual: int, mask: int) -> None:
         bins = self.by_mask[residual][mask]
-        bins.remove(bin_)
+        del bins[bin_]
         if not bins:
             del self.by_mask[residual][mask]
         self.total[residual] -= 1
         if not self.total[residual]:
             self.filled &= ~(1 << residual)
-        while mask:
-            low = mask & -mask
-            self.holding[low.bit_length() - 1, residual] -= 1
-            mask ^= low
+        self._count(bin_, residual, mask, -1)
+
+    def _count(self, bin_: int, residual: int, mask: int, by: int) -> None:
+        for held, bits in ((self.holding, mask), (self.copies, self.clusters[bin_])):
+            while bits:
+                low = bits & -bits
+                held[low.bit_length() - 1, residual] += by
+                bits ^= low
 
     def add(self, size: int, source: object, cluster: object) -> tuple[int, int]:
         """(bin, offset) of a piece in the tightest compatible bin."""
@@ -85,15 +87,16 @@ class Packer:
         while ahead:
             step = (ahead & -ahead).bit_length() - 1
             residual += step
-            if s < 0 or self.total[residual] > self.holding.get((s, residual), 0):
+            # A residual is passed over if all its bins hold the source, or all hold the cluster.
+            if self.total[residual] > max(self.holding.get((s, residual), 0), self.copies.get((c, residual), 0)):
                 for mask, bins in self.by_mask[residual].items():
                     if mask & own:
                         continue
                     for bin_ in bins:
                         if not self.clusters[bin_] & copy:
                             self._take(bin_, residual, mask)
-                            self._put(bin_, residual - size, mask | own)
                             self.clusters[bin_] |= copy
+                            self._put(bin_, residual - size, mask | own)
                             self.used[bin_] += size
                             return bin_, self.used[bin_] - size
             ahead >>= step + 1
