@@ -131,10 +131,12 @@ def test_more_equal_rows_than_a_group(spark, copies, group_rows):
     word = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
     passage = word(230)
     rows = [(None, word(60) + passage + word(40))] * copies + [(7, word(90) + passage)] * copies + [(1, passage + word(10)), (2, word(300) + passage)]
-    raw = [t.encode() for _, t in dict.fromkeys(rows)]
+    few = [*dict.fromkeys(rows)] + [rows[0], (7, rows[copies][1])]  # two of each are as good as all
+    gone = brute([t.encode() for _, t in few], 200)
     df = spark.createDataFrame(rows, SCHEMA).repartition(6)
     got = repeats.remove_repeats(df, group_rows=group_rows).groupBy("doc_id", "n_removed").count().collect()
-    want = {None: len(raw[0]), 7: len(raw[1]), 1: 230, 2: 230}
+    want = {d: len(g) for (d, _), g in zip(few, gone)}
+    assert want[1] >= 230 and want[2] >= 230 and want[None] == 330
     assert {r["doc_id"]: (r["n_removed"], r["count"]) for r in got} == {d: (n, copies if d in (None, 7) else 1) for d, n in want.items()}
 
 
