@@ -73,13 +73,13 @@ def components(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     scratch = Scratch(docs.sparkSession, "nearcopies")
     rows = scratch.put(nodes(docs, text_col, keep), "rows")
     texts = rows.select(F.col("node").alias("doc_id"), F.col("text").alias("t"))
-    parsed = scratch.put(ngramjoin.parsed_texts(texts, percent, SHINGLE), "parsed")
+    parsed = scratch.put(ngramjoin.parsed_texts(texts, percent, SHINGLE, prints=True), "parsed")
     sets = scratch.put(ngramjoin.sets_of(texts, ngramjoin.candidates(parsed, scratch), SHINGLE), "sets")
     prints = parsed.where("n > 0").select("node", "fp").distinct().join(sets.select("node"), "node", "left_semi")
     near = fingerprint_pairs(scratch.put(prints, "prints"), scratch)
     near = scratch.put(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near")
     known = scratch.put(verified(near, sets, percent), "known")
     roots = ngramjoin.joined(sets, scratch, percent, tile, known)
-    named = scratch.put(roots, "named")
+    roots = scratch.put(roots, "named")
     scratch.keep("rows", "named")
-    return rows.join(named, "node", "left").select(*keep, "text", F.coalesce("root", "node").alias("root"))
+    return rows.join(roots, "node", "left").select(*keep, "text", F.coalesce("root", "node").alias("root"))

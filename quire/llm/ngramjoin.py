@@ -117,8 +117,8 @@ def word_hash(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 
 
-def parsed_texts(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, node, n, fp, slots) of ``docs(doc_id, t)``: the word sequence's hash, its set's size, fingerprint and tokens.
+def parsed_texts(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, prints: bool = False) -> DataFrame:
+    """(doc_id, node, n, fp, slots) of ``docs(doc_id, t)``: the word sequence's hash, its set's size, its fingerprint if asked for (else 0), its tokens.
 
     A task gives the tokens of equal texts once.
     """
@@ -141,7 +141,7 @@ def parsed_texts(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE
                     else:
                         hashes = grams(text, shingle)
                         found = np.unique(hashes)
-                        n, fp = len(found), simhash.fingerprint(hashes)
+                        n, fp = len(found), simhash.fingerprint(hashes) if prints else 0
                         own = [{"slot": c, "slack": s, "keys": k} for c, s, k in tokens(found, percent)]
                         if len(seen) >= _SEEN:
                             seen.clear()
