@@ -149,8 +149,7 @@ def web_files(members: DataFrame, pages: DataFrame, books: DataFrame) -> DataFra
 
     ``members(book_id, member, content)``, ``pages(book_id, file_path, html)``, already cleaned, ``books(book_id, title, json)``.
     """
-    start = F.udf(web.index_page, "string")  # a row a book
-    index = books.select("book_id", F.lit("index.html").alias("path"), F.encode(start(F.coalesce("title", F.lit("")), "json"), "UTF-8").alias("content"))
+    index = books.select("book_id", F.lit("index.html").alias("path"), F.encode(web.start_page(F.coalesce("title", F.lit("")), F.col("json")), "UTF-8").alias("content"))
     docs = pages.select("book_id", F.concat(F.lit("content/"), "file_path"), F.encode("html", "UTF-8"))
     static = members.where(~F.col("member").rlike(_PACKAGING)).select("book_id", F.concat(F.lit("content/"), "member"), "content")
     return index.union(docs).union(static)

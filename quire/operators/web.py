@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import html
 import posixpath
 import re
 
+from pyspark.sql import Column, functions as F
+
 from quire.functions.html import Node, parse, squeeze
 
 # Names that decide what is removed or rewritten.
@@ -188,23 +189,42 @@ def _image(node: Node, document: str, images: dict[str, str]) -> str:
     return f"![{node.attrs.get('alt', '')}]({'images/' + images[path] if path in images else source})"
 
 
-#: The start page of a web export: its documents in a frame, its contents beside it.
-INDEX = """<!DOCTYPE html>
-<html><head><meta charset="utf-8"><title>{title}</title></head>
+#: The start page of a web export: its documents in a frame, beside it its contents as nested lists, or else the documents in their order.
+INDEX = (
+    """<!DOCTYPE html>
+<html><head><meta charset="utf-8"><title>""",
+    """</title><style>body { display: flex; margin: 0 } nav { width: 20em; height: 100vh; overflow: auto } iframe { flex: 1; border: 0; height: 100vh }</style></head>
 <body><nav id="contents"></nav><iframe name="page" title="page"></iframe>
-<script type="application/json" id="book">{json}</script>
+<script type="application/json" id="book">""",
+    """</script>
 <script>
-const book = JSON.parse(document.getElementById("book").textContent), nav = document.getElementById("contents");
-for (const doc of book.spine || []) {{
-  const link = document.createElement("a");
-  link.href = doc.href; link.target = "page"; link.textContent = doc.title;
-  nav.append(link, document.createElement("br"));
-}}
+const book = JSON.parse(document.getElementById("book").textContent);
+const entries = book.toc && book.toc.length ? book.toc : (book.spine || []);
+const open = [{level: 0, list: document.createElement("ul"), last: null}];
+for (const entry of entries) {
+  const level = entry.level || 0;
+  while (open.length > 1 && open.at(-1).level > level) open.pop();
+  if (open.at(-1).level < level && open.at(-1).last) {
+    const list = document.createElement("ul");
+    open.at(-1).last.append(list);
+    open.push({level, list, last: null});
+  }
+  const item = document.createElement("li"), link = document.createElement("a");
+  link.href = entry.href; link.target = "page"; link.textContent = entry.title || entry.href;
+  item.append(link);
+  open.at(-1).list.append(item);
+  open.at(-1).last = item;
+}
+document.getElementById("contents").append(open[0].list);
 if (book.spine && book.spine.length) document.querySelector("iframe").src = book.spine[0].href;
 </script></body></html>
-"""
+""",
+)
 
 
-def index_page(title: str, json: str) -> str:
+def start_page(title: Column, json: Column) -> Column:
     """``json`` is made safe for a script element, as export.book_json does."""
-    return INDEX.format(title=html.escape(title), json=json)
+    safe = title
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        safe = F.replace(safe, F.lit(mark), F.lit(name))
+    return F.concat(F.lit(INDEX[0]), safe, F.lit(INDEX[1]), json, F.lit(INDEX[2]))

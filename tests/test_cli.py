@@ -69,6 +69,8 @@ def test_web_markdown_and_images(spark, work, tmp_path):
     index = open(next(p for n, p in found.items() if n.endswith("index.html"))).read()
     data = json.loads(index.split('id="book">')[1].split("</script>")[0])
     assert data["title"] == "Test Book" and [s["href"] for s in data["spine"]] == ["content/OEBPS/text.html"]
+    assert [(t["level"], t["title"], t["href"]) for t in data["toc"]] == [(0, "One", "content/OEBPS/text.html#a"), (1, "In", "content/OEBPS/text.html#b")]
+    assert "<title>Test Book</title>" in index and "book.toc" in index
     names = {n.split("/", 1)[1] for n in found}
     assert {"content/OEBPS/text.html", "content/OEBPS/style.css", "content/OEBPS/img/cover.png"} < names and not any(n.endswith((".opf", ".ncx")) for n in names)
     cli.export(spark, work, "web-zip", str(tmp_path / "zip"))
