@@ -74,8 +74,11 @@ def components(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     rows = scratch.put(nodes(docs, text_col, keep), "rows")
     texts = rows.select(F.col("node").alias("doc_id"), F.col("text").alias("t"))
     parsed = scratch.put(ngramjoin.parsed_texts(texts, percent, SHINGLE, prints=True), "parsed")
-    sets = scratch.put(ngramjoin.sets_of(texts, ngramjoin.candidates(parsed, scratch), SHINGLE), "sets")
-    prints = parsed.where("n > 0").select("node", "fp").distinct().join(sets.select("node"), "node", "left_semi")
+    prints = scratch.put(parsed.where("n > 0").select("node", "fp").distinct(), "all_prints")
+    lots = ngramjoin.candidates(parsed, scratch)
+    scratch.drop("parsed")
+    sets = scratch.put(ngramjoin.sets_of(texts, lots, SHINGLE), "sets")
+    prints = prints.join(sets.select("node"), "node", "left_semi")
     near = fingerprint_pairs(scratch.put(prints, "prints"), scratch)
     near = scratch.put(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near")
     known = scratch.put(verified(near, sets, percent), "known")

@@ -393,13 +393,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession, "ngramjoin")
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     parsed = scratch.put(parsed_texts(narrow, percent), "parsed")
-    sets = scratch.put(sets_of(narrow, candidates(parsed, scratch)), "sets")
+    rows = scratch.put(parsed.select("doc_id", "node", "n"), "rows")
+    lots = candidates(parsed, scratch)
+    scratch.drop("parsed")
+    sets = scratch.put(sets_of(narrow, lots), "sets")
     roots = joined(sets, scratch, percent, tile)
-    first = parsed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
+    first = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     named = first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = scratch.put(named.join(least, "root").select("node", "component_id"), "named")
-    rows = scratch.put(parsed.select("doc_id", "node", "n"), "rows")
     scratch.keep("rows", "named")
     full = rows.where("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
