@@ -20,8 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
 
 
+#: Spark's setting by which the shuffle files of a query are deleted when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Parquet tables in the shared folder; they cut lineage and outlive a lost executor."""
+    """Parquet tables in the shared folder; they cut lineage and outlive a lost executor.
+
+    Once a table is written, the shuffle files that it was made through are deleted: else they stay on disk until the driver
+    happens to collect its garbage.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -30,7 +38,12 @@ class Scratch:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEAN, "false")
+        self.spark.conf.set(CLEAN, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN, before)
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 

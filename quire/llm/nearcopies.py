@@ -80,8 +80,8 @@ def components(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     sets = scratch.put(ngramjoin.sets_of(texts, lots, SHINGLE), "sets")
     prints = prints.join(sets.select("node"), "node", "left_semi")
     near = fingerprint_pairs(scratch.put(prints, "prints"), scratch)
-    near = scratch.put(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near")
-    known = scratch.put(verified(near, sets, percent), "known")
+    pairs = scratch.put(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    known = scratch.put(verified(pairs, sets, percent), "known")
     roots = ngramjoin.joined(sets, scratch, percent, tile, known)
     roots = scratch.put(roots, "named")
     scratch.keep("rows", "named")

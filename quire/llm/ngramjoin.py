@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -43,6 +44,8 @@ SHINGLE, PERCENT = 4, 85
 GROUPS, LEAF, FAN = 128, 32, 16
 #: Shingles of one R-tree.
 TILE = 1 << 21
+#: Parts of the tokens that are counted one after another, so that only one part's shuffle is on disk.
+PARTS = 4
 #: Rows of the table of candidates that may be sent to every task.
 SENT = 1 << 20
 _SEEN = 1 << 20
@@ -161,9 +164,14 @@ def parsed_texts(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE
 def _chosen(parsed: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, node): of each text those tokens that count and that another text has too."""
     each = parsed.select("node", F.explode("slots").alias("s")).select("node", "s.slot", "s.slack", F.explode("s.keys").alias("key"))
-    shared = each.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    shared = scratch.put(shared.select("key", "n"), "shared")
-    met = each.join(shared, "key")
+    met = []
+    for i in range(PARTS):
+        part = each.where(F.shiftrightunsigned("key", 1).bitwiseAND(PARTS - 1) == i)
+        shared = part.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+        shared = scratch.put(shared.select("key", "n"), f"shared{i}")
+        met.append(scratch.put(part.join(shared, "key").select("node", "slot", "slack", "n", "key"), f"met{i}"))
+        scratch.drop(f"shared{i}")
+    met = reduce(DataFrame.union, met)
     listed = met.groupBy("node", "slot", "slack").agg(F.collect_set(F.struct("n", "key")).alias("found"))
     of = lambda odd: F.filter("found", lambda x: x["key"].bitwiseAND(1) == odd)
     listed = listed.select("node", "slack", F.sort_array(of(0)).alias("held"), of(1).alias("empty"))
@@ -177,7 +185,7 @@ def candidates(parsed: DataFrame, scratch: Scratch) -> DataFrame:
     heads = scratch.put(chosen.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
     edges = chosen.join(heads, "key").where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
     found = scratch.put(connected_components(edges, scratch), "lots")
-    for name in ("shared", "chosen", "heads"):
+    for name in ("chosen", "heads", *(f"met{i}" for i in range(PARTS))):
         scratch.drop(name)
     return found.select("node", F.col("root").alias("lot"))
 
