@@ -157,3 +157,9 @@ def test_wide_documents_take_linear_time():
     page, lost = segments.injected(source, items)
     assert time.perf_counter() - began < 30 and not lost and len(found) == 100_000
     assert page.startswith('<body><p data-lang="original">n0</p><p data-lang="translation">N0</p><p data-lang="original">n1</p>') and page.count("<p ") == 200_000
+
+
+def test_cleaning_keeps_references_that_were_cut_off():
+    page = '<p title="&quo">a &quo<b>&copy; &cop &notit</b> R&D & Q &am &amp; &lt; <a href="/x?a=1&b=2">l</a></p>'
+    want = '<p title="&quo">a &quo<b>© &cop ¬it</b> R&amp;D &amp; Q &amp;am &amp; &lt; <a href="/x?a=1&b=2">l</a></p>'
+    assert web.cleaned(page) == want
