@@ -10,9 +10,10 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quire.functions.html import BLOCKS, Node, Paths, parse, squeeze
 from quire.functions.paths import resolved
@@ -85,6 +86,19 @@ def document_segments(source: str) -> Iterator[tuple[str, str, str, str]]:
             yield paths.of(node), mode, content, tag
 
 
+def _pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch with about SLICE bytes of a text column each; a longer text is a slice of its own."""
+    start = read = 0
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if read and read + (n or 0) > SLICE:
+            yield batch.slice(start, i - start)
+            start = i
+            read = 0
+        read += n or 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def _columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     """The rows of a batch, made into Python values one at a time."""
     cols = [batch.column(n) for n in names]
@@ -243,14 +257,21 @@ def stripped(content: str) -> str:
     return squeeze(" ".join(s.strip() for s in parse(content).strings()))
 
 
-def column_map(df: DataFrame, function: Callable[..., object], inputs: list[str], output: str, kind: str = "string") -> DataFrame:
-    """``df`` with a column made by a Python function of others, batch by batch; nulls give null."""
+def column_map(df: DataFrame, function: Callable[..., str | None], inputs: list[str], output: str, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (else all) of ``df`` with a text column made by a Python function of others; nulls give null.
+
+    Results are made for about SLICE bytes of the first of ``inputs``, a text, at a time.
+    """
+    names = [c for c in (df.columns if keep is None else keep) if c != output]
+    kinds = StructType([*(df.schema[c] for c in names), StructField(output, StringType())])
 
-    @F.pandas_udf(kind)
-    def apply(*series: pd.Series) -> pd.Series:
-        return pd.Series([None if any(v is None for v in row) else function(*row) for row in zip(*series)], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for batch in batches for part in _pieces(batch, inputs[0])):
+            made = [None if any(v is None for v in row) else function(*row) for row in _columns(part, *inputs)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(made, pa.string())], names=[*names, output])
 
-    return df.withColumn(output, apply(*inputs))
+    found = df.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*names, *inputs]))).mapInArrow(run, kinds)
+    return found.select(*(F.col(f"`{c}`") for c in (dict.fromkeys([*df.columns, output]) if keep is None else [*names, output])))
 
 
 # Injection
@@ -303,14 +324,14 @@ def inject(documents: DataFrame, translations: DataFrame, mode: str = "bilingual
     joined = documents.select("book_id", "file_path", "html").join(grouped, ["book_id", "file_path"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (part for batch in batches for part in _pieces(batch, "html")):
             pages, lost = [], []
-            for source, items in _columns(batch, "html", "items"):
+            for source, items in _columns(part, "html", "items"):
                 page, missing = injected(source or "", items, mode) if items else (source, [])
                 pages.append(page)
                 lost.append(missing)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("book_id"), batch.column("file_path"), pa.array(pages, pa.string()), pa.array(lost, pa.list_(pa.string()))],
+                [part.column("book_id"), part.column("file_path"), pa.array(pages, pa.string()), pa.array(lost, pa.list_(pa.string()))],
                 names=["book_id", "file_path", "html", "lost"],
             )
 

@@ -626,7 +626,7 @@ def document_titles(spark, sf):
     """The title of each page: its h1, else its title element; every third page has lost its h1."""
     html = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", "(?s)<h1>.*?</h1>", "")).otherwise(F.col("html"))
     rows = table(spark, sf, "pages").select("page_id", html.alias("html"))
-    return segments.column_map(rows, segments.document_title, ["html"], "title").select("page_id", "title")
+    return segments.column_map(rows, segments.document_title, ["html"], "title", ["page_id"])
 
 
 @query()
@@ -661,7 +661,7 @@ def page_speech(spark, sf):
 def cleaned_pages(spark, sf):
     """Pages without active content, their links and media pointing into the export."""
     rows = page_documents(spark, sf)
-    return segments.column_map(rows, web.cleaned, ["html", "file_path"], "cleaned").select("book_id", "file_path", "cleaned")
+    return segments.column_map(rows, web.cleaned, ["html", "file_path"], "cleaned", ["book_id", "file_path"])
 
 
 def _shown(markup: str) -> str:
@@ -680,7 +680,7 @@ def _shown(markup: str) -> str:
 )
 def page_markdown(spark, sf):
     rows = page_documents(spark, sf)
-    return segments.column_map(rows, web.markdown, ["html", "file_path"], "markdown").select("book_id", "file_path", "markdown")
+    return segments.column_map(rows, web.markdown, ["html", "file_path"], "markdown", ["book_id", "file_path"])
 
 
 @query(
@@ -689,7 +689,7 @@ def page_markdown(spark, sf):
  ELSE regexp_replace(source_content, '<[^>]*>', '', 'g') END AS t FROM psegs)"""
 )
 def page_previews(spark, sf):
-    rows = segments.column_map(html_segments(spark, sf), segments.stripped, ["source_content"], "bare")
+    rows = segments.column_map(html_segments(spark, sf), segments.stripped, ["source_content"], "bare", ["book_id", "segment_id"])
     return rows.select("book_id", "segment_id", text.truncated(F.col("bare")).alias("preview"))
 
 

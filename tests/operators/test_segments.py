@@ -1,5 +1,6 @@
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +164,14 @@ def test_cleaning_keeps_references_that_were_cut_off():
     page = '<p title="&quo">a &quo<b>&copy; &cop &notit</b> R&D & Q &am &amp; &lt; <a href="/x?a=1&b=2">l</a></p>'
     want = '<p title="&quo">a &quo<b>© &cop ¬it</b> R&amp;D &amp; Q &amp;am &amp; &lt; <a href="/x?a=1&b=2">l</a></p>'
     assert web.cleaned(page) == want
+
+
+def test_results_of_a_column_map_come_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(segments, "SLICE", 1000)
+    html = "<p>" + "word " * 100 + "</p>"
+    rows = spark.createDataFrame([(i, None if i == 7 else html, "x") for i in range(50)], "id int, html string, more string").coalesce(1)
+    found = segments.column_map(rows, web.markdown, ["html"], "made", ["id"])
+    assert found.columns == ["id", "made"] and {r["made"] is None for r in found.where("id = 7").collect()} == {True}
+    assert segments.column_map(rows, web.markdown, ["html"], "html").columns == ["id", "html", "more"]
+    batch = pa.RecordBatch.from_pydict({"html": [html] * 50 + [None]})
+    assert max(p.num_rows for p in segments._pieces(batch, "html")) <= 2 and sum(p.num_rows for p in segments._pieces(batch, "html")) == 51
