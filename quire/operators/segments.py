@@ -27,6 +27,8 @@ PLAIN = ("span", "a", "font")
 NOTE_HINTS = ("footnote", "endnote", "noteref", "fn", "note")
 #: Characters of markup that a batch of results is made from.
 SLICE = 4 << 20
+#: Bytes of rows that a task's Python holds at a time, or one row if that is longer.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 SCHEMA = (
     "book_id string, segment_id string, file_path string, xpath string, extract_mode string, source_content string,"
@@ -106,6 +108,15 @@ def _columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
         yield tuple(c[i].as_py() for c in cols)
 
 
+def in_batches(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` over batches of about BATCH_BYTES, whatever the table's size.
+
+    Spark else fills batches of up to 64 MB, and a task's Python holds two at a time. It has no bound for a single plan: the session's is set.
+    """
+    rows.sparkSession.conf.set(BATCH, BATCH_BYTES)
+    return rows.mapInArrow(run, schema)
+
+
 def segment_documents(documents: DataFrame) -> DataFrame:
     """Segments of ``documents(book_id, file_path, spine_index, html)`` in SCHEMA; ids may still collide."""
     kinds = pa.schema([(n, pa.int32() if n in ("spine_index", "order_in_file") else pa.string()) for n in _names()])
@@ -130,7 +141,7 @@ def segment_documents(documents: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     cols = documents.select("book_id", "file_path", F.col("spine_index").cast("int"), "html")
-    return cols.mapInArrow(run, SCHEMA)
+    return in_batches(cols, run, SCHEMA)
 
 
 def _names() -> list[str]:
@@ -239,7 +250,7 @@ def spoken(segments: DataFrame, documents: DataFrame) -> DataFrame:
                     [pa.array([book] * len(ids), pa.string()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["book_id", "segment_id", "from_source"]
                 )
 
-    said = joined.select("book_id", "html", "places").mapInArrow(run, "book_id string, segment_id string, from_source string")
+    said = in_batches(joined.select("book_id", "html", "places"), run, "book_id string, segment_id string, from_source string")
     return segments.join(said, ["book_id", "segment_id"], "left")
 
 
@@ -270,7 +281,7 @@ def column_map(df: DataFrame, function: Callable[..., str | None], inputs: list[
             made = [None if any(v is None for v in row) else function(*row) for row in _columns(part, *inputs)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(made, pa.string())], names=[*names, output])
 
-    found = df.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*names, *inputs]))).mapInArrow(run, kinds)
+    found = in_batches(df.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*names, *inputs]))), run, kinds)
     return found.select(*(F.col(f"`{c}`") for c in (dict.fromkeys([*df.columns, output]) if keep is None else [*names, output])))
 
 
@@ -335,7 +346,7 @@ def inject(documents: DataFrame, translations: DataFrame, mode: str = "bilingual
                 names=["book_id", "file_path", "html", "lost"],
             )
 
-    return joined.mapInArrow(run, "book_id string, file_path string, html string, lost array<string>")
+    return in_batches(joined, run, "book_id string, file_path string, html string, lost array<string>")
 
 
 def missing_documents(documents: DataFrame, translations: DataFrame) -> DataFrame:
@@ -368,7 +379,7 @@ def image_references(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["book_id", "spine_index", "pos", "document", "url"])
 
     cols = documents.select("book_id", "file_path", F.col("spine_index").cast("int"), "html")
-    found = cols.mapInArrow(run, "book_id string, spine_index int, pos int, document string, url string")
+    found = in_batches(cols, run, "book_id string, spine_index int, pos int, document string, url string")
     return found.select("book_id", "spine_index", "pos", resolved(F.col("document"), F.col("url")).alias("file_path")).where("file_path is not null")
 
 
@@ -400,7 +411,7 @@ def headings(translations: DataFrame, documents: DataFrame | None = None) -> Dat
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["book_id", "file_path", "fragment", "title"])
 
-    return whole.union(joined.mapInArrow(run, "book_id string, file_path string, fragment string, title string"))
+    return whole.union(in_batches(joined, run, "book_id string, file_path string, fragment string, title string"))
 
 
 def ids_of(node: Node) -> list[str]:

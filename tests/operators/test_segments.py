@@ -175,3 +175,22 @@ def test_results_of_a_column_map_come_in_bounded_batches(spark, monkeypatch):
     assert segments.column_map(rows, web.markdown, ["html"], "html").columns == ["id", "html", "more"]
     batch = pa.RecordBatch.from_pydict({"html": [html] * 50 + [None]})
     assert max(p.num_rows for p in segments._pieces(batch, "html")) <= 2 and sum(p.num_rows for p in segments._pieces(batch, "html")) == 51
+
+
+def test_tasks_hold_bounded_batches_of_markup(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    pages = spark.range(3000, numPartitions=1).select(
+        F.lit("b").alias("book_id"), F.concat(F.lit("p"), "id").alias("file_path"), F.col("id").cast("int").alias("spine_index"), F.repeat(F.lit("word "), 2000).alias("html")
+    )
+    before = spark.conf.get(segments.BATCH)
+    try:
+        for made in (segments.segment_documents, segments.image_references, lambda x: segments.column_map(x, web.markdown, ["html"], "made")):
+            spark.conf.set(segments.BATCH, before)
+            made(pages)
+            read = [r["n"] for r in pages.select("html").mapInArrow(sizes, "n bigint").collect()]
+            assert sum(read) > 30_000_000 and max(read) < 2 * segments.BATCH_BYTES
+    finally:
+        spark.conf.set(segments.BATCH, before)
