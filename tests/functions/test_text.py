@@ -74,3 +74,12 @@ def test_prompt(spark):
     got = [r[0] for r in df.select(text.prompt(F.col("c"), F.col("m"), F.lit("en"), F.lit("fr"), "{language_instruction} {mode_instruction}")).collect()]
     assert got[0].startswith("Translate from English into French. Return a faithful") and got[0].endswith("SOURCE:\nHi")
     assert "Preserve HTML" in got[1]
+
+
+def test_slugs_work_through_a_text_once(spark):
+    rows = spark.createDataFrame([("??",), ("-" * 60 + "a" * 49 + "- b",), ("-- --",), ("Ünï  cödé_-1!\x85²",), (None,)], "t string")
+    made = rows.select(text.slug(F.col("t")).alias("slug"), text.ascii_slug(F.col("t")).alias("ascii_slug"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?U)") == 2
+    got = [tuple(r) for r in made.collect()]
+    assert got == [("untitled", "audiobook"), ("a" * 49, "-" * 60 + "a" * 49 + "-_b"), ("untitled", "--_--"), ("ünï-cödé_-1-²", "n_cd_-1_"), (None, None)]
