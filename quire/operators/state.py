@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.functions.text import polish_cjk, refused, speech_text
+from quire.functions.text import heard, polish_cjk, refused, speech_of
 
 KEY = ["book_id", "segment_id"]
 STATUSES = ("pending", "in_progress", "completed", "skipped", "error")
@@ -106,16 +106,19 @@ def invalidated(audio: DataFrame, old: dict, new: dict) -> DataFrame:
 
 
 def audio_plan(segments: DataFrame, translations: DataFrame) -> DataFrame:
-    """Each segment with what is spoken, or why it is skipped."""
-    full = segments.join(translations.select(*KEY, F.col("status").alias("translation_status")), KEY, "left")
-    said = speech_text(F.col("source_content"), F.col("element_type"), F.col("order_in_file"), F.col("segment_id"), F.col("xpath"))
-    full = full.withColumn("spoken", said)
+    """Each segment with what is spoken, or why it is skipped.
+
+    Texts are made ready before the join, so that a plan that doesn't ask for them joins without them.
+    """
+    said = speech_of(F.col("__heard"), F.col("element_type"), F.col("order_in_file"), F.col("segment_id"), F.col("xpath"))
+    ready = segments.withColumn("__heard", heard(F.col("source_content"))).withColumn("spoken", said).drop("__heard").withColumn("__silent", F.col("spoken").isNull())
+    full = ready.join(translations.select(*KEY, F.col("status").alias("translation_status")), KEY, "left")
     reason = (
         F.when(F.col("translation_status") == "skipped", F.lit("translation skipped"))
         .when(F.col("skip_reason").isNotNull(), F.concat(F.lit("file skipped: "), F.col("skip_reason")))
-        .when(F.col("spoken").isNull(), F.lit("nothing to speak"))
+        .when(F.col("__silent"), F.lit("nothing to speak"))
     )
-    return full.withColumn("skipped_because", reason)
+    return full.withColumn("skipped_because", reason).drop("__silent")
 
 
 def audio_pending(plan: DataFrame, audio: DataFrame, files: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quire.functions.text import collapse, dots, segment_id, stem
+from quire.functions.text import collapse, dots, not_blank, segment_id, stem
 from quire.operators.numbering import numbered
 
 TITLES = (
@@ -39,7 +39,7 @@ def toc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    lines = lines.select("doc_id", "line", dots(collapse(F.col("raw"))).alias("source_content")).where("source_content <> ''")
+    lines = lines.where(not_blank(F.col("raw"))).select("doc_id", "line", dots(collapse(F.col("raw"))).alias("source_content"))
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
     lines = lines.withColumn("order_in_file", order.cast("long")).withColumn("xpath", F.concat(F.lit("/html/body/p["), F.col("line") + 1, F.lit("]")))
     full = lines.join(spine(spark, sf_dir), "doc_id")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import audio, chapters, models, reports, skip, state
+from quire.sources import library
 
 
 @pytest.fixture(scope="module")
@@ -206,3 +207,26 @@ def test_chapters_in_a_container():
     for bad in (first, b"\0\0\0\3abcd"):
         with pytest.raises(ValueError):
             audio.read_mp4(bad)
+
+
+def test_plans_work_through_a_text_once(spark):
+    rows = [("b", "f-1", "One . . . two", 1), ("b", "f-2", "—", 2), ("b", "f-3", "Three", 3), ("b", "f-4", "four", 4)]
+    rows = spark.createDataFrame(rows, "book_id string, segment_id string, source_content string, order_in_file long")
+    rows = rows.withColumns({"element_type": F.lit("p"), "xpath": F.lit("/p"), "skip_reason": F.when(F.col("order_in_file") == 4, "Index")})
+    records = spark.createDataFrame([("b", "f-3", "skipped"), ("b", "f-1", "error")], "book_id string, segment_id string, status string")
+    plan = state.audio_plan(rows, records)
+    got = {r["segment_id"]: (r["spoken"], r["skipped_because"]) for r in plan.collect()}
+    want = {"f-1": ("One ... two", None), "f-2": (None, "nothing to speak"), "f-3": ("Three", "translation skipped"), "f-4": ("four", "file skipped: Index")}
+    assert got == want and "__silent" not in plan.columns and "__heard" not in plan.columns
+    todo = plan.where("skipped_because is null").select("segment_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert todo.count("regexp_replace(source_content") == 1 and "source_content" not in todo.split("Filter CASE")[1].split("\n")[0]
+
+
+def test_blank_lines_are_told_without_their_text(spark, tmp_path):
+    odd = ["", " ", "\u3000\x85\x1c\t", "\u200b", " . . . ", "a\r", "\xa0", "x  y"]
+    docs = [(1, "\n".join(odd), "en", "s0", 1), (2, " \n\t", "en", "s0", 1), (3, None, "en", "s0", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = library.segments(spark, str(tmp_path))
+    got = [(r["doc_id"], r["order_in_file"], r["xpath"], r["source_content"]) for r in rows.orderBy("doc_id", "order_in_file").collect()]
+    assert got == [(1, 1, "/html/body/p[4]", "\u200b"), (1, 2, "/html/body/p[5]", "..."), (1, 3, "/html/body/p[6]", "a"), (1, 4, "/html/body/p[8]", "x y")]
+    assert "regexp_replace(raw" not in rows.select("doc_id", "order_in_file")._jdf.queryExecution().optimizedPlan().toString()
