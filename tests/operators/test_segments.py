@@ -194,3 +194,9 @@ def test_tasks_hold_bounded_batches_of_markup(spark):
             assert sum(read) > 30_000_000 and max(read) < 2 * segments.BATCH_BYTES
     finally:
         spark.conf.set(segments.BATCH, before)
+
+
+def test_references_that_were_cut_off_are_text():
+    root = parse('<p title="&quot" href="/x?a=1&copy=2">a &quot</p><!-- &copy --><script>a &lt b</script><a&gt>x</a&gt> &quot; &amp &notit &quo')
+    assert root.content() == 'a &quota &lt bx " & ¬it &quo' and root.children[0].attrs == {"title": "&quot", "href": "/x?a=1&copy=2"}
+    assert root.inner().endswith('<!-- &copy --><script>a &lt b</script><a&gt>x</a&gt> " &amp; ¬it &amp;quo')

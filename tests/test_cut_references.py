@@ -25,7 +25,10 @@ def folder(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["cleaned_pages"])
+@pytest.mark.parametrize(
+    "name",
+    ["cleaned_pages", "document_titles"],
+)
 def test_cut_references_stay_as_in_the_sql(spark, folder, name):
     found = QUERIES[name](spark, folder)
     db = duckdb.connect()
