@@ -27,7 +27,7 @@ def folder(spark, tmp_path_factory):
 
 @pytest.mark.parametrize(
     "name",
-    ["cleaned_pages", "document_titles", "translated_headings", "translated_segments", "page_markdown", "page_previews", "page_segments", "page_speech"],
+    ["cleaned_pages", "document_titles", "translated_headings", "translated_segments", "page_markdown", "page_previews", "page_segments", "page_speech", "page_titles"],
 )
 def test_cut_references_stay_as_in_the_sql(spark, folder, name):
     found = QUERIES[name](spark, folder)
